@@ -44,3 +44,90 @@ def flow_packets_sql(clients: int = 15, per_second: int = 10, ports: int = 40) -
          {port} AS client_port,
          CAST(floor(value + 40) AS INTEGER) AS len, event_id % 7 AS msg_id
   FROM events)"""
+
+
+# ---- events and pages as messages ------------------------------------------------------------------
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event asks for (OUT) or answers (IN) a name under the host of one page."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    p = table(spark, sf_dir, "pages").select(
+        "page_id", F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1).alias("host"))
+    n = table(spark, sf_dir, "pages").agg(F.count(F.lit(1))).scalar()
+    i = F.col("event_id")
+    out = F.col("event_type").isin("click", "view")
+    word = F.when(i % 5 == 0, F.upper("event_type")).otherwise(F.col("event_type"))
+    bad = i % 40 == 7
+    return (
+        e.withColumn("_page", i % n).join(p, F.col("_page") == F.col("page_id"))
+        .select(
+            i.alias("seq"), F.timestamp_seconds(i).alias("ts"),
+            F.when(out, "OUT").otherwise("IN").alias("direction"),
+            (F.col("user_id") % 15).alias("client_ip"), (i % 6).alias("server_ip"),
+            F.floor(F.col("value") + 40).cast("int").alias("len"),
+            F.when(bad, 1).otherwise(0).alias("packet_code"),
+            F.when(~bad, F.concat(word, F.lit("-"), (i % 97).cast("string"), F.lit("."), "host", F.lit("."))).alias("qname"),
+            F.when(i % 50 == 0, 0).otherwise(1).alias("qdcount"),
+            F.when(out, 0).otherwise(1 + i % 3).cast("int").alias("ancount"),
+            F.when(i % 11 == 0, 1).otherwise(0).alias("nscount"),
+            F.when(i % 4 == 0, 1).otherwise(0).alias("arcount"),
+            F.when(~out, i * 37 % 1000 * F.when(i % 20 == 0, 1000).when(i % 20 == 2, 0).otherwise(1)).alias("ttl"),
+        )
+    )
+
+
+MESSAGES_SQL = """messages AS (
+  SELECT event_id AS seq, event_id AS t,
+    CASE WHEN event_type IN ('click', 'view') THEN 'OUT' ELSE 'IN' END AS direction,
+    user_id % 15 AS client_ip, event_id % 6 AS server_ip, CAST(floor(value + 40) AS INTEGER) AS len,
+    CASE WHEN event_id % 40 = 7 THEN 1 ELSE 0 END AS packet_code,
+    CASE WHEN event_id % 40 <> 7 THEN
+      CASE WHEN event_id % 5 = 0 THEN upper(event_type) ELSE event_type END || '-' || CAST(event_id % 97 AS VARCHAR)
+      || '.' || regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) || '.' END AS qname,
+    CASE WHEN event_id % 50 = 0 THEN 0 ELSE 1 END AS qdcount,
+    CASE WHEN event_type IN ('click', 'view') THEN 0 ELSE 1 + event_id % 3 END AS ancount,
+    CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS nscount,
+    CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END AS arcount,
+    CASE WHEN event_type NOT IN ('click', 'view') THEN event_id * 37 % 1000
+      * CASE WHEN event_id % 20 = 0 THEN 1000 WHEN event_id % 20 = 2 THEN 0 ELSE 1 END END AS ttl
+  FROM events JOIN pages ON event_id % (SELECT count(*) FROM pages) = page_id)"""
+
+
+# ---- embeddings as labelled samples ----------------------------------------------------------------
+
+def samples(spark: SparkSession, sf_dir: str, width: int | None = None) -> DataFrame:
+    """Label 0 is the normal class. `width` keeps the first values, as a flow vector."""
+    e = table(spark, sf_dir, "embeddings")
+    vec = F.col("embedding").cast("array<double>")
+    return e.select(
+        F.col("vec_id").alias("row_id"),
+        (vec if width is None else F.slice(vec, 1, width)).alias("features"),
+        F.col("label").cast("string").alias("source"),
+        F.when(F.col("label") == 0, "P").otherwise("N").alias("label"))
+
+
+def samples_sql(width: int | None = None) -> str:
+    vec = "CAST(embedding AS DOUBLE[])" if width is None else f"CAST(embedding[1:{width}] AS DOUBLE[])"
+    return f"""samples AS (
+  SELECT vec_id AS row_id, {vec} AS features, CAST(label AS VARCHAR) AS source,
+    CASE WHEN label = 0 THEN 'P' ELSE 'N' END AS label FROM embeddings),
+cells AS (
+  SELECT row_id, source, label, unnest(features) AS v, generate_subscripts(features, 1) - 1 AS pos FROM samples)"""
+
+
+def centroids(spark: SparkSession, sf_dir: str, width: int | None = None) -> DataFrame:
+    """Mean vector of each embedding label."""
+    cells = samples(spark, sf_dir, width).select(
+        F.col("source").cast("long").alias("cid"), F.posexplode("features").alias("pos", "v"))
+    means = cells.groupBy("cid", "pos").agg(F.avg("v").alias("m"))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "m")))
+    return means.groupBy("cid").agg(F.transform(ordered, lambda p: p["m"]).alias("vec"))
+
+
+CENTROIDS_SQL = """centroids AS (
+  SELECT CAST(source AS BIGINT) AS cid, pos, avg(v) AS c FROM cells GROUP BY ALL),
+distances AS (
+  SELECT row_id, cid, sqrt(sum((v - c) * (v - c))) AS dist FROM cells JOIN centroids USING (pos) GROUP BY ALL),
+nearest AS (
+  SELECT row_id, cid, dist FROM (
+    SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY dist, cid) AS r FROM distances) WHERE r = 1)"""

@@ -29,9 +29,14 @@ def has_rows(df: DataFrame) -> bool:
     return len(df.take(1)) > 0
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1 << 20) -> DataFrame:
-    """Broadcast hint behind a count; larger tables stay ordinary joins for AQE to plan."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def small_side(df: DataFrame, max_rows: int = 1 << 20) -> DataFrame:
+    """A derived table saved once and, if its counted rows are few, hinted for broadcast.
+
+    A larger one stays an ordinary join for AQE to plan.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    saved = df.checkpoint()
+    return F.broadcast(saved) if saved.count() <= max_rows else saved
 
 
 def _joined(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -65,13 +70,13 @@ class Chunked:
             .agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
             .where(F.col("_n") > target)
         )
+        width = F.greatest(F.lit(1), F.expr(f"cast((_hi - _lo + 1) * {float(target)}D / _n as bigint)"))
+        # at most rows/target keys can be hot
+        hot = small_side(hot.select(*by, "_lo", width.alias("_width")))
         if not has_rows(hot):
             return
         self.split = True
-        width = F.greatest(F.lit(1), F.expr(f"cast((_hi - _lo + 1) * {float(target)}D / _n as bigint)"))
-        hot = hot.select(*by, "_lo", width.alias("_width"))
-        # at most rows/target keys can be hot
-        df = _joined(df, broadcast_if_small(hot), by)
+        df = _joined(df, hot, by)
         df = df.withColumn("_cell", F.coalesce(F.expr(f"({order} - _lo) div _width"), F.lit(0)))
         dense = (
             df.where(F.col("_width").isNotNull())
@@ -81,7 +86,7 @@ class Chunked:
             .select(*by, "_cell",
                     F.greatest(F.lit(1), F.expr(f"cast(_width * {float(target)}D / _m as bigint)")).alias("_sub"))
         )
-        df = _joined(df, broadcast_if_small(dense), [*by, "_cell"])
+        df = _joined(df, small_side(dense), [*by, "_cell"])
         sub = F.coalesce(F.expr(f"({order} - _lo - _cell * _width) div _sub"), F.lit(0))
         df = df.withColumn("_chunk", F.shiftleft("_cell", _SUB_BITS) + sub).drop("_lo", "_width", "_cell", "_sub")
         self.df = self._saved(df)
