@@ -86,7 +86,7 @@ def _nearest(block: pd.Series, ids: np.ndarray, book: np.ndarray) -> pd.DataFram
 
 
 def nearest_centroid(df: DataFrame, centroids: DataFrame, vec: str = "features", row_id: str = "row_id",
-                     max_values: int = MAX_CODEBOOK_VALUES) -> DataFrame:
+                     max_values: int = MAX_CODEBOOK_VALUES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add `cid` and `dist` (L2) of the nearest row of `centroids` (cid, vec).
 
     A codebook of up to `max_values` numbers travels with the tasks and the vectors never move. A larger one
@@ -107,11 +107,11 @@ def nearest_centroid(df: DataFrame, centroids: DataFrame, vec: str = "features",
                 yield _nearest(batch, ids, values)
 
         return df.withColumn("_n", nearest(vec)).select(*df.columns, "_n.cid", "_n.dist")
-    return _nearest_by_blocks(df, centroids, vec, row_id, int(width.n))
+    return _nearest_by_blocks(df, centroids, vec, row_id, int(width.n), block_rows)
 
 
-def _nearest_by_blocks(df: DataFrame, centroids: DataFrame, vec: str, row_id: str, n: int) -> DataFrame:
-    blocks = -(-n // BLOCK_ROWS)
+def _nearest_by_blocks(df: DataFrame, centroids: DataFrame, vec: str, row_id: str, n: int, block_rows: int) -> DataFrame:
+    blocks = -(-n // block_rows)
     book = centroids.select("cid", "vec", F.pmod(F.xxhash64("cid"), F.lit(blocks)).alias("_block"))
     book = book.groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("cid", "vec"))).alias("_book"))
 
@@ -127,8 +127,8 @@ def _nearest_by_blocks(df: DataFrame, centroids: DataFrame, vec: str, row_id: st
     salts = max(1, df.sparkSession.sparkContext.defaultParallelism)
     rows = (df.where(F.col(vec).isNotNull())
             .select(row_id, vec, F.pmod(F.xxhash64(row_id), F.lit(salts)).alias("_salt"),
-                    F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("_block")))
-    book = book.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+                    F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block")))
+    book = book.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     kind = df.schema[row_id].dataType.simpleString()
     partial = rows.join(book, ["_block", "_salt"]).mapInPandas(best, f"{row_id} {kind}, cid long, dist double")
     found = partial.groupBy(row_id).agg(F.min(F.struct("dist", "cid")).alias("_n"))

@@ -5,9 +5,13 @@ Each view is written twice, as a DataFrame and as a SQL common table expression,
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weir.session import ensure_checkpoint_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -131,3 +135,81 @@ distances AS (
 nearest AS (
   SELECT row_id, cid, dist FROM (
     SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY dist, cid) AS r FROM distances) WHERE r = 1)"""
+
+
+def packed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as vectors of small whole numbers, like packed pattern bytes."""
+    return samples(spark, sf_dir, 7).withColumn(
+        "features", F.transform("features", lambda v: F.floor(F.abs(v) * 500).cast("double")))
+
+
+PACKED_SQL = """samples AS (
+  SELECT vec_id AS row_id, CAST(label AS VARCHAR) AS source,
+    [floor(abs(CAST(v AS DOUBLE)) * 500) for v in embedding[1:7]] AS features,
+    CASE WHEN label = 0 THEN 'P' ELSE 'N' END AS label FROM embeddings),
+cells AS (
+  SELECT row_id, source, label, CAST(unnest(features) AS BIGINT) AS v, generate_subscripts(features, 1) - 1 AS pos FROM samples)"""
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, for queries that write and read back."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+# ---- messages as wire bytes ------------------------------------------------------------------------
+
+CLIENT_BASE, SERVER_BASE = 10 * 16777216, 8 * 16777216 + 8 * 65536 + 8 * 256
+
+
+def wire_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The message view written as IPv4 packets, UDP or TCP, with some packets spoiled by `seq % 40`."""
+    m = messages(spark, sf_dir)
+    i, out, k = F.col("seq"), F.col("direction") == "OUT", F.col("seq") % 40
+    m = m.withColumn("qname", F.coalesce("qname", F.lit("spoiled.")))
+
+    def h(value, digits: int):
+        value = F.lit(value) if isinstance(value, int) else value
+        return F.lpad(F.hex(value.cast("long")), digits, "0")
+
+    an, ns, ar = F.col("ancount"), F.col("nscount"), F.col("arcount")
+    labels = F.transform(F.split(F.rtrim(F.col("qname"), F.lit(".")), r"\."), lambda x: F.concat(h(F.length(x), 2), F.hex(x)))
+    name = F.when(k == 10, F.lit("C00C")).when(k == 11, F.lit("FFFF")).otherwise(F.concat(F.array_join(labels, ""), F.lit("00")))
+    answers = F.array_join(F.transform(
+        F.when(an > 0, F.sequence(F.lit(1), F.greatest(an, F.lit(1)))).otherwise(F.array().cast("array<int>")),
+        lambda j: F.concat(F.lit("C00C00010001"), h(F.col("ttl"), 8), F.lit("00040A"), h(i % 256, 2), h(j, 2), F.lit("07"))), "")
+    authority = F.when(ns == 1, F.lit("C00C000200010000012C0005026E73C00C")).otherwise("")
+    opt_ttl = F.when(i % 8 == 0, 0x8000).otherwise(0) + F.when(i % 3 == 0, 0x01000000).otherwise(0)
+    extra = F.when(ar == 1, F.concat(F.lit("0000291000"), h(opt_ttl, 8), F.lit("0000"))).otherwise("")
+    flags = F.when(out, 0x0100).otherwise(0x8180 + F.when(i % 4 == 0, 3).otherwise(0))
+    dns = F.concat(h(i % 65536, 4), h(flags, 4), h(F.when(k == 9, 2).otherwise(1), 4), h(an, 4), h(ns, 4),
+                   h(F.when(k == 12, ar + 1).otherwise(ar), 4), name, h(F.when(i % 2 == 0, 1).otherwise(28), 4), F.lit("0001"),
+                   answers, authority, extra)
+    m = m.withColumn("_dns", dns).withColumn("_n", (F.length("_dns") / 2).cast("int"))
+    client, server = F.col("client_ip") + CLIENT_BASE, F.col("server_ip") + SERVER_BASE
+    tcp = (i % 6 == 5) & ~k.between(7, 12)
+    proto = F.when(k == 8, 1).when(tcp, 6).otherwise(17)
+    total = F.col("_n") + F.when(tcp, 42).otherwise(28)
+    ip = F.concat(F.lit("4500"), h(total, 4), F.lit("0000000040"), h(proto, 2), F.lit("0000"),
+                  h(F.when(out, client).otherwise(server), 8), h(F.when(out, server).otherwise(client), 8))
+    port = 1024 + (i * 7) % 4000
+    ports = F.concat(h(F.when(out, port).otherwise(53), 4), h(F.when(out, 53).otherwise(port), 4))
+    udp = F.concat(ports, h(F.col("_n") + 8, 4), F.lit("0000"))
+    body = F.concat(ip, F.when(tcp, F.concat(ports, F.lit("00000000000000005000FFFF00000000"), h(F.col("_n"), 4))).otherwise(udp), F.col("_dns"))
+    payload = F.unhex(F.when(k == 7, F.substring(body, 1, 20)).otherwise(body))
+    made = m.select("ts", "seq", "direction", F.lit("eth0").alias("iface"), payload.alias("payload")).select(
+        "ts", "seq", "direction", "iface", F.length("payload").alias("captured_len"), "payload")
+    # captures are a stored table; without this cut the optimizer would rebuild the bytes at every read of one
+    ensure_checkpoint_dir(spark)
+    return made.checkpoint()
+
+
+WIRE_SQL = MESSAGES_SQL + f""",
+wire AS (SELECT * REPLACE (coalesce(qname, 'spoiled.') AS qname), seq % 40 AS k, seq % 40 BETWEEN 7 AND 12 AS spoiled,
+    seq % 6 = 5 AND seq % 40 NOT BETWEEN 7 AND 12 AS tcp,
+    CAST(client_ip + {CLIENT_BASE} AS BIGINT) AS client, CAST(server_ip + {SERVER_BASE} AS BIGINT) AS server,
+    12 + CASE WHEN seq % 40 IN (10, 11) THEN 2 ELSE length(coalesce(qname, 'spoiled.')) + 1 END + 4
+      + ancount * 16 + nscount * 17 + arcount * 11 AS n,
+    CASE WHEN direction = 'OUT' THEN 256 ELSE 33152 + CASE WHEN seq % 4 = 0 THEN 3 ELSE 0 END END AS flags,
+    (CASE WHEN seq % 8 = 0 THEN 32768 ELSE 0 END + CASE WHEN seq % 3 = 0 THEN 16777216 ELSE 0 END) * arcount AS opt
+  FROM messages)"""

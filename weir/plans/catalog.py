@@ -28,4 +28,6 @@ def load_all() -> None:
     from weir.plans import (  # noqa: F401
         domain_queries,
         flow_queries,
+        packet_queries,
+        sample_queries,
     )
