@@ -146,19 +146,21 @@ def _fold(events: DataFrame, *keys: Column) -> DataFrame:
     grouped = events.where(F.col("agg_col").isNotNull()).groupBy(*keys, "code", "name").agg(
         F.min_by(F.struct("ts", "seq", "cause", "vec", "agg_col"), "seq").alias("_f"), F.sum(slot).alias("_s"))
     folded = F.transform("_f.vec", lambda v, i: F.when(i == F.col("_f.agg_col"), F.col("_s")).otherwise(v))
-    return grouped.select(
-        *[k for k in grouped.columns if k not in ("code", "name", "_f", "_s")],
-        "_f.ts", "_f.seq", "code", "name", "_f.cause", folded.alias("vec"), "_f.agg_col")
+    return grouped.select(*[F.col(c) for c in grouped.columns if c not in ("code", "name", "_f", "_s")],
+                          "_f.ts", "_f.seq", "code", "name", "_f.cause", folded.alias("vec"), "_f.agg_col")
 
 
 def aggregate_events(events: DataFrame, window: str | None = DRAIN) -> DataFrame:
-    """Fold the events that carry a summed slot per window, code and name; others pass unchanged."""
+    """Fold the events that carry a summed slot per window, code and name; others pass unchanged.
+
+    Works on a batch table and on a stream with a watermark on `ts`.
+    """
     rows = events.select(*COLUMNS)
+    single = rows.where(F.col("agg_col").isNull())
     if window is None:
-        return _fold(rows).unionByName(rows.where(F.col("agg_col").isNull()))
-    start = F.window("ts", window)["start"]
-    folded = _fold(rows.withColumn("window_start", start), F.col("window_start"))
-    return folded.unionByName(rows.where(F.col("agg_col").isNull()).withColumn("window_start", start))
+        return _fold(rows).unionByName(single)
+    folded = _fold(rows, F.window("ts", window).alias("_w")).withColumn("window_start", F.col("_w.start")).drop("_w")
+    return folded.unionByName(single.withColumn("window_start", F.window("ts", window)["start"]))
 
 
 def drain_events(events: DataFrame, window: str = DRAIN) -> DataFrame:

@@ -19,9 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---- events as packets -----------------------------------------------------------------------------
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a stream that ends with the rows there are."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def flow_packets(spark: SparkSession, sf_dir: str, clients: int = 15, per_second: int = 10,
-                 ports: int = 40) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+                 ports: int = 40, events: DataFrame | None = None) -> DataFrame:
+    e = table(spark, sf_dir, "events") if events is None else events
     out = F.col("event_type").isin("click", "view")
     port = (1024 + (F.col("event_id") * 7 + F.col("user_id")) % ports).cast("int")
     return e.select(
@@ -52,12 +58,13 @@ def flow_packets_sql(clients: int = 15, per_second: int = 10, ports: int = 40) -
 
 # ---- events and pages as messages ------------------------------------------------------------------
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def messages(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Each event asks for (OUT) or answers (IN) a name under the host of one page."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    e = table(spark, sf_dir, "events") if events is None else events
     p = table(spark, sf_dir, "pages").select(
         "page_id", F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1).alias("host"))
-    n = table(spark, sf_dir, "pages").agg(F.count(F.lit(1))).scalar()
+    pages = table(spark, sf_dir, "pages")
+    n = F.lit(pages.count()) if e.isStreaming else pages.agg(F.count(F.lit(1))).scalar()
     i = F.col("event_id")
     out = F.col("event_type").isin("click", "view")
     word = F.when(i % 5 == 0, F.upper("event_type")).otherwise(F.col("event_type"))

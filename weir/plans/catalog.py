@@ -28,6 +28,8 @@ def load_all() -> None:
     from weir.plans import (  # noqa: F401
         domain_queries,
         flow_queries,
+        host_queries,
         packet_queries,
         sample_queries,
+        stream_queries,
     )

@@ -76,7 +76,7 @@ def _nt(snapshots: DataFrame, text: str) -> DataFrame:
     body = F.regexp_replace(F.col(text), "\r", "")
     entries = F.split(F.regexp_replace(body, r"(?m)^[ \t]*(TCP|UDP)", "\u0001$1"), "\u0001")
     rows = snapshots.select(*keep, F.explode(F.slice(entries, 2, F.greatest(F.size(entries) - 1, F.lit(0)))).alias("_e"))
-    rows = rows.withColumn("_l", F.filter(F.transform(F.split("_e", "\n"), F.trim), lambda x: x != ""))
+    rows = rows.withColumn("_l", F.filter(F.transform(F.split("_e", "\n"), lambda x: F.trim(x)), lambda x: x != ""))
     rows = rows.withColumn("_f", F.split(F.col("_l")[0], " +"))
     f, more = F.col("_f"), F.slice("_l", 2, 2)
     no_state = F.upper(f[0]) == "UDP"
