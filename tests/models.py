@@ -24,6 +24,8 @@ class Ring:
 
     def std(self):
         total, squares = sum(self.values), sum(v * v for v in self.values)
+        if isinstance(total, int):
+            return math.trunc(math.sqrt(self.n * squares - total * total) / self.n)
         return cut(math.sqrt(max(self.n * squares - total * total, 0)) / self.n)
 
     def bounds(self):

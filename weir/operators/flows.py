@@ -44,30 +44,56 @@ def _in() -> Column:
 
 def _whole(x: Column) -> Column:
     """Cut toward zero, after removing float noise next to a whole number."""
-    x = F.round(x, 6)
-    return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("long")
+    return F.round(x, 6).cast("long")
 
 
-def _mean(total: Column, n: int) -> Column:
-    return _whole(total / n)
+def _wide(x: Column) -> Column:
+    """Balances and use counts of a hot flow outgrow 64 bits when squared."""
+    return x.cast("decimal(19,0)")
 
 
-def _std(total: Column, squares: Column, n: int) -> Column:
-    spread = n * squares - total * total  # float noise can take it just below 0
-    return _whole(F.sqrt(F.when(spread < 0, 0).otherwise(spread).cast("double")) / n)
+def _whole_mean(total: Column, n: int) -> Column:
+    """Quotient cut toward zero."""
+    return ((total - total % n) / n).cast("long")
 
 
-def _wide(x: Column) -> Column:
-    """Balances and use counts of a hot flow outgrow 64 bits when squared."""
-    return x.cast("decimal(19,0)")
+def _whole_std(total: Column, squares: Column, n: int) -> Column:
+    """From exact sums, as the spread of whole numbers is a whole number."""
+    total = _wide(total)
+    return (F.sqrt((n * squares - total * total).cast("double")) / n).cast("long")
+
+
+def _sums(value: str, window, wide: bool = True) -> dict[str, Column]:
+    """Running sum and sum of squares of a whole-number series."""
+    run = window.rowsBetween(Window.unboundedPreceding, 0)
+    x = _wide(F.col(value)) if wide else F.col(value)
+    return {f"_s_{value}": F.sum(value).over(run), f"_q_{value}": F.sum((x * x).cast("decimal(38,0)" if wide else "long")).over(run)}
+
 
+def _framed(columns: Sequence[str], window, n: int) -> dict[str, Column]:
+    """Sums over the last n rows, from running sums: exact for whole numbers, and one step per row."""
+    return {f"{c}_f": F.col(c) - F.coalesce(F.lag(c, n).over(window), F.lit(0)) for c in columns}
 
-def _frame_stats(value: str, window, n: int, name: str, wide: bool = False) -> dict[str, Column]:
+
+def _with_frames(df: DataFrame, series: Sequence[str], window, n: int, wide: bool = True) -> DataFrame:
+    """Sums of the last n values and squares of whole-number series, as `_s_<series>_f` and `_q_<series>_f`."""
+    df = df.withColumns({c: x for v in series for c, x in _sums(v, window, wide).items()})
+    return df.withColumns(_framed([f"_{k}_{v}" for v in series for k in "sq"], window, n))
+
+
+def _whole_stats(value: str, n: int, name: str) -> dict[str, Column]:
+    """Statistics over the last n rows, from the columns of `_with_frames`."""
+    total = F.col(f"_s_{value}_f")
+    return {f"{name}_mean": _whole_mean(total, n), f"{name}_std": _whole_std(total, F.col(f"_q_{value}_f"), n)}
+
+
+def _frame_stats(value: str, window, n: int, name: str) -> dict[str, Column]:
+    """Statistics of a fractional series; each frame is summed afresh, which keeps noise from building up."""
     frame = window.rowsBetween(-(n - 1), 0)
-    x = _wide(F.col(value)) if wide else F.col(value).cast("double")
-    total, squares = F.sum(F.col(value)).over(frame), F.sum(x * x).over(frame)
-    total = total if not wide else _wide(total)
-    return {f"{name}_mean": _mean(F.sum(F.col(value)).over(frame), n), f"{name}_std": _std(total, squares, n)}
+    total, squares = F.sum(value).over(frame), F.sum(F.col(value) * F.col(value)).over(frame)
+    spread = n * squares - total * total  # float noise can take it just below 0
+    root = F.sqrt(F.when(spread < 0, 0).otherwise(spread))
+    return {f"{name}_mean": _whole(total / n), f"{name}_std": _whole(root / n)}
 
 
 def moving_stats(df: DataFrame, value: str, by: Sequence[str], order: str, n: int = SLOTS,
@@ -78,8 +104,11 @@ def moving_stats(df: DataFrame, value: str, by: Sequence[str], order: str, n: in
     k = Chunked(df, by, order, chunk_rows)
     k.scan({f"{name}_min": ("min", F.col(value), True), f"{name}_max": ("max", F.col(value), True)})
     k.with_halo(n - 1)
-    wide = df.schema[value].dataType.typeName() == "long"
-    k.df = k.df.withColumns(_frame_stats(value, k.window(), n, name, wide))
+    if df.schema[value].dataType.typeName() in ("long", "integer", "short", "byte"):
+        k.df = _with_frames(k.df, [value], k.window(), n).withColumns(_whole_stats(value, n, name))
+        k.df = k.df.drop(*[f"_{x}_{value}{end}" for x in "sq" for end in ("", "_f")])
+    else:
+        k.df = k.df.withColumns(_frame_stats(value, k.window(), n, name))
     k.without_halo()
     k.df = k.df.withColumns({f"{name}_min": _whole(F.col(f"{name}_min")), f"{name}_max": _whole(F.col(f"{name}_max"))})
     return k.done()
@@ -123,14 +152,19 @@ def _values(df: DataFrame) -> DataFrame:
 
 def packet_series(packets: DataFrame, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """One row per packet with the value it pushes to each series (null where it pushes none)."""
-    k = _history(Chunked(_clock(packets), FLOW, "seq", chunk_rows))
-    return _values(k.done()).drop("flow_start", "last_query", "last_response")
+    return _series(packets, chunk_rows)[0]
+
+
+def _series(packets: DataFrame, chunk_rows: int | None) -> tuple[DataFrame, bool]:
+    """The series, and whether some flow had to be cut into chunks."""
+    k = _history(Chunked(_clock(packets), FLOW, "seq", chunk_rows, probe=packets))
+    return _values(k.done()).drop("flow_start", "last_query", "last_response"), k.split
 
 
 def _series_stats(packets: DataFrame, value: str, chunk_rows: int | None) -> DataFrame:
-    pushed = packet_series(packets, chunk_rows).where(F.col(value).isNotNull())
-    pushed = pushed.select(*FLOW, "seq", value)
-    return moving_stats(pushed, value, FLOW, "seq", chunk_rows=chunk_rows)
+    series, hot = _series(packets, chunk_rows)
+    pushed = series.where(F.col(value).isNotNull()).select(*FLOW, "seq", value)
+    return moving_stats(pushed, value, FLOW, "seq", chunk_rows=chunk_rows if hot else None)
 
 
 def rtt_stats(packets: DataFrame, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
@@ -228,8 +262,8 @@ def port_reuse(packets: DataFrame) -> DataFrame:
     total, squares = F.sum("uses"), F.sum(_wide(F.col("uses")) * _wide(F.col("uses")))
     return kept.groupBy(*FLOW).agg(
         F.count(F.lit(1)).alias("ports"),
-        _mean(total, SLOTS).alias("port_reuse_mean"),
-        _std(_wide(total), squares, SLOTS).alias("port_reuse_std"))
+        _whole_mean(total, SLOTS).alias("port_reuse_mean"),
+        _whole_std(total, squares, SLOTS).alias("port_reuse_std"))
 
 
 
@@ -274,7 +308,7 @@ def _with_port_totals(packets: DataFrame, chunk_rows: int | None) -> Chunked:
     rows = packets.withColumn("_gone", F.lit(False)).unionByName(gone, allowMissingColumns=True)
     rows = rows.withColumn("_turn", F.when(F.col("_gone"), 0).otherwise(1))
     rows = rows.withColumn("_port", F.when(_out() | F.col("_gone"), F.col("src_port")))
-    k = Chunked(rows, FLOW, "seq", chunk_rows, tie=["_turn"])
+    k = Chunked(rows, FLOW, "seq", chunk_rows, tie=["_turn"], probe=packets)
     used = (~F.col("_gone") & _out()).cast("long")
     k.scan({"_n": ("sum", F.coalesce(used, F.lit(0)), True),
             "_dead": ("max", F.col("_gone").cast("int"), True)}, extra=["_port"])
@@ -288,8 +322,8 @@ def _with_port_totals(packets: DataFrame, chunk_rows: int | None) -> Chunked:
 
 
 def _port_columns() -> dict[str, Column]:
-    return {"port_reuse_mean": _mean(F.col("_uses"), SLOTS),
-            "port_reuse_std": _std(_wide(F.col("_uses")), F.col("_squares"), SLOTS)}
+    return {"port_reuse_mean": _whole_mean(F.col("_uses"), SLOTS),
+            "port_reuse_std": _whole_std(F.col("_uses"), F.col("_squares"), SLOTS)}
 
 
 _PORT_WORK = ("_gone", "_turn", "_port", "_n", "_dead", "_uses", "_squares")
@@ -332,23 +366,25 @@ def flow_features(packets: DataFrame, chunk_rows: int | None = CHUNK_ROWS) -> Da
     k.with_halo(SLOTS, ["direction", "_sized"])
 
     both, one_way, sized = k.window(), k.window("direction"), k.window("direction", "_sized")
+    recent = one_way.rowsBetween(-(SLOTS - 1), 0)
+    lengths = ("forward_length", "backward_length")
+    k.df = _with_frames(k.df, lengths, sized, SLOTS, wide=False)
+    k.df = k.df.withColumns({c: x for v in lengths for c, x in _whole_stats(v, SLOTS, v).items()})
+    k.df = _with_frames(k.df, ["rtt", "inter_query"], one_way, SLOTS)
     k.df = k.df.withColumns({
-        **_frame_stats("forward_length", sized, SLOTS, "forward_length"),
-        **_frame_stats("backward_length", sized, SLOTS, "backward_length"),
-    })
-    k.df = k.df.withColumns({
-        "rtt_mean": _mean(F.sum("rtt").over(one_way.rowsBetween(-(SLOTS - 1), 0)), SLOTS),
-        "query_rate_mean": _mean(F.sum("query_rate").over(one_way.rowsBetween(-(SLOTS - 1), 0)), SLOTS),
-        "updown_ratio_mean": _mean(F.sum("updown_ratio").over(one_way.rowsBetween(-(SLOTS - 1), 0)), SLOTS),
-        **_frame_stats("inter_query", one_way, SLOTS, "inter_query"),
+        "rtt_mean": _whole_mean(F.col("_s_rtt_f"), SLOTS),
+        **_whole_stats("inter_query", SLOTS, "inter_query"),
+        "query_rate_mean": _whole(F.sum("query_rate").over(recent) / SLOTS),
+        "updown_ratio_mean": _whole(F.sum("updown_ratio").over(recent) / SLOTS),
     })
     fill = both.rowsBetween(Window.unboundedPreceding, 0)
     one_sided = ["rtt_mean", "query_rate_mean", "updown_ratio_mean", "inter_query_mean", "inter_query_std",
                  "forward_length_mean", "forward_length_std", "backward_length_mean", "backward_length_std"]
+    k.df = _with_frames(k.df, ["inflight_packets", "inflight_bytes"], both, SLOTS)
     k.df = k.df.withColumns({
-        "byte_rate_mean": _mean(F.sum("byte_rate").over(both.rowsBetween(-(SLOTS - 1), 0)), SLOTS),
-        **_frame_stats("inflight_packets", both, SLOTS, "inflight_packets", wide=True),
-        **_frame_stats("inflight_bytes", both, SLOTS, "inflight_bytes", wide=True),
+        "byte_rate_mean": _whole(F.sum("byte_rate").over(both.rowsBetween(-(SLOTS - 1), 0)) / SLOTS),
+        **_whole_stats("inflight_packets", SLOTS, "inflight_packets"),
+        **_whole_stats("inflight_bytes", SLOTS, "inflight_bytes"),
         **{c: F.last(c, ignorenulls=True).over(fill) for c in one_sided},
         **_port_columns(),
     })

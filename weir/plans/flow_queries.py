@@ -41,6 +41,9 @@ def frame_sql(x: str, w: str, name: str) -> str:
     """Mean and standard deviation over the 50-row frame `w`."""
     spread = f"50 * sum({x} * {x}) OVER {w} - (sum({x}) OVER {w}) * (sum({x}) OVER {w})"
     root = f"sqrt(CASE WHEN {spread} < 0 THEN 0 ELSE ({spread})::DOUBLE END) / 50"
+    if "HUGEINT" in x:  # whole numbers need no rounding
+        return (f"CAST(trunc(sum({x}) OVER {w} / 50.0::DOUBLE) AS BIGINT) AS {name}_mean, "
+                f"CAST(trunc({root}) AS BIGINT) AS {name}_std")
     return f"{cut(f'sum({x}) OVER {w} / 50.0::DOUBLE')} AS {name}_mean, {cut(root)} AS {name}_std"
 
 
@@ -99,8 +102,8 @@ port_run AS (
   FROM port_rows
   WINDOW f AS (PARTITION BY client_ip, server_ip ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
-PORT_COLUMNS = (f"{cut('uses / 50.0::DOUBLE')} AS port_reuse_mean, "
-                f"{cut('sqrt(greatest(50 * squares - uses * uses, 0)::DOUBLE) / 50')} AS port_reuse_std")
+PORT_COLUMNS = ("CAST(trunc(uses / 50.0::DOUBLE) AS BIGINT) AS port_reuse_mean, "
+                "CAST(trunc(sqrt((50 * squares - uses * uses)::DOUBLE) / 50) AS BIGINT) AS port_reuse_std")
 
 
 @query("running_port_reuse", f"WITH {flow_packets_sql()}, {PORTS_SQL} "

@@ -54,28 +54,29 @@ class Chunked:
     """A table, its key and its ordering column, cut into chunks where a key is hot."""
 
     def __init__(self, df: DataFrame, by: Sequence[str], order: str, chunk_rows: int | None = CHUNK_ROWS,
-                 tie: Sequence[str] = ()):
+                 tie: Sequence[str] = (), probe: DataFrame | None = None):
+        """`probe` may stand in for `df` when rows are counted, if `df` only adds a bounded number of rows per key."""
         self.by = list(by)
         self.order = order
         self.tie = list(tie)
         self.split = False
         self.df = df
         if chunk_rows is not None:
-            self._cut(chunk_rows)
+            self._cut(chunk_rows, df if probe is None else probe)
 
-    def _cut(self, target: int) -> None:
+    def _cut(self, target: int, probe: DataFrame) -> None:
         df, by, order = self.df, self.by, self.order
         hot = (
-            df.groupBy(*by)
+            probe.groupBy(*by)
             .agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
             .where(F.col("_n") > target)
         )
         width = F.greatest(F.lit(1), F.expr(f"cast((_hi - _lo + 1) * {float(target)}D / _n as bigint)"))
-        # at most rows/target keys can be hot
-        hot = small_side(hot.select(*by, "_lo", width.alias("_width")))
         if not has_rows(hot):
             return
         self.split = True
+        # at most rows/target keys can be hot
+        hot = small_side(hot.select(*by, "_lo", width.alias("_width")))
         df = _joined(df, hot, by)
         df = df.withColumn("_cell", F.coalesce(F.expr(f"({order} - _lo) div _width"), F.lit(0)))
         dense = (

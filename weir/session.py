@@ -20,6 +20,9 @@ def build_session(app: str = "weir", master: str | None = None, cores: int | Non
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # the source line of every column expression is not worth its cost on plans with hundreds of them
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master or cores:
         n = cores or os.cpu_count() or 4

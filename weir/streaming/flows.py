@@ -52,8 +52,9 @@ def _frames(tail: list, new: np.ndarray, whole: bool) -> tuple[np.ndarray, np.nd
     frames = np.lib.stride_tricks.sliding_window_view(x, SLOTS)
     wide = np.longdouble if whole else float
     total, squares = frames.sum(axis=1, dtype=wide), (frames.astype(wide) ** 2).sum(axis=1)
-    spread = np.maximum(SLOTS * squares - total * total, 0).astype(float)
-    return _cut((total / SLOTS).astype(float)), _cut(np.sqrt(spread) / SLOTS)
+    root = np.sqrt(np.maximum(SLOTS * squares - total * total, 0).astype(float)) / SLOTS
+    mean = (total / SLOTS).astype(float)
+    return (np.trunc(mean), np.trunc(root)) if whole else (_cut(mean), _cut(root))
 
 
 class _Ports:
@@ -134,7 +135,7 @@ def advance(state: tuple | None, pdf: pd.DataFrame) -> tuple[np.ndarray, tuple]:
         totals.append(held.total)
         squares.append(held.squares)
     c, q = np.array(totals, dtype=float), np.array(squares, dtype=float)
-    cols["port_reuse_mean"], cols["port_reuse_std"] = _cut(c / SLOTS), _cut(np.sqrt(np.maximum(SLOTS * q - c * c, 0)) / SLOTS)
+    cols["port_reuse_mean"], cols["port_reuse_std"] = np.trunc(c / SLOTS), np.trunc(np.sqrt(SLOTS * q - c * c) / SLOTS)
     features = np.stack([cols[f] for f in FEATURES], axis=1).astype(float)
     q_times, r_times = t[out], t[~out]
     counters = [start, max(last_q, int(q_times.max())) if len(q_times) else last_q,
