@@ -20,7 +20,8 @@ from weir.session import ensure_checkpoint_dir
 CHUNK_ROWS = 1 << 20
 # A chunk found to hold this many times the target size is cut once more.
 OVERFULL = 4
-_SUB_BITS = 24
+# Bits of a chunk number kept for the finer cuts.
+_SHIFTS = (42, 21, 0)
 
 _FOLD = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -65,32 +66,26 @@ class Chunked:
             self._cut(chunk_rows, df if probe is None else probe)
 
     def _cut(self, target: int, probe: DataFrame) -> None:
-        df, by, order = self.df, self.by, self.order
-        hot = (
-            probe.groupBy(*by)
-            .agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-            .where(F.col("_n") > target)
-        )
-        width = F.greatest(F.lit(1), F.expr(f"cast((_hi - _lo + 1) * {float(target)}D / _n as bigint)"))
-        if not has_rows(hot):
-            return
-        self.split = True
-        # at most rows/target keys can be hot
-        hot = small_side(hot.select(*by, "_lo", width.alias("_width")))
-        df = _joined(df, hot, by)
-        df = df.withColumn("_cell", F.coalesce(F.expr(f"({order} - _lo) div _width"), F.lit(0)))
-        dense = (
-            df.where(F.col("_width").isNotNull())
-            .groupBy(*by, "_cell", "_width")
-            .agg(F.count(F.lit(1)).alias("_m"))
-            .where(F.col("_m") > OVERFULL * target)
-            .select(*by, "_cell",
-                    F.greatest(F.lit(1), F.expr(f"cast(_width * {float(target)}D / _m as bigint)")).alias("_sub"))
-        )
-        df = _joined(df, small_side(dense), [*by, "_cell"])
-        sub = F.coalesce(F.expr(f"({order} - _lo - _cell * _width) div _sub"), F.lit(0))
-        df = df.withColumn("_chunk", F.shiftleft("_cell", _SUB_BITS) + sub).drop("_lo", "_width", "_cell", "_sub")
-        self.df = self._saved(df)
+        """Cut each key of over `target` rows into equal steps of its range, and chunks that stay overfull because
+        their rows crowd together once or twice more within the range they use."""
+        df, order = self.df, self.order
+        for level, shift in enumerate(_SHIFTS):
+            keys = [*self.by, "_chunk"] if level else self.by
+            groups = (
+                (df if level else probe).groupBy(*keys)
+                .agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+                .where(F.col("_n") > (OVERFULL * target if level else target))
+            )
+            if not has_rows(groups):
+                break
+            self.split = True
+            width = F.greatest(F.lit(1), F.expr(f"cast((_hi - _lo + 1) * {float(target)}D / _n as bigint)"))
+            # at most rows/target groups can be this large
+            df = _joined(df, small_side(groups.select(*keys, "_lo", width.alias("_width"))), keys)
+            step = F.shiftleft(F.coalesce(F.expr(f"({order} - _lo) div _width"), F.lit(0)), shift)
+            df = df.withColumn("_chunk", F.col("_chunk") + step if level else step).drop("_lo", "_width")
+        if self.split:
+            self.df = self._saved(df)
 
     @staticmethod
     def _saved(df: DataFrame) -> DataFrame:
