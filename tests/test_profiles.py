@@ -67,6 +67,15 @@ def test_merge_tree_matches_brute_force(spark, x, dist):
     np.testing.assert_allclose([r.dist for r in got], [w[3] for w in want])
 
 
+def test_own_distance(spark, x):
+    def largest(a, b):
+        return np.abs(a - b).max(axis=-1)
+
+    first = P.hierarchical(points(spark, x[:12]), largest).where("left is not null").orderBy("node").first()
+    want = min(np.abs(a - b).max() for i, a in enumerate(x[:12]) for b in x[i + 1:12])
+    assert first.dist == pytest.approx(want)
+
+
 def test_tree_walks(spark, x):
     tree = P.hierarchical(points(spark, x[:30]))
     stats = {r.node: r for r in P.tree_stats(tree).collect()}

@@ -6,14 +6,15 @@ the bytes of each message; that part runs in Arrow batches after rejects and unr
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weir.functions import codes
-from weir.functions.bytes import bit, u8, u16, u32
+from weir.functions.bytes import bit, computed_once, u8, u16, u32
 from weir.schemas import MESSAGE, SECTIONS
 
 UDP, TCP = 17, 6
@@ -21,6 +22,7 @@ UDP, TCP = 17, 6
 OK, MALFORMED, NOT_DNS, INCOMPLETE, UNKNOWN, NO_MEMORY = 0, 1, 2, 4, 8, 16
 # Limits (fixed values).
 MAX_NAME, MAX_POINTERS, QUESTION_BYTES, RECORD_BYTES, HEADER_BYTES = 255, 100, 6, 10, 12
+_HEADER = "id int, flags int, qdcount int, ancount int, nscount int, arcount int, opt_flags bigint"
 FLAG_BITS = {"qr": 0x8000, "aa": 0x0400, "tc": 0x0200, "rd": 0x0100, "ra": 0x0080, "ad": 0x0020, "cd": 0x0010}
 
 
@@ -30,29 +32,30 @@ def decode_ip(packets: DataFrame) -> DataFrame:
     """Add ip_hl, proto, src_ip, dst_ip, total_len; `reject_reason` is short_ip where the header is cut."""
     p = F.col("payload")
     n = F.length(p)
-    hl = u8(p, 0).bitwiseAND(F.lit(15)) * 4
-    short = (n < 20) | (n < hl)
-    return packets.withColumns({
-        "reject_reason": F.when(F.coalesce(short, F.lit(True)), "short_ip"),
-        "ip_hl": F.when(~short, hl), "proto": F.when(~short, u8(p, 9)), "total_len": F.when(~short, u16(p, 2)),
+    packets = computed_once(packets, {"_hl": u8(p, 0).bitwiseAND(F.lit(15)) * 4})
+    short = F.coalesce((n < 20) | (n < F.col("_hl")), F.lit(True))
+    return computed_once(packets, {
+        "reject_reason": F.when(short, "short_ip"),
+        "ip_hl": F.when(~short, F.col("_hl")), "proto": F.when(~short, u8(p, 9)), "total_len": F.when(~short, u16(p, 2)),
         "src_ip": F.when(~short, u32(p, 12)), "dst_ip": F.when(~short, u32(p, 16)),
-    })
+    }).drop("_hl")
 
 
 def decode_transport(df: DataFrame) -> DataFrame:
     """Add ports, len (UDP length, or IP length for TCP), and offset and length of the DNS message."""
     p, hl = F.col("payload"), F.col("ip_hl")
     udp, tcp = F.col("proto") == UDP, F.col("proto") == TCP
-    doff = F.shiftright(u8(p, hl + 12), 4) * 4
-    body = F.col("total_len") - hl - doff
     known = F.col("reject_reason").isNull() & (udp | tcp)
-    return df.withColumns({
+    df = computed_once(df, {"_doff": F.when(tcp, F.shiftright(u8(p, hl + 12), 4) * 4), "_ulen": F.when(udp, u16(p, hl + 4))})
+    doff = F.col("_doff")
+    return computed_once(df, {
         "src_port": F.when(known, u16(p, hl)).cast("int"), "dst_port": F.when(known, u16(p, hl + 2)).cast("int"),
-        "len": F.when(udp, u16(p, hl + 4)).when(tcp, F.col("total_len")).cast("int"),
+        "len": F.when(udp, F.col("_ulen")).when(tcp, F.col("total_len")).cast("int"),
         "dns_offset": F.when(udp, hl + 8).when(tcp, hl + doff + 2).cast("int"),
-        "dns_len": F.when(udp, u16(p, hl + 4) - 8).when(tcp, F.greatest(body - 2, F.lit(0))).cast("int"),
+        "dns_len": F.when(udp, F.col("_ulen") - 8).when(
+            tcp, F.greatest(F.col("total_len") - hl - doff - 2, F.lit(0))).cast("int"),
         "reject_reason": F.coalesce("reject_reason", F.when(~(udp | tcp), "protocol")),
-    })
+    }).drop("_doff", "_ulen")
 
 
 def with_dpi_eligible(df: DataFrame) -> DataFrame:
@@ -91,7 +94,7 @@ def decode_dns_header(df: DataFrame) -> DataFrame:
     df = df.withColumn("_d", dns_bytes())
     d, whole = F.col("_d"), F.length("_d") >= HEADER_BYTES
     names = ("id", "flags", "qdcount", "ancount", "nscount", "arcount")
-    df = df.withColumns({n: F.when(whole, u16(d, 2 * i)).cast("int") for i, n in enumerate(names)})
+    df = computed_once(df, {n: F.when(whole, u16(d, 2 * i)).cast("int") for i, n in enumerate(names)})
     return df.withColumns({
         **{n: bit(F.col("flags"), m) for n, m in FLAG_BITS.items()},
         "opcode": F.shiftright("flags", 11).bitwiseAND(F.lit(15)), "rcode": F.col("flags").bitwiseAND(F.lit(15)),
@@ -105,7 +108,7 @@ def decode_question(df: DataFrame) -> DataFrame:
     One fold step reads one label. The result is null for messages without a question, for names over the
     limit or cut short, and for compressed names, which `decode_sections` reads.
     """
-    df = df.withColumn("_d", dns_bytes())
+    df = computed_once(df, {"_d": dns_bytes()})
     d = F.col("_d")
 
     def size_at(pos: Column) -> Column:
@@ -121,7 +124,7 @@ def decode_question(df: DataFrame) -> DataFrame:
             after.alias("pos"), size_at(after).alias("size"), F.concat(acc["name"], text, F.lit(".")).alias("name")))
 
     steps = F.sequence(F.lit(0), F.greatest(F.least(F.floor(F.length(d) / 2), F.lit(128)), F.lit(1)))
-    df = df.withColumn("_q", F.aggregate(steps, start, label))
+    df = computed_once(df, {"_q": F.aggregate(steps, start, label)})
     pos = F.col("_q.pos")
     good = ((F.col("qdcount") == 1) & (F.length(d) > HEADER_BYTES + QUESTION_BYTES) & (F.col("_q.size") == 0)
             & (F.length("_q.name") < MAX_NAME) & (pos + 5 <= F.length(d)))
@@ -138,6 +141,10 @@ class _Bad(Exception):
         self.code = code
 
 
+_UNPRINTABLE = bytes(c for c in range(256) if not 31 < c < 127)
+_QUERY, _FIXED = struct.Struct(">HH"), struct.Struct(">HHIH")
+
+
 def _name(buf: bytes, pos: int) -> tuple[str, int]:
     """Text of the name at pos and the position after it, following pointers."""
     if pos >= len(buf):
@@ -163,7 +170,7 @@ def _name(buf: bytes, pos: int) -> tuple[str, int]:
         part = buf[pos + 1: pos + 1 + size]
         if len(part) < size:
             raise _Bad(INCOMPLETE)
-        text += bytes(c for c in part if 31 < c < 127) + b"."
+        text += part.translate(None, _UNPRINTABLE) + b"."
         if len(text) >= MAX_NAME:
             raise _Bad(MALFORMED)
         pos += 1 + size
@@ -180,17 +187,20 @@ def _question(buf: bytes, pos: int) -> tuple[dict, int]:
     if pos + QUESTION_BYTES >= len(buf):
         raise _Bad(INCOMPLETE)
     name, pos = _name(buf, pos)
-    return {"name": name[::-1], "rtype": _number(buf, pos, 2), "rclass": _number(buf, pos + 2, 2), "ttl": 0,
-            "rdlength": 0, "rdata": None}, pos + 4
+    if pos + _QUERY.size > len(buf):
+        raise _Bad(INCOMPLETE)
+    kind, group = _QUERY.unpack_from(buf, pos)
+    return {"name": name[::-1], "rtype": kind, "rclass": group, "ttl": 0, "rdlength": 0, "rdata": None}, pos + _QUERY.size
 
 
 def _record(buf: bytes, pos: int) -> tuple[dict, int]:
     if pos + RECORD_BYTES > len(buf):
         raise _Bad(INCOMPLETE)
     name, pos = _name(buf, pos)
-    kind, length = _number(buf, pos, 2), _number(buf, pos + 8, 2)
-    row = {"name": name, "rtype": kind, "rclass": _number(buf, pos + 2, 2), "ttl": _number(buf, pos + 4, 4),
-           "rdlength": length}
+    if pos + RECORD_BYTES > len(buf):
+        raise _Bad(INCOMPLETE)
+    kind, group, ttl, length = _FIXED.unpack_from(buf, pos)
+    row = {"name": name, "rtype": kind, "rclass": group, "ttl": ttl, "rdlength": length}
     pos += RECORD_BYTES
     if pos + length > len(buf):
         raise _Bad(INCOMPLETE)
@@ -232,19 +242,21 @@ def decode_sections(df: DataFrame) -> DataFrame:
     keep = [c for c in df.columns if c not in ("payload", "dns_offset", "dns_len", "dpi_eligible", "reject_reason",
                                                "id", "flags", "qdcount", "ancount", "nscount", "arcount", "header_code")]
     rows = df.where("dpi_eligible").select(*keep, dns_bytes().alias("_d"))
-    fields = [f.split()[0] for f in ("id int", "flags int", "qdcount int", "ancount int", "nscount int", "arcount int",
-                                     "opt_flags bigint")] + list(SECTIONS) + ["err_code"]
-
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            parsed = [parse_message(bytes(b)) for b in pdf.pop("_d")]
-            for f in fields:
-                values = [m.get(f) for m in parsed]
-                pdf[f] = pd.Series(values, index=pdf.index, dtype="object" if f in SECTIONS else "Int64")
-            yield pdf
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
-    return rows.mapInPandas(decode, f"{kinds}, {MESSAGE}, err_code int")
+    numbers = {"id": pa.int32(), "flags": pa.int32(), "qdcount": pa.int32(), "ancount": pa.int32(), "nscount": pa.int32(),
+               "arcount": pa.int32(), "opt_flags": pa.int64(), "err_code": pa.int32()}
+    record = pa.struct([("name", pa.string()), ("rtype", pa.int32()), ("rclass", pa.int32()), ("ttl", pa.int64()),
+                        ("rdlength", pa.int32()), ("rdata", pa.binary())])
+    kinds = {**numbers, **{s: pa.list_(record) for s in SECTIONS}}
+    order = [f.split()[0] for f in _HEADER.split(", ")] + [*SECTIONS, "err_code"]
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parsed = [parse_message(b) for b in batch.column("_d").to_pylist()]
+            arrays = [batch.column(c) for c in keep] + [pa.array([m.get(f) for m in parsed], type=kinds[f]) for f in order]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *order])
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
+    return rows.mapInArrow(decode, f"{kept}, {MESSAGE}, err_code int")
 
 
 def classify_decode(df: DataFrame) -> DataFrame:

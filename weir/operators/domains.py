@@ -101,7 +101,7 @@ def domain_history(messages: DataFrame, refresh: str = REFRESH, mode: str = "win
     base = rows.groupBy(*key).agg(
         F.count(F.lit(1)).alias("query_rate"),
         F.sum(F.when(F.col("_nonlc") > 1, 1).otherwise(0)).alias("_coded"),
-        F.min_by(F.struct("_len", "_rate"), "seq").alias("_first"))
+        F.min_by("_len", "seq").alias("_first_len"), F.min_by("_rate", "seq").alias("_first_rate"))
     latest = Window.partitionBy(*key).orderBy(F.col("seq").desc())
 
     def tail(df: DataFrame, n: int, value: str, name: str) -> DataFrame:
@@ -116,7 +116,7 @@ def domain_history(messages: DataFrame, refresh: str = REFRESH, mode: str = "win
     # fold of (average, variation); a fold that starts at the window's first row starts from that row
     n, kept = F.col("query_rate"), F.size("_lens")
     half = F.lit(0.5)
-    first_len = F.when(n == kept, F.col("_first._len")).otherwise(F.element_at("_lens", 1))
+    first_len = F.when(n == kept, F.col("_first_len")).otherwise(F.element_at("_lens", 1))
 
     def step_len(acc: Column, x: Column) -> Column:
         avg = (acc["avg"] + x) * half
@@ -136,7 +136,7 @@ def domain_history(messages: DataFrame, refresh: str = REFRESH, mode: str = "win
     # when rows before the tail are left out, the average of the count starts one behind it
     by_count = F.aggregate(F.sequence(F.lit(0), kept - 1),
                            start(F.when(n == kept, F.lit(1.0)).otherwise(n - kept)), step_count)
-    early = F.when(F.col("_coded") <= _TAIL, F.col("_first._rate")).otherwise(F.element_at("_rates", 1))
+    early = F.when(F.col("_coded") <= _TAIL, F.col("_first_rate")).otherwise(F.element_at("_rates", 1))
     nonlc = F.aggregate(F.coalesce("_rates", F.array().cast("array<double>")), early, lambda a, x: (a + x) * half)
     last_rate = F.element_at("_rates", -1)
     return (

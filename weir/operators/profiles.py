@@ -135,19 +135,22 @@ def kmeans_by_radius(samples: DataFrame, k: int, order_by: str = "row_id", vec:
 
 # ---- pair-merge trees ------------------------------------------------------------------------------
 
-_DIST = {
+# A distance takes rows of vectors and one vector.
+ArrayDistance = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+_DIST: dict[str, ArrayDistance] = {
     "l2": lambda a, b: np.sqrt(((a - b) ** 2).sum(axis=-1)),
     "l1": lambda a, b: np.abs(a - b).sum(axis=-1),
 }
 
 
-def _merge_table(vecs: np.ndarray, dist: str) -> pd.DataFrame:
+def _merge_table(vecs: np.ndarray, dist: str | ArrayDistance) -> pd.DataFrame:
     """Merge the closest pair until one node is left; a new centre is the midpoint of the two.
 
     Leaves are 0..n-1 in row order and inner nodes follow. Each node remembers its closest later node, so
     a merge scans rows only where that changes.
     """
-    fn, n = _DIST[dist], len(vecs)
+    fn, n = _DIST[dist] if isinstance(dist, str) else dist, len(vecs)
     total = 2 * n - 1
     v = np.zeros((total, vecs.shape[1]))
     v[:n] = vecs
@@ -186,15 +189,15 @@ def _merge_table(vecs: np.ndarray, dist: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["node", "left", "right", "dist", "vec"])
 
 
-def hierarchical(df: DataFrame, dist: str = "l2", by: str | None = None, order_by: str = "row_id",
+def hierarchical(df: DataFrame, dist: str | ArrayDistance = "l2", by: str | None = None, order_by: str = "row_id",
                  vec: str = "features", max_rows: int = TREE_ROWS) -> DataFrame:
     """Merge table of a pair-merge tree: node, left, right, dist, vec (leaves have no children).
 
-    With `by`, one tree per group. The exact merge needs all rows of a tree in one task, so a tree (or group)
+    `dist` is l2, l1 or a function of its own. With `by`, one tree per group. The exact merge needs all rows of a tree in one task, so a tree (or group)
     of more than `max_rows` rows is first reduced to micro-centres by leader clustering inside salted
     parts of at most `max_rows` rows, with a radius that grows until the centres fit.
     """
-    if dist not in _DIST:
+    if isinstance(dist, str) and dist not in _DIST:
         raise ValueError(f"dist must be one of {sorted(_DIST)}")
     group = F.col(by) if by else F.lit(0)
     rows = df.select(group.alias("grp"), F.col(order_by).alias("_o"), F.col(vec).alias("vec"))
@@ -226,15 +229,16 @@ def _reduced(rows: DataFrame, max_rows: int, kind: str) -> DataFrame:
         small = rows.join(sizes, "grp", "left_anti")
 
         def micro(pdf: pd.DataFrame) -> pd.DataFrame:
-            """Halve a part: leaders of a radius that doubles until at most half the rows remain."""
+            """Shrink a part two to sixteen times: leaders of a radius that doubles until few enough remain."""
             pdf = pdf.sort_values("_o")
             x = np.stack(pdf["vec"].to_numpy()).astype(float)
+            keep = max(1, len(x) // int(min(16, max(2, pdf["_n"].iloc[0] // max_rows))))
             radius = max(float(np.sqrt(((x - x.mean(axis=0)) ** 2).sum(axis=1)).mean()) / 64, 1e-9)
             while True:
                 held = _Leaders(radius)
                 for v in x:
                     held.add(v, 1.0)
-                if held.n <= max(1, len(x) // 2):
+                if held.n <= keep:
                     break
                 radius *= 2
             return pd.DataFrame({"grp": [pdf["grp"].iloc[0]] * held.n, "_o": pdf["_o"].iloc[: held.n].to_numpy(),

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weir.functions.bytes import computed_once
 from weir.session import ensure_checkpoint_dir
 
 
@@ -192,7 +193,7 @@ def wire_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     dns = F.concat(h(i % 65536, 4), h(flags, 4), h(F.when(k == 9, 2).otherwise(1), 4), h(an, 4), h(ns, 4),
                    h(F.when(k == 12, ar + 1).otherwise(ar), 4), name, h(F.when(i % 2 == 0, 1).otherwise(28), 4), F.lit("0001"),
                    answers, authority, extra)
-    m = m.withColumn("_dns", dns).withColumn("_n", (F.length("_dns") / 2).cast("int"))
+    m = computed_once(m, {"_dns": dns}).withColumn("_n", (F.length("_dns") / 2).cast("int"))
     client, server = F.col("client_ip") + CLIENT_BASE, F.col("server_ip") + SERVER_BASE
     tcp = (i % 6 == 5) & ~k.between(7, 12)
     proto = F.when(k == 8, 1).when(tcp, 6).otherwise(17)
