@@ -142,7 +142,8 @@ class _Bad(Exception):
 
 
 _UNPRINTABLE = bytes(c for c in range(256) if not 31 < c < 127)
-_QUERY, _FIXED = struct.Struct(">HH"), struct.Struct(">HHIH")
+# Layout of the fixed fields of a question and of a record.
+_QUERY, _FIXED = ">HH", ">HHIH"
 
 
 def _name(buf: bytes, pos: int) -> tuple[str, int]:
@@ -187,10 +188,10 @@ def _question(buf: bytes, pos: int) -> tuple[dict, int]:
     if pos + QUESTION_BYTES >= len(buf):
         raise _Bad(INCOMPLETE)
     name, pos = _name(buf, pos)
-    if pos + _QUERY.size > len(buf):
+    if pos + 4 > len(buf):
         raise _Bad(INCOMPLETE)
-    kind, group = _QUERY.unpack_from(buf, pos)
-    return {"name": name[::-1], "rtype": kind, "rclass": group, "ttl": 0, "rdlength": 0, "rdata": None}, pos + _QUERY.size
+    kind, group = struct.unpack_from(_QUERY, buf, pos)
+    return {"name": name[::-1], "rtype": kind, "rclass": group, "ttl": 0, "rdlength": 0, "rdata": None}, pos + 4
 
 
 def _record(buf: bytes, pos: int) -> tuple[dict, int]:
@@ -199,7 +200,7 @@ def _record(buf: bytes, pos: int) -> tuple[dict, int]:
     name, pos = _name(buf, pos)
     if pos + RECORD_BYTES > len(buf):
         raise _Bad(INCOMPLETE)
-    kind, group, ttl, length = _FIXED.unpack_from(buf, pos)
+    kind, group, ttl, length = struct.unpack_from(_FIXED, buf, pos)
     row = {"name": name, "rtype": kind, "rclass": group, "ttl": ttl, "rdlength": length}
     pos += RECORD_BYTES
     if pos + length > len(buf):
