@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from weir.llm import best_fit_packing, bpe, token_output
+from weir.llm import best_fit_packing, bpe, language, sharding, token_output
 from weir.llm.common import scratch, table
 
 QUERIES, ORACLES = {}, {}
@@ -24,6 +24,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_language_id")
+def _op1(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 @query("op4_token_output")
 def _op4(spark, sf_dir):
     path = scratch(spark, "packed")
@@ -35,6 +40,11 @@ def _op5(spark, sf_dir):
     return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+@query("op6_sharding")
+def _op6(spark, sf_dir):
+    return sharding.balanced_shards(table(spark, sf_dir, "documents"))
+
+
 @query("op10_bpe")
 def _op10(spark, sf_dir):
     return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary())
