@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 
-from weir.llm import best_fit_packing, bpe, language, sharding, token_output
+from weir.llm import best_fit_packing, bpe, language, nearest_neighbours, sharding, token_output, top_k_search
 from weir.llm.common import scratch, table
 
 QUERIES, ORACLES = {}, {}
@@ -45,6 +46,17 @@ def _op6(spark, sf_dir):
     return sharding.balanced_shards(table(spark, sf_dir, "documents"))
 
 
+@query("op7_top_k_search")
+def _op7(spark, sf_dir):
+    found = top_k_search.search(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, 5, lambda x: np.floor(256 * x))
+    return found.withColumn("score", found.score.cast("long"))
+
+
+@query("op9_nearest_neighbours")
+def _op9(spark, sf_dir):
+    return nearest_neighbours.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, 20)
+
+
 @query("op10_bpe")
 def _op10(spark, sf_dir):
     return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary())
