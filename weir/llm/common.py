@@ -22,3 +22,12 @@ def fold(doc_id: str, n: int) -> Column:
 
 def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Rows of ids and hashes (under 100 bytes each) that may be sent to every executor; beyond it a join shuffles.
+SMALL_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A saved table of narrow rows, with a broadcast hint only if it was counted and found to be small."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
