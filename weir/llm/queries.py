@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import public_tokenizers
 
-from weir.llm import best_fit_packing, bpe, language, near_duplicates, nearest_neighbours, sharding, token_output, top_k_search
+from weir.llm import best_fit_packing, bpe, language, near_duplicates, nearest_neighbours, sharding, substring_dedup, token_output, top_k_search
 from weir.llm.common import scratch, table
 
 QUERIES, ORACLES = {}, {}
@@ -57,6 +57,11 @@ def _op7(spark, sf_dir):
     return found.withColumn("score", found.score.cast("long"))
 
 
+@query("op8_substring_dedup")
+def _op8(spark, sf_dir):
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query("op9_nearest_neighbours")
 def _op9(spark, sf_dir):
     return nearest_neighbours.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, 20)
