@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import public_tokenizers
 
-from weir.llm import best_fit_packing, bpe, language, near_duplicates, nearest_neighbours, sharding, substring_dedup, token_output, top_k_search
+from weir.llm import best_fit_packing, bpe, language, lm_scoring, near_duplicates, nearest_neighbours, sharding, substring_dedup, token_output, top_k_search
 from weir.llm.common import scratch, table
 
 QUERIES, ORACLES = {}, {}
@@ -30,6 +30,11 @@ def _op1(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+@query("op2_lm_scoring")
+def _op2(spark, sf_dir):
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op3_near_duplicates")
 def _op3(spark, sf_dir):
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
