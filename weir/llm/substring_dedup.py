@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weir.llm.arrays import LOWER, SpanHasher, shingles, slices, words
+from weir.llm.arrays import LOWER, SpanHasher, mix, shingles, slices, words
 from weir.llm.common import saved, small
 
 WINDOW = 8
@@ -45,9 +45,25 @@ def minimizers(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     most = least.copy()
     for step in (1, 2, 4):  # largest such minimum over the runs that hold a place
         most[step:] = np.maximum(most[step:], most[:-step])
-    chosen = most[place] == h
-    chosen[1:] &= ~((h[1:] == h[:-1]) & chosen[:-1])  # of a repeated hash, the first
-    return np.flatnonzero(chosen)
+    return np.flatnonzero(most[place] == h)
+
+
+def told_apart(seed: np.ndarray, pos: np.ndarray, of: np.ndarray):
+    """(places to keep, their seeds, first of its seed in its text). Where words go round in circles, one seed follows upon
+    itself; of such a row one place in WINDOW words stays, with its number in the row mixed into the seed."""
+    order = np.lexsort((pos, seed, of))
+    seed, pos, of = seed[order], pos[order], of[order]
+    same = np.concatenate(([False], (seed[1:] == seed[:-1]) & (of[1:] == of[:-1])))[:len(seed)]
+    row = same & np.concatenate(([False], pos[1:] - pos[:-1] <= 2 * WINDOW))[:len(seed)]
+    start = np.maximum.accumulate(np.where(row, 0, np.arange(len(seed)))) if len(seed) else np.zeros(0, int)
+    number = (pos - pos[start]) // WINDOW
+    keep = ~row | (number != np.concatenate(([0], number[:-1]))[:len(seed)])
+    seed = np.where(number > 0, mix(seed + number.astype(np.uint64)), seed)[keep]
+    order, at, of = order[keep], pos[keep], of[keep]
+    again = np.lexsort((at, seed, of))
+    first = np.ones(len(seed), bool)
+    first[again[1:]] = (of[again[1:]] != of[again[:-1]]) | (seed[again[1:]] != seed[again[:-1]])
+    return order, seed, first
 
 
 def text_words(data: np.ndarray, offsets: np.ndarray, hasher: SpanHasher):
@@ -68,10 +84,8 @@ def seeds(docs: DataFrame, k: int) -> DataFrame:
                 of = np.searchsorted(at, pos, "right") - 1
                 real = np.diff(per_text)[of] >= k
                 pos, of = pos[real], of[real]
-                seed = h[pos]
-                order = np.lexsort((pos, seed, of))
-                first = np.ones(len(pos), bool)
-                first[order[1:]] = (of[order[1:]] != of[order[:-1]]) | (seed[order[1:]] != seed[order[:-1]])
+                kept, seed, first = told_apart(h[pos], pos, of)
+                pos, of = pos[kept], of[kept]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(lo + of)), pa.array((pos - at[of]).astype(np.int32)), pa.array(seed.view(np.int64)),
                      pa.array(first)], names=["doc", "pos", "seed", "first"])
