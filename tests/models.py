@@ -37,14 +37,16 @@ class Flow:
         names = "rtt rate bytes_rate iqt ratio pkts bytes fwd bwd".split()
         self.r = {n: Ring() for n in names}
         self.ports = defaultdict(int)
-        self.last_q = self.last_r = t
+        self.start, self.last_q, self.last_r = t, None, None
         self.sent = self.recv = self.open_p = self.open_b = 0
 
     def packet(self, direction, t, length, port):
+        self.start = min(self.start, t)
+        dq = max(0, t - (self.start if self.last_q is None else self.last_q))
+        dr = max(0, t - (self.start if self.last_r is None else self.last_r))
         if direction == "OUT":
             self.sent += length
-            dq, dr = t - self.last_q, t - self.last_r
-            self.last_q = t
+            self.last_q = t if self.last_q is None else max(self.last_q, t)
             self.r["rate"].push(2.0 / (1 + dq))
             self.r["bytes_rate"].push(1000.0 * length / (1 + dq))
             self.r["iqt"].push(dr)
@@ -53,10 +55,9 @@ class Flow:
             sign = 1
         else:
             self.recv += length
-            d = t - self.last_q
-            self.r["rtt"].push(d)
-            self.r["bytes_rate"].push(1000.0 * length / (1 + d))
-            self.last_r = t
+            self.r["rtt"].push(dq)
+            self.r["bytes_rate"].push(1000.0 * length / (1 + dq))
+            self.last_r = t if self.last_r is None else max(self.last_r, t)
             sign = -1
         self.open_p += sign
         self.open_b += sign * length

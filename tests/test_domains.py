@@ -68,3 +68,18 @@ def test_domain_keys(spark):
     names = {"www.example.com.": ".moc.elpmaxe", "com.": ".moc", "nodots": "stodon", "a.b.c.d.": ".d.c"}
     df = spark.createDataFrame([(n,) for n in names], "qname string")
     assert {r.qname: r.domain_key for r in D.with_domain_key(df).collect()} == names
+
+
+@pytest.mark.parametrize("chunk_rows", [None, 3])
+@pytest.mark.parametrize("alpha", [0.5, 0.97, 1.0])
+def test_ewma_skips_nulls_and_takes_the_last_value_at_one(spark, alpha, chunk_rows):
+    x = [None, 10.0, None, 20.0, 7.0, None, None, 3.0] * 5
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(x)], "k int, seq long, x double")
+    got = {r.seq: r.ewma for r in D.ewma(df, "x", alpha, ["k"], "seq", 5.0, chunk_rows=chunk_rows).collect()}
+    a, want = 5.0, {}
+    for i, v in enumerate(x):
+        a += alpha * (v - a) if v is not None else 0
+        want[i] = a
+    assert got == pytest.approx(want)
+    with pytest.raises(ValueError):
+        D.ewma(df, "x", 0.0, ["k"], "seq")

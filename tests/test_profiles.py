@@ -18,76 +18,41 @@ def x():
     return np.random.default_rng(7).normal(size=(300, 4))
 
 
-def sequential_leaders(x, radius):
-    members = [[x[0]]]
-    for i, p in enumerate(x):
-        for m in members:
-            if np.sqrt(((p - np.mean(m, axis=0)) ** 2).sum()) < radius:
-                m.append(p)
-                break
-        else:
-            members.append([p])
-    return [np.mean(m, axis=0) for m in members], [len(m) for m in members]
-
-
-def test_exact_leaders(spark, x):
-    got = P.leader_cluster(points(spark, x), 1.2).orderBy("cid").collect()
-    means, sizes = sequential_leaders(x, 1.2)
-    assert [r["size"] for r in got] == sizes
-    np.testing.assert_allclose([r.vec for r in got], means)
-
-
-def test_leader_levels_keep_every_row_and_find_separate_clusters(spark):
-    rng = np.random.default_rng(1)
+def test_close_centres_are_merged_and_no_others(x):
+    book = P.merged_centres(x[:40], 1.5)
+    gaps = [np.sqrt(((a - b) ** 2).sum()) for i, a in enumerate(book) for b in book[i + 1:]]
+    assert 1 < len(book) < 40 and min(gaps) >= 1.5
+    np.testing.assert_allclose(P.merged_centres(np.array([[0.0], [1.0], [10.0]]), 2), [[0.5], [10.0]])
+
+
+def test_profiles_find_separate_clusters_at_every_size(spark):
     centres = np.array([[0, 0], [50, 0], [0, 50], [50, 50]])
-    x = centres[rng.integers(0, 4, 800)] + rng.normal(size=(800, 2))
-    got = P.leader_cluster(points(spark, x), 20.0, exact_rows=100).collect()
-    assert sum(r["size"] for r in got) == 800
-    found = np.array(sorted([round(v / 50) * 50 for v in r.vec] for r in got))
-    assert found.tolist() == sorted(centres.tolist())
-
-
-def brute_tree(x, dist):
-    fn = (lambda a, b: np.sqrt(((a - b) ** 2).sum())) if dist == "l2" else (lambda a, b: np.abs(a - b).sum())
-    nodes, rows, nxt = {i: v for i, v in enumerate(x)}, [], len(x)
-    while len(nodes) > 1:
-        ids = sorted(nodes)
-        d, i, j = min((fn(nodes[i], nodes[j]), i, j) for k, i in enumerate(ids) for j in ids[k + 1:])
-        nodes[nxt] = (nodes.pop(i) + nodes.pop(j)) / 2
-        rows.append((nxt, i, j, d))
-        nxt += 1
-    return rows
-
-
-@pytest.mark.parametrize("dist", ["l2", "l1"])
-def test_merge_tree_matches_brute_force(spark, x, dist):
-    got = P.hierarchical(points(spark, x[:40]), dist).where("left is not null").orderBy("node").collect()
-    want = brute_tree(x[:40], dist)
-    assert [(r.node, r.left, r.right) for r in got] == [w[:3] for w in want]
-    np.testing.assert_allclose([r.dist for r in got], [w[3] for w in want])
-
-
-def test_own_distance(spark, x):
-    def largest(a, b):
-        return np.abs(a - b).max(axis=-1)
-
-    first = P.hierarchical(points(spark, x[:12]), largest).where("left is not null").orderBy("node").first()
-    want = min(np.abs(a - b).max() for i, a in enumerate(x[:12]) for b in x[i + 1:12])
-    assert first.dist == pytest.approx(want)
-
-
-def test_tree_walks(spark, x):
-    tree = P.hierarchical(points(spark, x[:30]))
-    stats = {r.node: r for r in P.tree_stats(tree).collect()}
-    assert stats[58].height == 30 and stats[0].depth == 0
-    cut = [r.node for r in P.cut_tree(tree, 1.0).collect()]
-    leaves = [l for n in cut for l in (r.leaf for r in P.tree_members(tree, n).collect())]
-    assert sorted(leaves) == list(range(30))
-
-
-def test_big_groups_are_reduced_before_the_tree(spark, x):
-    tree = P.hierarchical(points(spark, x), max_rows=40)
-    assert tree.where("left is null").count() <= 40
+    for n in (60, 3000):
+        rng = np.random.default_rng(n)
+        df = points(spark, centres[rng.integers(0, 4, n)] + rng.normal(size=(n, 2)))
+        p = P.fit_profile(df, "hier", threshold=20.0)
+        found = sorted([round(v / 50) * 50 for v in r.vec] for r in p.centroids.collect())
+        assert found == sorted(centres.tolist()) and p.init_size == 4
+        assert P.classify(df, p).where("predicted <> 'P'").count() == 0
+
+
+def test_one_class_centres_around_their_bound(spark, x):
+    for bound in (299, 300, 301):
+        model = P.fit_one_class(points(spark, x), nu=0.1, gamma=0.3, max_centres=bound)
+        assert len(model.centres) == min(bound, 300) and set(model.weights) == {1.0}
+
+
+def test_a_codebook_over_its_bound_is_refused(spark, x):
+    book = spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(x[:10])], "cid long, vec array<double>")
+    assert N.nearest_centroid(points(spark, x), book, max_values=40).count() == 300
+    with pytest.raises(ValueError, match="at most 39 numbers"):
+        N.nearest_centroid(points(spark, x), book, max_values=39)
+
+
+def test_odd_widths_do_not_decide(spark, x):
+    odd = spark.createDataFrame([(-1, [1.0, 2.0], "s", "P")], SCHEMA)
+    df = odd.unionByName(points(spark, x))
+    assert N.common_width(df) == 4 and len(P.fit_pca(df).components) == 4
 
 
 def test_classification_agrees_with_the_radius(spark, x):

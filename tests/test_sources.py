@@ -85,3 +85,11 @@ def test_state_steps_match_one_pass():
         parts += f.tolist()
     want = flow_vectors(((0,), s, d, t, n, p) for s, t, d, n, p in rows)
     assert whole.tolist() == parts == [want[(0,), i] for i in range(900)]
+
+
+def test_datagram_lines_with_and_without_a_state(spark):
+    got = sockets.parse_socket_snapshot(lines(
+        spark, "udp6 0 0 :::5353 :::* 107 21344 812/avahi", "udp 0 0 10.0.0.1:68 10.0.0.2:67 ESTABLISHED 0 555 9/dhc",
+        "tcp6 0 0 :::22 :::* LISTEN 0 77 1/sshd"), "linux")
+    rows = [tuple(r) for r in got.select("state", "user", "inode", "program").collect()]
+    assert rows == [("", "107", "21344", "avahi"), ("ESTABLISHED", "0", "555", "dhc"), ("LISTEN", "0", "77", "sshd")]

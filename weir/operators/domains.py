@@ -44,8 +44,10 @@ def with_domain_key(df: DataFrame, name: str = "qname") -> DataFrame:
 
 
 def fill_invalid_domain(df: DataFrame, name: str = "qname") -> DataFrame:
-    """Give undecodable packets a name, so that they still count in the domain statistics."""
-    stand_in = F.concat_ws(".", F.col("client_ip").cast("string"), F.col("server_ip").cast("string"), F.lit("INVALID"))
+    """Give undecodable packets the name source.destination.INVALID, so that they still count in the domain statistics."""
+    sent = F.col("direction") == "OUT"
+    source, target = F.when(sent, F.col("client_ip")).otherwise(F.col("server_ip")), F.when(sent, F.col("server_ip")).otherwise(F.col("client_ip"))
+    stand_in = F.concat_ws(".", source.cast("string"), target.cast("string"), F.lit("INVALID"))
     return df.withColumn(name, F.coalesce(name, stand_in))
 
 
@@ -205,22 +207,25 @@ def rated_history(history: DataFrame) -> DataFrame:
 
 def ewma(df: DataFrame, value: str, alpha: float, by: Sequence[str], order: str, initial: float = 0.0,
          name: str = "ewma", chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
-    """a += alpha * (d - a) along each key, at every row.
+    """a += alpha * (d - a) along each key, at every row. A null value leaves the average as it is.
 
     The sum of weighted values is cut into blocks long enough that a value fades below the last bit of a
     double within one block. A block then needs only the closing value of the block before it, which comes
     by an equality join, so no key is folded in one task.
     """
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be above 0 and at most 1")
     q = 1.0 - alpha
-    block_rows = max(1, math.ceil(30 * math.log(10) / -math.log(q)))
+    block_rows = max(1, math.ceil(30 * math.log(10) / -math.log(q))) if q else 1
     k = Chunked(df, by, order, chunk_rows)
-    k.scan({"_i": ("sum", F.lit(1), True)})
+    # rows without a value stand with the last value before them
+    k.scan({"_i": ("sum", F.when(F.col(value).isNotNull(), 1).otherwise(0), True)})
     rows = k.df.withColumn("_block", F.expr(f"(_i - 1) div {block_rows}")).withColumn(
         "_j", (F.col("_i") - 1) % block_rows + 1)
-    w = Window.partitionBy(*by, "_block").orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
-    weight = F.pow(F.lit(q), F.col("_j").cast("double"))
-    rows = rows.withColumn("_local", alpha * F.sum(F.col(value) / weight).over(w) * weight)
-    closing = (rows.where(F.col("_j") == block_rows)
+    w = Window.partitionBy(*by, "_block").orderBy("_j").rangeBetween(Window.unboundedPreceding, 0)
+    weight = F.pow(F.lit(q), F.col("_j").cast("double")) if q else F.lit(1.0)
+    rows = rows.withColumn("_local", F.coalesce(alpha * F.sum(F.col(value) / weight).over(w) * weight, F.lit(0.0)))
+    closing = (rows.where((F.col("_j") == block_rows) & F.col(value).isNotNull())
                .select(*[F.col(c).alias(f"_k_{c}") for c in by], (F.col("_block") + 1).alias("_k_block"),
                        F.col("_local").alias("_before")))
     cond = F.col("_block") == F.col("_k_block")
@@ -229,7 +234,8 @@ def ewma(df: DataFrame, value: str, alpha: float, by: Sequence[str], order: str,
     joined = rows.join(closing, cond, "left")
     # the first block starts from `initial`; later blocks from the closing value before them
     before = F.when(F.col("_block") == 0, F.lit(float(initial))).otherwise(F.col("_before"))
-    return joined.withColumn(name, before * F.pow(F.lit(q), F.col("_j").cast("double")) + F.col("_local")).select(
+    value_now = before * F.pow(F.lit(q), F.col("_j").cast("double")) + F.col("_local")
+    return joined.withColumn(name, F.when(F.col("_i") == 0, F.lit(float(initial))).otherwise(value_now)).select(
         *df.columns, name)
 
 

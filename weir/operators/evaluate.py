@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weir.functions.vectors import last_features
 from weir.operators import profiles as P
-from weir.operators.vectors import HELD_OUT, ROUNDS, hashed_share, systematic_sample
+from weir.operators.vectors import HELD_OUT, ROUNDS, common_width, filter_dimension, hashed_share, systematic_sample
 from weir.sources.samples import LINE_ORDER, load_samples
 
 
@@ -121,7 +121,8 @@ def compare_feature_subsets(samples: DataFrame, width: int = 10, overlap: int =
                             vec: str = "features") -> DataFrame:
     """Held-out error, in percent, of a classifier trained on each window of features."""
     models = models or {"linear_svc": default_classifiers()["linear_svc"]}
-    dim = samples.select(F.size(vec)).first()[0]
+    dim = common_width(samples, vec)
+    samples = filter_dimension(samples, dim, vec)
     out = None
     for name, start, n in feature_windows(dim, width, overlap):
         part = samples.withColumn(vec, F.slice(vec, start + 1, n))

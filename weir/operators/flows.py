@@ -136,8 +136,9 @@ def _history(k: Chunked) -> Chunked:
 
 
 def _values(df: DataFrame) -> DataFrame:
-    since_query = F.col("t") - F.coalesce("last_query", "flow_start")
-    since_response = F.col("t") - F.coalesce("last_response", "flow_start")
+    # a clock that steps back counts as no time passed
+    since_query = F.greatest(F.lit(0), F.col("t") - F.coalesce("last_query", "flow_start"))
+    since_response = F.greatest(F.lit(0), F.col("t") - F.coalesce("last_response", "flow_start"))
     length = F.col("len").cast("long")
     return df.withColumns({
         "rtt": F.when(_in(), since_query),

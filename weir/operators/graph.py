@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weir.functions import vectors as V
 from weir.operators import vectors as N
 from weir.operators.profiles import Profile
+from weir.session import ensure_checkpoint_dir
 
 MESSAGE_WIDTH = 64
 
@@ -87,16 +88,16 @@ def event_graph(scored: DataFrame, profile: Profile, tag: str = "tag", row_id: s
 
 def neighbourhood(nodes: DataFrame, edges: DataFrame, node_id: str, degrees: int = 2) -> DataFrame:
     """Nodes within `degrees` undirected steps of a node, with their least number of steps."""
+    ensure_checkpoint_dir(nodes.sparkSession)
     pairs = edges.select("source", "target").unionByName(
-        edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
+        edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).checkpoint()
     found = nodes.where(F.col("id") == node_id).select("id", F.lit(0).alias("degree"))
-    frontier = found
     for d in range(1, degrees + 1):
-        reached = pairs.join(frontier.select(F.col("id").alias("source")), "source", "left_semi")
-        # one row per node, so the frontier is no larger than the node table
-        frontier = (reached.select(F.col("target").alias("id")).distinct()
-                    .join(found, "id", "left_anti").withColumn("degree", F.lit(d)))
-        found = found.unionByName(frontier)
+        last = found.where(F.col("degree") == d - 1).select(F.col("id").alias("source"))
+        reached = pairs.join(last, "source", "left_semi")
+        # one row per node, so what is found is no larger than the node table; the cut keeps the plan of one step
+        frontier = reached.select(F.col("target").alias("id")).distinct().join(found, "id", "left_anti").withColumn("degree", F.lit(d))
+        found = found.unionByName(frontier).checkpoint()
     return nodes.join(found, "id")
 
 
@@ -104,10 +105,10 @@ def feature_map(train: DataFrame, test: DataFrame, new: DataFrame | None = None,
                 row_id: str = "row_id") -> DataFrame:
     """Mapped points of the training, test and new vectors: series, row_id, pos, x, y.
 
-    Vectors of another width than the training vectors are left out. Points are stretched by the maxima of the
+    Vectors of another width than most training vectors are left out. Points are stretched by the maxima of the
     plain training points.
     """
-    dim = train.select(F.size(vec)).first()[0]
+    dim = N.common_width(train, vec)
     stats = N.column_stats(N.map_points(N.filter_dimension(train, dim, vec), vec=vec), "points")
     out = None
     for series, part in [("train", train), ("test", test), ("new", new)]:

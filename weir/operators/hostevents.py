@@ -188,11 +188,11 @@ def top_processes(df: DataFrame, by: str, k: int = 200, snapshot: str = "snapsho
 
 # ---- clusters --------------------------------------------------------------------------------------
 
-def fit_event_profile(events: DataFrame, size: int = 10, order_by: str = "seq") -> P.Profile:
-    return P.fit_profile(events, "flat", size=size, order_by=order_by, vec="vec")
+def fit_event_profile(events: DataFrame, size: int = 10) -> P.Profile:
+    return P.fit_profile(events, "flat", size=size, vec="vec")
 
 
-def cluster_events(events: DataFrame, profile: P.Profile, row_id: str = "seq") -> tuple[DataFrame, P.Profile]:
+def cluster_events(events: DataFrame, profile: P.Profile) -> tuple[DataFrame, P.Profile]:
     """Assign events, growing the profile where they are too far; `grown` marks events in new clusters."""
-    profile, near = P.grow_profile(profile, events, row_id)
+    profile, near = P.grow_profile(profile, events)
     return near.withColumn("grown", F.col("cid") >= profile.init_size), profile

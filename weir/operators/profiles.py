@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from typing import Protocol
@@ -12,311 +11,46 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weir.functions import vectors as V
 from weir.operators import vectors as N
-from weir.plans.ordering import with_position
 from weir.session import ensure_checkpoint_dir
 
-# Rows one task may fold in order; beyond it clustering goes in levels.
-EXACT_ROWS = 20_000
-# Rows one pair-merge tree may hold (its distance table is quadratic).
-TREE_ROWS = 2_000
-
-
-# ---- leader clustering -----------------------------------------------------------------------------
-
-class _Leaders:
-    """Centroids in order of creation; a point joins the first within the radius and moves its mean."""
-
-    def __init__(self, radius: float):
-        self.radius, self.n = radius, 0
-        self.sums = self.counts = self.means = None
-
-    def add(self, vec: np.ndarray, weight: float) -> None:
-        if self.n:
-            gap = np.sqrt(((self.means[: self.n] - vec) ** 2).sum(axis=1))
-            near = np.flatnonzero(gap < self.radius)
-            if len(near):
-                j = near[0]
-                self.sums[j] += vec * weight
-                self.counts[j] += weight
-                self.means[j] = self.sums[j] / self.counts[j]
-                return
-        if self.sums is None or self.n == len(self.sums):
-            grown = max(16, 2 * self.n)
-            for name, shape in [("sums", (grown, len(vec))), ("means", (grown, len(vec))), ("counts", (grown,))]:
-                old = getattr(self, name)
-                new = np.zeros(shape)
-                if old is not None:
-                    new[: self.n] = old[: self.n]
-                setattr(self, name, new)
-        self.sums[self.n], self.counts[self.n], self.means[self.n] = vec * weight, weight, vec
-        self.n += 1
-
-    def table(self) -> pd.DataFrame:
-        return pd.DataFrame({"j": np.arange(self.n), "vec": list(self.means[: self.n]) if self.n else [],
-                             "size": self.counts[: self.n] if self.n else []})
-
-
-_LEADER = "part long, j long, vec array<double>, size double"
-
-
-def _fold_partitions(radius: float, first_twice: bool = False):
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        held, first = _Leaders(radius), first_twice
-        for pdf in frames:
-            for vec, weight in zip(pdf["vec"], pdf["size"]):
-                vec = np.asarray(vec, dtype=float)
-                held.add(vec, weight)
-                if first:
-                    held.add(vec, weight)  # the very first training point counts twice
-                    first = False
-        out = held.table()
-        out.insert(0, "part", TaskContext.get().partitionId())
-        yield out
-
-    return fold
-
-
-def leader_cluster(df: DataFrame, radius: float, order_by: str = "row_id", vec: str = "features",
-                   exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """Centroids (cid, vec, size) of clusters of the given radius, in order of creation.
-
-    Up to `exact_rows` rows are folded in order in one task. More rows are folded per range of the order, and
-    the weighted leaders of all ranges are folded again, level by level, until they fit one task or no
-    longer shrink. Every row is counted in exactly one centroid.
-    """
-    rows = df.select(F.col(order_by).alias("_o"), F.col(vec).alias("vec"), F.lit(1.0).alias("size"))
-    n = rows.limit(exact_rows + 1).count()
-    if n <= exact_rows:
-        found = rows.coalesce(1).sortWithinPartitions("_o").mapInPandas(_fold_partitions(radius, True), _LEADER)
-    else:
-        ensure_checkpoint_dir(df.sparkSession)
-        level = rows.repartitionByRange("_o").sortWithinPartitions("_o").mapInPandas(
-            _fold_partitions(radius), _LEADER).checkpoint()
-        left, parts = level.count(), level.rdd.getNumPartitions()
-        while left > exact_rows and parts > 1:
-            # neighbours along the first coordinate meet in one task
-            parts = max(1, parts // 4)
-            if parts == 1:
-                break
-            nxt = (level.repartitionByRange(parts, F.element_at("vec", 1)).sortWithinPartitions("part", "j")
-                   .mapInPandas(_fold_partitions(radius), _LEADER).checkpoint())
-            now = nxt.count()
-            level, shrunk, left = nxt, now < 0.9 * left, now
-            if not shrunk:
-                break
-        if left <= exact_rows:
-            level = level.coalesce(1).sortWithinPartitions("part", "j").mapInPandas(_fold_partitions(radius), _LEADER)
-        found = level
-    return with_position(found, "part", "j", name="cid").select("cid", "vec", "size")
+# Centroids of a fitted profile, and those added at most each time it grows.
+PROFILE_SIZE = 64
+GROWTH = 16
+
 
+# ---- clustering ------------------------------------------------------------------------------------
 
 def kmeans(samples: DataFrame, k: int, tol: float = 1e-5, iters: int = 20, seed: int = 42,
            vec: str = "features") -> DataFrame:
-    """Lloyd's k-means: centroids (cid, vec)."""
+    """Lloyd's k-means: at most k centroids (cid, vec), no more than there are different vectors."""
     spark = samples.sparkSession
+    k = min(k, samples.select(vec).distinct().limit(k).count())
+    if k == 1:  # the library asks for two
+        return samples.select(F.lit(0).cast("long").alias("cid"), F.col(vec).cast("array<double>").alias("vec")).limit(1)
     model = KMeans(k=k, maxIter=iters, tol=tol, seed=seed, featuresCol="_v").fit(
         samples.select(array_to_vector(F.col(vec)).alias("_v")))
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return spark.createDataFrame(rows, "cid long, vec array<double>")
 
 
-def kmeans_by_radius(samples: DataFrame, k: int, order_by: str = "row_id", vec: str = "features") -> DataFrame:
-    """Leader clustering with the radius inferred from the spread of the data and k."""
-    radius = N.infer_radius(samples, k, vec).first()["radius"]
-    return leader_cluster(samples, radius, order_by, vec)
-
-
-# ---- pair-merge trees ------------------------------------------------------------------------------
-
-# A distance takes rows of vectors and one vector.
-ArrayDistance = Callable[[np.ndarray, np.ndarray], np.ndarray]
-
-_DIST: dict[str, ArrayDistance] = {
-    "l2": lambda a, b: np.sqrt(((a - b) ** 2).sum(axis=-1)),
-    "l1": lambda a, b: np.abs(a - b).sum(axis=-1),
-}
-
-
-def _merge_table(vecs: np.ndarray, dist: str | ArrayDistance) -> pd.DataFrame:
-    """Merge the closest pair until one node is left; a new centre is the midpoint of the two.
-
-    Leaves are 0..n-1 in row order and inner nodes follow. Each node remembers its closest later node, so
-    a merge scans rows only where that changes.
-    """
-    fn, n = _DIST[dist] if isinstance(dist, str) else dist, len(vecs)
-    total = 2 * n - 1
-    v = np.zeros((total, vecs.shape[1]))
-    v[:n] = vecs
-    alive = np.zeros(total, dtype=bool)
-    alive[:n] = True
-    best, at = np.full(total, np.inf), np.full(total, -1)
-
-    def look(i: int) -> None:
-        later = np.flatnonzero(alive[i + 1:]) + i + 1
-        if len(later):
-            d = fn(v[later], v[i])
-            j = int(np.argmin(d))
-            best[i], at[i] = d[j], later[j]
-        else:
-            best[i], at[i] = np.inf, -1
-
-    for i in range(n):
-        look(i)
-    rows = [(i, None, None, 0.0, v[i].tolist()) for i in range(n)]
-    for new in range(n, total):
-        i = int(np.argmin(np.where(alive, best, np.inf)))
-        j, d = int(at[i]), float(best[i])
-        alive[i] = alive[j] = False
-        v[new] = (v[i] + v[j]) / 2.0
-        rows.append((new, i, j, d, v[new].tolist()))
-        best[i] = best[j] = np.inf
-        stale = np.flatnonzero(alive[:new] & ((at[:new] == i) | (at[:new] == j)))
-        alive[new] = True
-        for s in stale:
-            look(int(s))
-        others = np.flatnonzero(alive[:new])
-        if len(others):
-            gap = fn(v[others], v[new])
-            closer = gap < best[others]
-            best[others[closer]], at[others[closer]] = gap[closer], new
-    return pd.DataFrame(rows, columns=["node", "left", "right", "dist", "vec"])
-
-
-def hierarchical(df: DataFrame, dist: str | ArrayDistance = "l2", by: str | None = None, order_by: str = "row_id",
-                 vec: str = "features", max_rows: int = TREE_ROWS) -> DataFrame:
-    """Merge table of a pair-merge tree: node, left, right, dist, vec (leaves have no children).
-
-    `dist` is l2, l1 or a function of its own. With `by`, one tree per group. The exact merge needs all rows of a tree in one task, so a tree (or group)
-    of more than `max_rows` rows is first reduced to micro-centres by leader clustering inside salted
-    parts of at most `max_rows` rows, with a radius that grows until the centres fit.
-    """
-    if isinstance(dist, str) and dist not in _DIST:
-        raise ValueError(f"dist must be one of {sorted(_DIST)}")
-    group = F.col(by) if by else F.lit(0)
-    rows = df.select(group.alias("grp"), F.col(order_by).alias("_o"), F.col(vec).alias("vec"))
-    kind = rows.schema["grp"].dataType.simpleString()
-    rows = _reduced(rows, max_rows, kind)
-
-    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_o")
-        out = _merge_table(np.stack(pdf["vec"].to_numpy()).astype(float), dist)
-        out.insert(0, "grp", pdf["grp"].iloc[0])
-        return out.astype({"left": "Int64", "right": "Int64"})
-
-    table = rows.groupBy("grp").applyInPandas(
-        tree, f"grp {kind}, node long, left long, right long, dist double, vec array<double>")
-    return table.withColumnRenamed("grp", by) if by else table.drop("grp")
-
-
-def _reduced(rows: DataFrame, max_rows: int, kind: str) -> DataFrame:
-    """Shrink groups over `max_rows` rows to micro-centres, in parts that each fit one task."""
-    spark = rows.sparkSession
-    ensure_checkpoint_dir(spark)
-    order_kind = rows.schema["_o"].dataType.simpleString()
-    for _ in range(20):
-        sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows).checkpoint()
-        if not sizes.take(1):
-            return rows
-        big = rows.join(sizes, "grp").withColumn(
-            "_part", F.pmod(F.xxhash64("_o"), F.ceil(F.col("_n") / max_rows * 2)))
-        small = rows.join(sizes, "grp", "left_anti")
-
-        def micro(pdf: pd.DataFrame) -> pd.DataFrame:
-            """Shrink a part two to sixteen times: leaders of a radius that doubles until few enough remain."""
-            pdf = pdf.sort_values("_o")
-            x = np.stack(pdf["vec"].to_numpy()).astype(float)
-            keep = max(1, len(x) // int(min(16, max(2, pdf["_n"].iloc[0] // max_rows))))
-            radius = max(float(np.sqrt(((x - x.mean(axis=0)) ** 2).sum(axis=1)).mean()) / 64, 1e-9)
-            while True:
-                held = _Leaders(radius)
-                for v in x:
-                    held.add(v, 1.0)
-                if held.n <= keep:
-                    break
-                radius *= 2
-            return pd.DataFrame({"grp": [pdf["grp"].iloc[0]] * held.n, "_o": pdf["_o"].iloc[: held.n].to_numpy(),
-                                 "vec": list(held.means[: held.n])})
-
-        shrunk = big.groupBy("grp", "_part").applyInPandas(micro, f"grp {kind}, _o {order_kind}, vec array<double>")
-        rows = small.select("grp", "_o", "vec").unionByName(shrunk).checkpoint()
-    raise RuntimeError("groups did not shrink to the size of one tree")
-
-
-def _per_tree(tree: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, by: str | None) -> DataFrame:
-    """Run a walk over each merge table; `hierarchical` keeps every tree below 2 * max_rows nodes."""
-    keyed = tree.withColumn("_g", F.col(by) if by else F.lit(0))
-    kind = keyed.schema["_g"].dataType.simpleString()
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = fn(pdf.sort_values("node"))
-        out.insert(0, "_g", pdf["_g"].iloc[0])
-        return out
-
-    out = keyed.groupBy("_g").applyInPandas(walk, f"_g {kind}, {schema}")
-    return out.withColumnRenamed("_g", by) if by else out.drop("_g")
-
-
-def cut_tree(tree: DataFrame, dist: float, by: str | None = None) -> DataFrame:
-    """Largest subtrees with a merge distance below `dist`: (node, vec). Leaves always qualify."""
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = {r.node: r for r in pdf.itertuples(index=False)}
-        stack, heads = [max(nodes)], []
-        while stack:
-            r = nodes[stack.pop()]
-            if pd.isna(r.left) or r.dist < dist:
-                heads.append((r.node, r.vec))
-            else:
-                stack += [int(r.left), int(r.right)]
-        return pd.DataFrame(heads, columns=["node", "vec"])
-
-    return _per_tree(tree.drop("grp"), cut, "node long, vec array<double>", by)
-
-
-def tree_stats(tree: DataFrame, by: str | None = None) -> DataFrame:
-    """Leaves below (height) and longest sum of merge distances (depth) of every node."""
-    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        height, depth = {}, {}
-        for r in pdf.itertuples(index=False):  # children come before their parent
-            if pd.isna(r.left):
-                height[r.node], depth[r.node] = 1, 0.0
-            else:
-                a, b = int(r.left), int(r.right)
-                height[r.node] = height[a] + height[b]
-                depth[r.node] = max(depth[a], depth[b]) + r.dist
-        return pd.DataFrame({"node": list(height), "height": list(height.values()), "depth": list(depth.values())})
-
-    return _per_tree(tree.drop("vec"), measure, "node long, height long, depth double", by)
-
-
-def tree_height(tree: DataFrame, by: str | None = None) -> DataFrame:
-    return tree_stats(tree, by).drop("depth")
-
-
-def tree_depth(tree: DataFrame, by: str | None = None) -> DataFrame:
-    return tree_stats(tree, by).drop("height")
-
-
-def tree_members(tree: DataFrame, node: int, by: str | None = None) -> DataFrame:
-    """Leaves below a node."""
-    def leaves(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = {r.node: r for r in pdf.itertuples(index=False)}
-        stack, out = [node] if node in nodes else [], []
-        while stack:
-            r = nodes[stack.pop()]
-            if pd.isna(r.left):
-                out.append(r.node)
-            else:
-                stack += [int(r.left), int(r.right)]
-        return pd.DataFrame({"leaf": pd.Series(out, dtype="int64")})
-
-    return _per_tree(tree.drop("vec"), leaves, "leaf long", by)
+def merged_centres(centres: np.ndarray, cut: float) -> np.ndarray:
+    """Merge the closest two of a profile's centres into their midpoint while they are closer than `cut`."""
+    centres = [c for c in np.asarray(centres, dtype=float)]
+    while len(centres) > 1:
+        x = np.stack(centres)
+        gap = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+        gap[np.tril_indices(len(x))] = np.inf
+        i, j = divmod(int(gap.argmin()), len(x))
+        if gap[i, j] >= cut:
+            break
+        centres[i] = (centres[i] + centres[j]) / 2.0
+        del centres[j]
+    return np.stack(centres)
 
 
 # ---- profiles --------------------------------------------------------------------------------------
@@ -345,58 +79,57 @@ def _labelled(centroids: DataFrame) -> DataFrame:
     return centroids.select("cid", "vec", F.lit(0.001).alias("size"), F.concat(F.lit("group "), F.col("cid").cast("string")).alias("label"))
 
 
-def fit_profile(samples: DataFrame, method: str = "hier", size: int | None = None, threshold: float | None = None,
-                order_by: str = "row_id", vec: str = "features", max_rows: int = TREE_ROWS) -> Profile:
-    """`hier`: clusters of the pair-merge tree cut at the threshold (a tenth of the rows if not given), which
-    is also the radius. `flat`: leader clusters, with a radius of twice the largest distance seen."""
-    ensure_checkpoint_dir(samples.sparkSession)
+def fit_profile(samples: DataFrame, method: str = "hier", size: int = PROFILE_SIZE, threshold: float | None = None,
+                vec: str = "features", seed: int = 42) -> Profile:
+    """A profile of at most `size` centroids, by k-means over all rows, at every size of the table.
+
+    `hier`: centroids closer than the threshold (a tenth of the rows if not given) are merged, and the threshold is also the
+    radius. `flat`: the centroids as they are, the threshold (or the radius inferred for `size`) as the least distance, and a
+    radius of twice the largest distance seen.
+    """
+    spark = samples.sparkSession
+    ensure_checkpoint_dir(spark)
+    book = np.array([r.vec for r in kmeans(samples, size, seed=seed, vec=vec).orderBy("cid").collect()])
     if method == "hier":
-        cut = float(samples.count() // 10 if threshold is None else threshold)
-        tree = hierarchical(samples, order_by=order_by, vec=vec, max_rows=max_rows)
-        found = with_position(cut_tree(tree, cut), "node", name="cid").select("cid", "vec")
-        radius, min_dist = cut, cut / 3
+        radius = float(samples.count() // 10 if threshold is None else threshold)
+        book, min_dist = merged_centres(book, radius), radius / 3
     elif method == "flat":
-        k = size if size is not None else math.ceil(samples.count() / 3)
-        min_dist = N.infer_radius(samples, k, vec).first()["radius"]
-        found = leader_cluster(samples, min_dist, order_by, vec).select("cid", "vec")
-        radius = None
+        min_dist = float(N.infer_radius(samples, size, vec).first()["radius"] if threshold is None else threshold)
     else:
         raise ValueError("method must be 'hier' or 'flat'")
-    centroids = _labelled(found).checkpoint()
-    if radius is None:
-        radius = 2 * N.nearest_centroid(samples, centroids, vec, order_by).agg(F.max("dist").alias("d")).first()["d"]
-    return Profile(centroids, radius, min_dist, centroids.count(), vec)
+    rows = [(i, [float(v) for v in c]) for i, c in enumerate(book)]
+    centroids = _labelled(spark.createDataFrame(rows, "cid long, vec array<double>"))
+    if method == "flat":
+        radius = 2 * N.nearest_centroid(samples, centroids, vec).agg(F.max("dist").alias("d")).first()["d"]
+    return Profile(centroids, radius, min_dist, len(rows), vec)
 
 
 def conform(dist: Column, radius: float) -> Column:
     return F.when(dist < radius, "P").otherwise("N")
 
 
-def classify(df: DataFrame, profile: Profile, row_id: str = "row_id") -> DataFrame:
+def classify(df: DataFrame, profile: Profile) -> DataFrame:
     """Add cid, dist, predicted (P inside the radius, else N) and score (1 or 0)."""
-    near = N.nearest_centroid(df, profile.centroids, profile.vec, row_id)
+    near = N.nearest_centroid(df, profile.centroids, profile.vec)
     return near.withColumn("predicted", conform(F.col("dist"), profile.max_radius)).withColumn(
         "score", F.when(F.col("predicted") == "P", 1).otherwise(0))
 
 
-def grow_profile(profile: Profile, batch: DataFrame, row_id: str = "row_id") -> tuple[Profile, DataFrame]:
-    """Cluster the rows at or beyond the radius, add their centroids, and assign those rows to them.
+def grow_profile(profile: Profile, batch: DataFrame, growth: int = GROWTH, seed: int = 42) -> tuple[Profile, DataFrame]:
+    """Cluster the rows at or beyond the radius into at most `growth` new centroids and assign those rows to them.
 
     Sizes become the largest distance assigned so far; labels stay.
     """
-    vec = profile.vec
-    ensure_checkpoint_dir(batch.sparkSession)
-    near = N.nearest_centroid(batch, profile.centroids, vec, row_id).checkpoint()
+    vec, spark = profile.vec, batch.sparkSession
+    ensure_checkpoint_dir(spark)
+    near = N.nearest_centroid(batch, profile.centroids, vec).checkpoint()
     far = near.where(F.col("dist") >= profile.max_radius).select(*batch.columns)
+    centroids = profile.centroids
     if far.take(1):
-        offset = profile.centroids.agg(F.max("cid")).first()[0] + 1
-        new = leader_cluster(far, profile.max_radius, row_id, vec).select((F.col("cid") + offset).alias("cid"), "vec")
-        new = _labelled(new).checkpoint()
-        moved = N.nearest_centroid(far, new, vec, row_id)
-        near = near.where(F.col("dist") < profile.max_radius).unionByName(moved).checkpoint()
-        centroids = profile.centroids.unionByName(new)
-    else:
-        centroids = profile.centroids
+        offset = centroids.agg(F.max("cid")).first()[0] + 1
+        new = _labelled(kmeans(far, growth, seed=seed, vec=vec).select((F.col("cid") + offset).alias("cid"), "vec"))
+        near = near.where(F.col("dist") < profile.max_radius).unionByName(N.nearest_centroid(far, new, vec)).checkpoint()
+        centroids = centroids.unionByName(new)
     reach = N.cluster_summary(near).select("cid", "radius")
     centroids = centroids.join(reach, "cid", "left").select(
         "cid", "vec", F.greatest("size", "radius").alias("size"), "label").checkpoint()
@@ -445,17 +178,10 @@ def learn_label_map(scored: DataFrame) -> DataFrame:
 
 def fit_one_class(samples: DataFrame, nu: float = 0.01, gamma: float = 1e-5, max_centres: int = 1024,
                   vec: str = "features", seed: int = 42) -> OneClass:
-    """All rows are kernel centres while they are few; beyond `max_centres`, k-means centres weighted by their
-    rows stand for them. The cutoff is the nu quantile of the training rows' own scores."""
-    distinct = samples.limit(max_centres + 1).count()
-    if distinct <= max_centres:
-        rows = samples.select(vec).collect()
-        centres, weights = tuple(tuple(r[0]) for r in rows), tuple(1.0 for _ in rows)
-    else:
-        book = kmeans(samples, max_centres, vec=vec, seed=seed)
-        sizes = {r.cid: float(r["size"]) for r in N.cluster_summary(N.nearest_centroid(samples, book, vec)).collect()}
-        kept = [r for r in book.collect() if r.cid in sizes]
-        centres, weights = tuple(tuple(r.vec) for r in kept), tuple(sizes[r.cid] for r in kept)
+    """The kernel centres are at most `max_centres` training rows, those of the smallest seeded hash of their vector, at every
+    size of the table; the cutoff is the nu quantile of all training rows' scores."""
+    rows = samples.select(F.col(vec).alias("v")).orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(max_centres).collect()
+    centres, weights = tuple(tuple(r.v) for r in rows), tuple(1.0 for _ in rows)
     own = _kernel_mean(samples, centres, weights, gamma, vec)
     cutoff = own.agg(F.percentile_approx("kernel_mean", nu, 100_000)).first()[0]
     scored = own.withColumn("score", F.when(F.col("kernel_mean") >= cutoff, 1).otherwise(-1))
@@ -485,7 +211,9 @@ class Projection:
 
 
 def fit_pca(samples: DataFrame, vec: str = "features") -> Projection:
-    dim = samples.select(F.size(vec)).first()[0]
+    """Components of the vectors of the commonest width; others are left out."""
+    dim = N.common_width(samples, vec)
+    samples = N.filter_dimension(samples, dim, vec)
     model = PCA(k=dim, inputCol="_v", outputCol="_p").fit(samples.select(array_to_vector(F.col(vec)).alias("_v")))
     n = samples.count()
     stats = {r.pos: r for r in N.column_stats(samples, vec).collect()}  # one row per position

@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from weir.functions import vectors as V
 from weir.plans.skew import small_side
 
-# Values held on the driver and sent to every executor; larger codebooks go through the block join.
+# Numbers of a codebook that is held on the driver and sent to every executor (32 MB); a larger one is refused.
 MAX_CODEBOOK_VALUES = 1 << 22
-BLOCK_ROWS = 1024
 
 
 def column_stats(samples: DataFrame, vec: str = "features") -> DataFrame:
@@ -85,54 +84,37 @@ def _nearest(block: pd.Series, ids: np.ndarray, book: np.ndarray) -> pd.DataFram
                          "dist": pd.Series(np.sqrt(best)).where(present)})
 
 
-def nearest_centroid(df: DataFrame, centroids: DataFrame, vec: str = "features", row_id: str = "row_id",
-                     max_values: int = MAX_CODEBOOK_VALUES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest_centroid(df: DataFrame, centroids: DataFrame, vec: str = "features", max_values: int = MAX_CODEBOOK_VALUES) -> DataFrame:
     """Add `cid` and `dist` (L2) of the nearest row of `centroids` (cid, vec).
 
-    A codebook of up to `max_values` numbers travels with the tasks and the vectors never move. A larger one
-    is cut into blocks that are joined by block number, and each row keeps the best of its blocks.
+    The codebook travels with the tasks and the vectors never move. Its size is counted first: more than `max_values`
+    numbers raise an error, as a profile has a bounded number of centroids.
     """
-    width = centroids.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
-    if not width.n:
+    size = centroids.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+    if not size.n:
         raise ValueError("the codebook is empty")
-    if width.n * width.d <= max_values:
-        book = centroids.select("cid", "vec").orderBy("cid").collect()
-        shared = df.sparkSession.sparkContext.broadcast(
-            (np.array([r.cid for r in book], dtype=np.int64), np.array([r.vec for r in book], dtype=float)))
-
-        @F.pandas_udf("cid long, dist double")
-        def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            ids, values = shared.value
-            for batch in batches:
-                yield _nearest(batch, ids, values)
-
-        return df.withColumn("_n", nearest(vec)).select(*df.columns, "_n.cid", "_n.dist")
-    return _nearest_by_blocks(df, centroids, vec, row_id, int(width.n), block_rows)
-
-
-def _nearest_by_blocks(df: DataFrame, centroids: DataFrame, vec: str, row_id: str, n: int, block_rows: int) -> DataFrame:
-    blocks = -(-n // block_rows)
-    book = centroids.select("cid", "vec", F.pmod(F.xxhash64("cid"), F.lit(blocks)).alias("_block"))
-    book = book.groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("cid", "vec"))).alias("_book"))
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for _, part in pdf.groupby("_block"):
-                rows = part["_book"].iloc[0]
-                ids = np.array([r["cid"] for r in rows], dtype=np.int64)
-                found = _nearest(part[vec].reset_index(drop=True), ids, np.array([r["vec"] for r in rows], dtype=float))
-                yield pd.DataFrame({row_id: part[row_id].to_numpy(), "cid": found["cid"], "dist": found["dist"]})
-
-    # rows spread over (block, salt), so no task holds all rows of one block
-    salts = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    rows = (df.where(F.col(vec).isNotNull())
-            .select(row_id, vec, F.pmod(F.xxhash64(row_id), F.lit(salts)).alias("_salt"),
-                    F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block")))
-    book = book.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    kind = df.schema[row_id].dataType.simpleString()
-    partial = rows.join(book, ["_block", "_salt"]).mapInPandas(best, f"{row_id} {kind}, cid long, dist double")
-    found = partial.groupBy(row_id).agg(F.min(F.struct("dist", "cid")).alias("_n"))
-    return df.join(found, row_id, "left").select(*df.columns, "_n.cid", "_n.dist")
+    if size.n * size.d > max_values:
+        raise ValueError(f"the codebook has {size.n} centroids of {size.d} numbers; at most {max_values} numbers are allowed")
+    book = centroids.select("cid", "vec").orderBy("cid").collect()
+    shared = df.sparkSession.sparkContext.broadcast(
+        (np.array([r.cid for r in book], dtype=np.int64), np.array([r.vec for r in book], dtype=float)))
+
+    @F.pandas_udf("cid long, dist double")
+    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        ids, values = shared.value
+        for batch in batches:
+            yield _nearest(batch, ids, values)
+
+    return df.withColumn("_n", nearest(vec)).select(*df.columns, "_n.cid", "_n.dist")
+
+
+def common_width(samples: DataFrame, vec: str = "features") -> int:
+    """The width most vectors have; of equally many, the larger."""
+    widths = samples.where(F.col(vec).isNotNull()).groupBy(F.size(vec).alias("n")).agg(F.count(F.lit(1)).alias("rows"))
+    found = widths.orderBy(F.desc("rows"), F.desc("n")).first()
+    if found is None:
+        raise ValueError("no vectors")
+    return found.n
 
 
 def cluster_summary(assigned: DataFrame) -> DataFrame:
@@ -171,9 +153,10 @@ def systematic_sample(df: DataFrame, *order: str, step: int = 10) -> DataFrame:
     return with_position(df, *order, name="_pos").where(F.col("_pos") % step == 0).drop("_pos")
 
 
-def sample_per_class(df: DataFrame, n: int = 15, seed: int = 42, row_id: str = "row_id") -> DataFrame:
-    """n rows of each label, chosen by a seeded hash of the row id."""
-    w = Window.partitionBy("label").orderBy(F.xxhash64(row_id, F.lit(seed)), row_id)
+def sample_per_class(df: DataFrame, n: int = 15, seed: int = 42, row_id: str = "row_id", share=None) -> DataFrame:
+    """n rows of each label, those of the smallest share: a seeded hash of the row id, or `share(row_id, seed)`."""
+    order = share(F.col(row_id), seed) if share else F.xxhash64(row_id, F.lit(seed))
+    w = Window.partitionBy("label").orderBy(order, row_id)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 

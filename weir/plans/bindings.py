@@ -26,14 +26,18 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+# A capture whose clock is set back for single packets and by longer corrections.
+STEP_BACK = " + CASE WHEN event_id % 7 = 3 THEN -1 WHEN event_id % 700 >= 600 THEN -25 ELSE 0 END"
+
+
 def flow_packets(spark: SparkSession, sf_dir: str, clients: int = 15, per_second: int = 10,
-                 ports: int = 40, events: DataFrame | None = None) -> DataFrame:
+                 ports: int = 40, events: DataFrame | None = None, steps_back: bool = False) -> DataFrame:
     e = table(spark, sf_dir, "events") if events is None else events
     out = F.col("event_type").isin("click", "view")
     port = (1024 + (F.col("event_id") * 7 + F.col("user_id")) % ports).cast("int")
     return e.select(
         F.col("event_id").alias("seq"),
-        F.timestamp_seconds(F.expr(f"event_id div {per_second}")).alias("ts"),
+        F.timestamp_seconds(F.expr(f"event_id div {per_second}" + STEP_BACK * steps_back)).alias("ts"),
         F.when(out, "OUT").otherwise("IN").alias("direction"),
         (F.col("user_id") % clients).alias("client_ip"),
         F.lit(0).cast("long").alias("server_ip"),
@@ -44,10 +48,10 @@ def flow_packets(spark: SparkSession, sf_dir: str, clients: int = 15, per_second
     )
 
 
-def flow_packets_sql(clients: int = 15, per_second: int = 10, ports: int = 40) -> str:
+def flow_packets_sql(clients: int = 15, per_second: int = 10, ports: int = 40, steps_back: bool = False) -> str:
     port = f"CAST(1024 + (event_id * 7 + user_id) % {ports} AS INTEGER)"
     return f"""flow_packets AS (
-  SELECT event_id AS seq, event_id // {per_second} AS t,
+  SELECT event_id AS seq, event_id // {per_second}{STEP_BACK * steps_back} AS t,
          CASE WHEN event_type IN ('click', 'view') THEN 'OUT' ELSE 'IN' END AS direction,
          user_id % {clients} AS client_ip, CAST(0 AS BIGINT) AS server_ip,
          CASE WHEN event_type IN ('click', 'view') THEN {port} ELSE 53 END AS src_port,

@@ -49,7 +49,8 @@ def _nonlc(spark, sf_dir):
         "seq", D.nonlc_count(r).alias("nonlc"), r6(D.nonlc_rate(r)).alias("rate"))
 
 
-INVALID_SQL = "coalesce(qname, concat_ws('.', CAST(client_ip AS VARCHAR), CAST(server_ip AS VARCHAR), 'INVALID'))"
+INVALID_SQL = """coalesce(qname, CASE WHEN direction = 'OUT' THEN client_ip || '.' || server_ip ELSE server_ip || '.' || client_ip END
+  || '.INVALID')"""
 
 
 @query("fill_invalid_domain", f"WITH {MESSAGES_SQL} SELECT seq, {INVALID_SQL} AS qname FROM messages")

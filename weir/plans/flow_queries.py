@@ -23,10 +23,10 @@ HISTORY = """hist AS (
          b AS (PARTITION BY client_ip, server_ip ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 series AS (
   SELECT *,
-    CASE WHEN direction = 'IN' THEN t - coalesce(lq, t0) END AS rtt,
-    CASE WHEN direction = 'OUT' THEN 2.0::DOUBLE / (1 + t - coalesce(lq, t0)) END AS query_rate,
-    1000.0::DOUBLE * len / (1 + t - coalesce(lq, t0)) AS byte_rate,
-    CASE WHEN direction = 'OUT' THEN t - coalesce(lr, t0) END AS inter_query,
+    CASE WHEN direction = 'IN' THEN greatest(0, t - coalesce(lq, t0)) END AS rtt,
+    CASE WHEN direction = 'OUT' THEN 2.0::DOUBLE / (1 + greatest(0, t - coalesce(lq, t0))) END AS query_rate,
+    1000.0::DOUBLE * len / (1 + greatest(0, t - coalesce(lq, t0))) AS byte_rate,
+    CASE WHEN direction = 'OUT' THEN greatest(0, t - coalesce(lr, t0)) END AS inter_query,
     CASE WHEN direction = 'OUT' THEN (1.0::DOUBLE + sent) / (1 + recvd) END AS updown_ratio,
     CASE WHEN direction = 'OUT' AND len > 0 THEN len END AS forward_length,
     CASE WHEN direction = 'IN' AND len > 0 THEN len END AS backward_length
@@ -149,14 +149,14 @@ def _flow_totals(spark, sf_dir):
 
 
 @query("asof_last_query", f"""WITH {flow_packets_sql()}, {HISTORY}
-SELECT client_ip, server_ip, seq, t - coalesce(lq, t0) AS since_last_query FROM hist WHERE direction = 'IN'""")
+SELECT client_ip, server_ip, seq, greatest(0, t - coalesce(lq, t0)) AS since_last_query FROM hist WHERE direction = 'IN'""")
 def _asof_last_query(spark, sf_dir):
     return flows.asof_last_query(flow_packets(spark, sf_dir)).select(*KEY, "since_last_query")
 
 
 @query("asof_last_response", f"""WITH {flow_packets_sql()}, {HISTORY}
-SELECT client_ip, server_ip, seq, t - coalesce(lr, t0) AS since_last_response,
-  t - coalesce(lq, t0) AS since_last_query FROM hist WHERE direction = 'OUT'""")
+SELECT client_ip, server_ip, seq, greatest(0, t - coalesce(lr, t0)) AS since_last_response,
+  greatest(0, t - coalesce(lq, t0)) AS since_last_query FROM hist WHERE direction = 'OUT'""")
 def _asof_last_response(spark, sf_dir):
     return flows.asof_last_response(flow_packets(spark, sf_dir)).select(
         *KEY, "since_last_response", "since_last_query")
@@ -199,7 +199,7 @@ def _source_pattern(spark, sf_dir):
         *KEY, "transactions", "port_repeats", "id_repeats", "source_code")
 
 
-def _features_sql(select: str) -> str:
+def _features_sql(select: str, **binding) -> str:
     one_way = ["rtt", "query_rate", "updown_ratio"]
     means = ", ".join(f"{cut(f'sum({v}) OVER d / 50.0::DOUBLE')} AS {v}_mean" for v in one_way)
     sides = ["rtt_mean", "query_rate_mean", "updown_ratio_mean", "inter_query_mean", "inter_query_std",
@@ -208,7 +208,7 @@ def _features_sql(select: str) -> str:
     ends = ", ".join(f"{cut(f'coalesce({e}({v}) OVER f, 0)')} AS {v}_{e}" for e in ("max", "min") for v in (
         "inter_query", "inflight_packets", "inflight_bytes", "forward_length", "backward_length"))
     flow = "PARTITION BY client_ip, server_ip"
-    return f"""WITH {flow_packets_sql()}, {HISTORY}, {PORTS_SQL},
+    return f"""WITH {flow_packets_sql(**binding)}, {HISTORY}, {PORTS_SQL},
 directed AS (SELECT *, {means}, {frame_sql('CAST(inter_query AS HUGEINT)', 'd', 'inter_query')},
   {frame_sql('CAST(forward_length AS HUGEINT)', 'z', 'forward_length')},
   {frame_sql('CAST(backward_length AS HUGEINT)', 'z', 'backward_length')}
@@ -232,3 +232,13 @@ SELECT client_ip, server_ip, seq, {select} FROM features"""
 def _flow_features(spark, sf_dir):
     f = flows.flow_features(flow_packets(spark, sf_dir))
     return f.select(*KEY, *[F.coalesce(c, F.lit(0)).alias(c) for c in flows.FEATURES])
+
+
+STEPS = {"steps_back": True}
+
+
+@query("flow_features_clock_steps", _features_sql(", ".join(flows.FEATURES), **STEPS))
+def _clock_steps(spark, sf_dir):
+    """The same over a capture whose clock is set back now and then."""
+    f = flows.flow_features(flow_packets(spark, sf_dir, **STEPS))
+    return f.select(*KEY, *[F.coalesce(c, F.lit(0)).alias(c) for c in flows.FEATURES])

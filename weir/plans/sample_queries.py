@@ -55,12 +55,6 @@ def _nearest(spark, sf_dir):
     return assigned(spark, sf_dir).select("row_id", "cid", r6("dist").alias("dist"))
 
 
-@query("nearest_centroid_blocks", f"WITH {samples_sql()}, {CENTROIDS_SQL} SELECT row_id, cid, round(dist, 6) AS dist FROM nearest")
-def _nearest_blocks(spark, sf_dir):
-    near = N.nearest_centroid(samples(spark, sf_dir), centroids(spark, sf_dir), max_values=100, block_rows=3)
-    return near.select("row_id", "cid", r6("dist").alias("dist"))
-
-
 @query("cluster_summary", f"WITH {samples_sql()}, {CENTROIDS_SQL} SELECT cid, round(max(dist), 6) AS radius, count(*) AS size "
                           "FROM nearest GROUP BY ALL")
 def _summary(spark, sf_dir):
@@ -73,13 +67,12 @@ def _distortion(spark, sf_dir):
 
 
 def mean_profile(spark, sf_dir, radius: float = 0.9) -> P.Profile:
-    """The mean vector of the normal label only, as a profile."""
-    normal = centroids(spark, sf_dir).where("cid < 5")
-    labelled = normal.select("cid", "vec", F.lit(0.001).alias("size"), F.concat(F.lit("group "), F.col("cid").cast("string")).alias("label"))
-    return P.Profile(labelled, radius, radius / 3, 5)
+    """The mean vectors of all labels, as a profile."""
+    labelled = centroids(spark, sf_dir).select("cid", "vec", F.lit(0.001).alias("size"), F.concat(F.lit("group "), F.col("cid").cast("string")).alias("label"))
+    return P.Profile(labelled, radius, radius / 3, 10)
 
 
-SCORED_SQL = f"""{samples_sql()}, {CENTROIDS_SQL.replace("FROM cells GROUP BY ALL)", "FROM cells WHERE CAST(source AS BIGINT) < 5 GROUP BY ALL)")},
+SCORED_SQL = f"""{samples_sql()}, {CENTROIDS_SQL},
 scored AS (SELECT s.row_id, s.label, s.source, cid, dist, CASE WHEN dist < 0.9 THEN 'P' ELSE 'N' END AS predicted,
   CASE WHEN dist < 0.9 THEN 1 ELSE 0 END AS score FROM samples s JOIN nearest USING (row_id))"""
 
@@ -163,9 +156,13 @@ def _systematic(spark, sf_dir):
     return N.systematic_sample(samples(spark, sf_dir), "source", "row_id").select("row_id")
 
 
-@query("sample_per_class")
+@query("sample_per_class", f"""WITH {SCORED_SQL} SELECT row_id, label, predicted, source FROM (SELECT *, row_number() OVER (
+  PARTITION BY label ORDER BY ((row_id * 7919 + 42) % 10007)::DOUBLE / 10007, row_id) AS r FROM scored) WHERE r <= 15""")
 def _per_class(spark, sf_dir):
-    return N.sample_per_class(scored(spark, sf_dir)).select("row_id", "label", "predicted", "source")
+    def share(row_id, seed):
+        return ((row_id * 7919 + seed) % 10007).cast("double") / 10007
+
+    return N.sample_per_class(scored(spark, sf_dir), share=share).select("row_id", "label", "predicted", "source")
 
 
 @query("holdout_splits", """SELECT round, fraction, held_out, count(*) AS n FROM (
@@ -259,7 +256,7 @@ def _feature_map(spark, sf_dir):
 
 
 @query("centroid_map", f"WITH {samples_sql()}, {CENTROIDS_SQL} SELECT cid, round(sum(CASE WHEN pos < 32 THEN (pos + 1) * c ELSE 0 END), 6) AS x, "
-                       "round(sum(CASE WHEN pos >= 32 THEN pos * c ELSE 0 END), 6) AS y, 0.001::DOUBLE AS size FROM centroids WHERE cid < 5 GROUP BY ALL")
+                       "round(sum(CASE WHEN pos >= 32 THEN pos * c ELSE 0 END), 6) AS y, 0.001::DOUBLE AS size FROM centroids GROUP BY ALL")
 def _centroid_map(spark, sf_dir):
     return G.centroid_map(mean_profile(spark, sf_dir).centroids).select("cid", r6("x").alias("x"), r6("y").alias("y"), "size")
 
@@ -334,117 +331,99 @@ def _event_log(spark, sf_dir):
 # ---- models ----------------------------------------------------------------------------------------
 # Fitted models have no SQL form; tests compare them with independent models on small fixtures.
 
-@query("leader_cluster")
-def _leader(spark, sf_dir):
-    return P.leader_cluster(samples(spark, sf_dir, 26), 0.9).select("cid", "size")
-
-
-@query("leader_cluster_levels", "SELECT CAST(count(*) AS DOUBLE) AS rows FROM embeddings")
-def _leader_levels(spark, sf_dir):
-    return P.leader_cluster(samples(spark, sf_dir, 26), 0.5, exact_rows=100).agg(F.sum("size").alias("rows"))
-
-
-@query("kmeans")
+@query("kmeans", f"WITH {samples_sql()} SELECT count(*) AS rows, 10 AS centroids, 0 AS not_nearest FROM samples")
 def _kmeans(spark, sf_dir):
-    return P.kmeans(samples(spark, sf_dir, 26), 10).select("cid", r6(F.col("vec")[0]).alias("v0"))
-
-
-@query("kmeans_by_radius")
-def _kmeans_radius(spark, sf_dir):
-    return P.kmeans_by_radius(samples(spark, sf_dir, 26), 5).select("cid", "size")
-
-
-def tree(spark, sf_dir):
-    return P.hierarchical(samples(spark, sf_dir, 10), by="source")
-
-
-@query("hierarchical")
-def _hier(spark, sf_dir):
-    return tree(spark, sf_dir).select("source", "node", "left", "right", r6("dist").alias("dist"))
+    s, book = samples(spark, sf_dir), P.kmeans(samples(spark, sf_dir), 10)
+    return not_nearest(N.nearest_centroid(s, book), book)
 
 
-@query("hierarchical_l1")
-def _hier_l1(spark, sf_dir):
-    return P.hierarchical(samples(spark, sf_dir, 10), dist="l1", by="source").select("source", "node", r6("dist").alias("dist"))
+def not_nearest(near, book):
+    """Rows, centroids, and rows that have a centroid nearer than theirs by a join with all centroids of a bounded book."""
+    book = book.select(F.col("cid").alias("other"), F.col("vec").alias("v"))
+    gaps = near.join(F.broadcast(book), F.lit(True)).groupBy("row_id").agg(
+        F.min(V.l2(F.col("features"), F.col("v"))).alias("least"), F.first("dist").alias("dist"), F.count(F.lit(1)).alias("n"))
+    return gaps.agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("centroids"),
+                    F.count_if(F.abs(F.col("dist") - F.col("least")) > 1e-9).alias("not_nearest"))
 
 
-@query("cut_tree")
-def _cut(spark, sf_dir):
-    return P.cut_tree(tree(spark, sf_dir), 0.3, by="source").groupBy("source").agg(F.count(F.lit(1)).alias("clusters"))
+PROFILE_SQL = "SELECT count(*) AS rows, 0 AS outside, 0 AS too_close FROM embeddings"
 
 
-# leaves below the root are all rows of the group; inner nodes are one fewer
-@query("tree_height", "SELECT CAST(label AS VARCHAR) AS source, count(*) AS height, 2 * count(*) - 1 AS nodes FROM embeddings GROUP BY ALL")
-def _height(spark, sf_dir):
-    return P.tree_height(tree(spark, sf_dir), by="source").groupBy("source").agg(
-        F.max("height").alias("height"), F.count(F.lit(1)).alias("nodes"))
+def profile_check(s, p, least):
+    """Rows, rows outside the radius, and pairs of centroids closer than `least`."""
+    a = p.centroids.select(F.col("cid").alias("i"), F.col("vec").alias("a"))
+    b = p.centroids.select(F.col("cid").alias("j"), F.col("vec").alias("b"))
+    close = a.join(F.broadcast(b), F.col("i") < F.col("j")).agg(
+        F.count_if(V.l2(F.col("a"), F.col("b")) < least - 1e-9).alias("too_close"))
+    rows = P.classify(s, p).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("predicted") != "P").alias("outside"))
+    return rows.join(F.broadcast(close), F.lit(True))
 
 
-@query("tree_depth")
-def _depth(spark, sf_dir):
-    return P.tree_depth(tree(spark, sf_dir), by="source").groupBy("source").agg(r6(F.max("depth")).alias("depth"))
-
-
-@query("tree_members")
-def _members(spark, sf_dir):
-    return P.tree_members(tree(spark, sf_dir), 60, by="source")
-
-
-@query("fit_profile_hier")
+@query("fit_profile_hier", PROFILE_SQL)
 def _fit_hier(spark, sf_dir):
-    p = P.fit_profile(samples(spark, sf_dir, 10), "hier", threshold=0.3)
-    return p.centroids.select("cid", "label", r6(F.col("vec")[0]).alias("v0"))
+    s = samples(spark, sf_dir)
+    return profile_check(s, P.fit_profile(s, "hier"), s.count() // 10)
 
 
-@query("fit_profile_flat")
+@query("fit_profile_flat", PROFILE_SQL)
 def _fit_flat(spark, sf_dir):
-    p = P.fit_profile(samples(spark, sf_dir, 26), "flat", size=5)
-    return p.centroids.select("cid", "label", F.lit(p.max_radius).alias("max_radius"))
+    s = samples(spark, sf_dir)
+    return profile_check(s, P.fit_profile(s, "flat", size=5), 0)
 
 
-@query("grow_profile")
+@query("grow_profile", f"""WITH {SCORED_SQL} SELECT count(*) AS rows, CAST(sum((dist >= 0.9)::INT) AS BIGINT) AS moved, 10 AS kept_labels
+FROM scored""")
 def _grow(spark, sf_dir):
-    p, near = P.grow_profile(mean_profile(spark, sf_dir, 0.8), samples(spark, sf_dir))
-    return near.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("reach"))
+    old = mean_profile(spark, sf_dir)
+    p, near = P.grow_profile(old, samples(spark, sf_dir))
+    kept = p.centroids.join(old.centroids.select("cid", "label"), ["cid", "label"]).agg(F.count(F.lit(1)).alias("kept_labels"))
+    return near.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("cid") >= 10).alias("moved")).join(F.broadcast(kept), F.lit(True))
 
 
 @query("one_class")
 def _one_class(spark, sf_dir):
-    s = samples(spark, sf_dir, 26)
+    s = samples(spark, sf_dir)
     m = P.fit_one_class(s.where("label = 'P'"), gamma=0.5)
     return m.score(s).select("row_id", "label", "score", "predicted")
 
 
-@query("fit_pca")
+@query("fit_pca", f"WITH {samples_sql()}, s AS (SELECT pos, count(*) * var_pop(v) AS scatter FROM cells GROUP BY ALL) "
+                  "SELECT count(*) AS components, round(sum(scatter), 6) AS total, 0 AS not_orthonormal FROM s")
 def _pca(spark, sf_dir):
-    p = P.fit_pca(samples(spark, sf_dir, 26))
-    values = F.explode(F.array(*[F.lit(float(v)) for v in p.singular_values])).alias("value")
-    return samples(spark, sf_dir, 26).limit(1).select(values).select(r6("value").alias("value"))
-
-
-@query("project_pca")
+    p = P.fit_pca(samples(spark, sf_dir))
+    rows = [(i, [float(v) for v in c], float(s)) for i, (c, s) in enumerate(zip(p.components, p.singular_values))]
+    c = spark.createDataFrame(rows, "i int, c array<double>, s double")
+    dot = F.aggregate(F.zip_with("c", "d", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    other = c.select(F.col("i").alias("j"), F.col("c").alias("d"))
+    wrong = c.join(F.broadcast(other), F.lit(True)).agg(
+        F.count_if(F.abs(dot - F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)) > 1e-8).alias("not_orthonormal"))
+    return c.agg(F.count(F.lit(1)).alias("components"), r6(F.sum(F.col("s") * F.col("s"))).alias("total")).join(F.broadcast(wrong), F.lit(True))
+
+
+# an orthonormal base keeps every vector's length
+@query("project_pca", f"WITH {samples_sql()} SELECT row_id, round(sum(v * v), 6) AS square FROM cells GROUP BY ALL")
 def _project_pca(spark, sf_dir):
-    s = samples(spark, sf_dir, 26)
-    return P.project(s, P.fit_pca(s)).select("row_id", F.abs(F.col("projected")[0]).alias("first"))
+    s = samples(spark, sf_dir)
+    return P.project(s, P.fit_pca(s)).select("row_id", r6(F.aggregate("projected", F.lit(0.0), lambda a, x: a + x * x)).alias("square"))
 
 
 @query("train_and_evaluate")
 def _train(spark, sf_dir):
     model = scratch(spark, "model")
-    s = samples(spark, sf_dir, 26)
+    s = samples(spark, sf_dir)
     S.import_samples(s.where("label = 'P'"), model, "normal", "zero")
     S.import_samples(s.where("label = 'N'"), model, "anomalous", "others")
-    return E.train_and_evaluate(spark, model, step=2)
+    return E.train_and_evaluate(spark, model)
 
 
 @query("compare_classifiers")
 def _compare(spark, sf_dir):
-    return E.compare_classifiers(samples(spark, sf_dir, 26), fractions=(0.75, 0.5), rounds=1)
+    return E.compare_classifiers(samples(spark, sf_dir), fractions=(0.75, 0.5), rounds=1)
 
 
 @query("compare_feature_subsets")
 def _subsets(spark, sf_dir):
-    return E.compare_feature_subsets(samples(spark, sf_dir, 26), fractions=(0.5,), rounds=1)
+    return E.compare_feature_subsets(samples(spark, sf_dir), fractions=(0.5,), rounds=1)
 
 
 # ---- sample files ----------------------------------------------------------------------------------
@@ -452,10 +431,10 @@ def _subsets(spark, sf_dir):
 ROUNDTRIP = "round(sum(list_sum(features)), 4)"
 
 
-@query("read_feature_csv", f"WITH {samples_sql(26)} SELECT 'zero.csv' AS source, 26 AS width, count(*) AS n, {ROUNDTRIP} AS total FROM samples WHERE label = 'P'")
+@query("read_feature_csv", f"WITH {samples_sql()} SELECT 'zero.csv' AS source, 64 AS width, count(*) AS n, {ROUNDTRIP} AS total FROM samples WHERE label = 'P'")
 def _read_csv(spark, sf_dir):
     model = scratch(spark, "model")
-    path = S.import_samples(samples(spark, sf_dir, 26).where("label = 'P'"), model, "normal", "zero")
+    path = S.import_samples(samples(spark, sf_dir).where("label = 'P'"), model, "normal", "zero")
     total = F.sum(F.aggregate("features", F.lit(0.0), lambda a, x: a + x))
     return S.read_feature_csv(spark, path).groupBy("source", F.size("features").alias("width")).agg(
         F.count(F.lit(1)).alias("n"), F.round(total, 4).alias("total"))
@@ -463,7 +442,7 @@ def _read_csv(spark, sf_dir):
 
 def _model(spark, sf_dir):
     model = scratch(spark, "model")
-    s = samples(spark, sf_dir, 26)
+    s = samples(spark, sf_dir)
     S.import_samples(s.where("label = 'P'"), model, "normal", "zero")
     S.import_samples(s.where("label = 'N'"), model, "anomalous", "others")
     return model
@@ -485,7 +464,7 @@ def _tagged(spark, sf_dir):
 
 @query("import_samples", "SELECT label, count(*) AS n FROM (SELECT CASE WHEN label = 0 THEN 'P' ELSE 'N' END AS label FROM embeddings) GROUP BY ALL")
 def _import(spark, sf_dir):
-    path = S.import_samples(samples(spark, sf_dir, 26), scratch(spark, "model"), "normal", "all")
+    path = S.import_samples(samples(spark, sf_dir), scratch(spark, "model"), "normal", "all")
     return S.read_raw_rows(spark, path).groupBy(F.trim(F.element_at("cells", -1)).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 

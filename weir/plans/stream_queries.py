@@ -120,16 +120,16 @@ def _late(spark, sf_dir):
     return d.select(F.unix_seconds("window.start").alias("win"), "n")
 
 
-@query("stream_grow_profile")
+@query("stream_grow_profile", "SELECT count(*) AS rows, 0 AS grown FROM events")
 def _grow(spark, sf_dir):
     from weir.operators.hostevents import fit_event_profile
 
-    start = fit_event_profile(HQ.host_events(spark, sf_dir).where("seq % 20 = 0"), size=3)
+    start = fit_event_profile(HQ.host_events(spark, sf_dir), size=3)
     saved, out = scratch(spark, "profile"), scratch(spark, "grown")
     SE.save_profile(start, saved, 0)
     e = HQ.host_events(spark, sf_dir, events=stream_table(spark, sf_dir, "events"))
     SE.stream_grow_profile(e, saved, scratch(spark, "grow-state"), out, vec="vec").awaitTermination()
-    return spark.read.parquet(out).groupBy("cid", "grown").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("rows"), F.count_if("grown").alias("grown"))
 
 
 @query("stream_write_points", ORACLES["write_points"])

@@ -45,7 +45,8 @@ def _linux(lines: DataFrame, text: str) -> DataFrame:
     keep = [c for c in lines.columns if c != text]
     rows = lines.where(F.trim(text).rlike("^(tcp|udp|raw)")).withColumn("_f", F.split(F.trim(text), " +"))
     f = F.col("_f")
-    no_state = F.upper(f[0]) == "UDP"
+    # datagram protocols name a state only when they are connected: the column after the addresses is then no user id
+    no_state = F.upper(f[0]).startswith("UDP") & ~F.coalesce(_field(f, 5).rlike("^[A-Z_0-9]*[A-Z][A-Z_0-9]*$"), F.lit(False))
     i = F.when(no_state, 5).otherwise(6)
     local, lport = _address(f[3])
     foreign, fport = _address(f[4])
@@ -79,7 +80,8 @@ def _nt(snapshots: DataFrame, text: str) -> DataFrame:
     rows = rows.withColumn("_l", F.filter(F.transform(F.split("_e", "\n"), lambda x: F.trim(x)), lambda x: x != ""))
     rows = rows.withColumn("_f", F.split(F.col("_l")[0], " +"))
     f, more = F.col("_f"), F.slice("_l", 2, 2)
-    no_state = F.upper(f[0]) == "UDP"
+    # datagram protocols name a state only when they are connected: the column after the addresses is then no user id
+    no_state = F.upper(f[0]).startswith("UDP") & ~F.coalesce(_field(f, 5).rlike("^[A-Z_0-9]*[A-Z][A-Z_0-9]*$"), F.lit(False))
     local, lport = _address(f[1])
     foreign, fport = _address(f[2])
     first = _field(more, 0)

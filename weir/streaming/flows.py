@@ -88,19 +88,27 @@ def _before(values: np.ndarray, start: int) -> np.ndarray:
     return np.maximum.accumulate(np.concatenate([[start], values]))[:-1]
 
 
+_NEVER = int(np.iinfo(np.int64).min)
+
+
+def _elapsed(t: np.ndarray, last: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Seconds since the last event, or since the flow began; a clock that steps back counts as no time passed."""
+    return np.maximum(0, t - np.where(last == _NEVER, starts, last))
+
+
 def advance(state: tuple | None, pdf: pd.DataFrame) -> tuple[np.ndarray, tuple]:
     """Features of the new packets of one flow, in `seq` order, and the flow's next state."""
     t, length = pdf["t"].to_numpy(np.int64), pdf["len"].to_numpy(np.int64)
     out = (pdf["direction"] == "OUT").to_numpy()
     if state is None:
         tails, lows, highs = [[] for _ in _SERIES], [None] * len(_RANGED), [None] * len(_RANGED)
-        counters, ports, uses = [int(t[0])] * 3 + [0] * 4, [], []
+        counters, ports, uses = [int(t[0]), _NEVER, _NEVER, 0, 0, 0, 0], [], []
     else:
         tails, lows, highs, counters, ports, uses = state
     start, last_q, last_r, sent, received, open_p, open_b = (int(c) for c in counters)
-    never = np.iinfo(np.int64).min
-    since_q = t - _before(np.where(out, t, never), last_q)
-    since_r = t - _before(np.where(out, never, t), last_r)
+    starts = np.minimum.accumulate(np.concatenate([[start], t]))[1:]
+    since_q = _elapsed(t, _before(np.where(out, t, _NEVER), last_q), starts)
+    since_r = _elapsed(t, _before(np.where(out, _NEVER, t), last_r), starts)
     sent_now = sent + np.cumsum(np.where(out, length, 0))
     received_now = received + np.cumsum(np.where(out, 0, length))
     packets = open_p + np.cumsum(np.where(out, 1, -1))
@@ -136,9 +144,9 @@ def advance(state: tuple | None, pdf: pd.DataFrame) -> tuple[np.ndarray, tuple]:
         squares.append(held.squares)
     c, q = np.array(totals, dtype=float), np.array(squares, dtype=float)
     cols["port_reuse_mean"], cols["port_reuse_std"] = np.trunc(c / SLOTS), np.trunc(np.sqrt(SLOTS * q - c * c) / SLOTS)
-    features = np.stack([cols[f] for f in FEATURES], axis=1).astype(float)
+    features = np.stack([cols[f] for f in FEATURES], axis=1).astype(float) + 0.0  # no negative zeros
     q_times, r_times = t[out], t[~out]
-    counters = [start, max(last_q, int(q_times.max())) if len(q_times) else last_q,
+    counters = [int(starts[-1]), max(last_q, int(q_times.max())) if len(q_times) else last_q,
                 max(last_r, int(r_times.max())) if len(r_times) else last_r,
                 int(sent_now[-1]), int(received_now[-1]), int(packets[-1]), int(balance[-1])]
     return features, (new_tails, new_lows, new_highs, counters, held.ports, held.uses)
