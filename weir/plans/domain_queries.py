@@ -18,14 +18,14 @@ def r6(c):
     return F.round(c, 6)
 
 
-@query("reversed_qname", f"WITH {MESSAGES_SQL} SELECT seq, {RNAME} AS rname FROM messages WHERE qname IS NOT NULL")
+@query("reversed_qname", f"WITH {MESSAGES_SQL} SELECT seq, {RNAME} AS rname FROM messages")
 def _reversed(spark, sf_dir):
-    return D.with_reversed_qname(messages(spark, sf_dir)).where("qname is not null").select("seq", "rname")
+    return D.with_reversed_qname(messages(spark, sf_dir)).select("seq", "rname")
 
 
-@query("domain_key", f"WITH {MESSAGES_SQL} SELECT seq, {KEY_SQL} AS domain_key FROM messages WHERE qname IS NOT NULL")
+@query("domain_key", f"WITH {MESSAGES_SQL} SELECT seq, {KEY_SQL} AS domain_key FROM messages")
 def _key(spark, sf_dir):
-    return D.with_domain_key(messages(spark, sf_dir)).where("qname is not null").select("seq", "domain_key")
+    return D.with_domain_key(messages(spark, sf_dir)).select("seq", "domain_key")
 
 
 @query("message_kind", f"WITH {MESSAGES_SQL} SELECT CASE WHEN ancount = 0 THEN 'Query' ELSE 'Reply' END AS kind, "
@@ -34,18 +34,18 @@ def _kind(spark, sf_dir):
     return D.with_message_kind(messages(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("order_by_domain", f"WITH {MESSAGES_SQL} SELECT seq, qname FROM messages WHERE qname IS NOT NULL "
+@query("order_by_domain", f"WITH {MESSAGES_SQL} SELECT seq, qname FROM messages "
                           "ORDER BY reverse(qname), qname")
 def _ordered(spark, sf_dir):
-    return D.order_by_domain(messages(spark, sf_dir).where("qname is not null")).select("seq", "qname")
+    return D.order_by_domain(messages(spark, sf_dir)).select("seq", "qname")
 
 
 @query("nonlc_rate", f"""WITH {MESSAGES_SQL}
 SELECT seq, {NONLC.format(r=RNAME)} AS nonlc, round({NONLC.format(r=RNAME)}::DOUBLE / length(qname), 6) AS rate
-FROM messages WHERE qname IS NOT NULL""")
+FROM messages""")
 def _nonlc(spark, sf_dir):
     r = F.reverse("qname")
-    return messages(spark, sf_dir).where("qname is not null").select(
+    return messages(spark, sf_dir).select(
         "seq", D.nonlc_count(r).alias("nonlc"), r6(D.nonlc_rate(r)).alias("rate"))
 
 
