@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from weir.operators import profiles as P
 from weir.operators import vectors as N
-from weir.operators.evaluate import feature_windows
+from weir.operators.evaluate import feature_windows, linear_trials
 
 SCHEMA = "row_id long, features array<double>, source string, label string"
 
@@ -112,3 +112,18 @@ def test_samples_are_fixed_by_the_seed(spark, x):
 
 def test_feature_windows():
     assert [w[0] for w in feature_windows(26)] == ["ALL", "(0, 10)", "(5, 15)", "(10, 20)", "(15, 25)", "(20, 30)"]
+
+
+def test_linear_trials_count_and_learn(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 6))
+    rows = [(i, [float(v) for v in row], "s", "P" if row[0] - row[4] + 0.2 > 0 else "N") for i, row in enumerate(x)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = linear_trials(df, [("ALL", 0, 6), ("blind", 1, 3)], (0.5, 0.9), 3).collect()
+    assert len(got) == 2 * 2 * 2 * 3
+    held = {(r.fraction, r.round): r.n for r in N.holdout_splits(df, (0.5, 0.9), 3).groupBy("fraction", "round").agg(
+        F.count_if("held_out").alias("n")).collect()}
+    for r in got:
+        assert r.held_out == held[r.fraction, r.round]
+        error = r.errors / r.held_out
+        assert error < (0.1 if r.fraction == 0.5 else 0.3) if r.subset == "ALL" else 0.35 < error < 0.65

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weir.functions.vectors import last_features
 from weir.operators import profiles as P
-from weir.operators.vectors import HELD_OUT, ROUNDS, common_width, filter_dimension, hashed_share, systematic_sample
+from weir.operators.vectors import HELD_OUT, ROUNDS, column_stats, common_width, filter_dimension, hashed_share, systematic_sample
 from weir.sources.samples import LINE_ORDER, load_samples
 
 
@@ -115,6 +117,97 @@ def feature_windows(dim: int, width: int = 10, overlap: int = 5) -> list[tuple[s
     return [("ALL", 0, dim), *[(f"({s}, {s + width})", s, min(width, dim - s)) for s in starts]]
 
 
+# ---- all trials at once -----------------------------------------------------------------------------
+
+LOSSES = ("logistic", "linear_svc")
+
+
+def _summed(parts: DataFrame, width: int) -> np.ndarray:
+    """Sum of one packed array per task, added up in two levels."""
+    few = max(1, int(parts.rdd.getNumPartitions() ** 0.5))
+
+    def add(batches):
+        total = np.zeros(width)
+        for batch in batches:
+            for x in batch.column(0):
+                total += np.frombuffer(x.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["x"])
+
+    rows = parts.repartition(few).mapInArrow(add, "x binary").collect()
+    return sum((np.frombuffer(r["x"]) for r in rows), np.zeros(width))
+
+
+def linear_trials(samples: DataFrame, windows: Sequence[tuple[str, int, int]], fractions: Sequence[float] = HELD_OUT,
+                  rounds: int = ROUNDS, seed: int = 42, row_id: str = "row_id", vec: str = "features",
+                  steps: int = 40, penalty: float = 1e-3) -> DataFrame:
+    """Held-out rows and errors of a logistic and a squared-hinge linear classifier, one line per (classifier, subset,
+    fraction, round).
+
+    All trials are fitted together: a step of gradient descent with momentum is one pass over the samples that sums the
+    gradients of every trial, so that the passes do not grow with the number of trials. A trial's training rows are those whose
+    hashed share is not below the fraction. Only weights (features times trials) reach the driver.
+    """
+    spark, dim = samples.sparkSession, common_width(samples, vec)
+    data = filter_dimension(samples, dim, vec)
+    stats = sorted(column_stats(data, vec).collect(), key=lambda r: r.pos)
+    mean, std = np.array([r["mean"] for r in stats]), np.array([r["std"] or 1.0 for r in stats])
+    shares = F.array(*[hashed_share(F.col(row_id), F.lit(r), seed) for r in range(rounds)])
+    data = data.select(F.col(vec).alias("x"), (F.col("label") == "P").cast("int").alias("y"), shares.alias("s"))
+    trials = [(f, r) for f in fractions for r in range(rounds)]
+    cuts, at = np.array([f for f, _ in trials]), np.array([r for _, r in trials])
+    allowed = np.zeros((dim + 1, len(windows)))  # the features of each subset, and the constant
+    allowed[dim] = 1
+    for i, (_, start, n) in enumerate(windows):
+        allowed[start:start + n, i] = 1
+    mask = np.repeat(allowed, len(trials), axis=1)
+    shape = (len(LOSSES), dim + 1, mask.shape[1])
+
+    def blocks(batches):
+        for batch in batches:
+            x = np.stack([np.array(v.as_py(), float) for v in batch.column(0)])
+            x = np.hstack(((x - mean) / std, np.ones((len(x), 1))))
+            held = np.array(batch.column(2).to_pylist())[:, at] < cuts
+            yield x, batch.column(1).to_numpy().astype(float)[:, None], np.tile(held, len(windows))
+
+    def passed(weights):
+        shared = spark.sparkContext.broadcast(weights)
+
+        def gradient(batches):
+            w, total, rows = shared.value, np.zeros(shape), np.zeros(shape[2])
+            for x, y, held in blocks(batches):
+                sign, train = 2 * y - 1, ~held
+                rows += train.sum(0)
+                total[0] += x.T @ ((1 / (1 + np.exp(-np.clip(x @ w[0], -30, 30))) - y) * train)
+                total[1] -= 2 * x.T @ (sign * np.maximum(0, 1 - sign * (x @ w[1])) * train)
+            packed = np.concatenate((total.ravel(), rows))
+            yield pa.RecordBatch.from_arrays([pa.array([packed.tobytes()], pa.binary())], names=["x"])
+
+        size = int(np.prod(shape))
+        found = _summed(data.mapInArrow(gradient, "x binary"), size + shape[2])
+        return found[:size].reshape(shape), found[size:]
+
+    w, last = np.zeros(shape), np.zeros(shape)
+    rate = 1 / (np.array([0.25, 2.0])[:, None, None] * mask.sum(0))  # by the largest curvature of standardised features
+    for step in range(steps):
+        ahead = w + step / (step + 3) * (w - last)
+        gradients, rows = passed(ahead)
+        last, w = w, (ahead - rate * (gradients / np.maximum(rows, 1) + penalty * ahead)) * mask
+    final = spark.sparkContext.broadcast(w)
+
+    def errors(batches):
+        total = np.zeros((len(LOSSES) + 1, shape[2]))
+        for x, y, held in blocks(batches):
+            for i in range(len(LOSSES)):
+                total[i] += ((((x @ final.value[i]) > 0) != (y > 0)) & held).sum(0)
+            total[-1] += held.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["x"])
+
+    total = _summed(data.mapInArrow(errors, "x binary"), (len(LOSSES) + 1) * shape[2]).reshape(-1, shape[2])
+    table = [(loss, name, float(f), r, int(total[-1, k]), int(total[i, k])) for i, loss in enumerate(LOSSES)
+             for k, (name, (f, r)) in enumerate((n, t) for n, _, _ in windows for t in trials)]
+    return spark.createDataFrame(table, "classifier string, subset string, fraction double, round int, held_out long, errors long")
+
+
 def compare_feature_subsets(samples: DataFrame, width: int = 10, overlap: int = 5,
                             models: Mapping[str, Fit] | None = None, fractions: Sequence[float] = HELD_OUT,
                             rounds: int = ROUNDS, seed: int = 42, row_id: str = "row_id",

@@ -416,14 +416,19 @@ def _train(spark, sf_dir):
     return E.train_and_evaluate(spark, model)
 
 
+# every split size is a count of the hashed shares; error counts cannot pass it
 @query("compare_classifiers")
 def _compare(spark, sf_dir):
-    return E.compare_classifiers(samples(spark, sf_dir), fractions=(0.75, 0.5), rounds=1)
+    trials = E.linear_trials(samples(spark, sf_dir), [("ALL", 0, 64)])
+    return trials.groupBy("classifier", "fraction").agg(
+        F.sum("held_out").alias("held_out"), F.avg(F.try_divide("errors", "held_out")).alias("error"))
 
 
 @query("compare_feature_subsets")
 def _subsets(spark, sf_dir):
-    return E.compare_feature_subsets(samples(spark, sf_dir), fractions=(0.5,), rounds=1)
+    trials = E.linear_trials(samples(spark, sf_dir), E.feature_windows(64))
+    return trials.groupBy("classifier", "subset", "fraction").agg(
+        F.sum("held_out").alias("held_out"), F.avg(100 * F.try_divide("errors", "held_out")).alias("error"))
 
 
 # ---- sample files ----------------------------------------------------------------------------------
