@@ -23,6 +23,7 @@ from tokenizers import Regex, normalizers
 from tokenizers.pre_tokenizers import Split
 
 from weir.llm.arrays import SpanHasher, ragged
+from weir.llm.common import bounded_batches
 
 SHORT = 64
 NO_RANK = np.int32(2**31 - 1)
@@ -309,6 +310,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     A null text is empty: no ids and an empty decoded text. Ids may be null or repeated; every row gives one row. Other
     columns are not read. Rows never move, so a lost executor costs its own tasks only.
     """
+    bounded_batches(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(vocabulary_at(path))
 
     def run(batches):
@@ -333,6 +335,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     Nulls, empty texts and repeated rows as in `encode_documents`.
     """
+    bounded_batches(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(vocabulary_at(path))
 
     def run(batches):

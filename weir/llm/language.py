@@ -11,12 +11,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weir.llm.arrays import slices
-from weir.llm.common import fold
+from weir.llm.common import bounded_batches, fold
 
 BINS = 4096
 #: Language families by ISO 639-1 code. A label that is not here is a family of its own.
@@ -55,6 +56,11 @@ def grams(data: np.ndarray, offsets: np.ndarray):
     return bins, offsets
 
 
+def lowered(texts: pa.Array):
+    """(bytes, offsets) of the texts in lower case."""
+    return next((data, offsets) for _, _, data, offsets in slices(pc.utf8_lower(texts), 1 << 62))
+
+
 def frequencies(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Gram frequencies of each text, summing to 1; zero for a text without grams."""
     bins, offsets = grams(data, offsets)
@@ -153,12 +159,12 @@ def fit(labelled: DataFrame, max_documents: int = 2048, text_col: str = "text",
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(0)):
-                table = frequencies(data, offsets)
+            for lo, hi, *_ in slices(batch.column(0)):
+                table = frequencies(*lowered(batch.column(0).slice(lo, hi - lo)))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in table])],
                                                  names=["lang", "x"])
 
-    got = some.select(F.lower("_text"), "_lang").mapInArrow(run, "lang string, x binary").collect()
+    got = some.select("_text", "_lang").mapInArrow(run, "lang string, x binary").collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     return Model(np.stack([np.frombuffer(r["x"], np.float32) for r in got]), [r["lang"] for r in got])
 
@@ -166,10 +172,11 @@ def fit(labelled: DataFrame, max_documents: int = 2048, text_col: str = "text",
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """Adds `lang_pred` and `score`. A null text or one without a letter is `und` with score 0, as is every text if there is
     no model. Only the text is looked at; all columns stay and rows do not move."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    lower = "_lower_text"
-    while lower in docs.columns:
-        lower += "_"
+    letters, at = "_letters", docs.columns.index(text_col)
+    while letters in docs.columns:
+        letters += "_"
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
@@ -177,11 +184,11 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
             last = batch.num_columns - 1
             n, model = batch.num_rows, shared.value
             lang, score = np.full(n, "und", object), np.zeros(n)
-            texts = batch.column(last)
+            texts = batch.column(at)
             if model is not None and n:
-                has = texts.is_valid().to_numpy(zero_copy_only=False)
-                for lo, hi, data, offsets in slices(texts):
-                    best, s = model.predict(data, offsets)
+                has = batch.column(last).to_numpy(zero_copy_only=False)
+                for lo, hi, *_ in slices(texts):
+                    best, s = model.predict(*lowered(texts.slice(lo, hi - lo)))
                     lang[lo:hi] = np.array(model.langs, object)[best]
                     score[lo:hi] = s
                 lang[~has], score[~has] = "und", 0.0
@@ -189,8 +196,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                 [*batch.columns[:last], pa.array(lang, pa.string()), pa.array(score)],
                 names=[*batch.schema.names[:last], "lang_pred", "score"])
 
-    text = F.when(F.col(text_col).rlike(r"\p{L}"), F.lower(F.col(text_col)))
-    return docs.withColumn(lower, text).mapInArrow(run, schema)
+    has = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    return docs.withColumn(letters, has).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, max_documents: int = 2048, id_col: str = "doc_id", text_col: str = "text",

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weir.llm.arrays import LOWER, SpanHasher, mix, shingles, slices, words
-from weir.llm.common import saved, small
+from weir.llm.common import bounded_batches, saved, small
 
 WINDOW = 8
 #: Cost of a word between two matches, in words; matches further apart than REACH words are no chain.
@@ -314,6 +314,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 5, percent:
     of one id are one document to this operator and give no passages with each other; null ids, null and empty texts give
     none; an empty table gives no rows; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("doc is not null")
     found = aligned(own, chained(matches(seeds(own, k)), k, min_words), percent)
     order = Window.partitionBy("doc").orderBy("lo", "hi", "ref", "ref_lo")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weir.llm.bpe import Encoder, text_slices, vocabulary_at
+from weir.llm.common import bounded_batches
 from weir.llm.pieces import Plan
 
 BLOCK_TOKENS = 1 << 23
@@ -65,6 +66,7 @@ def write_packed(docs: DataFrame, path: str, vocabulary: str, capacity: int = 40
     is one end token; repeated rows are packed each; null ids are kept; an empty table gives no rows; other columns are not
     read.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_at(vocabulary))
     kind = docs.select(id_col).schema[0].dataType
     fields = [("sequence_id", "long"), ("n_tokens", "int"), ("id_bytes", "int"), ("ids", "binary"), ("cu_seqlens", "array<int>"),
