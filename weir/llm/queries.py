@@ -21,6 +21,29 @@ def query(name, sql=None):
     return register
 
 
+#: All pairs that share a shingle, the pairs that are similar enough, and what can be reached over them.
+NEAR_SQL = r"""WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (
+    SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM texts WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b USING (s)
+    WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a)
+SELECT t.doc_id, coalesce(n, 0) AS n_shingles, least(t.doc_id, coalesce(root, t.doc_id)) AS component_id,
+  t.doc_id <= coalesce(root, t.doc_id) AS kept
+FROM texts t LEFT JOIN sizes USING (doc_id) LEFT JOIN roots ON a = t.doc_id"""
+
+TOP_SQL = """WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q FROM embeddings
+    WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+
 def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
@@ -35,7 +58,7 @@ def _op2(spark, sf_dir):
     return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
 
 
-@query("op3_near_duplicates")
+@query("op3_near_duplicates", NEAR_SQL)
 def _op3(spark, sf_dir):
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -56,7 +79,7 @@ def _op6(spark, sf_dir):
     return sharding.balanced_shards(table(spark, sf_dir, "documents"))
 
 
-@query("op7_top_k_search")
+@query("op7_top_k_search", TOP_SQL)
 def _op7(spark, sf_dir):
     found = top_k_search.search(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, 5, lambda x: np.floor(256 * x))
     return found.withColumn("score", found.score.cast("long"))
