@@ -1,10 +1,11 @@
 """MinHash near-duplicates: one-permutation hashing with optimal densification, banded buckets and star-shaped edges.
 
-Documents with the same set of shingles are one class. A class's set is hashed once into `BANDS * ROWS` bins; an empty bin
+Documents with the same set of shingles are one class. A class's set is hashed once into `BINS` bins; an empty bin
 takes the value of the first filled bin on its own random tour of all bins, the same tour for every document. Classes that
-agree in all rows of a band share a bucket. A bucket is compared as a star, its centre with the members that are not yet in the
+agree in all `ROWS` bins of a band share a bucket. A bucket is compared as a star, its centre with the members that are not yet in the
 centre's component; buckets that still hold several components get further centres, until every pair of a bucket is either in
-one component or was compared. Comparisons count the shared shingles of the whole texts.
+one component or was compared; there, pairs whose bits differ in so many bins as a linked pair's would once in two million
+are not. Comparisons count the shared shingles of the whole texts.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weir.llm.arrays import LOWER, SpanHasher, mix, shingles, slices, words
-from weir.llm.common import saved, small
+from weir.llm.common import bounded_batches, saved, small
 from weir.llm.components import components
 
-BANDS, ROWS = 32, 4
-#: Members compared with one copy of a centre's text.
-STAR = 64
+BANDS, ROWS = 64, 6
+#: Bins of a signature; one bit of each stands in a class's row, to rule out pairs far below the limit.
+BINS = 512
+#: Members compared with one copy of a centre's text, and centres that a bucket gets in one turn.
+STAR, TURN = 64, 256
 
 
 def document_sets(data: np.ndarray, offsets: np.ndarray, hasher: SpanHasher, k: int):
@@ -47,10 +50,10 @@ def marks(h: np.ndarray, at: np.ndarray):
 
 
 def signatures(h: np.ndarray, at: np.ndarray, bins: int) -> np.ndarray:
-    """One row of `bins` (a power of two) values for each non-empty set."""
+    """One row of `bins` values for each set; 0 where the set is empty."""
     n = len(at) - 1
     of = np.repeat(np.arange(n), np.diff(at))
-    own = (h >> np.uint64(64 - int(bins).bit_length() + 1)).astype(np.int64)
+    own = (((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
     first = np.ones(len(h), bool)
     first[1:] = (of[1:] != of[:-1]) | (own[1:] != own[:-1])
     sig, filled = np.zeros((n, bins), np.uint64), np.zeros((n, bins), bool)
@@ -69,7 +72,7 @@ def signatures(h: np.ndarray, at: np.ndarray, bins: int) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
-    parts = sig.reshape(len(sig), bands, -1)
+    parts = sig[:, :bands * ROWS].reshape(len(sig), bands, -1)
     with np.errstate(over="ignore"):
         key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407), parts.shape[:2]).copy()
         for j in range(parts.shape[2]):
@@ -77,8 +80,20 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def bin_bits(sig: np.ndarray) -> np.ndarray:
+    """One bit of each bin: equal in equal bins, else as often as not."""
+    bits = (mix(sig ^ np.arange(1, sig.shape[1] + 1, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)) & np.uint64(1)).astype(np.uint8)
+    return np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64)
+
+
+def most_differing(percent: int) -> int:
+    """Bits in which a pair just at the limit differs at most: the mean and five standard deviations."""
+    p = (1 - percent / 100) / 2
+    return int(np.ceil(BINS * p + 5 * np.sqrt(BINS * p * (1 - p))))
+
+
 def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, s1, s2, bands): set size, set marks and bucket keys of every row; an empty set has no buckets."""
+    """(id, n, s1, s2, bands, bits): set size, set marks, bucket keys and bits of every row; an empty set has no buckets."""
     def run(batches):
         hasher = SpanHasher()
         for batch in batches:
@@ -86,19 +101,22 @@ def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                 h, at = document_sets(data, offsets, hasher, k)
                 s1, s2 = marks(h, at)
                 n = np.diff(at)
-                keys = band_keys(signatures(h, at, BANDS * ROWS), BANDS)[n > 0]
+                sig = signatures(h, at, BINS)
+                keys, bits = band_keys(sig, BANDS)[n > 0], bin_bits(sig)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2),
                      pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n > 0) * BANDS)), pa.int32()),
-                                              pa.array(keys.ravel()))], names=["id", "n", "s1", "s2", "bands"])
+                                              pa.array(keys.ravel())),
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bits.shape[1], pa.int32()), pa.array(bits.ravel()))],
+                    names=["id", "n", "s1", "s2", "bands", "bits"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "id long, n long, s1 long, s2 long, bands array<long>")
+        run, "id long, n long, s1 long, s2 long, bands array<long>, bits array<long>")
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose whole sets share enough shingles. `pairs` also has a_s1 and b_s1, the marks of both sets."""
-    stars = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("_n"))
+    stars = small(saved(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("_n")), "stars"))
     dealt = pairs.join(stars, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("_n")))
     wanted = small(saved(
         dealt.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("id"), F.col("b_s1").alias("s1"))
@@ -138,52 +156,60 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     Words are lower-cased (A-Z) and end at white space; fewer words than `k` are one shingle. A document without words is
     linked with nothing. `component_id` is the smallest id reachable; ties need no rule. Rows of one id are separate texts
     with one node name; a row without an id is kept, linked with nothing, and has no component. An empty table gives no rows.
-    The chance that a pair at 75 hundredths shares no bucket is 5e-6 (32 bands of 4 rows); more similar pairs have less.
+    The chance that a pair at 75 hundredths shares no bucket is 4e-6 (64 bands of 6 rows); more similar pairs have less.
     """
+    bounded_batches(docs.sparkSession)
     sketch = saved(sketches(docs, k, id_col, text_col), "sketches")
     classes = saved(sketch.filter("id is not null and n > 0").groupBy("n", "s1", "s2").agg(
-        F.min("id").alias("node"), F.any_value("bands").alias("bands")), "classes")
+        F.min("id").alias("node"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")), "classes")
     keys = classes.select("node", "n", "s1", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = small(saved(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared"))
     members = saved(keys.join(shared, "key"), "members")
     fits = F.least("n", "a_n") * 100 >= F.greatest("n", "a_n") * percent
     pair = ["a", "a_s1", F.col("node").alias("b"), F.col("s1").alias("b_s1")]
 
     # the first centre is the member that shares most buckets with others
-    weights = members.groupBy("node").agg(F.sum("c").alias("weight"))
+    weights = small(saved(members.groupBy("node").agg(F.sum("c").alias("weight")), "weights"))
     first = members.join(weights, "node").groupBy("key").agg(
         F.max(F.struct("weight", "node", "n", "s1")).alias("_c"))
     centres = saved(first.select("key", F.col("_c.node").alias("a"), F.col("_c.n").alias("a_n"), F.col("_c.s1").alias("a_s1")),
                     "centres")
-    tested = saved(members.join(centres, "key").filter((F.col("node") != F.col("a")) & fits).select(*pair).distinct(), "pairs")
+    tested = saved(members.join(small(centres), "key").filter((F.col("node") != F.col("a")) & fits).select(*pair).distinct(), "pairs")
     links = saved(confirmed(docs, tested, k, percent, id_col, text_col), "confirmed")
     labels = components(links)
-    many, left = 8, members
+    bits = classes.select("node", "bits")
+    differing = sum(F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("a_bits")[i])) for i in range(BINS // 64))
+    left, turn = members, 0
     while True:
         # members that were no centre in their bucket; a bucket is done when they are of one component
-        left = left.select("key", "node", "n", "s1").join(centres.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
-        known = left.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        undone = known.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select("key")
-        left = saved(known.join(undone, "key"), "left")
+        used = small(centres).select("key", F.col("a").alias("node"))
+        left = left.select("key", "node", "n", "s1").join(used, ["key", "node"], "left_anti")
+        known = saved(left.join(small(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node")), "known")
+        kin = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("kin"))
+        undone = small(saved(kin.groupBy("key").agg(
+            F.max(F.struct("kin", "comp"))["comp"].alias("top"), (F.sum("kin") - F.max("kin")).alias("others")).filter("others > 0"), "undone"))
+        left = saved(known.join(undone, "key").join(bits, "node"), "left")
         if not left.limit(1).count():
             break
-        kin = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("kin"))
-        picks = left.join(kin, ["key", "comp"])
-        chosen = picks.groupBy("key").agg(F.array_distinct(F.array(*[
-            F.min(F.struct("kin", F.xxhash64("node", F.lit(i)).alias("h"), "node", "n", "s1", "comp")).getField("node")
-            for i in range(many)])).alias("_nodes")).select("key", F.explode("_nodes").alias("node"))
-        centres = saved(left.join(chosen, ["key", "node"]).select(
-            "key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("s1").alias("a_s1"), F.col("comp").alias("a_comp")), "centres")
-        new = left.join(centres, "key").filter((F.col("comp") != F.col("a_comp")) & fits).select(*pair).distinct()
-        seen = tested.select("a", "b").union(tested.select("b", "a"))
-        new = saved(new.join(seen, ["a", "b"], "left_anti"), "pairs")
-        found = saved(confirmed(docs, new, k, percent, id_col, text_col), "confirmed")
-        if found.limit(1).count():
-            links = saved(links.union(found), "confirmed")
-            labels = components(links, labels)
-        tested = tested.union(new)
-        centres, many = centres.select("key", "a", "a_n", "a_s1"), min(2 * many, 64)
-    roots = classes.select("n", "s1", "s2", "node").join(labels, "node", "left").select(
+        # all members outside the largest component become centres, of many as many as a turn takes
+        ticket = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 20))
+        centres = saved(left.filter((F.col("comp") != F.col("top")) & (ticket * F.col("others") < F.lit(TURN << 20))).select(
+            "key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("s1").alias("a_s1"), F.col("comp").alias("a_comp"),
+            F.col("bits").alias("a_bits")), "centres")
+        new = saved(left.join(small(centres), "key").filter(
+            (F.col("comp") != F.col("a_comp")) & fits & (differing <= most_differing(percent))).select(*pair).distinct(), "near")
+        seen = small(tested.select("a", "b"))
+        new = new.join(seen, ["a", "b"], "left_anti").join(
+            seen.select(F.col("a").alias("_b"), F.col("b").alias("_a")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
+        new = saved(new, "pairs")
+        if new.limit(1).count():
+            found = saved(confirmed(docs, new, k, percent, id_col, text_col), "confirmed")
+            if found.limit(1).count():
+                links = saved(links.union(found), "confirmed")
+                labels = components(links, labels)
+            tested = tested.union(new)
+        centres, turn = centres.select("key", "a", "a_n", "a_s1"), turn + 1
+    roots = classes.select("n", "s1", "s2", "node").join(small(labels), "node", "left").select(
         "n", "s1", "s2", F.coalesce("comp", "node").alias("_root"))
     placed = sketch.select("id", "n", "s1", "s2").join(roots, ["n", "s1", "s2"], "left")
     root = F.when(F.col("id").isNotNull(), F.coalesce("_root", "id"))
