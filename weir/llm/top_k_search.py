@@ -49,7 +49,7 @@ def search(df: DataFrame, is_query, k: int = 5, transform=lambda x: x, pivots: i
 
     keyed = saved(vectors.mapInArrow(nearest, "id long, v binary, pivot int, d double, query_pivot int, query_d double"), "keyed")
     shares = [i / rings for i in range(1, rings)]
-    cuts = {r["pivot"]: sorted(set(r["q"])) for r in keyed.groupBy("pivot").agg(
+    cuts = {r["pivot"]: sorted(set(r["q"] or [])) for r in keyed.groupBy("pivot").agg(
         F.percentile_approx("d", shares, 1000).alias("q")).collect()}
     bounds = F.create_map(*[F.lit(x) for p, q in cuts.items() for x in (p, q)]) if rings > 1 and cuts else None
     ring = F.size(F.filter(bounds[F.col("pivot")], lambda b: b < F.col("d"))) if bounds is not None else F.lit(0)
