@@ -77,3 +77,14 @@ def test_chains_follow_both_orders():
     import numpy as np
     parts = np.array([[0, 10, 100, 110], [12, 20, 50, 58], [15, 25, 115, 125], [30, 36, 131, 137], [200, 210, 140, 150]])
     assert S.chains(parts) == [[0, 2, 3], [4], [1]]
+
+
+def test_a_far_passage_hides_no_near_run(documents):
+    import numpy as np
+    parts = np.array([[0, 300, 0, 300], [400, 412, 400, 412], [413, 425, 414, 426], [426, 438, 428, 440]])
+    assert S.chains(parts) == [[0], [1, 2, 3]]
+    first, second = prose(300, 900, 4000), prose(60, 901, 4000).split()
+    broken = [w for i in range(0, 60, 12) for w in [*second[i:i + 12], f"put{i}"]]
+    rows = [(i, " ".join([first, prose(100, 910 + i, 4000), *(second if i == 1 else broken)])) for i in (1, 2)]
+    got = covered(S.repeated_passages(documents(rows)).collect())
+    assert set(range(300)) | set(range(400, 464)) <= got[2]

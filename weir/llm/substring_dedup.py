@@ -4,13 +4,14 @@ Seeds are the minimizers of `WINDOW` consecutive k-word hashes, so that equal ru
 about a quarter of its words. A seed's home is its first place in the document of smallest id; every other place is matched
 with its home alone, so that a seed of many documents gives as many matches as places. The matches of two documents are
 chained in the order of both texts: a chain's score is the words it covers less `GAP` for each word between its parts, found
-with a Fenwick tree of prefix maxima. Chains are aligned word by word on the whole texts' words, their ends stretched as far as
+with a segment tree of the runs within `REACH`. Chains are aligned word by word on the whole texts' words, their ends stretched as far as
 the texts agree, and a document's aligned stretches are joined where they touch.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -109,24 +110,42 @@ def runs(q: np.ndarray, r: np.ndarray, k: int) -> np.ndarray:
     return np.stack((q[cut], q[last] + k, r[cut], r[last] + k), 1)
 
 
-class PrefixMax:
-    """Fenwick tree of the largest (value, item) among the first places."""
+class RangeMax:
+    """Segment tree of the largest (value, item) among neighbouring places; the items of a place leave in the order they came."""
+
+    NONE = (-1e18, -1)
 
     def __init__(self, n: int):
-        self.best = [(-1e18, -1)] * (n + 1)
+        self.n, self.best, self.at = n, [self.NONE] * (2 * n), [deque() for _ in range(n)]
 
     def put(self, i: int, value: float, item: int) -> None:
-        i += 1
-        while i < len(self.best):
-            self.best[i] = max(self.best[i], (value, item))
-            i += i & -i
-
-    def over(self, i: int) -> tuple[float, int]:
-        """Of the places before i."""
-        found = (-1e18, -1)
+        while self.at[i] and self.at[i][-1] < (value, item):  # these leave before the new one and are not above it
+            self.at[i].pop()
+        self.at[i].append((value, item))
+        self._up(i)
+
+    def take(self, i: int, item: int) -> None:
+        if self.at[i] and self.at[i][0][1] == item:
+            self.at[i].popleft()
+            self._up(i)
+
+    def _up(self, i: int) -> None:
+        self.best[i + self.n] = self.at[i][0] if self.at[i] else self.NONE
+        i = (i + self.n) // 2
         while i:
-            found = max(found, self.best[i])
-            i -= i & -i
+            self.best[i] = max(self.best[2 * i], self.best[2 * i + 1])
+            i //= 2
+
+    def over(self, lo: int, hi: int) -> tuple[float, int]:
+        """Of the places from lo up to before hi."""
+        found, lo, hi = self.NONE, lo + self.n, hi + self.n
+        while lo < hi:
+            if lo & 1:
+                found, lo = max(found, self.best[lo]), lo + 1
+            if hi & 1:
+                hi -= 1
+                found = max(found, self.best[hi])
+            lo, hi = lo // 2, hi // 2
         return found
 
 
@@ -137,18 +156,21 @@ def chains(parts: np.ndarray) -> list[list[int]]:
         return [[0]]
     q0, q1, r0, r1 = parts.T.tolist()
     ends = sorted(set(r1))
-    tree, score, before = PrefixMax(len(ends)), [0.0] * n, [-1] * n
+    tree, score, before = RangeMax(len(ends)), [0.0] * n, [-1] * n
     waiting = sorted(range(n), key=q1.__getitem__)
-    w = 0
+    w = gone = 0
     for i in range(n):
         while w < n and q1[waiting[w]] <= q0[i]:  # finished runs can be continued
             j = waiting[w]
             tree.put(bisect_left(ends, r1[j]), score[j] + GAP * (q1[j] + r1[j]), j)
             w += 1
-        value, j = tree.over(bisect_left(ends, r0[i] + 1))
+        while gone < w and q1[waiting[gone]] < q0[i] - REACH:  # no later run reaches these
+            tree.take(bisect_left(ends, r1[waiting[gone]]), waiting[gone])
+            gone += 1
+        value, j = tree.over(bisect_left(ends, r0[i] - REACH), bisect_left(ends, r0[i] + 1))
         gain = value - GAP * (q0[i] + r0[i])
         score[i] = q1[i] - q0[i]
-        if j >= 0 and gain > 0 and q0[i] - q1[j] <= REACH and r0[i] - r1[j] <= REACH:
+        if j >= 0 and gain > 0:
             score[i] += gain
             before[i] = j
     used, out = [False] * n, []
