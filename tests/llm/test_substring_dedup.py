@@ -88,3 +88,19 @@ def test_a_far_passage_hides_no_near_run(documents):
     rows = [(i, " ".join([first, prose(100, 910 + i, 4000), *(second if i == 1 else broken)])) for i in (1, 2)]
     got = covered(S.repeated_passages(documents(rows)).collect())
     assert set(range(300)) | set(range(400, 464)) <= got[2]
+
+
+def test_a_passage_is_found_wherever_its_seeds_are_at_home(documents):
+    passage = prose(70, 950, 4000).split()
+    edited = passage[:17] + ["other"] + passage[18:44] + passage[45:]
+    for often in (1, 12):  # few places of a seed, and many
+        rows, d = [(10_000, " ".join([prose(90, 951, 4000), *passage])), (20_000, " ".join([*passage, prose(80, 952, 4000)])),
+                   (30_000, " ".join([*edited, prose(80, 953, 4000)]))], 0
+        for p in range(0, 66):  # every seed stands alone in earlier documents
+            for _ in range(often):
+                rows.append((d, " ".join([prose(20, 2000 + 2 * d, 4000), *passage[p:p + 5], prose(20, 2001 + 2 * d, 4000)])))
+                d += 1
+        got = covered(S.repeated_passages(documents(rows)).collect())
+        assert got.pop(20_000) == set(range(70))
+        assert often > 1 or len(got.pop(30_000) ^ set(range(69))) <= 2
+        assert often > 1 or not got

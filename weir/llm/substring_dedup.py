@@ -1,8 +1,9 @@
 """Passages that repeat across documents, exactly or nearly, by collinear chaining of shared k-mer seeds.
 
-Seeds are the minimizers of `WINDOW` consecutive k-word hashes, so that equal runs of words share seeds and every text gives
-about a quarter of its words. A seed's home is its first place in the document of smallest id; every other place is matched
-with its home alone, so that a seed of many documents gives as many matches as places. The matches of two documents are
+Seeds are all k-word hashes. A seed of up to `FEW` places is matched at all pairs of them. A commoner seed is matched with its
+home alone, its first place in the document of smallest id, so that it gives as many matches as places; where such seeds follow
+one another, runs of 2k, 4k, ... and `min_words` words are looked up in the same way, so that a whole passage finds a document
+that has it whole, wherever its seeds are at home. Seeds are sorted with numpy in buckets of hashes. The matches of two documents are
 chained in the order of both texts: a chain's score is the words it covers less `GAP` for each word between its parts, found
 with a segment tree of the runs within `REACH`. Chains are aligned word by word on the whole texts' words, their ends stretched as far as
 the texts agree, and a document's aligned stretches are joined where they touch.
@@ -22,49 +23,40 @@ from pyspark.sql import types as T
 from weir.llm.arrays import LOWER, SpanHasher, mix, shingles, slices, words
 from weir.llm.common import bounded_batches, saved, small
 
-WINDOW = 8
+#: Of a seed that follows upon itself, one place in so many words counts.
+STRIDE = 8
+#: A seed of up to FEW places is matched at all pairs of them, a commoner one with its home.
+FEW = 8
+#: Letters of text for each bucket in which seeds are sorted.
+BUCKET_LETTERS = 6_000_000
 #: Cost of a word between two matches, in words; matches further apart than REACH words are no chain.
 GAP, REACH = 0.25, 64
-#: Words beyond the outermost matches that may belong to a passage: a seed lies at most WINDOW + k words from the edge.
-STRETCH = 32
+#: Words beyond the outermost matches that may belong to a passage: as far as matches of a chain may be apart.
+STRETCH = REACH
 #: Words of the blocks in which word windows are fetched.
 BLOCK = 64
-LAST = np.uint64(2**64 - 1)
-
-
-def minimizers(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Positions of hashes that are the least of a run of WINDOW hashes of their text, also of one cut off at an end."""
-    n = len(at) - 1
-    gap = WINDOW - 1
-    place = np.arange(len(h)) + np.repeat(np.arange(1, n + 1), np.diff(at)) * gap  # texts apart by gap places
-    wide = np.full(len(h) + (n + 1) * gap + WINDOW, LAST, np.uint64)
-    wide[place] = h
-    least = wide.copy()
-    for step in (1, 2, 4):  # least of the 8 hashes from each place on
-        least[:-step] = np.minimum(least[:-step], least[step:])
-    least[least == LAST] = 0
-    most = least.copy()
-    for step in (1, 2, 4):  # largest such minimum over the runs that hold a place
-        most[step:] = np.maximum(most[step:], most[:-step])
-    return np.flatnonzero(most[place] == h)
-
-
-def told_apart(seed: np.ndarray, pos: np.ndarray, of: np.ndarray):
-    """(places to keep, their seeds, first of its seed in its text). Where words go round in circles, one seed follows upon
-    itself; of such a row one place in WINDOW words stays, with its number in the row mixed into the seed."""
-    order = np.lexsort((pos, seed, of))
-    seed, pos, of = seed[order], pos[order], of[order]
-    same = np.concatenate(([False], (seed[1:] == seed[:-1]) & (of[1:] == of[:-1])))[:len(seed)]
-    row = same & np.concatenate(([False], pos[1:] - pos[:-1] <= 2 * WINDOW))[:len(seed)]
-    start = np.maximum.accumulate(np.where(row, 0, np.arange(len(seed)))) if len(seed) else np.zeros(0, int)
-    number = (pos - pos[start]) // WINDOW
-    keep = ~row | (number != np.concatenate(([0], number[:-1]))[:len(seed)])
-    seed = np.where(number > 0, mix(seed + number.astype(np.uint64)), seed)[keep]
-    order, at, of = order[keep], pos[keep], of[keep]
-    again = np.lexsort((at, seed, of))
-    first = np.ones(len(seed), bool)
-    first[again[1:]] = (of[again[1:]] != of[again[:-1]]) | (seed[again[1:]] != seed[again[:-1]])
-    return order, seed, first
+
+
+def told_apart(seed: np.ndarray, of: np.ndarray):
+    """(places to keep, their seeds). Where words go round in circles, one seed follows upon itself; of such a row one place in
+    STRIDE words stays, with its number in the row mixed into the seed. The seeds of a text stand at its places one by one."""
+    close = np.zeros(len(seed), bool)
+    for d in range(1, 2 * STRIDE + 1):
+        again = (seed[d:] == seed[:-d]) & (of[d:] == of[:-d])
+        close[d:] |= again
+        close[:len(again)] |= again
+    at = np.flatnonzero(close)
+    at = at[np.lexsort((at, seed[at], of[at]))]
+    row = np.zeros(len(at), bool)
+    row[1:] = (seed[at[1:]] == seed[at[:-1]]) & (of[at[1:]] == of[at[:-1]]) & (at[1:] - at[:-1] <= 2 * STRIDE)
+    start = np.maximum.accumulate(np.where(row, 0, np.arange(len(at)))) if len(at) else at
+    number = (at - at[start]) // STRIDE
+    gone = row & (number == np.concatenate(([0], number[:-1]))[:len(at)])
+    seed, keep = seed.copy(), np.ones(len(seed), bool)
+    seed[at] = np.where(number > 0, mix(seed[at] + number.astype(np.uint64)), seed[at])
+    keep[at[gone]] = False
+    keep = np.flatnonzero(keep)
+    return keep, seed[keep]
 
 
 def text_words(data: np.ndarray, offsets: np.ndarray, hasher: SpanHasher):
@@ -73,41 +65,165 @@ def text_words(data: np.ndarray, offsets: np.ndarray, hasher: SpanHasher):
     return hasher(data, starts, ends), per_text
 
 
-def seeds(docs: DataFrame, k: int) -> DataFrame:
-    """(doc, pos, seed, first): `first` marks a seed's first place in its document. Texts under k words give none."""
+PLACE = np.dtype([("seed", np.uint64), ("doc", np.int64), ("pos", np.int32), ("size", np.int32)])
+PACKED = "bucket int, places binary"
+
+
+def packed(seed, doc, pos, size, buckets: int):
+    """Places of seeds as one row for each bucket of seeds."""
+    order = np.argsort(seed)
+    out = np.zeros(len(seed), PLACE)
+    for name, c in (("seed", seed), ("doc", doc), ("pos", pos), ("size", size)):
+        out[name] = c[order]
+    bucket = ((out["seed"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(out) else np.zeros(0, int)
+    ends = np.append(cut[1:], len(out))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[cut]), pa.array([out[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist())], pa.binary())],
+        names=["bucket", "places"])
+
+
+def seeds(docs: DataFrame, k: int, buckets: int) -> DataFrame:
+    """All k-word hashes of the texts, packed. Texts under k words give none."""
     def run(batches):
         hasher = SpanHasher()
         for batch in batches:
+            ids = batch.column(0).to_numpy()
             for lo, hi, data, offsets in slices(batch.column(1)):
                 w, per_text = text_words(data, offsets, hasher)
                 h, at = shingles(w, per_text, k)
-                pos = minimizers(h, at)
-                of = np.searchsorted(at, pos, "right") - 1
-                real = np.diff(per_text)[of] >= k
-                pos, of = pos[real], of[real]
-                kept, seed, first = told_apart(h[pos], pos, of)
-                pos, of = pos[kept], of[kept]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(lo + of)), pa.array((pos - at[of]).astype(np.int32)), pa.array(seed.view(np.int64)),
-                     pa.array(first)], names=["doc", "pos", "seed", "first"])
+                of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                kept, seed = told_apart(h, of)
+                real = np.diff(per_text)[of[kept]] >= k
+                kept, seed = kept[real], seed[real]
+                of = of[kept]
+                yield packed(mix(seed), ids[lo + of], (kept - at[of]).astype(np.int32), np.full(len(seed), k, np.int32), buckets)
+
+    return docs.mapInArrow(run, PACKED)
+
+
+FOUND = "doc long, pos int, ref long, ref_pos int, size int, seed long, common boolean"
+
+
+def matches(places: DataFrame, few: int, with_places: bool) -> DataFrame:
+    """Matches of places with places in documents of smaller id, and, with a null ref, the places whose seed several documents hold.
+
+    A place is matched with all earlier ones if its seed has up to `few` places, else with the seed's home alone.
+    """
+    names = [c.split()[0] for c in FOUND.split(", ")]
+
+    def batch(rows, refs, common):
+        refs = (None, None) if refs is None else (refs["doc"], refs["pos"])
+        n = len(rows)
+        cols = [rows["doc"], rows["pos"], pa.nulls(n, pa.int64()) if refs[0] is None else refs[0],
+                pa.nulls(n, pa.int32()) if refs[1] is None else refs[1], rows["size"], rows["seed"].astype(np.int64), common]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in cols], names=names)
+
+    def of_bucket(parts):
+        x = np.frombuffer(b"".join(parts), PLACE)
+        x = x[np.lexsort((x["pos"], x["doc"], x["seed"]))]
+        new = np.ones(len(x), bool)
+        new[1:] = x["seed"][1:] != x["seed"][:-1]
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(x)))
+        several = x["doc"][first] < x["doc"][first + count - 1]
+        x, count = x[np.repeat(several, count)], count[several]
+        first = np.repeat(np.cumsum(count) - count, count)
+        common = np.repeat(count > few, count)
+        if with_places:
+            yield batch(x, None, common)
+        far = np.flatnonzero(common & (x["doc"] > x["doc"][first])) if len(x) else first
+        yield batch(x[far], x[first[far]], common[far])
+        for d in range(1, few):
+            at = np.arange(d, len(x))
+            at = at[~common[d:] & (at - d >= first[d:]) & (x["doc"][d:] > x["doc"][:-d])]
+            if len(at):
+                yield batch(x[at], x[at - d], common[at])
+
+    def run(batches):
+        now, parts = None, []
+        for rows in batches:
+            for b, places_ in zip(rows.column(0).to_pylist(), rows.column(1)):
+                if b != now:
+                    if parts:
+                        yield from of_bucket(parts)
+                    now, parts = b, []
+                parts.append(places_.as_py())
+        if parts:
+            yield from of_bucket(parts)
+
+    return places.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND)
+
+
+def longer(found: DataFrame, k: int, sizes: list[int], buckets: int) -> DataFrame:
+    """Runs of `sizes` words, all of whose seeds several documents hold and some of them often, as packed places."""
+    rows = found.filter("ref is null").select("doc", "pos", "seed", "common").repartition("doc").sortWithinPartitions("doc", "pos", "seed")
+
+    def keys(doc, pos, seed, common):
+        place = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])))) if len(doc) else np.zeros(0, int)
+        doc, pos, seed, common = doc[place], pos[place], seed[place].view(np.uint64), common[place]
+        of = np.cumsum(np.concatenate(([0], doc[1:] != doc[:-1]))) if len(doc) else doc
+        line = of.astype(np.int64) << 33 | pos.astype(np.int64)
+        out = []
+        for size in sizes:
+            at = np.arange(len(line))
+            key, often = np.full(len(at), size, np.uint64), np.zeros(len(at), bool)
+            for step in [*range(0, size - k, k), size - k]:
+                there = np.minimum(np.searchsorted(line, line[at] + step), max(len(line) - 1, 0))
+                same = line[there] == line[at] + step
+                at, key, often, there = at[same], key[same], often[same], there[same]
+                key, often = mix(key * np.uint64(0x9FB21C651E98DF25) + seed[there]), often | common[there]
+            at, key = at[often], key[often]
+            out.append((key, doc[at], pos[at], np.full(len(at), size, np.int32)))
+        return packed(*(np.concatenate(c) for c in zip(*out)), buckets)
+
+    def run(batches):
+        kept = None
+        for rows in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in rows.columns]
+            if kept is not None:
+                cols = [np.concatenate(x) for x in zip(kept, cols)]
+            if not len(cols[0]):
+                continue
+            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last document may go on
+            if last:
+                yield keys(*(c[:last] for c in cols))
+            kept = [c[last:] for c in cols]
+        if kept is not None:
+            yield keys(*kept)
 
-    return docs.mapInArrow(run, "doc long, pos int, seed long, first boolean")
+    return rows.mapInArrow(run, PACKED)
 
 
-def matches(found: DataFrame) -> DataFrame:
-    """(doc, pos, ref, ref_pos): each place of a seed with the seed's home in another document."""
-    homes = found.groupBy("seed").agg(F.min("doc").alias("ref"), F.max("doc").alias("_last"),
-                                      F.expr("min_by(pos, doc) filter (where first)").alias("ref_pos")).filter("ref < _last")
-    return found.join(homes.select("seed", "ref", "ref_pos"), "seed").filter("doc > ref").select("doc", "pos", "ref", "ref_pos")
+def matched(docs: DataFrame, k: int, min_words: int) -> DataFrame:
+    """(doc, pos, ref, ref_pos, size) of single seeds and, where those are common, of runs of up to `min_words` words."""
+    letters = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = min(1 + letters // BUCKET_LETTERS, 1 << 30)
+    found = saved(matches(seeds(docs, k, buckets), FEW, True), "seeds")
+    sizes, size = [], 2 * k
+    while size < min_words:
+        sizes, size = [*sizes, size], 2 * size
+    runs_ = matches(longer(found, k, [*sizes, min_words] if min_words > k else [], buckets), FEW, False) if min_words > k else None
+    cols = ["doc", "pos", "ref", "ref_pos", "size"]
+    found = found.filter("ref is not null").select(*cols)
+    return found if runs_ is None else found.unionByName(runs_.select(*cols))
 
 
 # ---- chaining --------------------------------------------------------------------------------------
 
-def runs(q: np.ndarray, r: np.ndarray, k: int) -> np.ndarray:
-    """Matches in order of q, joined along a diagonal: rows (q from, q to, r from, r to)."""
-    cut = np.flatnonzero(np.concatenate(([True], (q[1:] - r[1:] != q[:-1] - r[:-1]) | (q[1:] - q[:-1] > 2 * WINDOW))))
+def runs(q: np.ndarray, r: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Matches joined along their diagonals: rows (q from, q to, r from, r to) in order."""
+    order = np.lexsort((q, q - r))
+    q, r, end = q[order], r[order], (q + size)[order]
+    new = np.ones(len(q), bool)
+    new[1:] = q[1:] - r[1:] != q[:-1] - r[:-1]
+    line = np.cumsum(new)
+    far = np.maximum.accumulate(end + line * (1 << 33)) - line * (1 << 33)  # furthest end so far on the diagonal
+    new[1:] |= q[1:] - far[:-1] > 2 * STRIDE
+    cut = np.flatnonzero(new)
     last = np.append(cut[1:], len(q)) - 1
-    return np.stack((q[cut], q[last] + k, r[cut], r[last] + k), 1)
+    parts = np.stack((q[cut], far[last], r[cut], r[cut] + far[last] - q[cut]), 1)
+    return parts[np.lexsort((parts[:, 2], parts[:, 0]))]
 
 
 class RangeMax:
@@ -185,26 +301,20 @@ def chains(parts: np.ndarray) -> list[list[int]]:
     return out
 
 
-def chained(found: DataFrame, k: int, least: int) -> DataFrame:
-    """(doc, ref, q0, q1, r0, r1, parts) of chains; matches in clusters of under `least` words of a document are left out."""
-    rows = found.repartition("doc").sortWithinPartitions("doc", "pos", "ref", "ref_pos")
+def chained(found: DataFrame) -> DataFrame:
+    """(doc, ref, q0, q1, r0, r1, parts) of chains."""
+    rows = found.repartition("doc").sortWithinPartitions("doc")
     schema = "doc long, ref long, q0 int, q1 int, r0 int, r1 int, parts array<int>"
 
-    def of_document(doc, q, ref, r):
-        gap = np.flatnonzero(np.concatenate(([True], q[1:] - q[:-1] > REACH)))
-        size = np.append(gap[1:], len(q))
-        wide = q[size - 1] + k - q[gap] >= least // 2
-        keep = np.repeat(wide, size - gap)
-        q, ref, r = q[keep], ref[keep], r[keep]
-        order = np.lexsort((q, ref))
-        q, ref, r = q[order], ref[order], r[order]
+    def of_document(doc, q, ref, r, size):
+        order = np.argsort(ref, kind="stable")
+        q, ref, r, size = q[order].astype(np.int64), ref[order], r[order].astype(np.int64), size[order]
         cut = np.flatnonzero(np.concatenate(([True], ref[1:] != ref[:-1]))) if len(q) else np.zeros(0, int)
         for a, b in zip(cut.tolist(), np.append(cut[1:], len(q)).tolist()):
-            parts = runs(q[a:b], r[a:b], k)
+            parts = runs(q[a:b], r[a:b], size[a:b])
             for chain in chains(parts):
                 own = parts[chain]
-                if own[-1, 1] - own[0, 0] > k or b - a > 1:
-                    yield (doc, int(ref[a]), int(own[0, 0]), int(own[-1, 1]), int(own[0, 2]), int(own[-1, 3]), own.ravel().tolist())
+                yield (doc, int(ref[a]), int(own[0, 0]), int(own[-1, 1]), int(own[0, 2]), int(own[-1, 3]), own.ravel().tolist())
 
     def run(batches):
         kept = None
@@ -217,12 +327,12 @@ def chained(found: DataFrame, k: int, least: int) -> DataFrame:
             if not len(cut):
                 continue
             kept = [c[cut[-1]:] for c in cols]
-            yield from packed(x for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())
-                              for x in of_document(int(doc[a]), *(c[a:b] for c in (cols[1], cols[2], cols[3]))))
+            yield from as_rows(x for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())
+                              for x in of_document(int(doc[a]), *(c[a:b] for c in cols[1:])))
         if kept is not None:
-            yield from packed(of_document(int(kept[0][0]), *kept[1:]))
+            yield from as_rows(of_document(int(kept[0][0]), *kept[1:]))
 
-    def packed(rows):
+    def as_rows(rows):
         rows = list(zip(*rows))
         if rows:
             kinds = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.list_(pa.int32())]
@@ -236,21 +346,25 @@ def chained(found: DataFrame, k: int, least: int) -> DataFrame:
 
 def word_windows(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """The words, as hashes, of the windows (id, lo, hi) that are asked for: adds `words`, binary of uint32."""
-    rows = docs.select(F.col("doc").alias("id"), "text").join(small(saved(asked, "asked")), "id")
+    asked = asked.groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("asked"))  # a text is read once for all its windows
+    rows = docs.select(F.col("doc").alias("id"), "text").join(asked, "id")
 
     def run(batches):
         hasher = SpanHasher()
         for batch in batches:
-            lo_at, hi_at = (batch.column(i).to_numpy() for i in (2, 3))
+            asked = batch.column(2)
             for lo, hi, data, offsets in slices(batch.column(1)):
                 w, per_text = text_words(data, offsets, hasher)
                 w = (w >> np.uint64(32)).astype(np.uint32)
-                out = [w[min(a + x, b):min(a + y, b)].tobytes() for a, b, x, y in zip(
-                    per_text[:-1].tolist(), per_text[1:].tolist(), lo_at[lo:hi].tolist(), hi_at[lo:hi].tolist())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 2, 3)), pa.array(out, pa.binary())],
-                                                 names=["id", "lo", "hi", "words"])
+                for i in range(lo, hi):
+                    own = asked[i].values
+                    x, y = own.field("lo"), own.field("hi")
+                    a, b = per_text[i - lo], per_text[i - lo + 1]
+                    out = [w[min(a + c, b):min(a + d, b)].tobytes() for c, d in zip(x.to_pylist(), y.to_pylist())]
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(out), pa.int64()), x, y, pa.array(out, pa.binary())],
+                                                     names=["id", "lo", "hi", "words"])
 
-    return rows.select("id", "text", "lo", "hi").mapInArrow(run, "id long, lo int, hi int, words binary")
+    return rows.select("id", "text", "asked").mapInArrow(run, "id long, lo int, hi int, words binary")
 
 
 def edits(a: np.ndarray, b: np.ndarray) -> int:
@@ -262,13 +376,13 @@ def edits(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def stretch(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """(words, equal words) of the best common start, a differing word costing one."""
+    """(words, equal words) of the best common start, a differing word costing one; the longest of equals."""
     n = min(len(a), len(b), STRETCH)
     same = a[:n] == b[:n]
     if not n or not same.any():
         return 0, 0
     score = np.cumsum(np.where(same, 1, -1))
-    best = int(score.argmax())
+    best = n - 1 - int(score[::-1].argmax())
     return (best + 1, int(same[:best + 1].sum())) if score[best] > 0 else (0, 0)
 
 
@@ -332,20 +446,21 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 5, percent:
     One row per aligned stretch: (id, start_word, end_word, ref_id, ref_start, ref_end, identity, passage_start,
     passage_end): words [start, end) of the document agree with words [ref_start, ref_end) of the earlier one in at least
     `percent` hundredths; stretches that touch or overlap form one passage [passage_start, passage_end), which has at least
-    `min_words` words. Words are lower-cased (A-Z) and end at white space. Repeats inside one document are no passages. Rows
+    `min_words` words and a stretch of half as many, so that phrases of many documents side by side are none. Words are lower-cased (A-Z) and end at white space. Repeats inside one document are no passages. Rows
     of one id are one document to this operator and give no passages with each other; null ids, null and empty texts give
     none; an empty table gives no rows; other columns are not read.
     """
     bounded_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("doc is not null")
-    found = aligned(own, chained(matches(seeds(own, k)), k, min_words), percent)
+    found = aligned(own, chained(matched(own, k, min_words)), percent)
     order = Window.partitionBy("doc").orderBy("lo", "hi", "ref", "ref_lo")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = found.withColumn("_new", (F.col("lo") > F.coalesce(reach, F.lit(-1))).cast("int"))
     islands = islands.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy("doc", "_island")
-    return (islands.withColumns({"passage_start": F.min("lo").over(whole), "passage_end": F.max("hi").over(whole)})
-            .filter(F.col("passage_end") - F.col("passage_start") >= min_words)
+    return (islands.withColumns({"passage_start": F.min("lo").over(whole), "passage_end": F.max("hi").over(whole),
+                                 "_longest": F.max(F.col("hi") - F.col("lo")).over(whole)})
+            .filter((F.col("passage_end") - F.col("passage_start") >= min_words) & (F.col("_longest") >= min_words // 2))
             .select(F.col("doc").alias(id_col), F.col("lo").alias("start_word"), F.col("hi").alias("end_word"),
                     F.col("ref").alias(f"ref_{id_col}"), F.col("ref_lo").alias("ref_start"), F.col("ref_hi").alias("ref_end"),
                     F.round(F.col("equal") / F.col("total"), 4).alias("identity"), "passage_start", "passage_end"))
