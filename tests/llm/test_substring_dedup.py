@@ -104,3 +104,24 @@ def test_a_passage_is_found_wherever_its_seeds_are_at_home(documents):
         assert got.pop(20_000) == set(range(70))
         assert often > 1 or len(got.pop(30_000) ^ set(range(69))) <= 2
         assert often > 1 or not got
+
+
+def test_recall_of_edited_passages(documents):
+    r, rows, want = random.Random(8), [], {}
+    for case, share in enumerate([0, 25, 20, 15, 10] * 12):
+        passage = prose(60, 3000 + case, 4000).split()
+        if share:
+            gone = set(r.sample(range(60), 60 * share // 100))
+        else:
+            gone = set(range(5, 60, 6))
+        edited = [f"put{case}x{i}" if i in gone else w for i, w in enumerate(passage)]
+        for d, own in ((2 * case, passage), (2 * case + 1, edited)):
+            rows.append((d, " ".join([prose(70, 5000 + 2 * d, 4000), *own, prose(70, 5001 + 2 * d, 4000)])))
+        kept = [i not in gone for i in range(60)]
+        if any(kept[a] and kept[b - 1] and 100 * sum(kept[a:b]) >= 75 * (b - a) for a in range(11) for b in range(a + 50, 61)):
+            want[2 * case + 1] = share
+    got = covered(S.repeated_passages(documents(rows)).collect())
+    assert set(got) <= set(want) and len(want) > 50
+    lost = {d: s for d, s in want.items() if d not in got}
+    assert not lost
+    assert all(len(got[d] & set(range(70, 130))) >= 50 for d in got)
