@@ -20,8 +20,13 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (`und`: no text, or no letter in it) go; the others keep all columns."""
+    """Documents in no language (`und`: no text, or no letter in it) go; the others keep all columns.
+
+    Without a labelled row there is no model, and all documents with a letter stay.
+    """
     model = fit(docs.filter(fold("doc_id", 3) != 1))
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     return predict(docs, model).filter("lang_pred <> 'und'").select(*docs.columns)
 
 

@@ -39,6 +39,12 @@ def test_stages_keep_the_columns(spark, documents):
         assert stage(spark, none, "").collect() == []
 
 
+def test_without_labels_documents_with_letters_stay(spark, documents):
+    docs = documents([(1, prose(70, 1, 4000)), (2, "e"), (3, "12 !!"), (4, None), (5, "")], clashes=False)
+    out = corpus_pipeline.identify_language(spark, docs, "")
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 2]
+
+
 def test_every_operator_is_registered():
     names = set(entry.queries())
     assert "pipeline" in names
