@@ -98,10 +98,12 @@ def windows(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 head = f"{lang} ".encode()
                 slot = np.array([zlib.crc32(head + w.encode()) for w in distinct.to_pylist()], np.int64) % (8 * len(bits))
                 known = (bits[slot >> 3] >> (slot & 7) & 1).astype(bool)[number]
-                follow, inside, parts = joined & np.append(known[1:], False), known, [number + 1]
+                n, inside, parts = len(number), known, [number + 1]
+                follow = np.append(joined & np.append(known[1:], False), np.zeros(LONGEST, bool))
+                ahead = np.append(number + 1, np.zeros(LONGEST, np.int64))
                 for j in range(1, LONGEST):
-                    inside = inside & np.concatenate((follow[j - 1:], np.zeros(j - 1, bool)))
-                    parts.append(np.where(inside, np.concatenate((number[j:], np.zeros(j, np.int64))) + 1, 0))
+                    inside = inside & follow[j - 1:j - 1 + n]
+                    parts.append(np.where(inside, ahead[j:j + n], 0))
                 parts = [p[known] for p in parts]
                 if not len(parts[0]):
                     continue
