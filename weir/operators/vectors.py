@@ -10,11 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weir.functions import vectors as V
+from weir.operators import metric as metrics
 from weir.plans.skew import small_side
 
-# Numbers of a codebook that is held on the driver and sent to every executor (32 MB); a larger one is refused.
-MAX_CODEBOOK_VALUES = 1 << 22
-
 
 def column_stats(samples: DataFrame, vec: str = "features") -> DataFrame:
     """Mean, absolute value of the maximum and population deviation of each position."""
@@ -64,50 +62,56 @@ def map_norms(df: DataFrame, stats: DataFrame, name: str = "points") -> DataFram
 
 # ---- nearest centroid ------------------------------------------------------------------------------
 
-def _nearest(block: pd.Series, ids: np.ndarray, book: np.ndarray) -> pd.DataFrame:
-    """Lowest distance per vector; the first of equal centroids wins."""
-    cid = np.full(len(block), -1, dtype=np.int64)
-    best = np.full(len(block), np.inf)
-    present = block.notna().to_numpy()
-    if present.any():
-        rows = block[present].to_numpy()
-        if any(len(r) != book.shape[1] for r in rows):
-            raise ValueError(f"vectors must have {book.shape[1]} values like the codebook")
-        x = np.stack(rows).astype(float)
-        low, at = np.full(len(x), np.inf), np.full(len(x), -1, dtype=np.int64)
-        for j in range(len(book)):
-            d = ((x - book[j]) ** 2).sum(axis=1)
-            closer = d < low
-            low[closer], at[closer] = d[closer], ids[j]
-        cid[present], best[present] = at, low
-    return pd.DataFrame({"cid": pd.Series(cid).where(cid >= 0).astype("Int64"),
-                         "dist": pd.Series(np.sqrt(best)).where(present)})
-
-
-def nearest_centroid(df: DataFrame, centroids: DataFrame, vec: str = "features", max_values: int = MAX_CODEBOOK_VALUES) -> DataFrame:
-    """Add `cid` and `dist` (L2) of the nearest row of `centroids` (cid, vec).
+def nearest_centroid(df: DataFrame, centroids: DataFrame, vec: str = "features", metric: str = "l2",
+                     max_values: int = metrics.MAX_VALUES) -> DataFrame:
+    """Add `cid` and `dist` (`l2` or `l1`) of the nearest row of `centroids` (cid, vec); the first of equal centroids wins.
 
-    The codebook travels with the tasks and the vectors never move. Its size is counted first: more than `max_values`
-    numbers raise an error, as a profile has a bounded number of centroids.
+    A codebook of up to `max_values` numbers travels with the tasks and the vectors never move. A larger one is partitioned
+    by pivot and ring, and a vector is compared with the parts that can hold its nearest centroid.
     """
-    size = centroids.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+    book = centroids.select("cid", "vec").where("vec IS NOT NULL")
+    size = book.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
     if not size.n:
         raise ValueError("the codebook is empty")
     if size.n * size.d > max_values:
-        raise ValueError(f"the codebook has {size.n} centroids of {size.d} numbers; at most {max_values} numbers are allowed")
-    book = centroids.select("cid", "vec").orderBy("cid").collect()
+        numbered = metrics.written(df.withColumn("_row", F.monotonically_increasing_id()), "vectors")
+        found = metrics.nearest(numbered.select(F.col("_row").alias("row"), F.col(vec).cast("array<double>").alias("vec")),
+                                book.select(F.col("cid").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")), metric,
+                                max_values=max_values)
+        found = found.select(F.col("row").alias("_row"), F.col("id").alias("cid"), "dist")
+        return numbered.join(found, "_row", "left").select(*df.columns, "cid", "dist")
+    rows = book.orderBy("cid").collect()
     shared = df.sparkSession.sparkContext.broadcast(
-        (np.array([r.cid for r in book], dtype=np.int64), np.array([r.vec for r in book], dtype=float)))
+        (np.array([r.cid for r in rows], dtype=np.int64), np.array([r.vec for r in rows], dtype=float)))
 
     @F.pandas_udf("cid long, dist double")
     def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ids, values = shared.value
         for batch in batches:
-            yield _nearest(batch, ids, values)
+            yield _nearest(batch, ids, values, metric)
 
     return df.withColumn("_n", nearest(vec)).select(*df.columns, "_n.cid", "_n.dist")
 
 
+def _nearest(block: pd.Series, ids: np.ndarray, book: np.ndarray, metric: str) -> pd.DataFrame:
+    """Lowest distance per vector; the first of equal centroids wins."""
+    cid = np.full(len(block), -1, dtype=np.int64)
+    best = np.full(len(block), np.nan)
+    present = block.notna().to_numpy()
+    if present.any():
+        rows = block[present].to_numpy()
+        if any(len(r) != book.shape[1] for r in rows):
+            raise ValueError(f"vectors must have {book.shape[1]} values like the codebook")
+        x = np.stack(rows).astype(float)
+        low, at = np.full(len(x), np.inf), np.full(len(x), -1, dtype=np.int64)
+        for j in range(len(book)):
+            d = metrics.METRICS[metric](x - book[j])
+            closer = d < low
+            low[closer], at[closer] = d[closer], ids[j]
+        cid[present], best[present] = at, low
+    return pd.DataFrame({"cid": pd.Series(cid).where(cid >= 0).astype("Int64"), "dist": pd.Series(best).where(present)})
+
+
 def common_width(samples: DataFrame, vec: str = "features") -> int:
     """The width most vectors have; of equally many, the larger."""
     widths = samples.where(F.col(vec).isNotNull()).groupBy(F.size(vec).alias("n")).agg(F.count(F.lit(1)).alias("rows"))

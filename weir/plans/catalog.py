@@ -26,6 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     from weir.plans import (  # noqa: F401
+        cluster_queries,
         domain_queries,
         flow_queries,
         host_queries,
