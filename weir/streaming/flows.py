@@ -1,7 +1,8 @@
 """Flow features, pattern adaptation and scores over a live packet stream.
 
-State is kept per key in the RocksDB store, which `use_rocksdb` selects, and expires after a time without
-packets. Within a micro-batch the packets of a key are taken in `seq` order; each series keeps its last 49
+State is kept per key in the RocksDB store, which `use_rocksdb` selects. A key that is idle for longer than a limit of event
+time starts afresh, however its packets fall into micro-batches; a timer frees its state once the watermark shows that no
+packet can continue it. Within a micro-batch the packets of a key are taken in `seq` order; each series keeps its last 49
 values, so a batch is computed with array operations over tail and new values.
 """
 
@@ -36,12 +37,6 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def time_mode(ttl_ms: int | None) -> str:
-    """Expiry needs the processing clock, with which a query never runs out of batches; a query that should end
-    with its input (availableNow) keeps its state for good."""
-    return "None" if ttl_ms is None else "ProcessingTime"
-
-
 def _cut(x: np.ndarray) -> np.ndarray:
     return np.trunc(np.round(x, 6)).astype(np.int64)
 
@@ -156,37 +151,74 @@ def _ordered(rows: Iterator[pd.DataFrame], by: str = "seq") -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable", ignore_index=True)
 
 
-class _FlowProcessor(StatefulProcessor):
-    def __init__(self, ttl_ms: int | None, keep: list[str]):
-        self.ttl_ms, self.keep = ttl_ms, keep
+def _visits(t: np.ndarray, last: int | None, idle: int) -> list[tuple[int, int, bool]]:
+    """(first, past the last, afresh) of the runs of packets that are no more than `idle` seconds after all before them."""
+    before = _before(t, _NEVER if last is None else last)
+    fresh = t - np.where(before == _NEVER, t, before) > idle
+    fresh[0] = fresh[0] or last is None
+    cuts = sorted({0, *np.flatnonzero(fresh).tolist(), len(t)})
+    return [(a, b, bool(fresh[a])) for a, b in zip(cuts, cuts[1:])]
+
+
+class _Idle(StatefulProcessor):
+    """A value per key, and a timer for the time from which no packet can continue it."""
+
+    schema: str
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms, self.idle = idle_ms, idle_ms // 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.flow = handle.getValueState("flow", _STATE, self.ttl_ms)
+        self.handle, self.held = handle, handle.getValueState("held", f"last bigint, {self.schema}")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows)
-        features, state = advance(self.flow.get(), pdf)
-        self.flow.update(state)
-        yield pdf[self.keep].assign(features=list(features))
+    def keep(self, last: int, state: tuple) -> None:
+        self.held.update((last, *state))
+        self.handle.registerTimer(self._end(last))
+
+    def _end(self, last: int) -> int:
+        return last * 1000 + self.idle_ms + 1000  # packets are told apart by whole seconds
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.held.exists() and self._end(self.held.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.held.clear()  # else the key was seen again, and has a later timer
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def stream_flow_features(packets: DataFrame, ttl_ms: int | None = DAY_MS) -> DataFrame:
-    """The 26 features of every packet of a stream, as `features`. Idle flows are forgotten after `ttl_ms`."""
+class _FlowProcessor(_Idle):
+    schema = _STATE
+
+    def __init__(self, idle_ms: int, columns: list[str]):
+        super().__init__(idle_ms)
+        self.columns = columns
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf, (last, *state) = _ordered(rows), self.held.get() if self.held.exists() else (None,)
+        t, features = pdf["t"].to_numpy(np.int64), []
+        for a, b, fresh in _visits(t, last, self.idle):
+            part, state = advance(None if fresh else tuple(state), pdf.iloc[a:b])
+            features.extend(part)
+        self.keep(int(max(t.max(), _NEVER if last is None else last)), state)
+        yield pdf[self.columns].assign(features=features)
+
+
+def stream_flow_features(packets: DataFrame, idle_ms: int = DAY_MS, watermark: str = "10 minutes") -> DataFrame:
+    """The 26 features of every packet of a stream, as `features`. A flow without packets for more than `idle_ms` of event time,
+    in whole seconds, starts afresh. Packets behind the watermark are left out (`split_late` keeps them as a table)."""
     use_rocksdb(packets.sparkSession)
-    keep = packets.columns
+    columns = packets.columns
     schema = StructType(packets.schema.fields[:]).add("features", ArrayType(DoubleType()))
-    timed = packets.withColumn("t", F.unix_seconds("ts"))
+    timed = packets.withWatermark("ts", watermark).withColumn("t", F.unix_seconds("ts"))
     return timed.groupBy(*FLOW).transformWithStateInPandas(
-        statefulProcessor=_FlowProcessor(ttl_ms, keep), outputStructType=schema, outputMode="Append", timeMode=time_mode(ttl_ms))
+        statefulProcessor=_FlowProcessor(idle_ms, columns), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
-def stream_score(packets: DataFrame, profile: P.Profile, mode: str | P.Policy = "STRICT", ttl_ms: int | None = DAY_MS,
+def stream_score(packets: DataFrame, profile: P.Profile, mode: str | P.Policy = "STRICT", idle_ms: int = DAY_MS,
                  reduce=None) -> DataFrame:
     """Features, nearest centroid, score and verdict of every packet of a stream."""
-    scored = stream_flow_features(packets, ttl_ms)
+    scored = stream_flow_features(packets, idle_ms)
     if reduce is not None:
         scored = scored.withColumn("features", reduce(F.col("features")))
     return P.verdict(P.classify(scored, profile), mode)
@@ -203,38 +235,37 @@ def stream_score_feed(scored: DataFrame, checkpoint: str, sink: str = "text", tr
             .outputMode("append").trigger(**(trigger or {"availableNow": True})).start())
 
 
-class _AdaptProcessor(StatefulProcessor):
-    def __init__(self, ttl_ms: int | None, code: str, initial: tuple[int, int, int], keep: list[str]):
-        self.ttl_ms, self.code, self.initial, self.keep = ttl_ms, code, initial, keep
+class _AdaptProcessor(_Idle):
+    schema = "level int, uniq int"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "level int, uniq int", self.ttl_ms)
+    def __init__(self, idle_ms: int, code: str, initial: tuple[int, int, int], columns: list[str]):
+        super().__init__(idle_ms)
+        self.code, self.initial, self.columns = code, initial, columns
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows)
+        pdf, (last, *held) = _ordered(rows), self.held.get() if self.held.exists() else (None,)
+        t, codes, levels, uniqs = pdf["t"].to_numpy(np.int64), pdf[self.code].to_numpy(), [], []
         code, level, uniq = self.initial
-        if self.held.exists():
-            level, uniq = self.held.get()
-        levels, uniqs = [], []
-        for c in pdf[self.code]:
-            if c == code:
-                uniq = (uniq | (uniq + 1)) % 4
-            elif level >= 4:
-                level, uniq = level - 1, (uniq - 1) % 4
-            levels.append(level)
-            uniqs.append(uniq)
-        self.held.update((level, uniq))
-        yield pdf[self.keep].assign(held_range=levels, held_uniqueness=uniqs)
-
-    def close(self) -> None:
-        pass
-
-
-def stream_adapt_patterns(patterns: DataFrame, by: Sequence[str] = FLOW, code: str = "code", initial_code: int = 0,
-                          initial_range: int = 0, initial_uniqueness: int = 0, ttl_ms: int | None = DAY_MS) -> DataFrame:
-    """Pattern hysteresis per key over a stream."""
+        for a, b, fresh in _visits(t, last, self.idle):
+            level, uniq = self.initial[1:] if fresh else held
+            for c in codes[a:b]:
+                if c == code:
+                    uniq = (uniq | (uniq + 1)) % 4
+                elif level >= 4:
+                    level, uniq = level - 1, (uniq - 1) % 4
+                levels.append(level)
+                uniqs.append(uniq)
+            held = level, uniq
+        self.keep(int(max(t.max(), _NEVER if last is None else last)), (level, uniq))
+        yield pdf[self.columns].assign(held_range=levels, held_uniqueness=uniqs)
+
+
+def stream_adapt_patterns(patterns: DataFrame, by: Sequence[str] = FLOW, code: str = "code", initial_code: int = 0, initial_range: int = 0,
+                          initial_uniqueness: int = 0, idle_ms: int = DAY_MS, watermark: str = "10 minutes") -> DataFrame:
+    """Pattern hysteresis per key over a stream; a key that is idle for more than `idle_ms` of event time starts afresh."""
     use_rocksdb(patterns.sparkSession)
     schema = StructType(patterns.schema.fields[:]).add("held_range", IntegerType()).add("held_uniqueness", IntegerType())
-    processor = _AdaptProcessor(ttl_ms, code, (initial_code, initial_range, initial_uniqueness), patterns.columns)
-    return patterns.groupBy(*by).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode(ttl_ms))
+    processor = _AdaptProcessor(idle_ms, code, (initial_code, initial_range, initial_uniqueness), patterns.columns)
+    timed = patterns.withWatermark("ts", watermark).withColumn("t", F.unix_seconds("ts"))
+    return timed.groupBy(*by).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
