@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weir.operators import decode as D
 from weir.plans.bindings import WIRE_SQL, scratch, wire_packets
 from weir.plans.catalog import query
+from weir.sources import captures as C
 from weir.sources import packets as S
 
 SRC = "CASE WHEN direction = 'OUT' THEN client ELSE server END"
@@ -177,3 +178,27 @@ def _read_packets(spark, sf_dir):
     wire_packets(spark, sf_dir).write.parquet(path)
     return S.read_packets(spark, path).groupBy("direction").agg(
         F.count(F.lit(1)).alias("n"), F.sum("captured_len").alias("bytes"))
+
+
+# The packets written as capture files and read back in splits of 100 kB, most of which begin inside a record. Their clock is
+# set to this year's range, as zeros would be times and headers alike.
+CLOCK = 1_700_000_000
+LENGTH_SQL = "CASE WHEN k = 7 THEN 10 ELSE n + CASE WHEN tcp THEN 42 ELSE 28 END END"
+
+
+@query("read_captures", f"WITH {WIRE_SQL} SELECT seq AS t, direction, {LENGTH_SQL} AS captured_len, 'accepted' AS outcome FROM wire")
+def _captures(spark, sf_dir):
+    path = scratch(spark, "captures")
+    C.write_captures(wire_packets(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.unix_seconds("ts") + CLOCK)), path)
+    rows = C.read_captures(spark, path, splitBytes=100_000)
+    return rows.select((F.unix_seconds("ts") - CLOCK).alias("t"), "direction", "captured_len", F.coalesce("reject_reason", F.lit("accepted")).alias("outcome"))
+
+
+@query("stream_captures", f"WITH {WIRE_SQL} SELECT direction, count(*) AS n, CAST(sum({LENGTH_SQL}) AS BIGINT) AS bytes FROM wire GROUP BY ALL")
+def _stream_captures(spark, sf_dir):
+    path, out = scratch(spark, "captures"), scratch(spark, "captured")
+    C.write_captures(wire_packets(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.unix_seconds("ts") + CLOCK)), path)
+    packets = C.split_captures(C.read_captures(spark, path, streaming=True, splitBytes=100_000))[0]
+    (packets.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "captures-state"))
+     .trigger(availableNow=True).start().awaitTermination())
+    return S.read_packets(spark, out).groupBy("direction").agg(F.count(F.lit(1)).alias("n"), F.sum("captured_len").alias("bytes"))
