@@ -155,8 +155,8 @@ def test_cuts_members_heights_and_depths(spark):
 def test_a_chain_is_doubled(spark):
     """A tree as deep as it has merges: pointers, not levels, set the rounds."""
     n = 34
-    leaves = spark.createDataFrame([(i, 100 + i) for i in range(n)], "node long, id long")
-    merges = [(n + i, n + i - 1 if i else 0, i + 1, float(i % 5), i + 2, 0, i) for i in range(n - 1)]
+    leaves = spark.createDataFrame([(i, 100 + i, [0.0]) for i in range(n)], "node long, id long, vec array<double>")
+    merges = [(n + i, n + i - 1 if i else 0, i + 1, float(i % 5), i + 2, 0, [0.0], i) for i in range(n - 1)]
     tree = T.MergeTree(leaves, spark.createDataFrame(merges, T._MERGES))
     nodes = rebuilt(tree)
     got = {r.node: (r.height, r.depth) for r in T.tree_measures(tree).collect()}

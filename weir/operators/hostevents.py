@@ -192,7 +192,13 @@ def fit_event_profile(events: DataFrame, size: int = 10) -> P.Profile:
     return P.fit_profile(events, "flat", size=size, vec="vec")
 
 
+def lead_event_profile(events: DataFrame, radius: float) -> P.Profile:
+    """The leaders of a training period's events, in order of time, none within `radius` of an earlier one."""
+    return P.fit_profile(events, "leader", threshold=radius, vec="vec", order_by="ts", id_col="seq")
+
+
 def cluster_events(events: DataFrame, profile: P.Profile) -> tuple[DataFrame, P.Profile]:
-    """Assign events, growing the profile where they are too far; `grown` marks events in new clusters."""
-    profile, near = P.grow_profile(profile, events)
+    """Assign events, growing the profile where they are too far, by the leaders of those events in order of time; `grown` marks
+    events in new clusters."""
+    profile, near = P.grow_profile(profile, events, leaders=("ts", "seq"))
     return near.withColumn("grown", F.col("cid") >= profile.init_size), profile

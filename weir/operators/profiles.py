@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from weir.functions import vectors as V
 from weir.operators import vectors as N
+from weir.operators.metric import leader_cluster
+from weir.operators.trees import cut_tree, merge_tree
+from weir.plans.ordering import with_position
 from weir.session import ensure_checkpoint_dir
 
 # Centroids of a fitted profile, and those added at most each time it grows.
@@ -79,16 +82,40 @@ def _labelled(centroids: DataFrame) -> DataFrame:
     return centroids.select("cid", "vec", F.lit(0.001).alias("size"), F.concat(F.lit("group "), F.col("cid").cast("string")).alias("label"))
 
 
-def fit_profile(samples: DataFrame, method: str = "hier", size: int = PROFILE_SIZE, threshold: float | None = None,
-                vec: str = "features", seed: int = 42) -> Profile:
-    """A profile of at most `size` centroids, by k-means over all rows, at every size of the table.
+def _numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """(cid, vec) of rows, numbered in their order."""
+    return _labelled(with_position(rows, *order, name="cid").select("cid", F.col("vec").cast("array<double>").alias("vec"))).checkpoint()
+
+
+def leader_centroids(samples: DataFrame, radius: float, order_by: str, id_col: str, vec: str = "features") -> DataFrame:
+    """The leaders among the rows as centroids, numbered in the order of `order_by` and id. Ids are unique."""
+    led = leader_cluster(samples, radius, order_by, id_col, vec).where(F.col("leader") == F.col(id_col)).select(id_col)
+    return _numbered(samples.join(led, id_col).select(F.col(order_by).alias("_at"), F.col(id_col).alias("_id"), F.col(vec).alias("vec")), "_at", "_id")
+
 
-    `hier`: centroids closer than the threshold (a tenth of the rows if not given) are merged, and the threshold is also the
-    radius. `flat`: the centroids as they are, the threshold (or the radius inferred for `size`) as the least distance, and a
-    radius of twice the largest distance seen.
+def tree_centroids(samples: DataFrame, threshold: float, id_col: str = "row_id", vec: str = "features") -> DataFrame:
+    """The clusters of a merge tree cut at `threshold` as centroids, where their nodes stand, numbered by least leaf."""
+    tree = merge_tree(samples, id_col, vec)
+    nodes = tree.leaves.select("node", F.col("node").alias("first"), "vec").unionByName(tree.merges.select("node", "first", "vec"))
+    return _numbered(nodes.join(cut_tree(tree, threshold).select("node").distinct(), "node"), "first")
+
+
+def fit_profile(samples: DataFrame, method: str = "hier", size: int = PROFILE_SIZE, threshold: float | None = None,
+                vec: str = "features", seed: int = 42, order_by: str = "row_id", id_col: str = "row_id") -> Profile:
+    """A profile of normal rows, fitted to all rows at every size of the table.
+
+    By k-means with at most `size` centroids: `hier` merges centroids closer than the threshold (a tenth of the rows if not
+    given), which is also the radius; `flat` keeps the centroids, with the threshold (or the radius inferred for `size`) as
+    the least distance, and a radius of twice the largest distance seen. By the rows themselves: `leader` takes the leaders
+    in the order of `order_by`, none within the threshold of an earlier one, and `tree` the clusters of a merge tree cut at
+    the threshold; the threshold (the inferred radius if not given) is also the radius.
     """
     spark = samples.sparkSession
     ensure_checkpoint_dir(spark)
+    if method in ("leader", "tree"):
+        radius = float(N.infer_radius(samples, size, vec).first()["radius"] if threshold is None else threshold)
+        centroids = leader_centroids(samples, radius, order_by, id_col, vec) if method == "leader" else tree_centroids(samples, radius, id_col, vec)
+        return Profile(centroids, radius, radius if method == "leader" else radius / 3, centroids.count(), vec)
     book = np.array([r.vec for r in kmeans(samples, size, seed=seed, vec=vec).orderBy("cid").collect()])
     if method == "hier":
         radius = float(samples.count() // 10 if threshold is None else threshold)
@@ -96,7 +123,7 @@ def fit_profile(samples: DataFrame, method: str = "hier", size: int = PROFILE_SI
     elif method == "flat":
         min_dist = float(N.infer_radius(samples, size, vec).first()["radius"] if threshold is None else threshold)
     else:
-        raise ValueError("method must be 'hier' or 'flat'")
+        raise ValueError("method must be 'hier', 'flat', 'leader' or 'tree'")
     rows = [(i, [float(v) for v in c]) for i, c in enumerate(book)]
     centroids = _labelled(spark.createDataFrame(rows, "cid long, vec array<double>"))
     if method == "flat":
@@ -115,10 +142,12 @@ def classify(df: DataFrame, profile: Profile) -> DataFrame:
         "score", F.when(F.col("predicted") == "P", 1).otherwise(0))
 
 
-def grow_profile(profile: Profile, batch: DataFrame, growth: int = GROWTH, seed: int = 42) -> tuple[Profile, DataFrame]:
+def grow_profile(profile: Profile, batch: DataFrame, growth: int = GROWTH, seed: int = 42,
+                 leaders: tuple[str, str] | None = None) -> tuple[Profile, DataFrame]:
     """Cluster the rows at or beyond the radius into at most `growth` new centroids and assign those rows to them.
 
-    Sizes become the largest distance assigned so far; labels stay.
+    With `leaders` (the columns of order and id) the new centroids are the leaders among those rows, none within the radius
+    of an earlier one, and however many there are. Sizes become the largest distance assigned so far; labels stay.
     """
     vec, spark = profile.vec, batch.sparkSession
     ensure_checkpoint_dir(spark)
@@ -127,7 +156,8 @@ def grow_profile(profile: Profile, batch: DataFrame, growth: int = GROWTH, seed:
     centroids = profile.centroids
     if far.take(1):
         offset = centroids.agg(F.max("cid")).first()[0] + 1
-        new = _labelled(kmeans(far, growth, seed=seed, vec=vec).select((F.col("cid") + offset).alias("cid"), "vec"))
+        new = leader_centroids(far, profile.max_radius, *leaders, vec) if leaders else kmeans(far, growth, seed=seed, vec=vec)
+        new = _labelled(new.select((F.col("cid") + offset).alias("cid"), "vec"))
         near = near.where(F.col("dist") < profile.max_radius).unionByName(N.nearest_centroid(far, new, vec)).checkpoint()
         centroids = centroids.unionByName(new)
     reach = N.cluster_summary(near).select("cid", "radius")

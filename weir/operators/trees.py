@@ -12,12 +12,12 @@ from weir.operators.metric import MAX_VALUES, gaps, least, nearest, written
 from weir.plans.ordering import with_position
 
 _NODES = ("node", "vec", "size", "first")
-_MERGES = "node long, left long, right long, distance double, size long, first long, round int"
+_MERGES = "node long, left long, right long, distance double, size long, first long, vec array<double>, round int"
 
 
 @dataclass(frozen=True)
 class MergeTree:
-    """`leaves` (node, id) and `merges` (node, left, right, distance, size, first, round).
+    """`leaves` (node, id, vec) and `merges` (node, left, right, distance, size, first, vec, round).
 
     A merge joins two nodes that were nearest to each other into one at their midpoint; `size` counts its leaves and `first` is
     its least leaf. Leaves are numbered from 0 in the order of their ids, merges after them in the order of their rounds.
@@ -63,7 +63,7 @@ def _topmost_rounds(nodes: list, total: int, rounds: int, metric: str) -> list[t
         for i, (d, a, b) in enumerate(sorted(pairs)):
             (x, n, f), (y, m, g) = nodes.pop(a), nodes.pop(b)
             nodes[total + i] = ((x + y) / 2, n + m, min(f, g))
-            out.append((total + i, a, b, d, n + m, min(f, g), rounds))
+            out.append((total + i, a, b, d, n + m, min(f, g), ((x + y) / 2).tolist(), rounds))
         total, rounds = total + len(pairs), rounds + 1
     return out
 
@@ -93,13 +93,13 @@ def merge_tree(df: DataFrame, id_col: str = "row_id", vec: str = "features", met
         made = written(with_position(pairs, "distance", "left", name="at").withColumn("node", F.col("at") + total).drop("at"), "merges")
         gone = made.select(F.explode(F.array("left", "right")).alias("node"))
         nodes = written(nodes.join(gone, "node", "left_anti").unionByName(made.select(*_NODES)), "nodes")
-        merges.append(made.select("node", "left", "right", "distance", "size", "first", F.lit(rounds).alias("round")))
+        merges.append(made.select("node", "left", "right", "distance", "size", "first", "vec", F.lit(rounds).alias("round")))
         merged = made.count()
         total, count, rounds = total + merged, count - merged, rounds + 1
     out = df.sparkSession.createDataFrame(_topmost_rounds(nodes.collect(), total, rounds, metric), _MERGES)
     for part in merges:
         out = out.unionByName(part)
-    return MergeTree(leaves.select("node", "id"), out)
+    return MergeTree(leaves.select("node", "id", "vec"), out)
 
 
 def _parents(tree: MergeTree) -> DataFrame:
@@ -127,7 +127,7 @@ def _topmost(tree: MergeTree, qualifies) -> DataFrame:
         return rows.join(above, "jump", "left").select("node", "leaf", F.col("next").alias("jump"), F.coalesce("above", "top").alias("top"))
 
     found = _doubled(start, step, "topmost").where("leaf AND top IS NOT NULL")
-    return tree.leaves.join(found.select("node", "top"), "node").select("id", F.col("top").alias("node"))
+    return tree.leaves.drop("vec").join(found.select("node", "top"), "node").select("id", F.col("top").alias("node"))
 
 
 def cut_tree(tree: MergeTree, distance: float) -> DataFrame:

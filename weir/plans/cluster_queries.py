@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weir.operators import metric as M
+from weir.operators import profiles as P
 from weir.operators import trees as T
 from weir.operators import vectors as N
 from weir.plans.bindings import CENTROIDS_SQL, centroids, samples, samples_sql, table
@@ -150,3 +151,34 @@ far AS (SELECT row_id, cid, sum(abs(v - c)) AS dist FROM cells JOIN centroids US
 SELECT row_id, arg_min(cid, (dist, cid)) AS cid, round(min(dist), 6) AS dist FROM far GROUP BY row_id""")
 def _l1(spark, sf_dir):
     return N.nearest_centroid(samples(spark, sf_dir), centroids(spark, sf_dir), metric="l1").select("row_id", "cid", r6("dist").alias("dist"))
+
+
+# ---- profiles of the rows themselves ---------------------------------------------------------------
+
+def profile_rows(rows, profile):
+    return P.classify(rows, profile).select("row_id", "cid", r6("dist").alias("dist"), "predicted")
+
+
+# Centroids are the leaders of a pass over the vectors; a row may have a nearer one than the one that leads it.
+@query("fit_profile_leader", LEADER_SQL.rsplit("SELECT", 1)[0] + f""", book AS (SELECT row_number() OVER (ORDER BY leader) - 1 AS cid, lead AS c FROM leaders),
+far AS (SELECT row_id, cid, list_distance(features, c) AS dist FROM samples, book)
+SELECT row_id, arg_min(cid, (dist, cid)) AS cid, round(min(dist), 6) AS dist, CASE WHEN min(dist) < {LEADER_RADIUS} THEN 'P' ELSE 'N' END AS predicted
+FROM far GROUP BY row_id""")
+def _profile_leader(spark, sf_dir):
+    s = samples(spark, sf_dir)
+    return profile_rows(s, P.fit_profile(s, "leader", threshold=LEADER_RADIUS))
+
+
+# Centroids are the nodes of a merge tree cut at 1.5; rows that lie 1.5 or more from all of them are not normal.
+@query("fit_profile_tree", f"""WITH RECURSIVE {L2_TREE_SQL}, {DOWN_SQL.split('down(', 1)[0].rstrip().rstrip(',')},
+nodes AS (SELECT DISTINCT first, size, vec FROM tree),
+opened(first, size, d) AS (SELECT * FROM (SELECT first, size, d FROM merges ORDER BY size DESC LIMIT 1) UNION ALL
+  SELECT p.part, p.part_size, coalesce(m.d, 0) FROM opened o JOIN parts p ON p.first = o.first AND p.size = o.size
+  LEFT JOIN merges m ON m.first = p.part AND m.size = p.part_size WHERE o.d >= 1.5),
+book AS (SELECT row_number() OVER (ORDER BY first) - 1 AS cid, vec AS c FROM opened JOIN nodes USING (first, size) WHERE d < 1.5),
+far AS (SELECT row_id, cid, list_distance(features, c) AS dist FROM accounts, book)
+SELECT row_id, arg_min(cid, (dist, cid)) AS cid, round(min(dist), 6) AS dist, CASE WHEN min(dist) < 1.5 THEN 'P' ELSE 'N' END AS predicted
+FROM far GROUP BY row_id""")
+def _profile_tree(spark, sf_dir):
+    a = accounts(spark, sf_dir)
+    return profile_rows(a, P.fit_profile(a, "tree", threshold=1.5))

@@ -81,12 +81,40 @@ def _archive(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.round(F.sum(F.get("features", F.lit(1))), 6).alias("s1"))
 
 
-# a profile fitted on all events has a radius of twice their largest distance: no event is new to it
-@query("cluster_events", f"WITH {EVENTS_SQL} SELECT count(*) AS rows, 0 AS grown, 0 AS unassigned FROM host_events")
-def _cluster(spark, sf_dir):
+# The profile is made of the first hundredth of the events; later ones that lie 60 or more from its centroids grow it. The twin
+# finds the leaders of both parts one after the other.
+TRAINING, EVENT_RADIUS = 100, 60.0
+LEADERS_SQL = """{name}_left(step, seq, v) AS (SELECT 0, seq, v FROM {rows} UNION ALL
+  SELECT step + 1, seq, v FROM (SELECT step, seq, v, first_value(v) OVER (ORDER BY seq) AS lead FROM {name}_left) WHERE list_distance(v, lead) >= 60),
+{name}_book AS (SELECT step + {first} AS cid, arg_min(v, seq) AS c FROM {name}_left GROUP BY step),
+{name}_near AS (SELECT seq, arg_min(cid, (list_distance(v, c), cid)) AS cid, min(list_distance(v, c)) AS dist FROM {asked}, {name}_book GROUP BY seq)"""
+GROWN_SQL = f"""WITH RECURSIVE {EVENTS_SQL},
+vecs AS (SELECT seq, [(CASE code {BYTES} END)::DOUBLE, s1, 0, 0, s4, 0]::DOUBLE[] AS v FROM host_events),
+early AS (SELECT * FROM vecs WHERE seq * {TRAINING} < (SELECT max(event_id) + 1 FROM events)), rest AS (SELECT * FROM vecs WHERE seq NOT IN (SELECT seq FROM early)),
+{LEADERS_SQL.format(name='old', rows='early', first='0', asked='rest')},
+far AS (SELECT * FROM rest WHERE seq IN (SELECT seq FROM old_near WHERE dist >= {EVENT_RADIUS})),
+{LEADERS_SQL.format(name='new', rows='far', first='(SELECT count(*) FROM old_book)', asked='far')},
+told AS (SELECT seq, cid, dist, false AS grown FROM old_near WHERE dist < {EVENT_RADIUS} UNION ALL SELECT seq, cid, dist, true FROM new_near)
+SELECT cid, grown, count(*) AS n, round(max(dist), 6) AS radius FROM told GROUP BY cid, grown"""
+
+
+def event_periods(spark, sf_dir):
+    """The training events, and the others."""
     e = host_events(spark, sf_dir)
-    near, _ = H.cluster_events(e, H.fit_event_profile(e, size=3))
-    return near.agg(F.count(F.lit(1)).alias("rows"), F.count_if("grown").alias("grown"), F.count_if(F.col("cid").isNull()).alias("unassigned"))
+    n = e.agg(F.max("seq") + 1).first()[0]
+    early = F.col("seq") * TRAINING < n
+    return e.where(early), early
+
+
+def grown_clusters(near):
+    return near.groupBy("cid", "grown").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("dist"), 6).alias("radius"))
+
+
+@query("cluster_events", GROWN_SQL)
+def _cluster(spark, sf_dir):
+    training, early = event_periods(spark, sf_dir)
+    near, _ = H.cluster_events(host_events(spark, sf_dir).where(~early), H.lead_event_profile(training, EVENT_RADIUS))
+    return grown_clusters(near)
 
 
 # ---- socket snapshots ------------------------------------------------------------------------------

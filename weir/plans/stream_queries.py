@@ -9,6 +9,7 @@ from weir.operators import domains as D
 from weir.operators import graph as G
 from weir.operators import profiles as P
 from weir.operators.flows import FEATURES, flow_features
+from weir.operators.hostevents import lead_event_profile
 from weir.plans import domain_queries as DQ
 from weir.plans import host_queries as HQ
 from weir.plans.bindings import flow_packets, messages, scratch, stream_table
@@ -244,16 +245,14 @@ def _stream_match(spark, sf_dir):
     return d.join(F.broadcast(last), t <= F.col("last")).select(*MATCHED)
 
 
-@query("stream_grow_profile", "SELECT count(*) AS rows, 0 AS grown FROM events")
+@query("stream_grow_profile", HQ.GROWN_SQL)
 def _grow(spark, sf_dir):
-    from weir.operators.hostevents import fit_event_profile
-
-    start = fit_event_profile(HQ.host_events(spark, sf_dir), size=3)
+    training, early = HQ.event_periods(spark, sf_dir)
     saved, out = scratch(spark, "profile"), scratch(spark, "grown")
-    SE.save_profile(start, saved, 0)
-    e = HQ.host_events(spark, sf_dir, events=stream_table(spark, sf_dir, "events"))
-    SE.stream_grow_profile(e, saved, scratch(spark, "grow-state"), out, vec="vec").awaitTermination()
-    return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("rows"), F.count_if("grown").alias("grown"))
+    SE.save_profile(lead_event_profile(training, HQ.EVENT_RADIUS), saved, 0)
+    e = HQ.host_events(spark, sf_dir, events=stream_table(spark, sf_dir, "events")).where(~early)
+    SE.stream_grow_profile(e, saved, scratch(spark, "grow-state"), out, vec="vec", leaders=("ts", "seq")).awaitTermination()
+    return HQ.grown_clusters(spark.read.parquet(out))
 
 
 @query("stream_write_points", ORACLES["write_points"])
