@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from hashlib import md5
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 
 from weir.functions import vectors as V
 from weir.operators import vectors as N
-from weir.operators.metric import leader_cluster
+from weir.operators.metric import leader_cluster, vectors_of
 from weir.operators.trees import cut_tree, merge_tree
 from weir.plans.ordering import with_position
 from weir.session import ensure_checkpoint_dir
@@ -229,6 +232,74 @@ def score_one_class(df: DataFrame, model: OneClass) -> DataFrame:
     return out.withColumn("predicted", label)
 
 
+@dataclass(frozen=True)
+class KernelMean:
+    """Mean of the training rows' kernel features, cut at a quantile of their scores."""
+
+    mean: tuple
+    dim: int
+    gamma: float
+    seed: int
+    cutoff: float
+    vec: str = "features"
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """Add kernel_mean, score (+1 inside, -1 outside) and predicted (P inside, else UNKNOWN)."""
+        mean, weights, shifts = np.array(self.mean), *kernel_weights(len(self.mean), self.dim, self.gamma, self.seed)
+        out = df.withColumn("kernel_mean", _kernel_score(mean, weights, shifts)(F.col(self.vec)))
+        out = out.withColumn("score", F.when(F.col("kernel_mean") >= self.cutoff, 1).otherwise(-1))
+        return out.withColumn("predicted", F.when(F.col("score") == 1, "P").otherwise("UNKNOWN"))
+
+
+def kernel_weights(n: int, dim: int, gamma: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Directions (n, dim) and shifts of random cosine features of the kernel exp(-gamma d^2), from md5 sums of their places."""
+    def share(*place) -> float:
+        return (int(md5("-".join(map(str, place)).encode()).hexdigest()[:12], 16) + 0.5) / 16 ** 12
+
+    normal = [[math.sqrt(-2 * math.log(share("a", seed, i, j))) * math.cos(2 * math.pi * share("b", seed, i, j)) for j in range(dim)] for i in range(n)]
+    return math.sqrt(2 * gamma) * np.array(normal).reshape(n, dim), np.array([2 * math.pi * share("c", seed, i) for i in range(n)])
+
+
+def _kernel_features(x: np.ndarray, weights: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    return math.sqrt(2 / len(shifts)) * np.cos(x @ weights.T + shifts)
+
+
+def _kernel_score(mean: np.ndarray, weights: np.ndarray, shifts: np.ndarray):
+    @F.pandas_udf("double")
+    def score(batch: pd.Series) -> pd.Series:
+        out, some = pd.Series(np.nan, index=batch.index), batch.notna()
+        if some.any():
+            out[some] = _kernel_features(np.stack(batch[some].to_numpy()).astype(float), weights, shifts) @ mean
+        return out.astype(object).where(some, None)
+
+    return score
+
+
+def fit_kernel_mean(samples: DataFrame, nu: float = 0.01, gamma: float = 1e-5, size: int = 512, vec: str = "features", seed: int = 42) -> KernelMean:
+    """A one-class score over all training rows: the mean kernel to every one of them, by `size` random cosine features.
+
+    The mean of the features is summed by the tasks, so neither the score's cost nor what the driver holds grows with the rows;
+    the error of a score falls with the root of `size`. The cutoff is the nu quantile of all training rows' scores.
+    Null vectors and those of another than the commonest width are left out of the fit.
+    """
+    dim = N.common_width(samples, vec)
+    rows = N.filter_dimension(samples, dim, vec)
+    weights, shifts = kernel_weights(size, dim, gamma, seed)
+
+    def sums(batches):
+        total, n = np.zeros(size), 0
+        for batch in batches:
+            x, _ = vectors_of(batch.column(0), dim)
+            total, n = total + _kernel_features(x, weights, shifts).sum(0), n + len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(range(size + 1), pa.int32()), pa.array([*total.tolist(), float(n)])], names=["pos", "v"])
+
+    parts = rows.select(F.col(vec).cast("array<double>").alias("x")).mapInArrow(sums, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v"))
+    total = np.array([r["v"] for r in sorted(parts.collect())])
+    model = KernelMean(tuple((total[:size] / total[size]).tolist()), dim, gamma, seed, -np.inf, vec)
+    cutoff = model.score(rows).agg(F.percentile_approx("kernel_mean", nu, 100_000)).first()[0]
+    return replace(model, cutoff=float(cutoff))
+
+
 # ---- projection ------------------------------------------------------------------------------------
 
 @dataclass(frozen=True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weir.functions import vectors as V
 from weir.operators import evaluate as E
 from weir.operators import graph as G
+from weir.operators import online as O
 from weir.operators import profiles as P
 from weir.operators import vectors as N
 from weir.operators.flows import FEATURES
@@ -380,13 +381,43 @@ def _grow(spark, sf_dir):
     return near.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("cid") >= 10).alias("moved")).join(F.broadcast(kept), F.lit(True))
 
 
-@query("one_class")
+# There are fewer training rows than centres, so every one of them is a centre; the cutoff is their lowest hundredth.
+ONE_CLASS_SQL = f"""WITH {samples_sql()}, p AS (SELECT features AS c FROM samples WHERE label = 'P'),
+scores AS (SELECT row_id, label, avg(exp(-0.5::DOUBLE * list_distance(features, c) ** 2)) AS s FROM samples, p GROUP BY ALL),
+edge AS (SELECT quantile_disc(s, 0.01) AS e FROM scores WHERE label = 'P')
+SELECT row_id, label, CASE WHEN s >= e - 1e-12 THEN 1 ELSE -1 END AS score, CASE WHEN s >= e - 1e-12 THEN 'P' ELSE 'UNKNOWN' END AS predicted FROM scores, edge"""
+
+
+@query("one_class", ONE_CLASS_SQL)
 def _one_class(spark, sf_dir):
     s = samples(spark, sf_dir)
     m = P.fit_one_class(s.where("label = 'P'"), gamma=0.5)
     return m.score(s).select("row_id", "label", "score", "predicted")
 
 
+# The directions are numbers made of md5 sums, so that the twin has the same ones.
+def _share_sql(place):
+    return f"((('0x' || substr(md5({place}), 1, 12))::BIGINT + 0.5) / 281474976710656)::DOUBLE"
+
+
+KERNEL_MEAN_SQL = f"""WITH {samples_sql()},
+d AS (SELECT i, list(0.5::DOUBLE * 2 * sqrt(-2 * ln({_share_sql("'a-42-' || i || '-' || j")})) * cos(2 * pi() * {_share_sql("'b-42-' || i || '-' || j")}) ORDER BY j) AS w,
+  2 * pi() * {_share_sql("'c-42-' || i")} AS b FROM range(256) a(i), range(64) b(j) GROUP BY i),
+z AS (SELECT row_id, label, i, sqrt(2::DOUBLE / 256) * cos(list_inner_product(features, w) + b) AS z FROM samples, d),
+m AS (SELECT i, avg(z) AS m FROM z WHERE label = 'P' GROUP BY i),
+scores AS (SELECT row_id, label, sum(z * m) AS s FROM z JOIN m USING (i) GROUP BY ALL),
+edge AS (SELECT quantile_disc(s, 0.1) AS e FROM scores WHERE label = 'P')
+SELECT row_id, round(s, 6) AS kernel_mean, CASE WHEN s >= e - 1e-12 THEN 1 ELSE -1 END AS score, CASE WHEN s >= e - 1e-12 THEN 'P' ELSE 'UNKNOWN' END AS predicted
+FROM scores, edge"""
+
+
+@query("kernel_mean", KERNEL_MEAN_SQL)
+def _kernel_mean(spark, sf_dir):
+    s = samples(spark, sf_dir)
+    m = P.fit_kernel_mean(s.where("label = 'P'"), nu=0.1, gamma=0.5, size=256)
+    return m.score(s).select("row_id", r6("kernel_mean").alias("kernel_mean"), "score", "predicted")
+
+
 @query("fit_pca", f"WITH {samples_sql()}, s AS (SELECT pos, count(*) * var_pop(v) AS scatter FROM cells GROUP BY ALL) "
                   "SELECT count(*) AS components, round(sum(scatter), 6) AS total, 0 AS not_orthonormal FROM s")
 def _pca(spark, sf_dir):
@@ -424,6 +455,21 @@ def _compare(spark, sf_dir):
         F.sum("held_out").alias("held_out"), F.avg(F.try_divide("errors", "held_out")).alias("error"))
 
 
+# Split sizes are counts of the shares; an online solver has to be right more often than not.
+@query("compare_online_classifiers", """SELECT classifier, fraction, sum(held_out) AS held_out, 20 AS rounds, true AS better_than_chance FROM (
+  SELECT r.round, f.fraction, count(*) FILTER (WHERE ((vec_id * 7919 + r.round * 104729 + 42) % 10007)::DOUBLE / 10007 < f.fraction) AS held_out
+  FROM embeddings, (SELECT unnest(range(20)) AS round) r, (SELECT unnest([0.95, 0.9, 0.75, 0.5, 0.01])::DOUBLE AS fraction) f GROUP BY ALL),
+  (SELECT unnest(['sgd', 'asgd', 'perceptron', 'passive_aggressive_1', 'passive_aggressive_2']) AS classifier) GROUP BY classifier, fraction""")
+def _compare_online(spark, sf_dir):
+    def share(row_id, trial, seed):
+        return ((row_id * 7919 + trial * 104729 + seed) % 10007).cast("double") / 10007
+
+    trials = O.online_trials(samples(spark, sf_dir), share=share)
+    return trials.groupBy("classifier", "fraction").agg(
+        F.sum("held_out").alias("held_out"), F.count(F.lit(1)).alias("rounds"),
+        (F.sum("errors") < F.sum("held_out") / 2).alias("better_than_chance"))
+
+
 @query("compare_feature_subsets")
 def _subsets(spark, sf_dir):
     trials = E.linear_trials(samples(spark, sf_dir), E.feature_windows(64))
