@@ -3,7 +3,9 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from models import read_message
 from weir.operators.decode import INCOMPLETE, MALFORMED, OK, parse_message
+from weir.operators.wire import parse_messages
 
 HEAD = bytes.fromhex("123481800001000100000000")
 NAME = b"\x03www\x07example\x03com\x00"
@@ -52,3 +54,36 @@ def test_truncations_never_raise():
         for _ in range(3):
             bad[rng.randrange(12, len(bad))] = rng.randrange(256)
         parse_message(bytes(bad))
+
+
+def same(messages):
+    """A batch read together and each message read byte by byte."""
+    import pyarrow as pa
+
+    from weir.operators.decode import _RECORD
+
+    got = {k: v.to_pylist() for k, v in parse_messages(pa.array(messages, pa.binary()), _RECORD).items()}
+    for i, m in enumerate(messages):
+        want = read_message(m or b"")
+        assert {k: v[i] for k, v in got.items()} == {k: want.get(k) for k in got}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.binary(max_size=90), max_size=6))
+def test_any_bytes_are_read_as_one_by_one(messages):
+    same(messages)
+
+
+def test_spoiled_messages_are_read_as_one_by_one():
+    records = (bytes.fromhex("c00c000100010000006400040a000001") + bytes.fromhex("c00c00050001000000640006") + b"\x03cdn\xc0\x10"
+               + bytes.fromhex("c00c000200010000012c0005026e73c00c") + bytes.fromhex("0000291000000080000000"))
+    whole = bytes.fromhex("123481800001000200010001") + b"\x03www\x07exa\x00ple\x03com\x00" + bytes.fromhex("00010001") + records
+    r, messages = random.Random(1), [whole, b"", None, whole[:5], HEAD + b"\x40" + b"b" * 64 + bytes(41)]
+    for _ in range(1500):
+        bad = bytearray(whole[:r.randrange(len(whole) + 1)] if r.random() < 0.3 else whole)
+        for _ in range(r.randrange(5)):
+            if bad:
+                bad[r.randrange(len(bad))] = r.choice([0, 1, 3, 192, 12, 255, r.randrange(256)])
+        messages.append(bytes(bad))
+    same(messages)
+    same([])

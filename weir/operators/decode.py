@@ -1,27 +1,25 @@
 """Captured packets to decoded headers, DNS messages and a reject table.
 
-Headers and the question are read with column expressions. Sections with name compression need a walk over
-the bytes of each message; that part runs in Arrow batches after rejects and unread packets are filtered out.
+Headers are read with column expressions. Names and sections need a walk over the bytes of messages, which `wire` takes for all
+messages of an Arrow batch together, after rejects and unread packets are filtered out.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weir.functions import codes
 from weir.functions.bytes import bit, computed_once, u8, u16, u32
+from weir.operators.wire import HEADER_BYTES, INCOMPLETE, MALFORMED, NO_MEMORY, NOT_DNS, OK, QUESTION_BYTES, UNKNOWN, Messages, parse_messages  # noqa: F401
 from weir.schemas import MESSAGE, SECTIONS
 
 UDP, TCP = 17, 6
-# Outcomes of reading a message (fixed values).
-OK, MALFORMED, NOT_DNS, INCOMPLETE, UNKNOWN, NO_MEMORY = 0, 1, 2, 4, 8, 16
-# Limits (fixed values).
-MAX_NAME, MAX_POINTERS, QUESTION_BYTES, RECORD_BYTES, HEADER_BYTES = 255, 100, 6, 10, 12
 _HEADER = "id int, flags int, qdcount int, ancount int, nscount int, arcount int, opt_flags bigint"
 FLAG_BITS = {"qr": 0x8000, "aa": 0x0400, "tc": 0x0200, "rd": 0x0100, "ra": 0x0080, "ad": 0x0020, "cd": 0x0010}
 
@@ -102,139 +100,37 @@ def decode_dns_header(df: DataFrame) -> DataFrame:
     }).drop("_d")
 
 
+@F.arrow_udf(T.StructType([T.StructField("name", T.StringType()), T.StructField("rtype", T.IntegerType()), T.StructField("rclass", T.IntegerType())]))
+def _question(messages: pa.Array) -> pa.Array:
+    """Name, type and class of the uncompressed question that follows each header; null where there is none."""
+    m = Messages(messages)
+    rows = np.arange(len(m.size))
+    names, after, code = m.names(rows, np.full(len(rows), HEADER_BYTES), pointers=False)
+    good = (code == OK) & (m.size > HEADER_BYTES + QUESTION_BYTES) & (after + 4 <= m.size)
+    numbers = [pa.array(m.number(rows, np.maximum(after, 0) + k, 2).astype(np.int32)) for k in (0, 2)]
+    return pa.StructArray.from_arrays([names.arrow(pa.string()), *numbers], names=["name", "rtype", "rclass"], mask=pa.array(~good))
+
+
 def decode_question(df: DataFrame) -> DataFrame:
     """Add qname (labels each followed by a dot), rname, qtype and qclass of an uncompressed question.
 
-    One fold step reads one label. The result is null for messages without a question, for names over the
-    limit or cut short, and for compressed names, which `decode_sections` reads.
+    Only the messages' bytes go through Arrow, where the names of a batch are read together. The result is null for messages
+    without a question, for names over the limit or cut short, and for compressed names, which `decode_sections` reads.
     """
-    df = computed_once(df, {"_d": dns_bytes()})
-    d = F.col("_d")
-
-    def size_at(pos: Column) -> Column:
-        return F.coalesce(u8(d, pos), F.lit(255)).cast("int")
-
-    start = F.struct(F.lit(HEADER_BYTES).alias("pos"), size_at(F.lit(HEADER_BYTES)).alias("size"), F.lit("").alias("name"))
-
-    def label(acc: Column, _: Column) -> Column:
-        text = F.regexp_replace(F.decode(F.substring(d, acc["pos"] + 2, acc["size"]), "ISO-8859-1"), "[^ -~]", "")
-        after = acc["pos"] + 1 + acc["size"]
-        stop = (acc["size"] == 0) | (acc["size"] >= 192) | (F.length(acc["name"]) >= MAX_NAME)
-        return F.when(stop, acc).otherwise(F.struct(
-            after.alias("pos"), size_at(after).alias("size"), F.concat(acc["name"], text, F.lit(".")).alias("name")))
-
-    steps = F.sequence(F.lit(0), F.greatest(F.least(F.floor(F.length(d) / 2), F.lit(128)), F.lit(1)))
-    df = computed_once(df, {"_q": F.aggregate(steps, start, label)})
-    pos = F.col("_q.pos")
-    good = ((F.col("qdcount") == 1) & (F.length(d) > HEADER_BYTES + QUESTION_BYTES) & (F.col("_q.size") == 0)
-            & (F.length("_q.name") < MAX_NAME) & (pos + 5 <= F.length(d)))
-    name = F.when(good, F.when(F.col("_q.name") == "", ".").otherwise(F.col("_q.name")))
-    return df.withColumns({"qname": name, "rname": F.reverse(name),
-                           "qtype": F.when(good, u16(d, pos + 1)).cast("int"),
-                           "qclass": F.when(good, u16(d, pos + 3)).cast("int")}).drop("_d", "_q")
+    df = df.withColumn("_q", F.when(F.col("qdcount") == 1, _question(dns_bytes())))
+    return df.withColumns({"qname": F.col("_q.name"), "rname": F.reverse("_q.name"), "qtype": F.col("_q.rtype"),
+                           "qclass": F.col("_q.rclass")}).drop("_q")
 
 
 # ---- all sections ----------------------------------------------------------------------------------
 
-class _Bad(Exception):
-    def __init__(self, code: int):
-        self.code = code
-
-
-_UNPRINTABLE = bytes(c for c in range(256) if not 31 < c < 127)
-# Layout of the fixed fields of a question and of a record.
-_QUERY, _FIXED = ">HH", ">HHIH"
-
-
-def _name(buf: bytes, pos: int) -> tuple[str, int]:
-    """Text of the name at pos and the position after it, following pointers."""
-    if pos >= len(buf):
-        raise _Bad(INCOMPLETE)
-    text, after, hops = bytearray(), None, 0
-    while True:
-        if pos >= len(buf):
-            raise _Bad(INCOMPLETE)
-        size = buf[pos]
-        if size == 0:
-            pos += 1
-            break
-        if size >= 192:
-            if pos + 1 >= len(buf):
-                raise _Bad(INCOMPLETE)
-            target = (size & 63) << 8 | buf[pos + 1]
-            hops += 1
-            if target == 0 or target > len(buf) or hops > MAX_POINTERS:
-                raise _Bad(MALFORMED)
-            after = pos + 2 if after is None else after
-            pos = target
-            continue
-        part = buf[pos + 1: pos + 1 + size]
-        if len(part) < size:
-            raise _Bad(INCOMPLETE)
-        text += part.translate(None, _UNPRINTABLE) + b"."
-        if len(text) >= MAX_NAME:
-            raise _Bad(MALFORMED)
-        pos += 1 + size
-    return text.decode("ascii") or ".", pos if after is None else after
-
-
-def _number(buf: bytes, pos: int, n: int) -> int:
-    if pos + n > len(buf):
-        raise _Bad(INCOMPLETE)
-    return int.from_bytes(buf[pos: pos + n], "big")
-
-
-def _question(buf: bytes, pos: int) -> tuple[dict, int]:
-    if pos + QUESTION_BYTES >= len(buf):
-        raise _Bad(INCOMPLETE)
-    name, pos = _name(buf, pos)
-    if pos + 4 > len(buf):
-        raise _Bad(INCOMPLETE)
-    kind, group = struct.unpack_from(_QUERY, buf, pos)
-    return {"name": name[::-1], "rtype": kind, "rclass": group, "ttl": 0, "rdlength": 0, "rdata": None}, pos + 4
-
-
-def _record(buf: bytes, pos: int) -> tuple[dict, int]:
-    if pos + RECORD_BYTES > len(buf):
-        raise _Bad(INCOMPLETE)
-    name, pos = _name(buf, pos)
-    if pos + RECORD_BYTES > len(buf):
-        raise _Bad(INCOMPLETE)
-    kind, group, ttl, length = struct.unpack_from(_FIXED, buf, pos)
-    row = {"name": name, "rtype": kind, "rclass": group, "ttl": ttl, "rdlength": length}
-    pos += RECORD_BYTES
-    if pos + length > len(buf):
-        raise _Bad(INCOMPLETE)
-    if kind in (codes.TYPE_CNAME, codes.TYPE_DNAME, codes.TYPE_NS):
-        row["rdata"] = _name(buf, pos)[0].encode("ascii")
-    else:
-        row["rdata"] = bytes(buf[pos: pos + length])
-    return row, pos + length
+_RECORD = pa.struct([("name", pa.string()), ("rtype", pa.int32()), ("rclass", pa.int32()), ("ttl", pa.int64()),
+                     ("rdlength", pa.int32()), ("rdata", pa.binary())])
 
 
 def parse_message(buf: bytes) -> dict:
     """One message to header, sections, opt_flags and err_code. Never raises on bad input."""
-    out = {"opt_flags": 0, "err_code": OK, **{s: [] for s in SECTIONS}}
-    try:
-        for i, n in enumerate(("id", "flags", "qdcount", "ancount", "nscount", "arcount")):
-            out[n] = _number(buf, 2 * i, 2)
-        if out["qdcount"] > 1:
-            raise _Bad(MALFORMED)
-        pos = HEADER_BYTES
-        for section, count in zip(SECTIONS, ("qdcount", "ancount", "nscount", "arcount")):
-            read = _question if section == "questions" else _record
-            if section != "questions" and pos >= len(buf):
-                continue
-            for _ in range(out[count]):
-                row, pos = read(buf, pos)
-                out[section].append(row)
-        if pos > len(buf):
-            raise _Bad(MALFORMED)
-        options = [r["ttl"] for r in out["additional"] if r["rtype"] == codes.TYPE_OPT]
-        out["opt_flags"] = options[0] if options else 0
-    except _Bad as bad:
-        out["err_code"] = bad.code
-    return out
+    return {name: column[0].as_py() for name, column in parse_messages(pa.array([buf], pa.binary()), _RECORD).items()}
 
 
 def decode_sections(df: DataFrame) -> DataFrame:
@@ -243,18 +139,12 @@ def decode_sections(df: DataFrame) -> DataFrame:
     keep = [c for c in df.columns if c not in ("payload", "dns_offset", "dns_len", "dpi_eligible", "reject_reason",
                                                "id", "flags", "qdcount", "ancount", "nscount", "arcount", "header_code")]
     rows = df.where("dpi_eligible").select(*keep, dns_bytes().alias("_d"))
-    numbers = {"id": pa.int32(), "flags": pa.int32(), "qdcount": pa.int32(), "ancount": pa.int32(), "nscount": pa.int32(),
-               "arcount": pa.int32(), "opt_flags": pa.int64(), "err_code": pa.int32()}
-    record = pa.struct([("name", pa.string()), ("rtype", pa.int32()), ("rclass", pa.int32()), ("ttl", pa.int64()),
-                        ("rdlength", pa.int32()), ("rdata", pa.binary())])
-    kinds = {**numbers, **{s: pa.list_(record) for s in SECTIONS}}
     order = [f.split()[0] for f in _HEADER.split(", ")] + [*SECTIONS, "err_code"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = [parse_message(b) for b in batch.column("_d").to_pylist()]
-            arrays = [batch.column(c) for c in keep] + [pa.array([m.get(f) for m in parsed], type=kinds[f]) for f in order]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *order])
+            parsed = parse_messages(batch.column("_d"), _RECORD)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(parsed[f] for f in order)], names=[*keep, *order])
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
     return rows.mapInArrow(decode, f"{kept}, {MESSAGE}, err_code int")
