@@ -1,10 +1,10 @@
 """Phrase collocations from sorted streams of counts.
 
-Every word position gives one window: the word and up to three that follow it in its piece. In sorted order all windows that
-begin with the same words are neighbours, so one pass over the sorted windows counts the phrases of every length; no phrase is
-looked up. The counts are then kept twice, in the order of their first parts and in the order of their last parts, and each
-order is merged in lockstep with the counts themselves: the first gives the left counts, the second the right counts, and both
-the counts of the phrases one word longer.
+Every word position gives one window: the word and up to three that follow it in its piece, as far as its words and pairs are
+frequent. In sorted order all windows that begin with the same words are neighbours, so one pass over the sorted windows counts
+the phrases of every length; no phrase is looked up. The counts are then kept twice, in the order of their first parts and in
+the order of their last parts, and each order is merged in lockstep with the counts themselves: the first gives the left
+counts, the second the right counts, and both the counts of the phrases one word longer.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from weir.llm.common import bounded_batches, saved, width
 LONGEST = 4
 #: Bytes of text whose windows are added up before they are sent on.
 SLICE = 1 << 21
-#: Bits of the table of frequent words that tasks are sent: 16 a word, 32 MB at most.
+#: Bits of the tables of frequent words and pairs that tasks are sent: 16 for each, 32 MB at most.
 MOST_BITS = 1 << 28
 #: Words hold no blank and no tab, so their bytes under nine can be raised by one; zero then parts words and sorts before all.
 CODES = np.arange(256, dtype=np.uint8)
@@ -70,13 +70,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
-def frequent_bits(frequent: DataFrame) -> np.ndarray:
-    """A table of bits in which every frequent word has its bit; a word whose bit is not set is not frequent.
+def code(lang, word):
+    return F.crc32(F.concat(lang, F.lit(" "), word).cast("binary"))
 
-    Its size follows the number of words up to MOST_BITS; fuller tables only let more words pass, which costs rows, not results.
+
+#: A pair's place among the bits is made of its words' codes.
+PAIR = 1000003
+
+
+def frequent_bits(frequent: DataFrame, place) -> np.ndarray:
+    """A table of bits in which every frequent word or pair has its bit; one whose bit is not set is not frequent.
+
+    Its size follows their number up to MOST_BITS; fuller tables only let more pass, which costs rows, not results.
     """
     bits = 1 << min(max(16, (16 * frequent.count()).bit_length()), MOST_BITS.bit_length() - 1)
-    slot = 1 + F.pmod(F.crc32(F.concat("lang", F.lit(" "), "word").cast("binary")), F.lit(bits))
+    slot = 1 + F.pmod(place, F.lit(bits))
     chunks = (frequent.select(F.bitmap_bucket_number(slot).alias("chunk"), F.bitmap_bit_position(slot).alias("place"))
               .groupBy("chunk").agg(F.bitmap_construct_agg("place").alias("bits")).collect())
     out = np.zeros(bits // 8, np.uint8)
@@ -87,24 +95,37 @@ def frequent_bits(frequent: DataFrame) -> np.ndarray:
     return out
 
 
-def windows(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(lang, key, f): for each frequent word, it and up to three frequent words after it in its piece, added up per slice."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def has_bit(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    slot = place % (8 * len(bits))
+    return (bits[slot >> 3] >> (slot & 7) & 1).astype(bool)
+
+
+def windows(docs: DataFrame, word_bits: np.ndarray, pair_bits: np.ndarray | None = None, longest: int = LONGEST) -> DataFrame:
+    """(lang, key, f): each frequent word with the words after it, added up per slice.
+
+    A window has up to `longest` words of a piece and ends before a word that is not frequent or, with `pair_bits`, a pair
+    that is not: no frequent phrase goes on there. Without them only windows of `longest` words are given.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((word_bits, pair_bits))
 
     def run(batches):
-        bits = shared.value
+        word_bits, pair_bits = shared.value
         for batch in batches:
             for lang, distinct, number, joined in coded_words(batch):
                 head = f"{lang} ".encode()
-                slot = np.array([zlib.crc32(head + w.encode()) for w in distinct.to_pylist()], np.int64) % (8 * len(bits))
-                known = (bits[slot >> 3] >> (slot & 7) & 1).astype(bool)[number]
+                codes = np.array([zlib.crc32(head + w.encode()) for w in distinct.to_pylist()], np.int64)
+                known = has_bit(word_bits, codes)[number]
                 n, inside, parts = len(number), known, [number + 1]
-                follow = np.append(joined & np.append(known[1:], False), np.zeros(LONGEST, bool))
-                ahead = np.append(number + 1, np.zeros(LONGEST, np.int64))
-                for j in range(1, LONGEST):
+                follow = np.append(joined & np.append(known[1:], False), np.zeros(longest, bool))
+                if pair_bits is not None:
+                    own = codes[number]
+                    follow[:n - 1] &= has_bit(pair_bits, own[:-1] * PAIR + own[1:])
+                ahead = np.append(number + 1, np.zeros(longest, np.int64))
+                for j in range(1, longest):
                     inside = inside & follow[j - 1:j - 1 + n]
                     parts.append(np.where(inside, ahead[j:j + n], 0))
-                parts = [p[known] for p in parts]
+                kept = known if pair_bits is not None else inside
+                parts = [p[kept] for p in parts]
                 if not len(parts[0]):
                     continue
                 row = parts[0]
@@ -113,10 +134,10 @@ def windows(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 _, first, counts = np.unique(row, return_index=True, return_counts=True)
                 parts = [p[first] for p in parts]
                 size = sum((p > 0).astype(np.int64) for p in parts)
-                for n in range(1, LONGEST + 1):
-                    own = np.flatnonzero(size == n)
+                for k in range(1, longest + 1):
+                    own = np.flatnonzero(size == k)
                     if len(own):
-                        keys = pc.binary_join_element_wise(*(distinct.take(pa.array(p[own] - 1)) for p in parts[:n]), pa.scalar("\0", distinct.type))
+                        keys = pc.binary_join_element_wise(*(distinct.take(pa.array(p[own] - 1)) for p in parts[:k]), pa.scalar("\0", distinct.type))
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), keys.cast(pa.string()), pa.array(counts[own], pa.int64())],
                                                          names=["lang", "key", "f"])
 
@@ -233,7 +254,11 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, covered: int
     docs = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counted = saved(word_counts(docs), "word_counts")
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
-    cut = saved(windows(docs, frequent_bits(counted.where(F.col("f") >= least))), "windows")
+    word_bits = frequent_bits(counted.where(F.col("f") >= least), code("lang", "word"))
+    pairs = windows(docs, word_bits, longest=2).groupBy("lang", "key").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    first, second = (F.substring_index("key", "\0", i) for i in (1, -1))
+    pair_bits = frequent_bits(saved(pairs.select("lang", "key"), "pairs"), code("lang", first) * PAIR + code("lang", second))
+    cut = saved(windows(docs, word_bits, pair_bits), "windows")
     in_order = cut.repartitionByRange(width(spark), "lang", "key").sortWithinPartitions("lang", "key")
     counts = saved(phrase_counts(in_order, least), "phrase_counts")
 
