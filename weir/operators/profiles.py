@@ -96,6 +96,11 @@ def leader_centroids(samples: DataFrame, radius: float, order_by: str, id_col: s
     return _numbered(samples.join(led, id_col).select(F.col(order_by).alias("_at"), F.col(id_col).alias("_id"), F.col(vec).alias("vec")), "_at", "_id")
 
 
+def kmeans_by_radius(samples: DataFrame, k: int, order_by: str = "row_id", id_col: str = "row_id", vec: str = "features") -> DataFrame:
+    """Centroids by the radius inferred for k: the leaders, none within it of an earlier one, however many they are."""
+    return leader_centroids(samples, float(N.infer_radius(samples, k, vec).first()["radius"]), order_by, id_col, vec)
+
+
 def tree_centroids(samples: DataFrame, threshold: float, id_col: str = "row_id", vec: str = "features") -> DataFrame:
     """The clusters of a merge tree cut at `threshold` as centroids, where their nodes stand, numbered by least leaf."""
     tree = merge_tree(samples, id_col, vec)

@@ -182,3 +182,17 @@ FROM far GROUP BY row_id""")
 def _profile_tree(spark, sf_dir):
     a = accounts(spark, sf_dir)
     return profile_rows(a, P.fit_profile(a, "tree", threshold=1.5))
+
+
+BY_RADIUS_SQL = f"""WITH RECURSIVE {samples_sql()}, means AS (SELECT pos, avg(v) AS m FROM cells GROUP BY pos),
+inferred AS (SELECT sqrt(sum((v - m) * (v - m))) / 16 AS radius FROM cells JOIN means USING (pos)),
+left_over(step, row_id, v) AS (SELECT 0, row_id, features FROM samples UNION ALL
+  SELECT step + 1, row_id, v FROM (SELECT step, row_id, v, first_value(v) OVER (ORDER BY row_id) AS lead FROM left_over)
+  WHERE list_distance(v, lead) >= (SELECT radius FROM inferred))
+SELECT step AS cid, round(arg_min(v[1], row_id), 6) AS first_value, round(list_sum(arg_min(v, row_id)), 6) AS total FROM left_over GROUP BY step"""
+
+
+@query("kmeans_by_radius", BY_RADIUS_SQL)
+def _by_radius(spark, sf_dir):
+    c = P.kmeans_by_radius(samples(spark, sf_dir), 4)
+    return c.select("cid", r6(F.get("vec", F.lit(0))).alias("first_value"), r6(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)).alias("total"))
