@@ -22,7 +22,7 @@ from weir.llm.common import bounded_batches, saved, width
 
 LONGEST = 4
 #: Bytes of text whose windows are added up before they are sent on.
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Bits of the tables of frequent words and pairs that tasks are sent: 16 for each, 32 MB at most.
 MOST_BITS = 1 << 28
 #: Words hold no blank and no tab, so their bytes under nine can be raised by one; zero then parts words and sorts before all.
