@@ -45,7 +45,7 @@ def spoken(seed, n=400, vocabulary=12):
         [" ", " ", "  ", "\t", " ", " ", ". ", ",", "\n"]) for _ in range(n))
 
 
-@pytest.mark.parametrize("least,top,partitions", [(2, 50, 8), (5, 7, 3), (1, 2000, 1)])
+@pytest.mark.parametrize("least,top,partitions", [(2, 50, 8), (5, 7, 3)])
 def test_phrases_of_odd_tables(spark, documents, least, top, partitions):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([(spoken(s, 60 * s), lang) for s in range(8) for lang in ("en", None, "x y\t")])]
     rows += [(1, t, "de") for _, t in ODD] + [(900 + i, "one very common line of words", "en") for i in range(40)]
