@@ -125,3 +125,49 @@ def test_recall_of_edited_passages(documents):
     lost = {d: s for d, s in want.items() if d not in got}
     assert not lost
     assert all(len(got[d] & set(range(70, 130))) >= 50 for d in got)
+
+
+def test_passages_with_unshared_words_between(documents):
+    """Exact runs A and B with other words between: both are found whole, and no long stretch of what is not shared."""
+    r, rows, want, case = random.Random(5), [], {}, 0
+    word = lambda: f"own{r.randrange(1 << 40)}"
+    for gap, other in [(10, 10), (16, 16), (17, 17), (30, 30), (45, 45), (60, 60), (64, 64), (20, 0), (0, 20), (12, 40), (40, 12)]:
+        for a, b in [(50, 50), (60, 60), (80, 80), (100, 100), (120, 50), (50, 120)]:
+            first, second = prose(a, 9000 + 2 * case, 4000).split(), prose(b, 9001 + 2 * case, 4000).split()
+            edge = [[word() for _ in range(20)] for _ in range(4)]
+            gaps = [word() for _ in range(gap)], [word() for _ in range(other)]
+            rows.append((2 * case, " ".join([*edge[0], *first, *gaps[0], *second, *edge[1]])))
+            rows.append((2 * case + 1, " ".join([*edge[2], *first, *gaps[1], *second, *edge[3]])))
+            want[2 * case + 1] = set(range(20, 20 + a)) | set(range(20 + a + other, 20 + a + other + b))
+            case += 1
+    got = covered(S.repeated_passages(documents(rows)).collect())
+    assert got == want
+
+
+def brute_chains(parts):
+    """Scores of the best chain that ends at each run, all predecessors tried."""
+    score = []
+    for i, (q0, q1, r0, _) in enumerate(parts):
+        best = max([s + S.GAP * (e[1] + e[3]) for s, e in zip(score, parts) if q0 - S.REACH <= e[1] <= q0 and r0 - S.REACH <= e[3] <= r0],
+                   default=-1e18) - S.GAP * (q0 + r0)
+        score.append(q1 - q0 + max(best, 0))
+    return score
+
+
+def test_chains_against_all_predecessors():
+    import numpy as np
+    r = random.Random(6)
+    for size in [2, 5, 40, 150] * 6:
+        q, ref = [r.randrange(size * 6) for _ in range(size)], [r.randrange(size * 6) for _ in range(size)]
+        n = [r.randrange(5, 60) for _ in range(size)]
+        parts = np.array(sorted((a, a + k, b, b + k) for a, b, k in zip(q, ref, n)))
+        rows, score = parts.tolist(), brute_chains(parts.tolist())
+        got = S.chains(parts)
+        assert sorted(i for c in got for i in c) == list(range(size))
+        top = rows[0][1] - rows[0][0] if size == 1 else sum(
+            rows[i][1] - rows[i][0] - (S.GAP * (rows[i][0] - rows[j][1] + rows[i][2] - rows[j][3]) if j is not None else 0)
+            for i, j in zip(got[0], [None, *got[0][:-1]]))
+        assert abs(top - max(score)) < 1e-9
+        for chain in got:
+            for i, j in zip(chain[1:], chain[:-1]):
+                assert 0 <= rows[i][0] - rows[j][1] <= S.REACH and 0 <= rows[i][2] - rows[j][3] <= S.REACH

@@ -5,15 +5,12 @@ home alone, its first place in the document of smallest id, so that it gives as
 one another, runs of 2k, 4k, ... and `min_words` words are looked up in the same way, so that a whole passage finds a document
 that has it whole, wherever its seeds are at home. Seeds are sorted with numpy in buckets of hashes. The matches of two documents are
 chained in the order of both texts: a chain's score is the words it covers less `GAP` for each word between its parts, found
-with a segment tree of the runs within `REACH`. Chains are aligned word by word on the whole texts' words, their ends stretched as far as
-the texts agree, and a document's aligned stretches are joined where they touch.
+with Fenwick trees of the runs within `REACH`. Chains are aligned word by word on the whole texts' words, divided where the texts
+differ, their ends stretched as far as the texts agree, and a document's aligned stretches are joined where they touch.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import deque
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,6 +28,10 @@ FEW = 8
 BUCKET_LETTERS = 6_000_000
 #: Cost of a word between two matches, in words; matches further apart than REACH words are no chain.
 GAP, REACH = 0.25, 64
+#: A gap that costs more than FAR words that differ divides a chain; its equal words count against them.
+FAR = 8
+#: Equal words in a row that make a run of an alignment; fewer belong to the gap around them.
+EQUAL = 3
 #: Words beyond the outermost matches that may belong to a passage: as far as matches of a chain may be apart.
 STRETCH = REACH
 #: Words of the blocks in which word windows are fetched.
@@ -226,69 +227,88 @@ def runs(q: np.ndarray, r: np.ndarray, size: np.ndarray) -> np.ndarray:
     return parts[np.lexsort((parts[:, 2], parts[:, 0]))]
 
 
-class RangeMax:
-    """Segment tree of the largest (value, item) among neighbouring places; the items of a place leave in the order they came."""
+#: Places of a cell: a predecessor within REACH lies in the cell of the place itself or in the one before.
+CELL = REACH + 1
+NONE = (-1e18, -1)
 
-    NONE = (-1e18, -1)
 
-    def __init__(self, n: int):
-        self.n, self.best, self.at = n, [self.NONE] * (2 * n), [deque() for _ in range(n)]
+class Fenwick:
+    """Prefix maxima of (value, item) over the places of a cell; nothing leaves it."""
 
-    def put(self, i: int, value: float, item: int) -> None:
-        while self.at[i] and self.at[i][-1] < (value, item):  # these leave before the new one and are not above it
-            self.at[i].pop()
-        self.at[i].append((value, item))
-        self._up(i)
+    def __init__(self):
+        self.best = [NONE] * (CELL + 1)
 
-    def take(self, i: int, item: int) -> None:
-        if self.at[i] and self.at[i][0][1] == item:
-            self.at[i].popleft()
-            self._up(i)
+    def put(self, i: int, entry: tuple[float, int]) -> None:
+        i += 1
+        while i <= CELL:
+            if entry > self.best[i]:
+                self.best[i] = entry
+            i += i & -i
 
-    def _up(self, i: int) -> None:
-        self.best[i + self.n] = self.at[i][0] if self.at[i] else self.NONE
-        i = (i + self.n) // 2
+    def upto(self, i: int) -> tuple[float, int]:
+        found, i = NONE, i + 1
         while i:
-            self.best[i] = max(self.best[2 * i], self.best[2 * i + 1])
-            i //= 2
-
-    def over(self, lo: int, hi: int) -> tuple[float, int]:
-        """Of the places from lo up to before hi."""
-        found, lo, hi = self.NONE, lo + self.n, hi + self.n
-        while lo < hi:
-            if lo & 1:
-                found, lo = max(found, self.best[lo]), lo + 1
-            if hi & 1:
-                hi -= 1
-                found = max(found, self.best[hi])
-            lo, hi = lo // 2, hi // 2
+            found = max(found, self.best[i])
+            i &= i - 1
         return found
 
 
+class Cells:
+    """Runs by the end of their reference: for each cell of places a Fenwick tree from its start and one from its end."""
+
+    def __init__(self):
+        self.trees: dict[int, tuple[Fenwick, Fenwick]] = {}
+
+    def put(self, place: int, entry: tuple[float, int]) -> None:
+        cell, i = divmod(place, CELL)
+        if cell not in self.trees:
+            self.trees[cell] = Fenwick(), Fenwick()
+        ahead, back = self.trees[cell]
+        ahead.put(i, entry)
+        back.put(CELL - 1 - i, entry)
+
+    def within(self, place: int) -> tuple[float, int]:
+        """The best of the runs that end at most REACH places before."""
+        cell, i = divmod(place, CELL)
+        found = self.trees[cell][0].upto(i) if cell in self.trees else NONE
+        return max(found, self.trees[cell - 1][1].upto(CELL - 2 - i)) if cell - 1 in self.trees else found
+
+
 def chains(parts: np.ndarray) -> list[list[int]]:
-    """Best-scoring chains of the runs of two documents, each run in at most one; parts are in order of their q start."""
+    """Best-scoring chains of the runs of two documents, each run in at most one; parts are in order of their q start.
+
+    The runs that start in one cell of the document are taken together. Those that ended in the cell before all have their scores by
+    then, so they are put in from the last one back, as far as each start reaches; those that end in the cell itself
+    are put in as they end. So trees only grow, and hold just what is within reach.
+    """
     n = len(parts)
     if n == 1:
         return [[0]]
     q0, q1, r0, r1 = parts.T.tolist()
-    ends = sorted(set(r1))
-    tree, score, before = RangeMax(len(ends)), [0.0] * n, [-1] * n
-    waiting = sorted(range(n), key=q1.__getitem__)
-    w = gone = 0
+    score, before, ended, starting = [0.0] * n, [-1] * n, {}, {}
+    for i in sorted(range(n), key=q1.__getitem__):
+        ended.setdefault(q1[i] // CELL, []).append(i)
     for i in range(n):
-        while w < n and q1[waiting[w]] <= q0[i]:  # finished runs can be continued
-            j = waiting[w]
-            tree.put(bisect_left(ends, r1[j]), score[j] + GAP * (q1[j] + r1[j]), j)
-            w += 1
-        while gone < w and q1[waiting[gone]] < q0[i] - REACH:  # no later run reaches these
-            tree.take(bisect_left(ends, r1[waiting[gone]]), waiting[gone])
-            gone += 1
-        value, j = tree.over(bisect_left(ends, r0[i] - REACH), bisect_left(ends, r0[i] + 1))
-        gain = value - GAP * (q0[i] + r0[i])
-        score[i] = q1[i] - q0[i]
-        if j >= 0 and gain > 0:
-            score[i] += gain
-            before[i] = j
+        starting.setdefault(q0[i] // CELL, []).append(i)
+    entry = lambda j: (score[j] + GAP * (q1[j] + r1[j]), j)
+    for cell, own in starting.items():
+        old, left, found = Cells(), list(ended.get(cell - 1, [])), {}
+        for i in reversed(own) if left else []:
+            while left and q1[left[-1]] >= q0[i] - REACH:
+                j = left.pop()
+                old.put(r1[j], entry(j))
+            found[i] = old.within(r0[i])
+        now, coming, w = Cells(), ended.get(cell, []), 0
+        for i in own:
+            while w < len(coming) and q1[coming[w]] <= q0[i]:  # finished runs can be continued
+                now.put(r1[coming[w]], entry(coming[w]))
+                w += 1
+            value, j = max(now.within(r0[i]), found.get(i, NONE))
+            gain = value - GAP * (q0[i] + r0[i])
+            score[i] = q1[i] - q0[i]
+            if j >= 0 and gain > 0:
+                score[i] += gain
+                before[i] = j
     used, out = [False] * n, []
     for i in sorted(range(n), key=lambda i: (-score[i], i)):
         chain = []
@@ -369,6 +389,8 @@ def word_windows(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
 def edits(a: np.ndarray, b: np.ndarray) -> int:
     """Equal words in a best alignment of two short runs."""
+    if not len(a) or not len(b):
+        return 0
     row = np.zeros(len(b) + 1, np.int32)
     for x in a:
         row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
@@ -386,32 +408,72 @@ def stretch(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return (best + 1, int(same[:best + 1].sum())) if score[best] > 0 else (0, 0)
 
 
-def align(q: np.ndarray, r: np.ndarray, q_at: int, r_at: int, parts: np.ndarray):
-    """(q from, q to, r from, r to, equal words, aligned words) of a chain, given the words from q_at and r_at on."""
-    parts = parts - np.array([q_at, q_at, r_at, r_at])
-    equal = total = 0
-    for i, (a, b, c, d) in enumerate(parts.tolist()):
-        if i:
-            x, y = parts[i - 1, 1], parts[i - 1, 3]
-            if a < x or c < y:  # overlapping ends belong to the earlier run
-                cut = max(x - a, y - c)
-                a, c = a + cut, c + cut
-                if a >= b:
-                    continue
-            total += max(a - x, c - y)
-            if a > x and c > y:
-                equal += edits(q[x:a], r[y:c])
+def high_scoring(scores: list[int]) -> list[tuple[int, int]]:
+    """The maximal-scoring runs [from, to) of neighbours, by Ruzzo and Tompa's rule."""
+    out, total = [], 0
+    for i, s in enumerate(scores):
+        start, low, total = i, total, total + s
+        while s > 0:
+            j = next((j for j in range(len(out) - 1, -1, -1) if out[j][2] < low), None)
+            if j is None or out[j][3] >= total:
+                out.append((start, i + 1, low, total))
+                break
+            start, _, low, _ = out[j]
+            del out[j:]
+    return [x[:2] for x in out]
+
+
+def align(q: np.ndarray, r: np.ndarray, q_at: int, r_at: int, parts: np.ndarray, percent: int):
+    """(q from, q to, r from, r to, equal words, aligned words) of the stretches of a chain that agree in `percent` hundredths,
+    given the words from q_at and r_at on.
+
+    An equal word and a differing one weigh as `percent` asks. A gap that costs more than FAR differing words divides the
+    chain. What is left stays whole if enough of it agrees; else its stretches of highest score do.
+    """
+    steps = []  # equal runs with the gap before them: q from, q to, r from, r to, words, equal in the gap, gap
+    for a, b, c, d in (parts - np.array([q_at, q_at, r_at, r_at])).tolist():
+        if steps:
+            cut = max(steps[-1][1] - a, steps[-1][3] - c, 0)  # overlapping ends belong to the earlier run
+            a, c = a + cut, c + cut
         n = min(b - a, d - c)
-        equal += int((q[a:a + n] == r[c:c + n]).sum())
-        total += n
-    a, b, c, d = parts[0, 0], parts[-1, 1], parts[0, 2], parts[-1, 3]
-    back, same = stretch(q[:a][::-1], r[:c][::-1])
-    ahead, also = stretch(q[b:], r[d:])
-    return (q_at + a - back, q_at + b + ahead, r_at + c - back, r_at + d + ahead, equal + same + also, total + back + ahead)
+        if n <= 0:
+            continue
+        same = np.concatenate(([False], q[a:a + n] == r[c:c + n], [False]))
+        turns = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2)
+        for lo, hi in turns[turns[:, 1] - turns[:, 0] >= EQUAL].tolist():
+            equal = gap = 0
+            if steps:
+                x, y = steps[-1][1], steps[-1][3]
+                equal, gap = edits(q[x:a + lo], r[y:c + lo]), max(a + lo - x, c + lo - y)
+            steps.append((a + lo, a + hi, c + lo, c + hi, hi - lo, equal, gap))
+    def sums(i, j):
+        gaps = steps[i + 1:j]
+        equal = sum(s[4] for s in steps[i:j])
+        return equal + sum(s[5] for s in gaps), equal + sum(s[6] for s in gaps)
+
+    def stretched(i, j):
+        """The runs from i up to before j with as much of their ends as leaves enough words equal; None if not enough are."""
+        (equal, total), (a, _, c, *_), (_, b, _, d, *_) = sums(i, j), steps[i], steps[j - 1]
+        x, y = (steps[i - 1][1], steps[i - 1][3]) if i else (0, 0)
+        u, v = (steps[j][0], steps[j][2]) if j < len(steps) else (len(q), len(r))
+        back, ahead = stretch(q[x:a][::-1], r[y:c][::-1]), stretch(q[b:u], r[d:v])
+        found = [(m + n, q_at + a - m, q_at + b + n, r_at + c - m, r_at + d + n, equal + s + t, total + m + n)
+                 for m, s in (back, (0, 0)) for n, t in (ahead, (0, 0)) if 100 * (equal + s + t) >= percent * (total + m + n)]
+        return max(found)[1:] if found else None
+
+    ends = [i for i, s in enumerate(steps) if i == 0 or 100 * s[5] - percent * s[6] < -percent * FAR] + [len(steps)]
+    for i, j in zip(ends[:-1], ends[1:]):
+        whole = stretched(i, j)
+        if whole:
+            yield whole
+            continue
+        scores = [x for s in steps[i:j] for x in (min(0, 100 * s[5] - percent * s[6]), (100 - percent) * s[4])][1:]
+        for a, b in high_scoring(scores):
+            yield stretched(i + a // 2, i + b // 2 + 1)
 
 
 def aligned(docs: DataFrame, chains_: DataFrame, percent: int) -> DataFrame:
-    """(doc, lo, hi, ref, ref_lo, ref_hi, equal, total) of the chains of which enough words are equal."""
+    """(doc, lo, hi, ref, ref_lo, ref_hi, equal, total) of the stretches of chains in which enough words are equal."""
     down = lambda c: (F.greatest(F.col(c) - STRETCH, F.lit(0)) / BLOCK).cast("int") * BLOCK
     up = lambda c: (((F.col(c) + STRETCH) / BLOCK).cast("int") + 1) * BLOCK
     framed = saved(chains_.withColumns({"q_lo": down("q0"), "q_hi": up("q1"), "r_lo": down("r0"), "r_hi": up("r1")}), "chains")
@@ -429,8 +491,7 @@ def aligned(docs: DataFrame, chains_: DataFrame, percent: int) -> DataFrame:
             for i in range(batch.num_rows):
                 q, r = (np.frombuffer(batch.column(j)[i].as_py(), np.uint32) for j in (5, 6))
                 parts = np.array(batch.column(4)[i].as_py()).reshape(-1, 4)
-                a, b, c, d, equal, total = align(q, r, int(q_lo[i]), int(r_lo[i]), parts)
-                if 100 * equal >= percent * total:
+                for a, b, c, d, equal, total in align(q, r, int(q_lo[i]), int(r_lo[i]), parts, percent):
                     out.append((int(doc[i]), a, b, int(ref[i]), c, d, equal, total))
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
             names = ["doc", "lo", "hi", "ref", "ref_lo", "ref_hi", "equal", "total"]
@@ -446,7 +507,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 5, percent:
     One row per aligned stretch: (id, start_word, end_word, ref_id, ref_start, ref_end, identity, passage_start,
     passage_end): words [start, end) of the document agree with words [ref_start, ref_end) of the earlier one in at least
     `percent` hundredths; stretches that touch or overlap form one passage [passage_start, passage_end), which has at least
-    `min_words` words and a stretch of half as many, so that phrases of many documents side by side are none. Words are lower-cased (A-Z) and end at white space. Repeats inside one document are no passages. Rows
+    `min_words` words and a stretch of half as many, so that phrases of many documents side by side are none. Up to `FAR` words in
+    a row that are not shared may lie within a passage. Words are lower-cased (A-Z) and end at white space. Repeats inside one document are no passages. Rows
     of one id are one document to this operator and give no passages with each other; null ids, null and empty texts give
     none; an empty table gives no rows; other columns are not read.
     """
