@@ -64,3 +64,24 @@ def test_svm_separates():
     y = np.where(x[:, 0] - 2 * x[:, 3] + 0.3 > 0, 1.0, -1.0)
     w, b = language.linear_svm(x, y, cost=50.0, epochs=60)
     assert (np.sign(x @ w + b) == y).mean() > 0.97
+
+
+def test_sampling_with_null_and_hot_ids(documents):
+    """Whatever the ids, every language is learnt, from at most as many rows as asked for."""
+    for ids in (lambda i: None, lambda i: 7, lambda i: 7 if i % 2 else 1000 + i):
+        rows = [(ids(i), sentence(lang, i), lang) for i, lang in enumerate(["en", "de"] * 60)]
+        rows += [(ids(1), sentence("en", 1), "en")] * 200  # copies are drawn once
+        for most in (2, 40, 2048):
+            model = language.fit(documents(rows), max_documents=most)
+            assert model.langs == ["de", "en"]
+        got = language.predict(documents(rows), model).filter("text is not null").select("lang", "lang_pred").collect()
+        assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
+    assert language.fit(documents(rows + [(i, sentence("fr", i), "fr") for i in range(3)]), max_documents=2).langs == ["de", "en"]
+
+
+def test_clashing_columns_are_replaced(documents):
+    from pyspark.sql import functions as F
+    rows = [(i, sentence(lang, i), lang) for i, lang in enumerate(list(WORDS) * 10)]
+    docs = documents(rows).withColumn("Score", F.lit("x")).withColumn("lang_pred", F.lit(3))
+    out = language.predict(docs, language.fit(docs))
+    assert sum(r.lang == r.lang_pred and 0 <= r.score <= 1 for r in out.collect()) >= 48

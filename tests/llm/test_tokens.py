@@ -49,6 +49,15 @@ def test_long_words(library, encoder):
         assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_a_word_of_a_megabyte(encoder):
+    import random
+    import time
+    r = random.Random(2)
+    word, start = "".join(r.choice("etaoinshrdlu") for _ in range(1_000_000)), time.time()
+    ids, _ = encoder.encode([word])
+    assert time.time() - start < 60 and encoder.decode(ids).replace(" ", "").replace("</w>", "") == word
+
+
 def test_digests_of_odd_documents(documents, library, vocabulary):
     got = sorted(tuple(r)[1:] for r in bpe.encode_digests(documents(ODD), vocabulary).collect())
     want = []

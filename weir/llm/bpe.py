@@ -23,7 +23,7 @@ from tokenizers import Regex, normalizers
 from tokenizers.pre_tokenizers import Split
 
 from weir.llm.arrays import SpanHasher, ragged
-from weir.llm.common import bounded_batches
+from weir.llm.common import Shared, bounded_batches
 
 SHORT = 64
 NO_RANK = np.int32(2**31 - 1)
@@ -104,6 +104,11 @@ class Vocabulary:
             todo = todo[~hit & (found != -1)]
         return out
 
+    def joins(self) -> dict[int, int]:
+        """Merge rank of each pair of ids, the left one above 32 bits, for pairs looked up one by one."""
+        real = self.slot_keys != -1
+        return dict(zip(self.slot_keys[real].tolist(), self.slot_ranks[real].tolist()))
+
 
 @lru_cache(maxsize=2)
 def vocabulary_at(path: str) -> Vocabulary:
@@ -118,7 +123,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.library_normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
-        self.hasher = SpanHasher()
+        self.hasher, self.known = SpanHasher(), None
         self._forget()
 
     def _forget(self) -> None:
@@ -268,7 +273,7 @@ class Encoder:
         ids, after, before = parts.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(self.v.ranks(parts[:-1], parts[1:]).tolist()) if r != NO_RANK]
         heapq.heapify(heap)
-        pair = lambda a, b: int(self.v.ranks(np.array([a], np.int32), np.array([b], np.int32))[0])
+        known = self.known = self.known or self.v.joins()
         while heap:
             r, i, a, b = heapq.heappop(heap)
             j = after[i]
@@ -278,7 +283,7 @@ class Encoder:
             if after[i] < n:
                 before[after[i]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (rank := pair(ids[x], ids[y])) != NO_RANK:
+                if x >= 0 and y < n and (rank := known.get(ids[x] << 32 | ids[y])) is not None:
                     heapq.heappush(heap, (rank, x, ids[x], ids[y]))
         return np.array([i for i in ids if i >= 0], np.int32)
 
@@ -311,7 +316,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     columns are not read. Rows never move, so a lost executor costs its own tasks only.
     """
     bounded_batches(docs.sparkSession)
-    vocabulary = docs.sparkSession.sparkContext.broadcast(vocabulary_at(path))
+    vocabulary = Shared(docs.sparkSession, vocabulary_at(path))
 
     def run(batches):
         encoder = Encoder(vocabulary.value)
@@ -336,7 +341,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     Nulls, empty texts and repeated rows as in `encode_documents`.
     """
     bounded_batches(docs.sparkSession)
-    vocabulary = docs.sparkSession.sparkContext.broadcast(vocabulary_at(path))
+    vocabulary = Shared(docs.sparkSession, vocabulary_at(path))
 
     def run(batches):
         encoder = Encoder(vocabulary.value)

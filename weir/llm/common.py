@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,31 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shared:
+    """A broadcast of an object of this library. It is written by value, as functions are, so that workers need no copy of the
+    library; a task reads it once."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.sent, self.own = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self):
+        return {"sent": self.sent, "own": None}
+
+    @property
+    def value(self):
+        if self.own is None:
+            self.own = cloudpickle.loads(self.sent.value)
+        return self.own
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores as it takes to differ from all columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n

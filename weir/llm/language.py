@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weir.llm.arrays import slices
-from weir.llm.common import bounded_batches, fold
+from weir.llm.common import Shared, bounded_batches, fold, free_name
 
 BINS = 4096
 #: Language families by ISO 639-1 code. A label that is not here is a family of its own.
@@ -142,20 +142,22 @@ def fit(labelled: DataFrame, max_documents: int = 2048, text_col: str = "text",
         id_col: str = "doc_id") -> Model | None:
     """A model from at most `max_documents` labelled rows, as many of each language, drawn by a hash of id and text.
 
-    The bound keeps the training table at `max_documents` rows of `BINS` numbers. Rows without a label or a letter are left
-    out; None if there are no others.
+    The bound keeps the training table at `max_documents` rows of `BINS` numbers. Every language has a row in it; of more than
+    `max_documents` languages, those with the most rows are learnt. Rows without a label or a letter are left out; None if there
+    are no others. Null and repeated ids are ids like others; of rows equal in id and text one is drawn.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
-        F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    counts = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}
-    if not counts:
+        F.xxhash64(id_col, text_col, F.lit(17)).alias("_ticket"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
+    langs = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_documents).collect()
+    if not langs:
         return None
-    quota = max(1, max_documents // len(counts))
-    ticket = F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 2 * quota / n) * (1 << 30)))])
-    some = rows.withColumn("_ticket", ticket).filter(F.col("_ticket") < share[F.col("_lang")])
-    first = Window.partitionBy("_lang").orderBy("_ticket", "_id", F.xxhash64("_text"))
-    some = some.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= quota)
+    quota = max_documents // len(langs)
+    first = Window.partitionBy("_lang").orderBy("_ticket")
+    # the highest ticket that is drawn of each language, from the tickets alone; each task passes on a quota of each at most
+    tickets = rows.select("_lang", "_ticket").filter(F.col("_lang").isin([r["_lang"] for r in langs])).distinct()
+    drawn = tickets.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= quota).groupBy("_lang").agg(F.max("_ticket")).collect()
+    highest = F.create_map(*[F.lit(x) for r in drawn for x in r])
+    some = rows.filter(F.col("_ticket") <= highest[F.col("_lang")]).dropDuplicates(["_lang", "_ticket"])
 
     def run(batches):
         for batch in batches:
@@ -169,15 +171,15 @@ def fit(labelled: DataFrame, max_documents: int = 2048, text_col: str = "text",
     return Model(np.stack([np.frombuffer(r["x"], np.float32) for r in got]), [r["lang"] for r in got])
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """Adds `lang_pred` and `score`. A null text or one without a letter is `und` with score 0, as is every text if there is
-    no model. Only the text is looked at; all columns stay and rows do not move."""
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", pred_col: str = "lang_pred",
+            score_col: str = "score") -> DataFrame:
+    """Adds `pred_col` and `score_col`. A null text or one without a letter is `und` with score 0, as is every text if there is
+    no model. Only the text is looked at; all other columns stay, but those that bear the new names are replaced; rows do not move."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    letters, at = "_letters", docs.columns.index(text_col)
-    while letters in docs.columns:
-        letters += "_"
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    shared = Shared(docs.sparkSession, model)
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in (pred_col.lower(), score_col.lower())])
+    letters, at = free_name("_letters", docs.columns), docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
 
     def run(batches):
         for batch in batches:
@@ -194,7 +196,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                 lang[~has], score[~has] = "und", 0.0
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:last], pa.array(lang, pa.string()), pa.array(score)],
-                names=[*batch.schema.names[:last], "lang_pred", "score"])
+                names=[*batch.schema.names[:last], pred_col, score_col])
 
     has = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     return docs.withColumn(letters, has).mapInArrow(run, schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weir.llm.bpe import Encoder, text_slices, vocabulary_at
-from weir.llm.common import bounded_batches, saved, width
+from weir.llm.common import Shared, bounded_batches, saved, width
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_ids: bool = False,
@@ -26,7 +26,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_id
     A null or empty text is its end token alone. `ids` are little-endian, two bytes each if the vocabulary allows it.
     """
     bounded_batches(docs.sparkSession)
-    vocabulary = docs.sparkSession.sparkContext.broadcast(vocabulary_at(path))
+    vocabulary = Shared(docs.sparkSession, vocabulary_at(path))
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     schema = f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
 

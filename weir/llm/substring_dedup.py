@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weir.llm.arrays import LOWER, SpanHasher, mix, shingles, slices, words
-from weir.llm.common import bounded_batches, saved, small
+from weir.llm.common import bounded_batches, free_name, saved, small
 
 #: Of a seed that follows upon itself, one place in so many words counts.
 STRIDE = 8
@@ -529,11 +529,13 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 5, percent:
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with their repeated passages cut out; all columns stay. A document of which no word is left goes."""
-    cuts = passages.select(F.col(id_col).alias("_cut_id"), F.struct("passage_start", "passage_end").alias("_cut")).distinct()
-    cuts = small(saved(cuts.groupBy("_cut_id").agg(F.sort_array(F.collect_list("_cut")).alias("_cuts")), "cuts"))
-    joined = docs.join(cuts, docs[id_col] == cuts["_cut_id"], "left").drop("_cut_id")
+    """The documents with their repeated passages cut out; all columns stay, whatever their names. A document of which no word
+    is left goes. Rows of one id are cut alike; null ids and null texts stay as they are."""
     names = docs.columns
+    cut_id, cuts_ = free_name("_cut_id", names), free_name("_cuts", names)
+    cuts = passages.select(F.col(id_col).alias(cut_id), F.struct("passage_start", "passage_end").alias("_cut")).distinct()
+    cuts = small(saved(cuts.groupBy(cut_id).agg(F.sort_array(F.collect_list("_cut")).alias(cuts_)), "cuts"))
+    joined = docs.join(cuts, F.col(id_col) == F.col(cut_id), "left").drop(cut_id)
 
     def run(batches):
         for batch in batches:

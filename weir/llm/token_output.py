@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weir.llm.bpe import Encoder, text_slices, vocabulary_at
-from weir.llm.common import bounded_batches
+from weir.llm.common import Shared, bounded_batches
 from weir.llm.pieces import Plan
 
 BLOCK_TOKENS = 1 << 23
@@ -67,7 +67,7 @@ def write_packed(docs: DataFrame, path: str, vocabulary: str, capacity: int = 40
     read.
     """
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary_at(vocabulary))
+    shared = Shared(docs.sparkSession, vocabulary_at(vocabulary))
     kind = docs.select(id_col).schema[0].dataType
     fields = [("sequence_id", "long"), ("n_tokens", "int"), ("id_bytes", "int"), ("ids", "binary"), ("cu_seqlens", "array<int>"),
               ("positions", "binary"), ("doc_ids", f"array<{kind.simpleString()}>"), ("pieces", "array<int>"), ("starts", "array<long>")]
