@@ -126,3 +126,12 @@ def test_linear_trials_count_and_learn(spark):
         assert r.held_out == held[r.fraction, r.round]
         error = r.errors / r.held_out
         assert error < (0.1 if r.fraction == 0.5 else 0.3) if r.subset == "ALL" else 0.35 < error < 0.65
+
+
+def test_one_class_takes_every_row_as_a_centre(spark):
+    x = np.random.default_rng(3).normal(size=(1500, 3))
+    model = P.fit_one_class(points(spark, x), nu=0.1, gamma=0.3, max_centres=None)
+    kernel = np.exp(-0.3 * ((x[:, None] - x) ** 2).sum(-1)).mean(1)
+    rows = {r.row_id: r for r in model.score(points(spark, x)).collect()}
+    assert all(abs(rows[i].kernel_mean - k) < 1e-12 for i, k in enumerate(kernel))
+    assert sum(r.score == 1 for r in rows.values()) == 1500 - 149

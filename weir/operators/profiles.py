@@ -19,14 +19,16 @@ from pyspark.sql import functions as F
 
 from weir.functions import vectors as V
 from weir.operators import vectors as N
-from weir.operators.metric import leader_cluster, vectors_of
+from weir.operators.metric import leader_cluster, vectors_of, written
 from weir.operators.trees import cut_tree, merge_tree
 from weir.plans.ordering import with_position
-from weir.session import ensure_checkpoint_dir
+from weir.session import bounded_batches, ensure_checkpoint_dir
 
 # Centroids of a fitted profile, and those added at most each time it grows.
 PROFILE_SIZE = 64
 GROWTH = 16
+# Vectors of a block where all rows meet all.
+BLOCK = 1024
 
 
 # ---- clustering ------------------------------------------------------------------------------------
@@ -178,7 +180,7 @@ def grow_profile(profile: Profile, batch: DataFrame, growth: int = GROWTH, seed:
 
 @dataclass(frozen=True)
 class OneClass:
-    """Mean kernel to weighted centres, cut at a quantile of the training rows."""
+    """Mean kernel to weighted centres, or to every row of the table `book`, cut at a quantile of the training rows."""
 
     centres: tuple
     weights: tuple
@@ -186,6 +188,7 @@ class OneClass:
     cutoff: float
     labels: dict
     vec: str = "features"
+    book: DataFrame | None = None
 
     def score(self, df: DataFrame) -> DataFrame:
         return score_one_class(df, self)
@@ -207,6 +210,44 @@ def _kernel_mean(df: DataFrame, centres, weights, gamma: float, vec: str) -> Dat
     return df.withColumn("kernel_mean", mean_kernel(vec))
 
 
+def _vector_blocks(df: DataFrame, vec: str) -> DataFrame:
+    """Vectors as blocks (n, rows, matrix) of up to BLOCK rows; `rows` are their numbers in `_row`."""
+    def run(batches):
+        for batch in batches:
+            column = batch.column(1)
+            for a in range(0, len(column), BLOCK):
+                part = column.slice(a, BLOCK)
+                matrix, _ = vectors_of(part, len(part[0]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([len(part)]), pa.array([batch.column(0).slice(a, BLOCK).to_numpy().astype("<i8").tobytes()], pa.binary()),
+                     pa.array([matrix.tobytes()], pa.binary())], names=["n", "rows", "matrix"])
+
+    some = df.where(F.col(vec).isNotNull()).select("_row", F.col(vec).cast("array<double>").alias("v"))
+    return written(some.mapInArrow(run, "n long, rows binary, matrix binary"), "vector-blocks")
+
+
+def _kernel_mean_all(df: DataFrame, book: DataFrame, gamma: float, vec: str) -> DataFrame:
+    """The mean kernel to all rows of the blocks `book`: blocks meet blocks, so no task holds more than one of either side."""
+    bounded_batches(df.sparkSession)
+    count = book.agg(F.sum("n")).first()[0]
+    numbered = written(df.withColumn("_row", F.monotonically_increasing_id()), "vectors")
+    pairs = _vector_blocks(numbered, vec).select("rows", "matrix").crossJoin(book.select("n", F.col("matrix").alias("centres")))
+
+    def run(batches):
+        for batch in batches:
+            for rows, matrix, n, centres in zip(*(batch.column(i) for i in range(4))):
+                own = np.frombuffer(rows.as_buffer(), "<i8")
+                c = np.frombuffer(centres.as_buffer(), "<f8").reshape(n.as_py(), -1)
+                x = np.frombuffer(matrix.as_buffer(), "<f8").reshape(len(own), -1)
+                if x.shape[1] != c.shape[1]:
+                    raise ValueError(f"vectors must have {c.shape[1]} values")
+                squares = (x ** 2).sum(1)[:, None] + (c ** 2).sum(1) - 2 * (x @ c.T)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.exp(-gamma * np.maximum(squares, 0)).sum(1))], names=["_row", "k"])
+
+    sums = pairs.mapInArrow(run, "_row long, k double").groupBy("_row").agg((F.sum("k") / count).alias("kernel_mean"))
+    return numbered.join(sums, "_row", "left").drop("_row")
+
+
 def learn_label_map(scored: DataFrame) -> DataFrame:
     """Score to label, from each label's commonest score (the larger of equals)."""
     counts = scored.groupBy("label", "score").agg(F.count(F.lit(1)).alias("_n"))
@@ -214,22 +255,35 @@ def learn_label_map(scored: DataFrame) -> DataFrame:
     return common.groupBy(F.col("_c.score").alias("score")).agg(F.max_by("label", F.struct("_c._n", "label")).alias("label"))
 
 
-def fit_one_class(samples: DataFrame, nu: float = 0.01, gamma: float = 1e-5, max_centres: int = 1024,
+def fit_one_class(samples: DataFrame, nu: float = 0.01, gamma: float = 1e-5, max_centres: int | None = 1024,
                   vec: str = "features", seed: int = 42) -> OneClass:
     """The kernel centres are at most `max_centres` training rows, those of the smallest seeded hash of their vector, at every
-    size of the table; the cutoff is the nu quantile of all training rows' scores."""
-    rows = samples.select(F.col(vec).alias("v")).orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(max_centres).collect()
-    centres, weights = tuple(tuple(r.v) for r in rows), tuple(1.0 for _ in rows)
-    own = _kernel_mean(samples, centres, weights, gamma, vec)
-    cutoff = own.agg(F.percentile_approx("kernel_mean", nu, 100_000)).first()[0]
+    size of the table; None takes all of them, which a table of blocks holds. The cutoff is the nu quantile of all training rows'
+    scores, exact and with 1e-12 for the order of sums where all are centres. That work grows with rows times training rows."""
+    if max_centres is None:
+        book = _vector_blocks(samples.withColumn("_row", F.monotonically_increasing_id()), vec)
+        own = written(_kernel_mean_all(samples, book, gamma, vec), "kernel-means")
+        n = own.where("kernel_mean IS NOT NULL").count()
+        if not n:
+            raise ValueError("no training rows")
+        least = own.where("kernel_mean IS NOT NULL").select("kernel_mean").orderBy("kernel_mean")
+        centres, weights, cutoff = (), (), least.offset(max(1, math.ceil(n * nu)) - 1).limit(1).first()[0] - 1e-12
+    else:
+        rows = samples.select(F.col(vec).alias("v")).orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(max_centres).collect()
+        centres, weights, book = tuple(tuple(r.v) for r in rows), tuple(1.0 for _ in rows), None
+        own = _kernel_mean(samples, centres, weights, gamma, vec)
+        cutoff = own.agg(F.percentile_approx("kernel_mean", nu, 100_000)).first()[0]
     scored = own.withColumn("score", F.when(F.col("kernel_mean") >= cutoff, 1).otherwise(-1))
     labels = {r.score: r.label for r in learn_label_map(scored).collect()} if "label" in samples.columns else {1: "P"}
-    return OneClass(centres, weights, gamma, float(cutoff), labels, vec)
+    return OneClass(centres, weights, gamma, float(cutoff), labels, vec, book)
 
 
 def score_one_class(df: DataFrame, model: OneClass) -> DataFrame:
     """Add score (+1 inside, -1 outside) and predicted (UNKNOWN for a score no label maps to)."""
-    out = _kernel_mean(df, model.centres, model.weights, model.gamma, model.vec)
+    if model.book is None:
+        out = _kernel_mean(df, model.centres, model.weights, model.gamma, model.vec)
+    else:
+        out = _kernel_mean_all(df, model.book, model.gamma, model.vec)
     out = out.withColumn("score", F.when(F.col("kernel_mean") >= model.cutoff, 1).otherwise(-1))
     label = F.lit("UNKNOWN")
     for score, name in sorted(model.labels.items()):
