@@ -170,3 +170,28 @@ def test_small_trees(spark):
     assert one.merges.count() == 0 and T.cut_tree(one, 1.0).collect() == [(5, 0)] and T.tree_measures(one).collect() == [(0, 1, 0.0)]
     copies = T.merge_tree(table(spark, [(i, (1, 2)) for i in range(13)]), top=0)
     assert copies.merges.count() == 12 and copies.merges.agg({"distance": "max", "round": "max"}).first()[0:2] in [(0.0, k) for k in range(3, 11)]
+
+
+@pytest.mark.parametrize("metric", ["l1", "l2"])
+@pytest.mark.parametrize("others", [True, False])
+def test_groups_find_what_a_comparison_with_all_finds(metric, others):
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=(3000, 2)), r.integers(0, 12, (3000, 2)) / 4, np.repeat(r.normal(size=(3, 2)), 200, 0)])
+    ids = r.permutation(len(x))
+    order, cuts = M.boxes(x)
+    compared, plain = [], M.gaps
+
+    def counted(a, b, metric):
+        compared.append(len(a) * len(b))
+        return plain(a, b, metric)
+
+    M.gaps = counted
+    try:
+        found = [np.concatenate(c) for c in zip(*M.least_boxed(x, ids, ids[order], x[order], cuts, *M.corners(x[order], cuts), metric, others))]
+    finally:
+        M.gaps = plain
+    at = np.argsort(found[0])
+    back = np.argsort(ids)
+    for a, b in zip(found[1:], M.least(plain(x, x, metric), ids, ids, others)):
+        assert (a[at] == b[back]).all()
+    assert sum(compared) < len(x) ** 2 / 4

@@ -5,13 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.operators.metric import MAX_VALUES, gaps, least, nearest, written
+from weir.operators.metric import BOXED, MAX_VALUES, boxes, corners, gaps, least, least_boxed, nearest, vectors_of, written
 from weir.plans.ordering import with_position
 
 _NODES = ("node", "vec", "size", "first")
+# Nodes of narrow vectors that are merged on the driver at the end: a few MB.
+TOP = 1 << 14
 _MERGES = "node long, left long, right long, distance double, size long, first long, vec array<double>, round int"
 
 
@@ -47,42 +50,67 @@ def _mutual(nodes: DataFrame, metric: str, max_values: int) -> DataFrame:
     return pairs.join(a, "row").join(b, "id").select("a", "b", F.col("dist").alias("distance"))
 
 
-def _topmost_rounds(nodes: list, total: int, rounds: int, metric: str) -> list[tuple]:
-    """The last rounds, over the few nodes at the top of a tree."""
-    nodes, out = {r.node: (np.array(r.vec), r.size, r.first) for r in nodes}, []
-    while len(nodes) > 1:
-        ids = np.array(sorted(nodes), np.int64)
-        order = sorted(ids.tolist(), key=lambda i: (nodes[i][0].tolist(), i))
-        shift = rounds % 2
-        pairs = [(0.0, *sorted(p)) for p in zip(order[shift::2], order[shift + 1::2]) if (nodes[p[0]][0] == nodes[p[1]][0]).all()]
-        if not any((nodes[a][0] == nodes[b][0]).all() for a, b in zip(order, order[1:])):
-            matrix = np.stack([nodes[i][0] for i in ids.tolist()])
-            dist, _, near = least(gaps(matrix, matrix, metric), ids, ids, True)
-            to = dict(zip(ids.tolist(), near.tolist()))
-            pairs = [(d, a, b) for a, b, d in zip(ids.tolist(), near.tolist(), dist.tolist()) if a < b and to[b] == a]
-        for i, (d, a, b) in enumerate(sorted(pairs)):
-            (x, n, f), (y, m, g) = nodes.pop(a), nodes.pop(b)
-            nodes[total + i] = ((x + y) / 2, n + m, min(f, g))
-            out.append((total + i, a, b, d, n + m, min(f, g), ((x + y) / 2).tolist(), rounds))
-        total, rounds = total + len(pairs), rounds + 1
-    return out
+def _nearest_here(vec: np.ndarray, ids: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, id) of the nearest other node to each node."""
+    if not 0 < vec.shape[1] <= BOXED or not np.isfinite(vec).all():
+        dist, _, near = least(gaps(vec, vec, metric), ids, ids, True)
+        return dist, near
+    order, cuts = boxes(vec)
+    found = [np.concatenate(c) for c in zip(*least_boxed(vec, ids, ids[order], vec[order], cuts, *corners(vec[order], cuts), metric, True))]
+    at = np.argsort(found[0])
+    return found[1][at], found[3][at]
+
+
+def _topmost_rounds(nodes: pa.Table, total: int, rounds: int, metric: str) -> pa.Table:
+    """The last rounds, over the bounded number of nodes at the top of a tree."""
+    nodes = nodes.sort_by("node").combine_chunks()
+    ids, size, first = (nodes[c].to_numpy() for c in ("node", "size", "first"))
+    vec, _ = vectors_of(nodes["vec"].combine_chunks(), len(nodes["vec"][0]) if len(ids) else 0) if len(ids) else (np.zeros((0, 0)), None)
+    out = []
+    while len(ids) > 1:
+        order = np.lexsort((ids, *vec.T[::-1]))
+        same = (vec[order[1:]] == vec[order[:-1]]).all(1)
+        if same.any():
+            at = np.arange(rounds % 2, len(same), 2)
+            at = at[same[at]]
+            a, b = np.minimum(order[at], order[at + 1]), np.maximum(order[at], order[at + 1])  # places rise with the numbers
+            dist = np.zeros(len(a))
+        else:
+            dist, near = _nearest_here(vec, ids, metric)
+            near = np.searchsorted(ids, near)
+            a = np.flatnonzero((near[near] == np.arange(len(ids))) & (np.arange(len(ids)) < near))
+            b, dist = near[a], dist[a]
+        order = np.lexsort((ids[b], ids[a], dist))
+        a, b, dist = a[order], b[order], dist[order]
+        new = total + np.arange(len(a)), (vec[a] + vec[b]) / 2, size[a] + size[b], np.minimum(first[a], first[b])
+        if len(a):
+            out.append(pa.table([new[0], ids[a], ids[b], dist, new[2], new[3], pa.array(list(new[1])), np.full(len(a), rounds, np.int32)],
+                                names=[c.split()[0] for c in _MERGES.split(", ")]))
+        left = np.ones(len(ids), bool)
+        left[a] = left[b] = False
+        ids, vec, size, first = (np.concatenate((x[left], y)) for x, y in zip((ids, vec, size, first), new))
+        total, rounds = total + len(a), rounds + 1
+    return pa.concat_tables(out) if out else None
 
 
 def merge_tree(df: DataFrame, id_col: str = "row_id", vec: str = "features", metric: str = "l2", max_values: int = MAX_VALUES,
-               top: int = 256) -> MergeTree:
+               top: int | None = None) -> MergeTree:
     """A binary tree over all rows with a vector, by rounds that merge every pair of nodes that are nearest to each other.
 
     Distances are `l2` or `l1`, and a merged node stands at the midpoint of its two, whatever their sizes. Equal distances are
     ordered by a number of the pair, so that both sides choose alike; copies are paired along their order first, so that a
     group of any size is halved by each round and no pairs of it are made. Rounds grow with the logarithm of the rows where
     vectors have a few values; midpoints of many values come to lie near everything, and then a round may merge one pair. The
-    last `top` nodes are merged on the driver, in the same rounds. Null vectors are left out; one row is a tree without merges;
+    last `top` nodes are merged on the driver, in the same rounds: 256 of wide vectors, TOP of those that are searched by groups. Null vectors are left out; one row is a tree without merges;
     an empty table has no leaves. Every round is written, so that a lost executor costs its own tasks.
     """
     rows = df.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("vec"))
     leaves = written(with_position(rows, "id", "vec", name="node"), "tree-leaves")
     nodes = leaves.select("node", "vec", F.lit(1).cast("long").alias("size"), F.col("node").alias("first"))
     total, count, rounds, merges = (n := leaves.count()), n, 0, []
+    if top is None:
+        widest = leaves.agg(F.max(F.size("vec"))).first()[0]
+        top = TOP if widest is not None and 0 < widest <= BOXED else 256
     while count > max(1, top):
         copies = nodes.groupBy("vec").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
         pairs = _copies(nodes, rounds % 2) if copies else _mutual(nodes, metric, max_values)
@@ -96,7 +124,9 @@ def merge_tree(df: DataFrame, id_col: str = "row_id", vec: str = "features", met
         merges.append(made.select("node", "left", "right", "distance", "size", "first", "vec", F.lit(rounds).alias("round")))
         merged = made.count()
         total, count, rounds = total + merged, count - merged, rounds + 1
-    out = df.sparkSession.createDataFrame(_topmost_rounds(nodes.collect(), total, rounds, metric), _MERGES)
+    made = _topmost_rounds(nodes.select(*_NODES).toArrow(), total, rounds, metric)
+    out = df.sparkSession.createDataFrame(made if made is not None else [], _MERGES)
+    out = written(out, "merges") if made is not None else out
     for part in merges:
         out = out.unionByName(part)
     return MergeTree(leaves.select("node", "id", "vec"), out)
