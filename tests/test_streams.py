@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weir.operators.flows import FEATURES, flow_features
+from weir.plans.bindings import replayed
 from weir.streaming import events as SE
 from weir.streaming import flows as SF
 
@@ -110,3 +111,29 @@ def test_bursts_of_a_domain(spark, tmp_path):
     assert got == [(1, 30.0), (2, 31.0), (3, 50.0)]
     whole = SE.domain_sessions(spark.createDataFrame(rows, schema), "30 seconds")
     assert sorted(r.queries for r in whole.collect()) == [1, 1, 2, 3]
+
+
+def test_a_table_is_replayed_in_order_by_bounded_batches(spark, sf, tmp_path):
+    seen = []
+
+    def take(batch, number):
+        seen.append(sorted(r.event_id for r in batch.select("event_id").collect()))
+
+    events = replayed(spark, sf, "events", "event_id", rows=300)
+    events.writeStream.foreachBatch(take).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    every = [r.event_id for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id").orderBy("event_id").collect()]
+    assert [i for part in seen for i in part] == every and len(seen) > 2 and max(map(len, seen)) < 400
+
+
+def test_a_table_of_queries_meets_responses_of_near_slots_only(spark):
+    rows = [packet(i, i // 2 * 1.25, client=i % 3, out=i * 7 % 5 < 3) for i in range(400)]
+    df = spark.createDataFrame([*rows, rows[0]], PACKET)
+    got = SE.match_answers(df.where("direction = 'OUT'"), df.where("direction = 'IN'"), ["client_ip"])
+    assert "_q_slot" in got._jdf.queryExecution().optimizedPlan().toString()
+    asked, answers = ([r for r in [*rows, rows[0]] if r[2] == way] for way in ("OUT", "IN"))
+    met = lambda q, r: q[3] == r[3] and 0 <= (r[1] - q[1]).total_seconds() <= 5
+    want = [(q[0], r[0], "matched") for q in asked for r in answers if met(q, r)]
+    want += [(q[0], None, "unanswered") for q in asked if not any(met(q, r) for r in answers)]
+    want += [(None, r[0], "unasked") for r in answers if not any(met(q, r) for q in asked)]
+    key = lambda x: tuple((v is None, v) for v in x)
+    assert sorted(((r.query_seq, r.response_seq, r.outcome) for r in got.collect()), key=key) == sorted(want, key=key)
