@@ -171,3 +171,18 @@ def test_chains_against_all_predecessors():
         for chain in got:
             for i, j in zip(chain[1:], chain[:-1]):
                 assert 0 <= rows[i][0] - rows[j][1] <= S.REACH and 0 <= rows[i][2] - rows[j][3] <= S.REACH
+
+
+def test_packed_places_are_whole_and_small():
+    import numpy as np
+    import zlib
+
+    r = np.random.default_rng(1)
+    n = 40_000
+    seed, doc = r.integers(0, 1 << 64, n, np.uint64), np.sort(r.integers(-5, 200, n)) << 33
+    pos, size = np.arange(n, dtype=np.int32) % 300, np.full(n, 5, np.int32)
+    batch = S.packed(seed, doc, pos, size, 7)
+    x = np.concatenate([S.unpacked(p) for p in batch.column(1).to_pylist()])
+    assert sorted(x.tolist()) == sorted(zip(seed.tolist(), doc.tolist(), pos.tolist(), size.tolist())) and batch.column(0).to_pylist() == list(range(7))
+    assert sum(len(zlib.compress(p, 1)) for p in batch.column(1).to_pylist()) < 10 * n
+    assert len(S.packed(seed[:0], doc[:0], pos[:0], size[:0], 7)) == 0

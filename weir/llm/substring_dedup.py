@@ -70,18 +70,35 @@ PLACE = np.dtype([("seed", np.uint64), ("doc", np.int64), ("pos", np.int32), ("s
 PACKED = "bucket int, places binary"
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Differences of neighbours, first their lowest bytes and so on: mostly zeros, which a shuffle's compression takes out."""
+    step = np.diff(x, prepend=x.dtype.type(0))
+    return step.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type, n: int, start: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    step = np.frombuffer(data, np.uint8, n * size, start).reshape(size, n).T
+    return np.cumsum(np.ascontiguousarray(step).view(kind)[:, 0], dtype=kind)
+
+
 def packed(seed, doc, pos, size, buckets: int):
-    """Places of seeds as one row for each bucket of seeds."""
-    order = np.argsort(seed)
-    out = np.zeros(len(seed), PLACE)
-    for name, c in (("seed", seed), ("doc", doc), ("pos", pos), ("size", size)):
-        out[name] = c[order]
-    bucket = ((out["seed"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-    cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(out) else np.zeros(0, int)
-    ends = np.append(cut[1:], len(out))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[cut]), pa.array([out[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist())], pa.binary())],
-        names=["bucket", "places"])
+    """Places of seeds as one row for each bucket of seeds: all seeds in the order given, then documents, places and sizes."""
+    bucket = ((seed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, seed, doc, pos, size = (c[order] for c in (bucket, seed, doc.astype(np.int64), pos.astype(np.int32), size.astype(np.int32)))
+    cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(seed) else np.zeros(0, int)
+    ends = np.append(cut[1:], len(seed))
+    rows = [b"".join((seed[a:b].tobytes(), planes(doc[a:b]), planes(pos[a:b]), planes(size[a:b]))) for a, b in zip(cut.tolist(), ends.tolist())]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "places"])
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = len(data) // PLACE.itemsize
+    out = np.empty(n, PLACE)
+    out["seed"] = np.frombuffer(data, np.uint64, n)
+    out["doc"], out["pos"], out["size"] = (from_planes(data, kind, n, at * n) for kind, at in ((np.int64, 8), (np.int32, 16), (np.int32, 20)))
+    return out
 
 
 def seeds(docs: DataFrame, k: int, buckets: int) -> DataFrame:
@@ -121,7 +138,7 @@ def matches(places: DataFrame, few: int, with_places: bool) -> DataFrame:
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in cols], names=names)
 
     def of_bucket(parts):
-        x = np.frombuffer(b"".join(parts), PLACE)
+        x = np.concatenate([unpacked(p) for p in parts])
         x = x[np.lexsort((x["pos"], x["doc"], x["seed"]))]
         new = np.ones(len(x), bool)
         new[1:] = x["seed"][1:] != x["seed"][:-1]
@@ -200,7 +217,7 @@ def matched(docs: DataFrame, k: int, min_words: int) -> DataFrame:
     """(doc, pos, ref, ref_pos, size) of single seeds and, where those are common, of runs of up to `min_words` words."""
     letters = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = min(1 + letters // BUCKET_LETTERS, 1 << 30)
-    found = saved(matches(seeds(docs, k, buckets), FEW, True), "seeds")
+    found = saved(matches(seeds(docs, k, buckets), FEW, True), "seeds", clean=True)
     sizes, size = [], 2 * k
     while size < min_words:
         sizes, size = [*sizes, size], 2 * size
@@ -476,7 +493,7 @@ def aligned(docs: DataFrame, chains_: DataFrame, percent: int) -> DataFrame:
     """(doc, lo, hi, ref, ref_lo, ref_hi, equal, total) of the stretches of chains in which enough words are equal."""
     down = lambda c: (F.greatest(F.col(c) - STRETCH, F.lit(0)) / BLOCK).cast("int") * BLOCK
     up = lambda c: (((F.col(c) + STRETCH) / BLOCK).cast("int") + 1) * BLOCK
-    framed = saved(chains_.withColumns({"q_lo": down("q0"), "q_hi": up("q1"), "r_lo": down("r0"), "r_hi": up("r1")}), "chains")
+    framed = saved(chains_.withColumns({"q_lo": down("q0"), "q_hi": up("q1"), "r_lo": down("r0"), "r_hi": up("r1")}), "chains", clean=True)
     own = word_windows(docs, framed.select(F.col("doc").alias("id"), F.col("q_lo").alias("lo"), F.col("q_hi").alias("hi")).distinct())
     other = word_windows(docs, framed.select(F.col("ref").alias("id"), F.col("r_lo").alias("lo"), F.col("r_hi").alias("hi")).distinct())
     own = own.select(F.col("id").alias("doc"), F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"), F.col("words").alias("q"))
