@@ -186,3 +186,35 @@ def test_packed_places_are_whole_and_small():
     assert sorted(x.tolist()) == sorted(zip(seed.tolist(), doc.tolist(), pos.tolist(), size.tolist())) and batch.column(0).to_pylist() == list(range(7))
     assert sum(len(zlib.compress(p, 1)) for p in batch.column(1).to_pylist()) < 10 * n
     assert len(S.packed(seed[:0], doc[:0], pos[:0], size[:0], 7)) == 0
+
+
+def test_the_bound_of_a_stretch_is_no_shorter():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    for share in (2, 3, 12):
+        q, other = (r.integers(0, share, (300, S.STRETCH), np.uint32) for _ in range(2))
+        n = r.integers(0, S.STRETCH + 1, 300)
+        four = [(x & 15).astype(np.uint8) for x in (q * 7, other * 7)]
+        got = S.longest_stretch(*(x[:, ::2] | x[:, 1::2] << 4 for x in four), n)
+        assert all(g >= S.stretch(a[:m], b[:m])[0] for g, a, b, m in zip(got, q, other, n)) and (got <= n).all()
+
+
+def test_chains_that_can_make_no_passage_are_not_aligned(documents):
+    """Matches are packed, and of many chance matches only the chains of passages are aligned; the passages are the same."""
+    r = random.Random(9)
+    text = lambda n: " ".join(f"word{r.randrange(60)}" for _ in range(n))
+    rows = [(i, text(300)) for i in range(60)]
+    rows += [(100 + i, " ".join([text(40), *rows[i][1].split()[50:120], text(40)])) for i in range(6)]
+    docs = documents(rows).selectExpr("doc_id as doc", "text")
+    found = S.matched(docs, 2, 50)
+    assert found.columns == ["part", "found"]
+    columns = [S.undealt([r.found], S.MATCH) for r in found.collect()]
+    size, n = sum(len(r.found) for r in found.collect()), sum(len(c[0]) for c in columns)
+    assert 0 < size < 10 * n, (size, n)  # a row of such a match takes 48 bytes
+    chains = S.chained(found).localCheckpoint()
+    kept = S.promising(docs, chains, 50).localCheckpoint()
+    assert 6 <= kept.count() < chains.count() / 5
+    both = [S.in_passages(S.aligned(docs, c, 75), 50).drop("_new", "_island") for c in (chains, kept)]
+    want, got = (sorted(map(tuple, d.collect()), key=str) for d in both)
+    assert got == want and {r[0] for r in got} >= set(range(100, 106))

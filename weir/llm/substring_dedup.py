@@ -36,6 +36,8 @@ EQUAL = 3
 STRETCH = REACH
 #: Words of the blocks in which word windows are fetched.
 BLOCK = 64
+#: Chains handled at once.
+CHAINS = 8192
 
 
 def told_apart(seed: np.ndarray, of: np.ndarray):
@@ -70,8 +72,17 @@ PLACE = np.dtype([("seed", np.uint64), ("doc", np.int64), ("pos", np.int32), ("s
 PACKED = "bucket int, places binary"
 
 
+def squeezed(data: bytes) -> bytes:
+    """Bytes as they are shuffled and saved: zstd, after their number."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def whole(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def planes(x: np.ndarray) -> bytes:
-    """Differences of neighbours, first their lowest bytes and so on: mostly zeros, which a shuffle's compression takes out."""
+    """Differences of neighbours, first their lowest bytes and so on: mostly zeros, which compression takes out."""
     step = np.diff(x, prepend=x.dtype.type(0))
     return step.view(np.uint8).reshape(len(x), -1).T.tobytes()
 
@@ -82,18 +93,24 @@ def from_planes(data: bytes, kind: type, n: int, start: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(step).view(kind)[:, 0], dtype=kind)
 
 
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+
+
 def packed(seed, doc, pos, size, buckets: int):
     """Places of seeds as one row for each bucket of seeds: all seeds in the order given, then documents, places and sizes."""
-    bucket = ((seed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    bucket = bucket_of(seed, buckets)
     order = np.argsort(bucket, kind="stable")
     bucket, seed, doc, pos, size = (c[order] for c in (bucket, seed, doc.astype(np.int64), pos.astype(np.int32), size.astype(np.int32)))
     cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(seed) else np.zeros(0, int)
     ends = np.append(cut[1:], len(seed))
-    rows = [b"".join((seed[a:b].tobytes(), planes(doc[a:b]), planes(pos[a:b]), planes(size[a:b]))) for a, b in zip(cut.tolist(), ends.tolist())]
+    rows = [squeezed(b"".join((seed[a:b].tobytes(), planes(doc[a:b]), planes(pos[a:b]), planes(size[a:b]))))
+            for a, b in zip(cut.tolist(), ends.tolist())]
     return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "places"])
 
 
 def unpacked(data: bytes) -> np.ndarray:
+    data = whole(data)
     n = len(data) // PLACE.itemsize
     out = np.empty(n, PLACE)
     out["seed"] = np.frombuffer(data, np.uint64, n)
@@ -120,25 +137,61 @@ def seeds(docs: DataFrame, k: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, PACKED)
 
 
-FOUND = "doc long, pos int, ref long, ref_pos int, size int, seed long, common boolean"
-
-
-def matches(places: DataFrame, few: int, with_places: bool) -> DataFrame:
-    """Matches of places with places in documents of smaller id, and, with a null ref, the places whose seed several documents hold.
+#: Rows of a part of the documents: the places of seeds that several documents hold, by the seed's number in its bucket, and matches.
+FOUND = "part int, bucket int, places binary, found binary"
+HELD = [("doc", np.int64), ("pos", np.int32), ("number", np.int32), ("common", np.int32)]
+MATCH = [("doc", np.int64), ("ref", np.int64), ("pos", np.int32), ("ref_pos", np.int32), ("size", np.int32)]
+
+
+def dealt(columns: dict[str, np.ndarray], kind: list, parts: int) -> dict[int, bytes]:
+    """Columns packed as bytes for each part of the documents, in the order of documents, then of references or places."""
+    names = [name for name, _ in kind]
+    part = bucket_of(mix(columns["doc"].view(np.uint64)), parts)
+    order = np.lexsort((columns["pos"], columns[names[1]], columns["doc"], part))
+    part, cols = part[order], [columns[name][order].astype(t) for name, t in kind]
+    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, int)
+    return {int(part[a]): squeezed(b"".join(planes(c[a:b]) for c in cols)) for a, b in zip(cut.tolist(), np.append(cut[1:], len(part)).tolist())}
+
+
+def undealt(data: list[bytes], kind: list) -> list[np.ndarray]:
+    """The columns that `dealt` packed, of several rows one after the other."""
+    size, out = sum(np.dtype(t).itemsize for _, t in kind), []
+    for row in data:
+        row, at, cols = whole(row), 0, []
+        n = len(row) // size
+        for _, t in kind:
+            cols.append(from_planes(row, t, n, at))
+            at += n * np.dtype(t).itemsize
+        out.append(cols)
+    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, t) for _, t in kind]
+
+
+def by_key(batches):
+    """(key, rows) of rows of Arrow batches that follow one another with the same first column."""
+    now, held = None, []
+    for batch in batches:
+        for key, *row in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
+            if key != now:
+                if held:
+                    yield now, held
+                now, held = key, []
+            held.append([c.as_py() for c in row])
+    if held:
+        yield now, held
+
+
+def matches(places: DataFrame, few: int, with_places: bool, parts: int) -> DataFrame:
+    """Matches of places with places in documents of smaller id, dealt by parts of the documents, and with `with_places` the
+    places whose seed several documents hold.
 
     A place is matched with all earlier ones if its seed has up to `few` places, else with the seed's home alone.
     """
-    names = [c.split()[0] for c in FOUND.split(", ")]
-
-    def batch(rows, refs, common):
-        refs = (None, None) if refs is None else (refs["doc"], refs["pos"])
-        n = len(rows)
-        cols = [rows["doc"], rows["pos"], pa.nulls(n, pa.int64()) if refs[0] is None else refs[0],
-                pa.nulls(n, pa.int32()) if refs[1] is None else refs[1], rows["size"], rows["seed"].astype(np.int64), common]
-        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in cols], names=names)
-
-    def of_bucket(parts):
-        x = np.concatenate([unpacked(p) for p in parts])
+    def of_bucket(bucket, rows):
+        x = np.concatenate([unpacked(p) for p, in rows])
+        order = np.argsort(x["seed"])
+        seed = x["seed"][order]
+        again = np.concatenate(([False], seed[1:] == seed[:-1], [False]))
+        x = x[order[again[1:] | again[:-1]]]  # seeds of one place match nothing
         x = x[np.lexsort((x["pos"], x["doc"], x["seed"]))]
         new = np.ones(len(x), bool)
         new[1:] = x["seed"][1:] != x["seed"][:-1]
@@ -146,40 +199,39 @@ def matches(places: DataFrame, few: int, with_places: bool) -> DataFrame:
         count = np.diff(np.append(first, len(x)))
         several = x["doc"][first] < x["doc"][first + count - 1]
         x, count = x[np.repeat(several, count)], count[several]
+        number = np.repeat(np.arange(len(count)), count)
         first = np.repeat(np.cumsum(count) - count, count)
         common = np.repeat(count > few, count)
-        if with_places:
-            yield batch(x, None, common)
+        held = dealt({"doc": x["doc"], "pos": x["pos"], "number": number, "common": common}, HELD, parts) if with_places else {}
         far = np.flatnonzero(common & (x["doc"] > x["doc"][first])) if len(x) else first
-        yield batch(x[far], x[first[far]], common[far])
+        later, earlier = [far], [first[far]]
         for d in range(1, few):
             at = np.arange(d, len(x))
             at = at[~common[d:] & (at - d >= first[d:]) & (x["doc"][d:] > x["doc"][:-d])]
-            if len(at):
-                yield batch(x[at], x[at - d], common[at])
+            later.append(at)
+            earlier.append(at - d)
+        later, earlier = np.concatenate(later), np.concatenate(earlier)
+        found = dealt({"doc": x["doc"][later], "ref": x["doc"][earlier], "pos": x["pos"][later], "ref_pos": x["pos"][earlier],
+                       "size": x["size"][later]}, MATCH, parts)
+        part = sorted({*held, *found})
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([bucket] * len(part), pa.int32()),
+                                           *(pa.array([c.get(p) for p in part], pa.binary()) for c in (held, found))],
+                                          names=["part", "bucket", "places", "found"])
 
     def run(batches):
-        now, parts = None, []
-        for rows in batches:
-            for b, places_ in zip(rows.column(0).to_pylist(), rows.column(1)):
-                if b != now:
-                    if parts:
-                        yield from of_bucket(parts)
-                    now, parts = b, []
-                parts.append(places_.as_py())
-        if parts:
-            yield from of_bucket(parts)
+        for bucket, rows in by_key(batches):
+            yield of_bucket(bucket, rows)
 
     return places.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND)
 
 
 def longer(found: DataFrame, k: int, sizes: list[int], buckets: int) -> DataFrame:
     """Runs of `sizes` words, all of whose seeds several documents hold and some of them often, as packed places."""
-    rows = found.filter("ref is null").select("doc", "pos", "seed", "common").repartition("doc").sortWithinPartitions("doc", "pos", "seed")
+    rows = found.filter("places is not null").select("part", "bucket", "places").repartition("part").sortWithinPartitions("part")
 
     def keys(doc, pos, seed, common):
         place = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])))) if len(doc) else np.zeros(0, int)
-        doc, pos, seed, common = doc[place], pos[place], seed[place].view(np.uint64), common[place]
+        doc, pos, seed, common = doc[place], pos[place], seed[place], common[place]
         of = np.cumsum(np.concatenate(([0], doc[1:] != doc[:-1]))) if len(doc) else doc
         line = of.astype(np.int64) << 33 | pos.astype(np.int64)
         out = []
@@ -196,52 +248,47 @@ def longer(found: DataFrame, k: int, sizes: list[int], buckets: int) -> DataFram
         return packed(*(np.concatenate(c) for c in zip(*out)), buckets)
 
     def run(batches):
-        kept = None
-        for rows in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in rows.columns]
-            if kept is not None:
-                cols = [np.concatenate(x) for x in zip(kept, cols)]
-            if not len(cols[0]):
-                continue
-            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last document may go on
-            if last:
-                yield keys(*(c[:last] for c in cols))
-            kept = [c[last:] for c in cols]
-        if kept is not None:
-            yield keys(*kept)
+        for _, rows in by_key(batches):
+            cols = [[*undealt([places], HELD), bucket] for bucket, places in rows]
+            doc, pos, common = (np.concatenate([c[i] for c in cols]) for i in (0, 1, 3))
+            seed = np.concatenate([c[2].astype(np.uint64) | np.uint64(c[4]) << np.uint64(32) for c in cols])
+            order = np.lexsort((seed, pos, doc))
+            yield keys(doc[order], pos[order], mix(seed[order]), common[order] > 0)
 
     return rows.mapInArrow(run, PACKED)
 
 
 def matched(docs: DataFrame, k: int, min_words: int) -> DataFrame:
-    """(doc, pos, ref, ref_pos, size) of single seeds and, where those are common, of runs of up to `min_words` words."""
+    """(part, found) of matches of single seeds and, where those are common, of runs of up to `min_words` words."""
     letters = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = min(1 + letters // BUCKET_LETTERS, 1 << 30)
-    found = saved(matches(seeds(docs, k, buckets), FEW, True), "seeds", clean=True)
+    found = saved(matches(seeds(docs, k, buckets), FEW, True, buckets), "seeds", clean=True)
     sizes, size = [], 2 * k
     while size < min_words:
         sizes, size = [*sizes, size], 2 * size
-    runs_ = matches(longer(found, k, [*sizes, min_words] if min_words > k else [], buckets), FEW, False) if min_words > k else None
-    cols = ["doc", "pos", "ref", "ref_pos", "size"]
-    found = found.filter("ref is not null").select(*cols)
-    return found if runs_ is None else found.unionByName(runs_.select(*cols))
+    own = found.filter("found is not null").select("part", "found")
+    if min_words <= k:
+        return own
+    runs_ = saved(matches(longer(found, k, [*sizes, min_words], buckets), FEW, False, buckets).select("part", "found"), "runs", clean=True)
+    return own.unionByName(runs_)
 
 
 # ---- chaining --------------------------------------------------------------------------------------
 
-def runs(q: np.ndarray, r: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Matches joined along their diagonals: rows (q from, q to, r from, r to) in order."""
-    order = np.lexsort((q, q - r))
-    q, r, end = q[order], r[order], (q + size)[order]
+def runs(pair: np.ndarray, q: np.ndarray, r: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matches of pairs of documents joined along their diagonals: (pair, rows of q from, q to, r from, r to), in order."""
+    order = np.lexsort((q, q - r, pair))
+    pair, q, r, end = pair[order], q[order], r[order], (q + size)[order]
     new = np.ones(len(q), bool)
-    new[1:] = q[1:] - r[1:] != q[:-1] - r[:-1]
+    new[1:] = (pair[1:] != pair[:-1]) | (q[1:] - r[1:] != q[:-1] - r[:-1])
     line = np.cumsum(new)
     far = np.maximum.accumulate(end + line * (1 << 33)) - line * (1 << 33)  # furthest end so far on the diagonal
     new[1:] |= q[1:] - far[:-1] > 2 * STRIDE
     cut = np.flatnonzero(new)
     last = np.append(cut[1:], len(q)) - 1
-    parts = np.stack((q[cut], far[last], r[cut], r[cut] + far[last] - q[cut]), 1)
-    return parts[np.lexsort((parts[:, 2], parts[:, 0]))]
+    pair, parts = pair[cut], np.stack((q[cut], far[last], r[cut], r[cut] + far[last] - q[cut]), 1)
+    order = np.lexsort((parts[:, 2], parts[:, 0], pair))
+    return pair[order], parts[order]
 
 
 #: Places of a cell: a predecessor within REACH lies in the cell of the place itself or in the one before.
@@ -340,43 +387,116 @@ def chains(parts: np.ndarray) -> list[list[int]]:
 
 def chained(found: DataFrame) -> DataFrame:
     """(doc, ref, q0, q1, r0, r1, parts) of chains."""
-    rows = found.repartition("doc").sortWithinPartitions("doc")
+    rows = found.repartition("part").sortWithinPartitions("part")
     schema = "doc long, ref long, q0 int, q1 int, r0 int, r1 int, parts array<int>"
 
-    def of_document(doc, q, ref, r, size):
-        order = np.argsort(ref, kind="stable")
-        q, ref, r, size = q[order].astype(np.int64), ref[order], r[order].astype(np.int64), size[order]
-        cut = np.flatnonzero(np.concatenate(([True], ref[1:] != ref[:-1]))) if len(q) else np.zeros(0, int)
-        for a, b in zip(cut.tolist(), np.append(cut[1:], len(q)).tolist()):
-            parts = runs(q[a:b], r[a:b], size[a:b])
-            for chain in chains(parts):
-                own = parts[chain]
-                yield (doc, int(ref[a]), int(own[0, 0]), int(own[-1, 1]), int(own[0, 2]), int(own[-1, 3]), own.ravel().tolist())
+    def run(batches):
+        for _, rows in by_key(batches):
+            doc, ref, q, r, size = undealt([row for row, in rows], MATCH)
+            order = np.lexsort((ref, doc))
+            doc, ref = doc[order], ref[order]
+            pair = np.cumsum(np.concatenate(([False], (doc[1:] != doc[:-1]) | (ref[1:] != ref[:-1]))))
+            pairs, parts = runs(pair, *(c[order].astype(np.int64) for c in (q, r, size)))
+            first = np.searchsorted(pair, pairs)  # a match of the pair
+            cut = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+            count = np.diff(np.append(cut, len(pairs)))
+            own, items = [cut[count == 1]], []  # most pairs have one run, which is a chain
+            for a, n in zip(cut[count > 1].tolist(), count[count > 1].tolist()):
+                items += [[a + i for i in chain] for chain in chains(parts[a:a + n])]
+            own = np.concatenate((*own, *items)).astype(np.int64)
+            length = np.concatenate((np.ones(int((count == 1).sum()), np.int64), np.array([len(c) for c in items], np.int64)))
+            end = np.cumsum(length)
+            start = end - length
+            for a in range(0, len(length), CHAINS):
+                b = min(a + CHAINS, len(length))
+                lo, hi, some = own[start[a:b]], own[end[a:b] - 1], own[start[a]:end[b - 1]]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(start[a:b], end[b - 1]) * 4 - start[a] * 4, pa.int32()),
+                                                 pa.array(parts[some].ravel().astype(np.int32)))
+                ends = (parts[lo, 0], parts[hi, 1], parts[lo, 2], parts[hi, 3])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[first[lo]]), pa.array(ref[first[lo]]), *(pa.array(c.astype(np.int32)) for c in ends), lists],
+                                                 names=["doc", "ref", "q0", "q1", "r0", "r1", "parts"])
+
+    return rows.mapInArrow(run, schema)
+
+
+# ---- chains that can make a passage ----------------------------------------------------------------
+
+def prints(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Four bits of each of the STRETCH words before and after the places (id, lo, hi) that are asked for, from the place on, and how
+    many words come after: adds `print`, binary."""
+    asked = asked.groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("asked"))
+    rows = docs.select(F.col("doc").alias("id"), "text").join(asked, "id")
+    size = STRETCH + 1
 
     def run(batches):
-        kept = None
+        hasher, step = SpanHasher(), np.arange(STRETCH)
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if kept is not None:
-                cols = [np.concatenate(x) for x in zip(kept, cols)]
-            doc = cols[0]
-            cut = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, int)
-            if not len(cut):
-                continue
-            kept = [c[cut[-1]:] for c in cols]
-            yield from as_rows(x for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())
-                              for x in of_document(int(doc[a]), *(c[a:b] for c in cols[1:])))
-        if kept is not None:
-            yield from as_rows(of_document(int(kept[0][0]), *kept[1:]))
-
-    def as_rows(rows):
-        rows = list(zip(*rows))
-        if rows:
-            kinds = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)],
-                                             names=["doc", "ref", "q0", "q1", "r0", "r1", "parts"])
+            ids = batch.column(0).to_numpy()
+            for lo, hi, data, offsets in slices(batch.column(1)):
+                w, per_text = text_words(data, offsets, hasher)
+                bits = (np.append(w, np.uint64(0)) >> np.uint64(60)).astype(np.uint8)
+                own = batch.column(2).slice(lo, hi - lo)
+                at, own = np.repeat(np.arange(hi - lo), own.value_lengths().to_numpy()), own.flatten()
+                x, y = own.field("lo").to_numpy(), own.field("hi").to_numpy()
+                for a in range(0, len(at), CHAINS):
+                    text, before, after = at[a:a + CHAINS], x[a:a + CHAINS], y[a:a + CHAINS]
+                    out = np.empty((len(text), size), np.uint8)
+                    for j, places in ((0, (per_text[text] + before - 1)[:, None] - step), (STRETCH // 2, (per_text[text] + after)[:, None] + step)):
+                        four = bits[np.clip(places, 0, len(w))]
+                        out[:, j:j + STRETCH // 2] = four[:, ::2] | four[:, 1::2] << 4
+                    out[:, -1] = np.clip(per_text[text + 1] - per_text[text] - after, 0, STRETCH)
+                    binary = pa.Array.from_buffers(pa.binary(), len(out), [None, pa.py_buffer(np.arange(len(out) + 1, dtype=np.int32) * size), pa.py_buffer(out)])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + text]), pa.array(before), pa.array(after), binary], names=["id", "lo", "hi", "print"])
+
+    return rows.select("id", "text", "asked").mapInArrow(run, "id long, lo int, hi int, print binary")
+
+
+def longest_stretch(q: np.ndarray, r: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each row, no fewer words than `stretch` takes of the `n` words whose bits are given, as bits of equal words are equal."""
+    four = lambda x: np.stack((x & 15, x >> 4), 2).reshape(len(x), -1)
+    there = np.arange(STRETCH) < n[:, None]
+    score = np.cumsum(np.where(there, np.where(four(q) == four(r), 1, -1), -2 * STRETCH), 1)
+    best = STRETCH - 1 - score[:, ::-1].argmax(1)
+    return np.where(score[np.arange(len(best)), best] > 0, best + 1, 0)
+
+
+def in_passages(spans: DataFrame, min_words: int) -> DataFrame:
+    """Spans (doc, lo, hi, ref, ref_lo) that touch or overlap as passages [passage_start, passage_end); passages of fewer than
+    `min_words` words or without a span of half as many go."""
+    order = Window.partitionBy("doc").orderBy("lo", "hi", "ref", "ref_lo")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = spans.withColumn("_new", (F.col("lo") > F.coalesce(reach, F.lit(-1))).cast("int"))
+    islands = islands.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole_ = Window.partitionBy("doc", "_island")
+    return islands.withColumns({"passage_start": F.min("lo").over(whole_), "passage_end": F.max("hi").over(whole_),
+                                "_longest": F.max(F.col("hi") - F.col("lo")).over(whole_)}).filter(
+        (F.col("passage_end") - F.col("passage_start") >= min_words) & (F.col("_longest") >= min_words // 2))
+
+
+def promising(docs: DataFrame, chains_: DataFrame, min_words: int) -> DataFrame:
+    """The chains that can have a part in a passage. A chain begins and ends with equal words, so its stretches lie between its ends and
+    as far beyond as the words next to it can agree, which four bits of each word bound from above. Passages that these bounds make
+    hold all that the stretches make; the chains of those too short are left out, most of all chains."""
+    chains_ = saved(chains_, "chains", clean=True)
+    own = prints(docs, chains_.select(F.col("doc").alias("id"), F.col("q0").alias("lo"), F.col("q1").alias("hi")).distinct())
+    other = prints(docs, chains_.select(F.col("ref").alias("id"), F.col("r0").alias("lo"), F.col("r1").alias("hi")).distinct())
+    own = own.select(F.col("id").alias("doc"), F.col("lo").alias("q0"), F.col("hi").alias("q1"), F.col("print").alias("q"))
+    other = other.select(F.col("id").alias("ref"), F.col("lo").alias("r0"), F.col("hi").alias("r1"), F.col("print").alias("r"))
+    cols = [*chains_.columns]
+    rows = chains_.join(own, ["doc", "q0", "q1"]).join(other, ["ref", "r0", "r1"]).select(*cols, "q", "r")
 
-    return rows.mapInArrow(run, schema)
+    def run(batches):
+        for batch in batches:
+            q, r = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, STRETCH + 1) for c in (len(cols), len(cols) + 1))
+            q0, q1, r0 = (batch.column(cols.index(c)).to_numpy().astype(np.int64) for c in ("q0", "q1", "r0"))
+            half = STRETCH // 2
+            back = longest_stretch(q[:, :half], r[:, :half], np.minimum(np.minimum(q0, r0), STRETCH))
+            ahead = longest_stretch(q[:, half:-1], r[:, half:-1], np.minimum(q[:, -1], r[:, -1]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(cols)], pa.array((q0 - back).astype(np.int32)), pa.array((q1 + ahead).astype(np.int32))],
+                                             names=[*cols, "lo", "hi"])
+
+    bounds = rows.mapInArrow(run, T.StructType([*chains_.schema.fields, T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())]))
+    return in_passages(bounds.withColumn("ref_lo", F.col("r0")), min_words).select(*cols)
 
 
 # ---- aligning --------------------------------------------------------------------------------------
@@ -493,7 +613,7 @@ def aligned(docs: DataFrame, chains_: DataFrame, percent: int) -> DataFrame:
     """(doc, lo, hi, ref, ref_lo, ref_hi, equal, total) of the stretches of chains in which enough words are equal."""
     down = lambda c: (F.greatest(F.col(c) - STRETCH, F.lit(0)) / BLOCK).cast("int") * BLOCK
     up = lambda c: (((F.col(c) + STRETCH) / BLOCK).cast("int") + 1) * BLOCK
-    framed = saved(chains_.withColumns({"q_lo": down("q0"), "q_hi": up("q1"), "r_lo": down("r0"), "r_hi": up("r1")}), "chains", clean=True)
+    framed = saved(chains_.withColumns({"q_lo": down("q0"), "q_hi": up("q1"), "r_lo": down("r0"), "r_hi": up("r1")}), "promising", clean=True)
     own = word_windows(docs, framed.select(F.col("doc").alias("id"), F.col("q_lo").alias("lo"), F.col("q_hi").alias("hi")).distinct())
     other = word_windows(docs, framed.select(F.col("ref").alias("id"), F.col("r_lo").alias("lo"), F.col("r_hi").alias("hi")).distinct())
     own = own.select(F.col("id").alias("doc"), F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"), F.col("words").alias("q"))
@@ -531,15 +651,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 5, percent:
     """
     bounded_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("doc is not null")
-    found = aligned(own, chained(matched(own, k, min_words)), percent)
-    order = Window.partitionBy("doc").orderBy("lo", "hi", "ref", "ref_lo")
-    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = found.withColumn("_new", (F.col("lo") > F.coalesce(reach, F.lit(-1))).cast("int"))
-    islands = islands.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("doc", "_island")
-    return (islands.withColumns({"passage_start": F.min("lo").over(whole), "passage_end": F.max("hi").over(whole),
-                                 "_longest": F.max(F.col("hi") - F.col("lo")).over(whole)})
-            .filter((F.col("passage_end") - F.col("passage_start") >= min_words) & (F.col("_longest") >= min_words // 2))
+    found = aligned(own, promising(own, chained(matched(own, k, min_words)), min_words), percent)
+    return (in_passages(found, min_words)
             .select(F.col("doc").alias(id_col), F.col("lo").alias("start_word"), F.col("hi").alias("end_word"),
                     F.col("ref").alias(f"ref_{id_col}"), F.col("ref_lo").alias("ref_start"), F.col("ref_hi").alias("ref_end"),
                     F.round(F.col("equal") / F.col("total"), 4).alias("identity"), "passage_start", "passage_end"))
