@@ -103,3 +103,21 @@ def test_components_of_a_long_chain(spark):
     random.Random(2).shuffle(chain)
     found = dict(components(spark.createDataFrame(chain, "a long, b long")).collect())
     assert found == {**{i: 0 for i in range(61)}, 100: 100, 105: 100, 103: 100}
+
+
+def test_odd_sketches_leave_out_pairs_below_the_limit_and_none_above():
+    r = np.random.default_rng(4)
+    passed = {}
+    for n in (1, 7, 40, 150, 900, 20_000):
+        for share in (0.5, 0.65, 0.7, 0.75, 0.8, 1.0):
+            both = int(np.ceil(2 * n * share / (1 + share)))
+            x = r.integers(0, 1 << 64, 2 * n, np.uint64)
+            a, b = x[:n], x[n - both:2 * n - both]
+            odd = N.odd_sketch(np.concatenate((a, b)), np.array([0, n, 2 * n]))
+            assert odd.shape == (2, N.ODD // 64)
+            differ = int(np.unpackbits((odd[0] ^ odd[1]).view(np.uint8)).sum())
+            assert differ <= 2 * (n - both)
+            passed[n, share] = differ * 175 <= 2 * n * 25
+            assert passed[n, share] or 100 * both < 75 * (2 * n - both)
+    assert not passed[150, 0.5] and not passed[150, 0.65] and not passed[150, 0.7] and not passed[40, 0.65]
+    assert not N.odd_sketch(np.zeros(0, np.uint64), np.array([0, 0])).any()

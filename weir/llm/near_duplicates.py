@@ -5,7 +5,8 @@ takes the value of the first filled bin on its own random tour of all bins, the
 agree in all `ROWS` bins of a band share a bucket. A bucket is compared as a star, its centre with the members that are not yet in the
 centre's component; buckets that still hold several components get further centres, until every pair of a bucket is either in
 one component or was compared; there, pairs whose bits differ in so many bins as a linked pair's would once in two million
-are not. Comparisons count the shared shingles of the whole texts.
+are not, nor pairs whose odd sketches differ in more places than a linked pair's sets have shingles that they do not share.
+Comparisons count the shared shingles of the whole texts.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from weir.llm.components import components
 BANDS, ROWS = 64, 6
 #: Bins of a signature; one bit of each stands in a class's row, to rule out pairs far below the limit.
 BINS = 512
+#: Places of an odd sketch: each holds whether an odd number of a set's shingles fall on it.
+ODD = 1024
 #: Members compared with one copy of a centre's text, and centres that a bucket gets in one turn.
 STAR, TURN = 64, 256
 
@@ -86,6 +89,14 @@ def bin_bits(sig: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64)
 
 
+def odd_sketch(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Parities of the shingles at each place. Two sets' sketches differ in no more places than the shingles that only one has."""
+    n = len(at) - 1
+    place = np.repeat(np.arange(n), np.diff(at)) * ODD + (mix(h ^ np.uint64(0xD1B54A32D192ED03)) % np.uint64(ODD)).astype(np.int64)
+    odd = (np.bincount(place, minlength=n * ODD) & 1).astype(np.uint8).reshape(n, ODD)
+    return np.ascontiguousarray(np.packbits(odd, axis=1)).view(np.int64)
+
+
 def most_differing(percent: int) -> int:
     """Bits in which a pair just at the limit differs at most: the mean and five standard deviations."""
     p = (1 - percent / 100) / 2
@@ -93,7 +104,8 @@ def most_differing(percent: int) -> int:
 
 
 def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, s1, s2, bands, bits): set size, set marks, bucket keys and bits of every row; an empty set has no buckets."""
+    """(id, n, s1, s2, bands, bits): set size, set marks, bucket keys and bits of every row, those of the bins and the odd sketch; an
+    empty set has no buckets."""
     def run(batches):
         hasher = SpanHasher()
         for batch in batches:
@@ -102,7 +114,7 @@ def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                 s1, s2 = marks(h, at)
                 n = np.diff(at)
                 sig = signatures(h, at, BINS)
-                keys, bits = band_keys(sig, BANDS)[n > 0], bin_bits(sig)
+                keys, bits = band_keys(sig, BANDS)[n > 0], np.concatenate((bin_bits(sig), odd_sketch(h, at)), 1)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2),
                      pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n > 0) * BANDS)), pa.int32()),
@@ -178,7 +190,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     links = saved(confirmed(docs, tested, k, percent, id_col, text_col), "confirmed")
     labels = components(links)
     bits = classes.select("node", "bits")
-    differing = sum(F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("a_bits")[i])) for i in range(BINS // 64))
+    differing, odd = (sum(F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("a_bits")[i])) for i in places)
+                      for places in (range(BINS // 64), range(BINS // 64, (BINS + ODD) // 64)))
+    # sets of n and m shingles that share `percent` hundredths have at most (n + m) (100 - percent) / (100 + percent) that only one has
+    alike = (differing <= most_differing(percent)) & (odd * (100 + percent) <= (F.col("n") + F.col("a_n")) * (100 - percent))
     left, turn = members, 0
     while True:
         # members that were no centre in their bucket; a bucket is done when they are of one component
@@ -197,7 +212,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
             "key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("s1").alias("a_s1"), F.col("comp").alias("a_comp"),
             F.col("bits").alias("a_bits")), "centres")
         new = saved(left.join(small(centres), "key").filter(
-            (F.col("comp") != F.col("a_comp")) & fits & (differing <= most_differing(percent))).select(*pair).distinct(), "near")
+            (F.col("comp") != F.col("a_comp")) & fits & alike).select(*pair).distinct(), "near")
         seen = small(tested.select("a", "b"))
         new = new.join(seen, ["a", "b"], "left_anti").join(
             seen.select(F.col("a").alias("_b"), F.col("b").alias("_a")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
