@@ -137,3 +137,43 @@ def test_a_table_of_queries_meets_responses_of_near_slots_only(spark):
     want += [(None, r[0], "unasked") for r in answers if not any(met(q, r) for q in asked)]
     key = lambda x: tuple((v is None, v) for v in x)
     assert sorted(((r.query_seq, r.response_seq, r.outcome) for r in got.collect()), key=key) == sorted(want, key=key)
+
+
+def test_history_state_takes_two_calls_a_window():
+    """A window's rows may come in several frames and any order; its state is read once and written once, and has one timer."""
+    import pandas as pd
+    from weir.streaming.events import _HistoryProcessor
+
+    class Held:
+        value, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+    class Handle:
+        held, timers = Held(), []
+
+        def getValueState(self, *_):
+            return self.held
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    def frames(rows):
+        return iter([pd.DataFrame(rows[i:i + 3], columns=["seq", "name_len", "nonlc"]) for i in range(0, len(rows), 3)])
+
+    rows = [(7, 12, 2), (1, 20, 0), (5, 9, 3), (3, 31, 1), (2, 8, 4)]
+    key, out = (pd.Timestamp("2020-01-01"), "com.example"), []
+    for parts in ([sorted(rows)], [rows], [sorted(rows)[:2], sorted(rows)[2:]]):
+        p = _HistoryProcessor(300_000)
+        Handle.held, Handle.timers = Held(), []
+        p.init(Handle())
+        for part in parts:
+            got = list(p.handleInputRows(key, frames(part), None))
+        out.append(got[0].iloc[0].tolist())
+        assert Handle.held.calls == 2 * len(parts) and Handle.timers == [1577836800_000 + 300_000]
+    assert out[0] == out[1] == out[2] and out[0][2] == 5
