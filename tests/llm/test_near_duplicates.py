@@ -121,3 +121,17 @@ def test_odd_sketches_leave_out_pairs_below_the_limit_and_none_above():
             assert passed[n, share] or 100 * both < 75 * (2 * n - both)
     assert not passed[150, 0.5] and not passed[150, 0.65] and not passed[150, 0.7] and not passed[40, 0.65]
     assert not N.odd_sketch(np.zeros(0, np.uint64), np.array([0, 0])).any()
+
+
+def test_signatures_are_made_in_bounded_runs():
+    import pyarrow as pa
+    from weir.llm.arrays import SpanHasher, slices
+    texts = pa.array([prose(12, i) if i % 7 else None for i in range(3 * N.RUN + 5)])
+    runs, whole = list(N.set_runs(texts, SpanHasher(), 5)), []
+    assert len(list(slices(texts))) == 1 and all(hi - lo <= N.RUN for lo, hi, _, _ in runs)
+    _, _, data, offsets = next(slices(texts))
+    h, at = N.document_sets(data, offsets, SpanHasher(), 5)
+    assert [lo for lo, _, _, _ in runs] == [0, *(hi for _, hi, _, _ in runs)][:-1] and runs[-1][1] == len(texts)
+    for lo, hi, own, own_at in runs:
+        whole += [own[a:b].tolist() for a, b in zip(own_at[:-1], own_at[1:])]
+    assert whole == [h[a:b].tolist() for a, b in zip(at[:-1], at[1:])]

@@ -25,6 +25,8 @@ BANDS, ROWS = 64, 6
 BINS = 512
 #: Places of an odd sketch: each holds whether an odd number of a set's shingles fall on it.
 ODD = 1024
+#: Texts whose signatures are made at once: a slice of short texts has many, and each takes some 20 KB.
+RUN = 512
 #: Members compared with one copy of a centre's text, and centres that a bucket gets in one turn.
 STAR, TURN = 64, 256
 
@@ -42,6 +44,15 @@ def document_sets(data: np.ndarray, offsets: np.ndarray, hasher: SpanHasher, k:
     return h[new], np.concatenate(([0], np.cumsum(new)))[at]
 
 
+def set_runs(texts: pa.Array, hasher: SpanHasher, k: int):
+    """(first row, row past the last, hashes, offsets) of the sets of up to RUN texts."""
+    for lo, hi, data, offsets in slices(texts):
+        h, at = document_sets(data, offsets, hasher, k)
+        for a in range(0, hi - lo, RUN):
+            b = min(a + RUN, hi - lo)
+            yield lo + a, lo + b, h[at[a]:at[b]], at[a:b + 1] - at[a]
+
+
 def marks(h: np.ndarray, at: np.ndarray):
     """Two independent sums over each set: equal for equal sets."""
     def summed(x):
@@ -109,8 +120,7 @@ def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         hasher = SpanHasher()
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(1)):
-                h, at = document_sets(data, offsets, hasher, k)
+            for lo, hi, h, at in set_runs(batch.column(1), hasher, k):
                 s1, s2 = marks(h, at)
                 n = np.diff(at)
                 sig = signatures(h, at, BINS)
