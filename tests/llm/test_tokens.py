@@ -138,3 +138,21 @@ def test_written_matrices_give_the_texts_back(documents, library, vocabulary, tm
         assert [x for p in sorted({(p, tuple(v)) for p, _, v in parts}) for x in p[1]] == ids
     assert token_output.digests(rows).count() == rows.count()
     assert token_output.write_packed(documents([]), str(tmp_path / "none"), vocabulary).collect() == []
+
+
+def test_a_worker_holds_little_while_it_encodes(spark, vocabulary):
+    """The pipeline's packing starts when an executor's memory is at its highest."""
+    import tracemalloc
+
+    from llm_samples import prose
+    from weir.llm.common import bounded_batches
+    texts, encoder = [prose(400, i) for i in range(800)], bpe.Encoder(bpe.vocabulary_at(vocabulary))
+    tracemalloc.start()
+    try:
+        for _, part in bpe.text_slices(texts):
+            encoder.encode(part)
+        assert tracemalloc.get_traced_memory()[1] < 90 << 20
+    finally:
+        tracemalloc.stop()
+    bounded_batches(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20

@@ -293,7 +293,7 @@ class Encoder:
 
 
 #: Characters of text encoded at once; a longer text is a slice of its own.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
 
 
 def text_slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
