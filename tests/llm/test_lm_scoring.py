@@ -108,3 +108,78 @@ def test_without_training_documents(documents):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     row = L.score_documents(documents([(held, "two words")])).collect()[0]
     assert row.train_tokens == 0 and row.n_known == 0 and row.score < np.log10(0.5)
+
+
+def test_the_order_of_words_has_a_part_in_the_score(documents):
+    """Every noun is followed by its own verb; a held-out text in that order is likelier than its words in another one."""
+    import random
+    r = random.Random(5)
+
+    def text(n):
+        return " ".join(f"noun{k} verb{k}" for k in (r.randrange(40) for _ in range(n)))
+
+    held = [i for i in range(10_000, 10_100) if zlib.crc32(str(i).encode()) % 5 == 1][:10]
+    rows, mixed = [(i, text(60)) for i in range(400)], {}
+    for a, b in zip(held[::2], held[1::2]):
+        pairs = r.sample(range(40), 30)  # no word twice, so that the words of the document itself do not matter
+        rows += [(a, " ".join(f"noun{k} verb{k}" for k in pairs)),
+                 (b, " ".join([f"verb{k}" for k in pairs] + [f"noun{k}" for k in reversed(pairs)]))]
+        mixed[a] = b
+    found = {x.doc_id: x for x in L.score_documents(documents(rows)).collect()}
+    for a, b in mixed.items():
+        assert found[a].base_score == pytest.approx(found[b].base_score)
+        assert found[a].score > found[b].score + 20 and found[a].score > found[a].base_score + 20
+
+
+def running(texts, learnt=3):
+    """A model of the running text of lists of words, fitted without Spark, its words, and the parts that its methods take."""
+    from weir.llm.arrays import SpanHasher, words
+    lines = [" ".join(t).encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(lines), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in lines])))
+    starts, ends, per_text = words(data, offsets)
+    h = SpanHasher()(data, starts, ends)
+    own = {data[a:b].tobytes(): x for a, b, x in zip(starts, ends, h)}
+    counts = Counter(w.encode() for t in texts for w in t)
+    known = sorted(w for w, c in counts.items() if c > 1)
+    m = L.Running(np.array([own[w] for w in known], np.uint64),
+                  np.array([sum(c for c in counts.values() if c == 1), len(texts), *(counts[w] for w in known)], float), 16)
+    parts = m.text(data, starts, ends, per_text, h, L.Codes(m.hashes)(h))
+    seen = np.zeros((L.CONTEXTS, 1 << 16, 2), np.uint16)
+    for _, _, _, _, bit, slots in m.blocks(*parts[:2]):
+        for k in range(L.CONTEXTS):
+            np.add.at(seen[k], (slots[k], bit.astype(int)), 1)
+    m.seen = seen.view(np.uint32)[..., 0]
+    for _ in range(learnt):
+        m.learn(*parts[:2], np.zeros((L.CONTEXTS + 2, L.STEERS)))
+    return m, known, parts
+
+
+def test_the_symbols_after_a_word_sum_to_one():
+    r = np.random.default_rng(3)
+    m, known, (contexts, symbol, _, last) = running([[f"w{int(x) % 97}" for x in r.zipf(1.3, 50)] for _ in range(60)])
+    n = len(known) + 2
+    for at in (0, 1, 7, int(last[0]), int(last[3]) + 1, len(symbol) - 1):
+        p = 10 ** m.log10([np.repeat(c[at:at + 1], n) for c in contexts], np.arange(n))
+        assert p.min() > 0 and p.sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_contexts_are_the_words_and_bytes_before_and_end_with_the_text():
+    m, known, (contexts, symbol, at, last) = running([["ab", "xcd", "ab"], [], ["ab"], ["q", "yxcd", "ab"], ["xcd", "ab"]])
+    assert known == [b"ab", b"xcd"] and symbol.tolist() == [2, 3, 2, 1, 1, 2, 1, 0, 0, 2, 1, 3, 2, 1]
+    assert last.tolist() == [3, 4, 6, 10, 13] and [int(x) for x in at if x not in last] == at.tolist()
+    two, four, word, words_ = (c.tolist() for c in contexts)
+    for c in (two, four, word, words_):
+        assert len({c[i] for i in (0, 4, 5, 7, 11)}) == 1  # the beginnings of texts
+    assert two[2] == two[9] and four[2] != four[9] and word[2] != word[9]  # after xcd and yxcd
+    assert four[2] == four[12] and word[2] == word[12] and words_[2] != words_[12]  # ab xcd, and xcd as the first word
+    assert word[1] == word[3] == word[6] and words_[1] == words_[6] != words_[3]
+
+
+def test_codes_follow_the_order_of_the_symbols_and_keep_their_shares():
+    counts = np.array([40, 3, 900, 1, 1, 1, 55, 200, 0.5, 7] * 30, float)
+    (first, length, nodes, bits, groups, places), ones, rest = L.alphabetic(counts)
+    codes = [tuple(bits[a:a + n].tolist()) for a, n in zip(first, length)]
+    assert codes == sorted(codes) and len(np.unique(np.stack([groups, places]), axis=1).T) == len(np.unique(nodes))
+    p = [np.prod([ones[k] if b else 1 - ones[k] for k, b in zip(nodes[a:a + n], bits[a:a + n])]) for a, n in zip(first, length)]
+    assert p * rest == pytest.approx(counts / counts.sum())
+    assert 1 <= places.min() and places.max() <= 15

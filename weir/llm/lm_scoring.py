@@ -1,20 +1,27 @@
 """Language-model scores by logistic context mixing.
 
-A text is a sequence of lower-cased words and an end. A word's probability mixes how often it was seen in training with how it
-is spelled: P(word) = (1 - e) c / N + e S(word), where e is the share of words seen once, the chance of an unseen word. Along a document
-that is mixed with the document's own words so far: their share is `OWN` times the share of repeats among them, so that it
-follows each text as it is read.
-
-S spells a word byte by byte, each byte by the bits of a Huffman code. `ORDERS` contexts (the place in the word and the last
-1, 2, 3, 4 and 6 bytes), hashed with the node of the code, find counts of the bits that followed among the distinct training
-words. Their predictions are stretched, weighted by a set of weights that a gate picks (how many contexts were seen before, and
-the place in the word), summed and squashed; a table of code node and prediction, filled by what came true, then refines the
-result. Weights and refinement are learnt online, each word predicted from the counts without itself; tasks learn side by side
-and their weights are averaged. The tables have a fixed size; the counts of words grow with the input and are joined.
+A text is a sequence of lower-cased words and an end, coded in bits. The most frequent words (`DICTIONARY`), the end and an escape for
+all other words stand in the order of their bytes; each bit of a code halves a range of them, so that it says how the word goes
+on from the beginning that is known. The bits are predicted along the running text of the training documents: contexts (the last
+2 and 4 bytes of the word before, that word, the two words before), hashed with the place in the code, find counts of the bits
+that followed there. Their predictions are stretched, weighted by a set of weights that a gate picks (how often the contexts of
+words were seen, and the depth in the code), summed and squashed; a table of gate and prediction, filled by what came true, then
+refines the result. Ranges with less than 1 of `RANGES` of the training words are not halved further: there words have their share of the counts.
+
+A word behind the escape mixes how often it was seen with how it is spelled: Q(word) = (1 - e) c / N + e S(word), where N counts the
+training words behind the escape and e is the share of words seen once among them, the chance of an unseen word. S spells byte by
+byte, each byte by the bits of a Huffman code, and mixes `ORDERS` contexts (the place in the word and the last 1, 2, 3, 4 and 6
+bytes) in the same way, counted among the distinct training words, as they stand for words not yet seen.
+
+Along a document the result is mixed with the document's own words so far: their share is `OWN` times the share of repeats among
+them, so that it follows each text as it is read. Weights and refinement are learnt online, each word predicted from the counts
+without itself; tasks learn side by side and their weights are averaged. The tables of bits have a bounded size; the counts of
+words grow with the input and are joined.
 """
 
 from __future__ import annotations
 
+import copy
 import heapq
 
 import numpy as np
@@ -38,8 +45,29 @@ RATE = 0.002
 HEAD_WORDS = 500_000
 CHUNK, CHUNK_BYTES = 20_000, 1 << 18
 END = 32
+LOG10_E = float(np.log10(np.e))
 #: Weight of a document's own words for each repeat among them.
 OWN = 0.7
+#: Words with a code of their own.
+DICTIONARY = 1 << 16
+#: Codes of words behind the escape and of the end; the dictionary follows.
+ESCAPE, LAST = 0, 1
+#: Bytes by which the words of the dictionary are put in order.
+BEGINNING = 64
+RANGES = 1 << 13
+#: Most places of each table of counts of the running text, as a power of two. Smaller corpora have 2 to 4 places a word.
+PLACES = 21
+CONTEXTS = 4
+#: Weight of a bit's share in the whole training text when few bits were seen in a context.
+SHARE = 2
+#: Gates of the running text: times the last word and the last two were seen (none, to 3, to 31, more), and the depth in the code.
+STEERS = 4 * 4 * 3
+#: Words of running text handled at once.
+BLOCK = 2048
+#: Numbers in a row of a table of counts on its way to the driver.
+PER_ROW = 1 << 14
+#: Training text that one task reads.
+TASK_BYTES = 128 << 20
 
 
 def huffman(counts: np.ndarray):
@@ -138,9 +166,11 @@ class Spelling:
             b = a + 4096
             dot = self.mixed(x[a:b], gate[a:b])
             error = bit[a:b] - 1 / (1 + np.exp(-dot))
-            np.add.at(self.weights, gate[a:b], (RATE * error)[:, None].astype(np.float32) * x[a:b])
+            for k in range(x.shape[1]):
+                self.weights[:, k] += np.bincount(gate[a:b], RATE * error * x[a:b, k], GATES).astype(np.float32)
             low, part = self.step(dot)
-            np.add.at(self.refined, (node[a:b], low + (part > 0.5), bit[a:b].astype(np.int64)), 1)
+            self.refined += np.bincount((node[a:b] * STEPS + low + (part > 0.5)) * 2 + bit[a:b], minlength=self.refined.size).reshape(
+                self.refined.shape)
 
     def log10(self, data, offsets) -> np.ndarray:
         """log10 S of each word."""
@@ -153,7 +183,164 @@ class Spelling:
         refined = table[node, low] * (1 - part) + table[node, low + 1] * part
         p = (1 / (1 + np.exp(-dot)) + refined) / 2
         p = np.clip(np.where(bit == 1, p, 1 - p), 1e-9, 1)
-        return np.bincount(word, np.log10(p), len(offsets) - 1)
+        return np.bincount(word, np.log(p), len(offsets) - 1) * LOG10_E
+
+
+def alphabetic(counts: np.ndarray):
+    """(first place, length) of each symbol's code in flat lists of nodes, bits, groups and places there; the share of each node's
+    ones; the share of each symbol in the range that its code ends in.
+
+    A node is named after the first symbol of its upper half. Four steps of a code are a group, named after its first node: its 15
+    nodes have places 1 to 15, so that their counts lie side by side.
+    """
+    total = np.concatenate(([0.0], np.cumsum(counts)))
+    symbol = np.arange(len(counts))
+    lo, hi = np.zeros(len(counts), np.int64), np.full(len(counts), len(counts))
+    ones, steps = np.full(len(counts), 0.5), []
+    group, inside = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
+    while True:
+        whole = total[hi] - total[lo]
+        at = np.flatnonzero((hi - lo > 1) & (whole * RANGES >= total[-1]))
+        if not len(at):
+            break
+        a, b = lo[at], hi[at]
+        half = (total[a] + total[b]) / 2
+        middle = np.searchsorted(total, half)
+        middle -= half - total[middle - 1] < total[middle] - half
+        middle = np.clip(middle, a + 1, b - 1)
+        ones[middle] = (total[b] - total[middle]) / whole[at]
+        bit = symbol[at] >= middle
+        if len(steps) % 4 == 0:
+            group[at], inside[at] = middle, 1
+        steps.append((at, middle, bit, group[at], inside[at]))
+        inside[at] = 2 * inside[at] + bit
+        lo[at], hi[at] = np.where(bit, middle, a), np.where(bit, b, middle)
+    of, nodes, bits, groups, places = (np.concatenate(x) for x in zip(*steps))
+    order = np.argsort(of, kind="stable")
+    length = np.bincount(of, minlength=len(counts))
+    return (np.cumsum(length) - length, length, nodes[order], bits[order], groups[order], places[order]), ones, counts / whole
+
+
+class Running:
+    """Code, counts, weights and refinement of the running text."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, places: int):
+        """Of the dictionary's hashes in the order of the words' bytes, counts of the escape, the end and those words."""
+        self.hashes, self.places = hashes, places
+        self.code, ones, rest = alphabetic(counts + 0.5)
+        self.rest = np.log10(rest)
+        self.ones, self.stretched = ones.astype(np.float32), np.log(ones / (1 - ones)).astype(np.float32)
+        *_, groups, places_ = self.code
+        self.code = self.code[:4]
+        # the place of a bit is the sum of a context's hash and this number: a hash of the group, and the place in it in four bits
+        self.salt = (mix(groups.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32) << np.uint32(4) | places_.astype(np.uint32)
+        depth = np.arange(len(groups)) - np.repeat(*self.code[:2])
+        self.depth = (((depth > 2).astype(np.int8) + (depth > 6)) * 16).astype(np.int8)
+        self.weights = np.zeros((CONTEXTS + 2, STEERS), np.float32)
+        self.weights[:CONTEXTS], self.weights[CONTEXTS] = 0.25, 1
+        self.refined = np.ones((STEERS, STEPS, 2))
+        self.seen = None
+
+    def text(self, data, starts, ends, per_text, hashes, symbols):
+        """(contexts, symbols, place of each word, place of each end) of texts, one after the other, each with its end."""
+        docs = len(per_text) - 1
+        at = np.arange(len(hashes)) + np.repeat(np.arange(docs), np.diff(per_text))
+        last = per_text[1:] + np.arange(docs)
+        symbol, word, tail = np.full(len(at) + docs, LAST), np.zeros(len(at) + docs, np.uint64), np.zeros(len(at) + docs, np.uint64)
+        symbol[at], word[at] = symbols, hashes
+        ending = np.zeros(len(at), np.uint64)
+        for back in range(1, 5):
+            inside = ends - back >= starts
+            ending |= np.where(inside, data[np.where(inside, ends - back, 0)], END).astype(np.uint64) << np.uint64(8 * (back - 1))
+        tail[at] = ending
+
+        def before(x):  # zero stands before a text: it is what an end has
+            return np.concatenate((np.zeros(1, np.uint64), x[:-1])) if len(x) else x
+
+        one, tail = before(word), before(tail)
+        two = before(one)
+        two[last[:-1] + 1] = 0
+        with np.errstate(over="ignore"):
+            contexts = [mix(x + np.uint64((k + 1) * 0xA24BAED4963EE407 & 2**64 - 1)) >> np.uint64(32) for k, x in enumerate(
+                (tail & np.uint64(0xFFFF), tail, one, one * np.uint64(0x9E3779B97F4A7C15) + two))]
+        return [c.astype(np.uint32) << np.uint32(4) for c in contexts], symbol, at, last
+
+    def blocks(self, contexts, symbol):
+        """Yields (first word, word of each bit, gate of its depth, node, bit, slots by context).
+
+        Here and below all places lie within their tables; mode="clip" only spares the test of it.
+        """
+        first, length, nodes, bits = self.code
+        mask = np.uint32((1 << self.places) - 1)
+        for a in range(0, len(symbol), BLOCK):
+            own = symbol[a:a + BLOCK]
+            size = length[own]
+            word = np.repeat(np.arange(len(own)), size)
+            at = np.repeat(first[own] - (np.cumsum(size) - size), size) + np.arange(len(word))
+            salt = self.salt.take(at, mode="clip")
+            yield a, word, self.depth.take(at, mode="clip"), nodes.take(at, mode="clip"), bits.take(at, mode="clip"), [
+                ((np.repeat(c[a:a + BLOCK], size) + salt) & mask).astype(np.intp) for c in contexts]
+
+    def inputs(self, depth, node, bit, slots, without_itself: bool):
+        """(stretched predictions by context as far as they leave the bit's share, that share stretched, gate) of each bit."""
+        share, one = self.stretched.take(node, mode="clip"), np.float32(SHARE) * self.ones.take(node, mode="clip")
+        zero, x, gate = np.float32(SHARE) - one, [], depth.copy()
+        if without_itself:
+            itself, other = bit.astype(np.float32), (~bit).astype(np.float32)
+        for k in range(CONTEXTS):
+            pair = self.seen[k].take(slots[k], mode="clip")
+            zeros, ones = (pair & np.uint32(0xFFFF)).astype(np.float32), (pair >> np.uint32(16)).astype(np.float32)
+            if without_itself:
+                zeros, ones = np.maximum(zeros - other, 0), np.maximum(ones - itself, 0)
+            if k >= CONTEXTS - 2:
+                n = zeros + ones
+                known = (n > 0).view(np.int8) + (n > 3).view(np.int8) + (n > 31).view(np.int8)
+                gate += known * np.int8(4) if k == CONTEXTS - 1 else known
+            ones += one
+            zeros += zero
+            x.append(np.log(ones / zeros) - share)
+        return x, share, gate.astype(np.intp)
+
+    def mixed(self, x, share, gate) -> np.ndarray:
+        dot = share * self.weights[CONTEXTS].take(gate, mode="clip") + self.weights[CONTEXTS + 1].take(gate, mode="clip")
+        for k in range(CONTEXTS):
+            dot += x[k] * self.weights[k].take(gate, mode="clip")
+        return np.clip(dot, np.float32(-11.9), np.float32(11.9))
+
+    @staticmethod
+    def step(dot: np.ndarray, gate: np.ndarray):
+        """(place in the refinement table, part of the way to the next one)."""
+        at = (dot + np.float32(12)) * np.float32((STEPS - 1) / 24)
+        low = at.astype(np.int32)
+        return gate * STEPS + low, at - low.astype(np.float32)
+
+    def learn(self, contexts, symbol, pace: np.ndarray) -> None:
+        """Moves the weights along the errors, by less the more a weight was moved before (`pace`)."""
+        for _, _, depth, node, bit, slots in self.blocks(contexts, symbol):
+            x, share, gate = self.inputs(depth, node, bit, slots, True)
+            dot = self.mixed(x, share, gate)
+            error = bit - 1 / (1 + np.exp(-dot))
+            steps = np.array([np.bincount(gate, error * i, STEERS) for i in (*x, share)] + [np.bincount(gate, error, STEERS)])
+            pace += steps * steps
+            self.weights += (0.02 * steps / np.sqrt(pace + 1)).astype(np.float32)
+            at, part = self.step(dot, gate)
+            self.refined += np.bincount((at + (part > 0.5)) * 2 + bit, minlength=self.refined.size).reshape(self.refined.shape)
+
+    def log10(self, contexts, symbol) -> np.ndarray:
+        """log10 of the probability of each symbol."""
+        prior = 1 / (1 + np.exp(-(np.arange(STEPS) * 24 / (STEPS - 1) - 12)))
+        table = ((self.refined[..., 1] - 1 + 8 * prior) / (self.refined.sum(2) - 2 + 8)).astype(np.float32).ravel()
+        out = self.rest[symbol]
+        for a, word, depth, node, bit, slots in self.blocks(contexts, symbol):
+            x, share, gate = self.inputs(depth, node, bit, slots, False)
+            dot = self.mixed(x, share, gate)
+            at, part = self.step(dot, gate)
+            low = table.take(at, mode="clip")
+            p = (1 / (1 + np.exp(-dot)) + low + (table.take(at + 1, mode="clip") - low) * part) / 2
+            p = np.clip(np.where(bit, p, 1 - p), np.float32(1e-9), np.float32(1))
+            own = np.bincount(word, np.log(p)) * LOG10_E
+            out[a:a + len(own)] += own
+        return out
 
 
 def chunks(column):
@@ -213,7 +400,63 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, hash long, c long").groupBy("word", "hash").agg(F.sum("c").alias("c"))
 
 
-def fit_spelling(vocabulary: DataFrame) -> Spelling:
+def filled(counted: DataFrame, shape: tuple) -> np.ndarray:
+    """The sums of tables of zeros and ones that tasks counted, (part of `PER_ROW` numbers, 32-bit counts), as pairs of 16 bits."""
+    def total(batches):
+        at, own = None, None
+        for batch in batches:
+            for part, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n = np.frombuffer(n, np.int32).astype(np.int64)
+                if part != at:
+                    if at is not None:
+                        yield _part(at, own)
+                    at, own = part, np.zeros(PER_ROW, np.int64)
+                own += n
+        if at is not None:
+            yield _part(at, own)
+
+    flat = np.zeros(shape, np.uint16).reshape(-1, PER_ROW)
+    parts = counted.repartition("part").sortWithinPartitions("part")
+    for r in parts.mapInArrow(total, "part long, n binary").toLocalIterator():
+        flat[r["part"]] = np.frombuffer(r["n"], np.uint16)
+    return flat.reshape(shape)
+
+
+def parts_of(table: np.ndarray):
+    """The rows of `PER_ROW` numbers of a flat table that have any, in batches."""
+    flat = table.reshape(-1, PER_ROW)
+    some = np.flatnonzero(flat.any(1))
+    for a in range(0, len(some), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(some[a:a + 64]), pa.array([flat[i].tobytes() for i in some[a:a + 64]], pa.binary())],
+                                         names=["part", "n"])
+
+
+class Learnt:
+    """A model whose counts were sent to the executors once; weights and refinement, which are small, travel with the functions."""
+
+    def __init__(self, shared: Shared, weights: np.ndarray, refined: np.ndarray):
+        self.shared, self.weights, self.refined = shared, weights, refined
+
+    @property
+    def value(self):
+        model = copy.copy(self.shared.value)
+        model.weights, model.refined = self.weights.copy(), self.refined.copy()
+        return model
+
+
+def learnt(model, shared: Shared, learners: DataFrame) -> Learnt:
+    """The model with the mean weights and the summed refinement of (symbols learnt, weights, refinement) of several tasks."""
+    weights, refined = model.weights, model.refined
+    rows = [r for r in learners.collect() if r["n"]]
+    if rows:
+        share = np.array([r["n"] for r in rows]) / sum(r["n"] for r in rows)
+        w = [np.frombuffer(r["w"], np.float32).reshape(weights.shape) for r in rows]
+        weights = sum(s * x for s, x in zip(share, w)).astype(np.float32)
+        refined = sum(np.frombuffer(r["r"], np.float64).reshape(refined.shape) - 1 for r in rows) + 1
+    return Learnt(shared, weights, refined)
+
+
+def fit_spelling(vocabulary: DataFrame) -> Learnt:
     """Counts, weights and refinement from the training words (c > 0) of a vocabulary."""
     spark = vocabulary.sparkSession
     seen_words = vocabulary.filter("c > 0").select("word").repartition(spark.sparkContext.defaultParallelism)
@@ -229,7 +472,6 @@ def fit_spelling(vocabulary: DataFrame) -> Spelling:
     rows = vocabulary.filter("c > 0").select("word").mapInArrow(byte_counts, "n binary").collect()
     model = Spelling(sum((np.frombuffer(r["n"], np.int64) for r in rows), np.zeros(256, np.int64)))
     code_only = spark.sparkContext.broadcast(model.code)
-    per_row = 1 << 14
 
     def count(batches):
         m = Spelling.__new__(Spelling)
@@ -241,36 +483,15 @@ def fit_spelling(vocabulary: DataFrame) -> Spelling:
                 for k in range(len(ORDERS)):
                     for b in (0, 1):
                         total[k, b] += np.bincount(slots[k][bit == b], minlength=SLOTS).astype(np.int32)
-        flat = np.moveaxis(total, 1, 2).reshape(-1, per_row)  # zeros and ones of a place side by side
-        some = np.flatnonzero(flat.any(1))
-        for a in range(0, len(some), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(some[a:a + 64]), pa.array([flat[i].tobytes() for i in some[a:a + 64]], pa.binary())],
-                                             names=["part", "n"])
-
-    def total(batches):
-        at, own = None, None
-        for batch in batches:
-            for part, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = np.frombuffer(n, np.int32).astype(np.int64)
-                if part != at:
-                    if at is not None:
-                        yield _part(at, own)
-                    at, own = part, np.zeros(per_row, np.int64)
-                own += n
-        if at is not None:
-            yield _part(at, own)
+        yield from parts_of(np.ascontiguousarray(np.moveaxis(total, 1, 2)))  # zeros and ones of a place side by side
 
-    counted = seen_words.mapInArrow(count, "part long, n binary").repartition("part").sortWithinPartitions("part")
-    flat = np.zeros((len(ORDERS), SLOTS, 2), np.uint16).reshape(-1, per_row)
-    for r in counted.mapInArrow(total, "part long, n binary").toLocalIterator():
-        flat[r["part"]] = np.frombuffer(r["n"], np.uint16)
-    model.seen = np.ascontiguousarray(np.moveaxis(flat.reshape(len(ORDERS), SLOTS, 2), 2, 1))
+    counted = seen_words.mapInArrow(count, "part long, n binary")
+    model.seen = np.ascontiguousarray(np.moveaxis(filled(counted, (len(ORDERS), SLOTS, 2)), 2, 1))
     shared = Shared(spark, model)
+    untaught = Learnt(shared, model.weights, model.refined)
 
     def learn(batches):
-        base, n = shared.value, 0
-        m = Spelling.__new__(Spelling)
-        m.__dict__.update(base.__dict__, weights=base.weights.copy(), refined=base.refined.copy())
+        m, n = untaught.value, 0
         for batch in batches:
             for _, data, offsets in chunks(batch.column(0)):
                 m.learn(data, offsets)
@@ -278,13 +499,7 @@ def fit_spelling(vocabulary: DataFrame) -> Spelling:
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([m.weights.tobytes()]), pa.array([m.refined.tobytes()])],
                                          names=["n", "w", "r"])
 
-    learnt = [r for r in seen_words.mapInArrow(learn, "n long, w binary, r binary").collect() if r["n"]]
-    if learnt:
-        share = np.array([r["n"] for r in learnt]) / sum(r["n"] for r in learnt)
-        w = [np.frombuffer(r["w"], np.float32).reshape(model.weights.shape) for r in learnt]
-        model.weights = sum(s * x for s, x in zip(share, w)).astype(np.float32)
-        model.refined = sum(np.frombuffer(r["r"], np.float64).reshape(model.refined.shape) - 1 for r in learnt) + 1
-    return model
+    return learnt(model, shared, seen_words.mapInArrow(learn, "n long, w binary, r binary"))
 
 
 def _part(at: int, own: np.ndarray) -> pa.RecordBatch:
@@ -312,13 +527,10 @@ def own_words(hashes: np.ndarray, per_text: np.ndarray):
     return 1 - share, share * before / np.maximum(place, 1), 1 - ends
 
 
-class Head:
-    """Hash table of the frequent words: count and model score by word hash."""
+class Places:
+    """Hash table of the rows of different hashes."""
 
-    def __init__(self, packed: list[bytes]):
-        hashes, counts, model = (np.concatenate([np.zeros(0, t), *(np.frombuffer(p[i], t) for p in packed)]) for i, t in (
-            (0, np.uint64), (1, np.int64), (2, np.float64)))
-        self.counts, self.model = counts, model
+    def __init__(self, hashes: np.ndarray):
         self.bits = max(4, int(np.ceil(np.log2(2 * len(hashes) + 2))))
         self.keys, self.at = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int64)
         todo, slot = np.arange(len(hashes)), (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -342,12 +554,93 @@ class Head:
         return at
 
 
+class Head(Places):
+    """Count, model score and code by hash of the words that are not joined."""
+
+    def __init__(self, packed: list[bytes], codes: "Codes"):
+        hashes, self.counts, self.model = (np.concatenate([np.zeros(0, t), *(np.frombuffer(p[i], t) for p in packed)]) for i, t in (
+            (0, np.uint64), (1, np.int64), (2, np.float64)))
+        super().__init__(hashes)
+        self.symbols = codes(hashes)
+
+
+class Codes(Places):
+    """The symbol of each word hash: the escape, or a place in the dictionary."""
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.find(hashes)
+        return np.where(at < 0, ESCAPE, at + LAST + 1)
+
+
 def packed_columns(batches):
     """Each batch as one row of little-endian columns."""
     for batch in batches:
         yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()]) for c in batch.columns], names=["h", "c", "m"])
 
 
+#: Steps of a quarter of a power of two of a count, so few numbers reach the driver.
+LEVEL = "floor(log2(c) * 4)"
+
+
+def least_level(levels: list, limit: int) -> int:
+    """The least of (level, words) from the highest on that leaves up to `limit` words; one that no word has, if there is none."""
+    least, total = 1 << 62, 0
+    for level, words_ in levels:
+        total += words_
+        if total > limit:
+            break
+        least = level
+    return least
+
+
+def fit_running(training: DataFrame, words_: list, n: int, ends: int) -> Learnt:
+    """Counts, weights and refinement from the running text of (text), given (beginning of the word, hash, c) of the dictionary and
+    the numbers of training tokens and of ends among them."""
+    spark = training.sparkSession
+    words_ = sorted(words_)
+    counts = np.array([0, ends] + [c for _, _, c in words_], np.float64)
+    counts[ESCAPE] = n - counts.sum()
+    model = Running(np.array([h for _, h, _ in words_], np.int64).view(np.uint64), counts,
+                    min(PLACES, max(13, int(np.ceil(np.log2(2 * n + 1))))))
+    code_only = Shared(spark, model)
+
+    def texts(m, batches):
+        hasher, codes = SpanHasher(), Codes(m.hashes)
+        for batch in batches:
+            for _, _, data, offsets in slices(batch.column(0)):
+                data = LOWER[data]
+                starts, ends_, per_text = words(data, offsets)
+                h = hasher(data, starts, ends_)
+                contexts, symbol, _, _ = m.text(data, starts, ends_, per_text, h, codes(h))
+                yield contexts, symbol
+
+    def count(batches):
+        m = code_only.value
+        seen, one = np.zeros((CONTEXTS, 2 << m.places), np.int32), np.ones(0, np.int32)
+        for contexts, symbol in texts(m, batches):
+            for _, _, _, _, bit, slots in m.blocks(contexts, symbol):
+                if len(one) < len(bit):
+                    one = np.ones(len(bit), np.int32)
+                for k in range(CONTEXTS):
+                    np.add.at(seen[k], slots[k] * 2 + bit, one[:len(bit)])
+        yield from parts_of(seen)
+
+    seen = filled(training.mapInArrow(count, "part long, n binary"), (CONTEXTS, 1 << model.places, 2))
+    model.seen = seen.view(np.uint32)[..., 0]
+    shared = Shared(spark, model)
+    untaught = Learnt(shared, model.weights, model.refined)
+
+    def learn(batches):
+        m, n, pace = untaught.value, 0, np.zeros((CONTEXTS + 2, STEERS))
+        for contexts, symbol in texts(m, batches):
+            m.learn(contexts, symbol, pace)
+            n += len(symbol)
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([m.weights.tobytes()]), pa.array([m.refined.tobytes()])],
+                                         names=["n", "w", "r"])
+
+    return learnt(model, shared, training.mapInArrow(learn, "n long, w binary, r binary"))
+
+
 def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, class_score, bits_per_byte) of every row.
 
@@ -361,45 +654,46 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, id_col: str =
     bounded_batches(spark)
     held_out = fold(id_col, 5) == 1
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
-    ends = rows.filter(~F.col("held_out")).count()
+    training = rows.filter(~F.col("held_out")).select("text")
+    ends, size = training.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).collect()[0]
     vocabulary = saved(word_counts(rows.select("text", (~F.col("held_out")).alias("train"))), "vocabulary")
     n, v, once = vocabulary.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).collect()[0]
     n, v = (n or 0) + ends, (v or 0) + (ends > 0)
-    escape = ((once or 0) + 1) / (n + 1) if n else 0.5
+    level = F.expr(LEVEL)
+    levels = [tuple(r) for r in vocabulary.filter("c > 0").groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()]
+    # words seen once have no code: they stand for those never seen
+    coded = level >= F.lit(max(1, least_level(levels, DICTIONARY)))
+    dictionary = [(bytes(r[0]), r[1], r[2]) for r in vocabulary.filter("c > 0").filter(coded).select(
+        F.substring("word", 1, BEGINNING), "hash", "c").collect()]
+    behind = n - ends - sum(c for _, _, c in dictionary)
+    escape = ((once or 0) + 1) / (behind + 2)
+    parts = max(spark.sparkContext.defaultParallelism, -(-(size or 0) // TASK_BYTES))
+    along = fit_running(training.coalesce(parts), dictionary, n, ends)
     base_of = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-    shared = Shared(spark, fit_spelling(vocabulary))
+    spelling = fit_spelling(vocabulary)
 
     def spell(batches):
+        spelled = spelling.value
         for batch in batches:
             c = batch.column(2).to_numpy().astype(float)
             s = np.zeros(len(c))
             for of, data, offsets in chunks(batch.column(0)):
-                np.add.at(s, of, shared.value.log10(data, offsets))
+                np.add.at(s, of, spelled.log10(data, offsets))
             s += np.log10(escape)
-            seen = np.log10(np.maximum((1 - escape) * c / max(n, 1), 1e-300))
+            seen = np.log10(np.maximum((1 - escape) * c / max(behind, 1), 1e-300))
             model = np.where(c > 0, np.logaddexp(s * np.log(10), seen * np.log(10)) / np.log(10), s)
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(base_of(c)), pa.array(model)],
                                              names=["hash", "c", "base", "model"])
 
     scored = saved(vocabulary.mapInArrow(spell, "hash long, c long, base double, model double"), "words")
-    # the least count of the frequent words: steps of a quarter of a power of two, so few numbers reach the driver
-    level = F.floor(F.log2(F.col("c")) * 4)
-    level_counts = scored.filter("c > 0").groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
-    least, total = 1 << 62, 0
-    for r in level_counts:
-        total += r["count"]
-        if total > head_words:
-            break
-        least = r["level"]
-    frequent = F.col("c") > 0
-    frequent = frequent & (level >= F.lit(least)) if level_counts else F.lit(False)
+    frequent = (F.col("c") > 0) & (coded | (level >= F.lit(least_level(levels, head_words))))
     head = spark.sparkContext.broadcast([tuple(r) for r in scored.filter(frequent).select("hash", "c", "model").mapInArrow(
         packed_columns, "h binary, c binary, m binary").collect()])
     end_base = float(base_of(ends))
-    end_model = float(np.log10((1 - escape) * (ends / n if n else 1)))
 
     def score(batches):
-        hasher, head_ = SpanHasher(), Head(head.value)
+        mixing = along.value
+        hasher, head_ = SpanHasher(), Head(head.value, Codes(mixing.hashes))
         for batch in batches:
             for lo, hi, data, offsets in slices(batch.column(2)):
                 data = LOWER[data]
@@ -410,7 +704,12 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, id_col: str =
                 left, own, left_at_end = own_words(h, per_text)
                 base, model = np.zeros(len(h)), np.zeros(len(h))
                 base[hit], model[hit] = base_of(head_.counts[at[hit]]), head_.model[at[hit]]
-                model = np.where(hit, np.log10(left * 10 ** model + own), 0)
+                symbols = np.where(hit, head_.symbols[at], ESCAPE) if len(head_.symbols) else np.full(len(h), ESCAPE)
+                contexts, symbol, of_word, of_end = mixing.text(data, starts, ends_, per_text, h, symbols)
+                coded_ = mixing.log10(contexts, symbol)
+                left *= 10 ** coded_[of_word]
+                model = np.where(symbols == ESCAPE, model, 0)
+                model = np.where(hit, np.where(own > 0, np.log10(left * 10 ** model + np.maximum(own, 1e-300)), np.log10(left) + model), 0)
                 sums = []
                 for column in (hit.astype(float), base, model):
                     running = np.concatenate(([0], np.cumsum(column)))
@@ -420,9 +719,9 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, id_col: str =
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), batch.column(3).slice(lo, hi - lo),
                      pa.array(np.diff(per_text)), pa.array(size[per_text[1:]] - size[per_text[:-1]]),
-                     pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2] + np.log10(left_at_end)),
+                     pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2] + np.log10(left_at_end) + coded_[of_end]),
                      pa.ListArray.from_arrays(pa.array(rare, pa.int32()), pa.StructArray.from_arrays(
-                         [pa.array(h[~hit].view(np.int64)), pa.array(left[~hit].astype(np.float32)), pa.array(own[~hit].astype(np.float32))],
+                         [pa.array(h[~hit].view(np.int64)), pa.array(np.maximum(left[~hit], 1e-37).astype(np.float32)), pa.array(own[~hit].astype(np.float32))],
                          names=["hash", "left", "own"]))],
                     names=["row", "id", "held_out", "n", "bytes", "known", "base", "model", "rare"])
 
@@ -439,10 +738,10 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, id_col: str =
         mixed(F.when(F.col("c") > 0, F.col("model")).otherwise(F.lit(float(np.log10(escape))))).alias("class_"))
     whole = first.drop("rare").join(rest, "row", "left")
     add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    model = add("model", "model_") + F.lit(end_model)
+    model = add("model", "model_")
     return whole.select(
         F.col("id").alias(id_col), "held_out", (F.col("n") + 1).alias("n_tokens"),
         (add("known", "known_") + F.lit(1 if ends else 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (add("base", "base_") + F.lit(end_base)).alias("base_score"), model.alias("score"),
-        (add("model", "class_") + F.lit(end_model)).alias("class_score"),
+        add("model", "class_").alias("class_score"),
         (-model / F.lit(float(np.log10(2))) / (F.col("bytes") + 1)).alias("bits_per_byte"))
