@@ -44,6 +44,8 @@ RATE = 0.002
 #: Words whose counts and scores every task holds: the most frequent ones. The others are joined.
 HEAD_WORDS = 500_000
 CHUNK, CHUNK_BYTES = 20_000, 1 << 18
+#: Words whose score is made at once, so that their bits stay in the processor's cache.
+FEW = 4_000
 END = 32
 LOG10_E = float(np.log10(np.e))
 #: Weight of a document's own words for each repeat among them.
@@ -248,11 +250,11 @@ class Running:
         last = per_text[1:] + np.arange(docs)
         symbol, word, tail = np.full(len(at) + docs, LAST), np.zeros(len(at) + docs, np.uint64), np.zeros(len(at) + docs, np.uint64)
         symbol[at], word[at] = symbols, hashes
-        ending = np.zeros(len(at), np.uint64)
-        for back in range(1, 5):
-            inside = ends - back >= starts
-            ending |= np.where(inside, data[np.where(inside, ends - back, 0)], END).astype(np.uint64) << np.uint64(8 * (back - 1))
-        tail[at] = ending
+        ending, size = np.zeros(len(at), np.uint32), np.minimum(ends - starts, 4)
+        for back in range(1, 5) if len(at) else ():
+            ending |= data.take(ends - back, mode="clip").astype(np.uint32) << np.uint32(8 * (back - 1))
+        short = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)[size]
+        tail[at] = ending & short | np.uint32(END * 0x01010101) & ~short
 
         def before(x):  # zero stands before a text: it is what an end has
             return np.concatenate((np.zeros(1, np.uint64), x[:-1])) if len(x) else x
@@ -266,7 +268,7 @@ class Running:
         return [c.astype(np.uint32) << np.uint32(4) for c in contexts], symbol, at, last
 
     def blocks(self, contexts, symbol):
-        """Yields (first word, word of each bit, gate of its depth, node, bit, slots by context).
+        """Yields (first word, first bit of each word, gate of each bit's depth, node, bit, slots by context).
 
         Here and below all places lie within their tables; mode="clip" only spares the test of it.
         """
@@ -275,23 +277,24 @@ class Running:
         for a in range(0, len(symbol), BLOCK):
             own = symbol[a:a + BLOCK]
             size = length[own]
-            word = np.repeat(np.arange(len(own)), size)
-            at = np.repeat(first[own] - (np.cumsum(size) - size), size) + np.arange(len(word))
+            begin = np.cumsum(size) - size
+            at = np.repeat(first[own] - begin, size)
+            at += np.arange(len(at))
             salt = self.salt.take(at, mode="clip")
-            yield a, word, self.depth.take(at, mode="clip"), nodes.take(at, mode="clip"), bits.take(at, mode="clip"), [
+            yield a, begin, self.depth.take(at, mode="clip"), nodes.take(at, mode="clip"), bits.take(at, mode="clip"), [
                 ((np.repeat(c[a:a + BLOCK], size) + salt) & mask).astype(np.intp) for c in contexts]
 
     def inputs(self, depth, node, bit, slots, without_itself: bool):
         """(stretched predictions by context as far as they leave the bit's share, that share stretched, gate) of each bit."""
         share, one = self.stretched.take(node, mode="clip"), np.float32(SHARE) * self.ones.take(node, mode="clip")
         zero, x, gate = np.float32(SHARE) - one, [], depth.copy()
-        if without_itself:
-            itself, other = bit.astype(np.float32), (~bit).astype(np.float32)
+        if without_itself:  # it was counted, so its count is at least 1
+            itself = bit.astype(np.uint32) * np.uint32(65535) + np.uint32(1)
         for k in range(CONTEXTS):
             pair = self.seen[k].take(slots[k], mode="clip")
-            zeros, ones = (pair & np.uint32(0xFFFF)).astype(np.float32), (pair >> np.uint32(16)).astype(np.float32)
             if without_itself:
-                zeros, ones = np.maximum(zeros - other, 0), np.maximum(ones - itself, 0)
+                pair -= itself
+            zeros, ones = (pair & np.uint32(0xFFFF)).astype(np.float32), (pair >> np.uint32(16)).astype(np.float32)
             if k >= CONTEXTS - 2:
                 n = zeros + ones
                 known = (n > 0).view(np.int8) + (n > 3).view(np.int8) + (n > 31).view(np.int8)
@@ -331,20 +334,19 @@ class Running:
         prior = 1 / (1 + np.exp(-(np.arange(STEPS) * 24 / (STEPS - 1) - 12)))
         table = ((self.refined[..., 1] - 1 + 8 * prior) / (self.refined.sum(2) - 2 + 8)).astype(np.float32).ravel()
         out = self.rest[symbol]
-        for a, word, depth, node, bit, slots in self.blocks(contexts, symbol):
+        for a, begin, depth, node, bit, slots in self.blocks(contexts, symbol):
             x, share, gate = self.inputs(depth, node, bit, slots, False)
             dot = self.mixed(x, share, gate)
             at, part = self.step(dot, gate)
             low = table.take(at, mode="clip")
             p = (1 / (1 + np.exp(-dot)) + low + (table.take(at + 1, mode="clip") - low) * part) / 2
-            p = np.clip(np.where(bit, p, 1 - p), np.float32(1e-9), np.float32(1))
-            own = np.bincount(word, np.log(p)) * LOG10_E
-            out[a:a + len(own)] += own
+            p = np.clip(np.abs(p - ~bit), np.float32(1e-9), np.float32(1))
+            out[a:a + len(begin)] += np.add.reduceat(np.log(p), begin) * LOG10_E
         return out
 
 
-def chunks(column):
-    """(row of each word, bytes, offsets) of runs of up to CHUNK words and CHUNK_BYTES bytes of a binary column.
+def chunks(column, limit: int = CHUNK):
+    """(row of each word, bytes, offsets) of runs of up to `limit` words and CHUNK_BYTES bytes of a binary column.
 
     A longer word is spelled as several, so that no word needs more memory than a run of short ones.
     """
@@ -358,7 +360,7 @@ def chunks(column):
     number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     cuts, a = np.append(offsets[row] + number * CHUNK_BYTES, offsets[-1]), 0
     while a < len(row):
-        b = min(a + CHUNK, max(a + 1, int(np.searchsorted(cuts, cuts[a] + CHUNK_BYTES, "right")) - 1), len(row))
+        b = min(a + limit, max(a + 1, int(np.searchsorted(cuts, cuts[a] + CHUNK_BYTES, "right")) - 1), len(row))
         yield row[a:b], data[cuts[a]:cuts[b]], cuts[a:b + 1] - cuts[a]
         a = b
 
@@ -677,7 +679,7 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, id_col: str =
         for batch in batches:
             c = batch.column(2).to_numpy().astype(float)
             s = np.zeros(len(c))
-            for of, data, offsets in chunks(batch.column(0)):
+            for of, data, offsets in chunks(batch.column(0), FEW):
                 np.add.at(s, of, spelled.log10(data, offsets))
             s += np.log10(escape)
             seen = np.log10(np.maximum((1 - escape) * c / max(behind, 1), 1e-300))
