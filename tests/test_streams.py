@@ -139,6 +139,27 @@ def test_a_table_of_queries_meets_responses_of_near_slots_only(spark):
     assert sorted(((r.query_seq, r.response_seq, r.outcome) for r in got.collect()), key=key) == sorted(want, key=key)
 
 
+def test_a_stream_of_queries_meets_responses_of_near_slots_only(spark, tmp_path):
+    import random
+
+    r = random.Random(4)
+    times = sorted([r.choice([80 * r.randrange(1, 9) + r.choice([-5, 0, 5]), r.randrange(60, 700) / 2]) for _ in range(400)])
+    rows = [packet(i, t, client=r.choice([0, 1, 2]), out=r.random() < 0.4) for i, t in enumerate(times)]
+    end = [packet(1000, 5000, client=7), packet(1001, 9000, client=7), packet(1002, 9000, client=7, out=False)]
+    df = feed(spark, f"{tmp_path}/in", [rows[:150], rows[150:152], rows[152:], end[:1], end[1:]])
+    got = SE.match_answers(df.where("direction = 'OUT'"), df.where("direction = 'IN'"), ["client_ip"])
+    assert "_q_slot" in got._jdf.queryExecution().analyzed().toString()
+    run(got, tmp_path)
+    asked, answers = ([x for x in rows if x[2] == way] for way in ("OUT", "IN"))
+    met = lambda q, a: q[3] == a[3] and 0 <= (a[1] - q[1]).total_seconds() <= 5
+    want = [(q[0], a[0], "matched") for q in asked for a in answers if met(q, a)]
+    want += [(q[0], None, "unanswered") for q in asked if not any(met(q, a) for a in answers)]
+    want += [(None, a[0], "unasked") for a in answers if not any(met(q, a) for q in asked)]
+    found = [(x.query_seq, x.response_seq, x.outcome) for x in spark.read.parquet(f"{tmp_path}/out").where("client_ip < 7").collect()]
+    key = lambda x: tuple((v is None, v) for v in x)
+    assert sorted(found, key=key) == sorted(want, key=key)
+
+
 def test_history_state_takes_two_calls_a_window():
     """A window's rows may come in several frames and any order; its state is read once and written once, and has one timer."""
     import pandas as pd
