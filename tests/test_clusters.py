@@ -77,6 +77,30 @@ def test_products_leave_what_the_differences_find():
             assert (near == place).all() and len(M.least_of(own, ids, names, matrix, "l2", others, np.full(len(own), -np.inf))[0]) in (0, len(own))
 
 
+@pytest.mark.parametrize("metric", ["l2", "l1"])
+@pytest.mark.parametrize("others", [False, True])
+def test_regions_find_what_a_sent_book_finds(spark, monkeypatch, metric, others):
+    r = np.random.default_rng(8)
+    lines = np.stack((r.normal(size=500).round(2), r.integers(0, 4, 500)), 1)
+    book = list(enumerate(np.concatenate([lines, np.repeat(lines[:3], 30, 0), [[1e6, 0], [-1e6, 3]]]).tolist()))
+    asked = book if others else list(enumerate((lines + 0.3).tolist())) + [(999, None)]
+    b, q = table(spark, book, "id long, vec array<double>"), table(spark, asked, "row long, vec array<double>")
+    want = sorted(map(tuple, M.nearest(q, b, metric, others).collect()))
+    called = []
+    monkeypatch.setattr(M, "REGION_ROWS", 40)
+    monkeypatch.setattr(M, "_regional_nearest", lambda *a, f=M._regional_nearest: called.append(a) or f(*a))
+    assert sorted(map(tuple, M.nearest(q, b, metric, others).collect())) == want and called
+
+
+def test_regions_have_cuts_between_values():
+    x = np.stack((np.repeat(np.arange(25.0), 40), np.random.default_rng(1).normal(size=1000)), 1)
+    axis, cut, low, high = M._regions(x, 5)
+    at = M._region_of(x, axis, cut)
+    assert ((low[at] < x) & (x < high[at])).all() and np.bincount(at, minlength=32).max() < 100
+    same = np.ones((10, 2))
+    assert len(set(M._region_of(same, *M._regions(same, 3)[:2]).tolist())) == 1
+
+
 def test_nearest_centroid_with_any_book(spark):
     book = table(spark, [(7, (0, 0)), (3, (0, 0)), (5, (9, 1))], "cid long, vec array<double>")
     rows = table(spark, [(1, (1, 1)), (2, None), (3, (8, 0)), (3, (8, 0))])
@@ -167,6 +191,16 @@ def test_the_last_rounds_on_the_driver_give_the_same_tree(spark):
     assert sorted(map(tuple, a.merges.collect())) == sorted(map(tuple, b.merges.collect()))
 
 
+def test_few_copies_are_paired_on_the_driver_as_the_rounds_pair_them(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    x = np.concatenate([np.repeat(r.normal(size=(9, 2)), r.integers(2, 6, 9), 0), r.normal(size=(90, 2)), np.repeat(r.normal(size=(1, 2)), 13, 0)])
+    rows = list(enumerate(x[r.permutation(len(x))].tolist()))
+    plain, called = T._copy_rounds, []
+    monkeypatch.setattr(T, "_copy_rounds", lambda *a: called.append(a) or plain(*a))
+    a, b, c = (sorted(map(tuple, T.merge_tree(table(spark, rows), top=top).merges.collect())) for top in (20, 60, 1000))
+    assert a == b == c and called
+
+
 def test_cuts_members_heights_and_depths(spark):
     rows = cloud(7, 24)
     tree = T.merge_tree(table(spark, rows))

@@ -13,8 +13,8 @@ from weir.operators.metric import BOXED, MAX_VALUES, boxes, corners, gaps, least
 from weir.plans.ordering import with_position
 
 _NODES = ("node", "vec", "size", "first")
-# Nodes of narrow vectors that are merged on the driver at the end: a few MB.
-TOP = 1 << 14
+# Nodes of narrow vectors that are merged on the driver at the end: some MB.
+TOP = 1 << 17
 _MERGES = "node long, left long, right long, distance double, size long, first long, vec array<double>, round int"
 
 
@@ -61,6 +61,41 @@ def _nearest_here(vec: np.ndarray, ids: np.ndarray, metric: str) -> tuple[np.nda
     return found[1][at], found[3][at]
 
 
+def _merged(node: np.ndarray, left: np.ndarray, right: np.ndarray, dist: np.ndarray, size: np.ndarray, first: np.ndarray, vec: np.ndarray,
+            rounds: int) -> pa.Table:
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, vec.size + 1, vec.shape[1]) if vec.size else np.zeros(len(vec) + 1), pa.int32()),
+                                    pa.array(vec.reshape(-1)))
+    return pa.table([node, left, right, dist, size, first, flat, np.full(len(node), rounds, np.int32)], names=[c.split()[0] for c in _MERGES.split(", ")])
+
+
+def _copy_rounds(nodes: pa.Table, total: int, rounds: int) -> tuple[list[pa.Table], int]:
+    """The rounds that pair a bounded number of copies, from their places `at` among all nodes, and the number of the next round."""
+    nodes = nodes.sort_by("at").combine_chunks()
+    ids, at, size, first = (nodes[c].to_numpy() for c in ("node", "at", "size", "first"))
+    vec, _ = vectors_of(nodes["vec"].combine_chunks(), len(nodes["vec"][0]))
+    equal = ((vec[1:] == vec[:-1]) | (np.isnan(vec[1:]) & np.isnan(vec[:-1]))).all(1)
+    group, out = np.concatenate(([0], np.cumsum(~equal))), []
+    start, merged = at[np.unique(group, return_index=True)[1]], np.zeros(group[-1] + 1, np.int64)
+    while (group[1:] == group[:-1]).any():
+        a = np.flatnonzero((group[1:] == group[:-1]) & ((at[:-1] + rounds % 2) // 2 == (at[1:] + rounds % 2) // 2))
+        a = a[np.argsort(ids[a])]
+        b, new = a + 1, total + np.arange(len(a))
+        if len(a):
+            out.append(_merged(new, ids[a], ids[b], np.zeros(len(a)), size[a] + size[b], np.minimum(first[a], first[b]), (vec[a] + vec[b]) / 2, rounds))
+        left = np.ones(len(ids), bool)
+        left[a] = left[b] = False
+        merged += np.bincount(group[a], minlength=len(merged))
+        every = np.concatenate((group[left], group[a]))
+        order = np.lexsort((np.concatenate((ids[left], new)), every))
+        ids, size, first, vec = (np.concatenate((x[left], y))[order] for x, y in (
+            (ids, new), (size, size[a] + size[b]), (first, np.minimum(first[a], first[b])), (vec, (vec[a] + vec[b]) / 2)))
+        group = every[order]
+        begin = np.searchsorted(group, np.arange(len(merged)))
+        at = (start - np.cumsum(merged) + merged)[group] + np.arange(len(group)) - begin[group]
+        total, rounds = total + len(a), rounds + 1
+    return out, rounds
+
+
 def _topmost_rounds(nodes: pa.Table, total: int, rounds: int, metric: str) -> pa.Table:
     """The last rounds, over the bounded number of nodes at the top of a tree."""
     nodes = nodes.sort_by("node").combine_chunks()
@@ -84,8 +119,7 @@ def _topmost_rounds(nodes: pa.Table, total: int, rounds: int, metric: str) -> pa
         a, b, dist = a[order], b[order], dist[order]
         new = total + np.arange(len(a)), (vec[a] + vec[b]) / 2, size[a] + size[b], np.minimum(first[a], first[b])
         if len(a):
-            out.append(pa.table([new[0], ids[a], ids[b], dist, new[2], new[3], pa.array(list(new[1])), np.full(len(a), rounds, np.int32)],
-                                names=[c.split()[0] for c in _MERGES.split(", ")]))
+            out.append(_merged(new[0], ids[a], ids[b], dist, new[2], new[3], new[1], rounds))
         left = np.ones(len(ids), bool)
         left[a] = left[b] = False
         ids, vec, size, first = (np.concatenate((x[left], y)) for x, y in zip((ids, vec, size, first), new))
@@ -101,7 +135,8 @@ def merge_tree(df: DataFrame, id_col: str = "row_id", vec: str = "features", met
     ordered by a number of the pair, so that both sides choose alike; copies are paired along their order first, so that a
     group of any size is halved by each round and no pairs of it are made. Rounds grow with the logarithm of the rows where
     vectors have a few values; midpoints of many values come to lie near everything, and then a round may merge one pair. The
-    last `top` nodes are merged on the driver, in the same rounds: 256 of wide vectors, TOP of those that are searched by groups. Null vectors are left out; one row is a tree without merges;
+    last `top` nodes are merged on the driver, in the same rounds: 256 of wide vectors, TOP of those that are searched by groups. So are
+    the copies, if they are no more than that. Null vectors are left out; one row is a tree without merges;
     an empty table has no leaves. Every round is written, so that a lost executor costs its own tasks.
     """
     rows = df.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("vec"))
@@ -112,7 +147,19 @@ def merge_tree(df: DataFrame, id_col: str = "row_id", vec: str = "features", met
         widest = leaves.agg(F.max(F.size("vec"))).first()[0]
         top = TOP if widest is not None and 0 < widest <= BOXED else 256
     while count > max(1, top):
-        copies = nodes.groupBy("vec").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+        copied = nodes.groupBy("vec").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        copies = copied.agg(F.sum("n")).first()[0] or 0
+        if 0 < copies <= top:
+            # pairs across two places wait for another round, and few copies for many rounds, which no table needs to be read for
+            placed = with_position(nodes, "vec", "node", name="at").join(copied.select("vec"), "vec", "left_semi")
+            made, rounds = _copy_rounds(placed.select(*_NODES, "at").toArrow(), total, rounds)
+            made = written(df.sparkSession.createDataFrame(pa.concat_tables(made), _MERGES), "merges")
+            gone = made.select(F.explode(F.array("left", "right")).alias("node"))
+            nodes = written(nodes.unionByName(made.select(*_NODES)).join(gone, "node", "left_anti"), "nodes")
+            merges.append(made)
+            merged = made.count()
+            total, count = total + merged, count - merged
+            continue
         pairs = _copies(nodes, rounds % 2) if copies else _mutual(nodes, metric, max_values)
         pairs = pairs.select(
             F.least("a.node", "b.node").alias("left"), F.greatest("a.node", "b.node").alias("right"), "distance",
