@@ -195,13 +195,19 @@ def _doubled(rows: DataFrame, step, name: str) -> DataFrame:
     return rows
 
 
+def _jumped(rows: DataFrame, above: DataFrame) -> DataFrame:
+    """Rows with what lies at their pointers; those without one, most of them in the end, stay out of the join, where they
+    would all meet in one task."""
+    return rows.where("jump IS NOT NULL").join(above, "jump", "left").unionByName(rows.where("jump IS NULL"), allowMissingColumns=True)
+
+
 def _topmost(tree: MergeTree, qualifies) -> DataFrame:
     """(id, node): each leaf's topmost node, itself among them, that `qualifies`; a pointer passes on what lies above it."""
     start = _parents(tree).select("node", "leaf", F.col("parent").alias("jump"), F.when(qualifies, F.col("node")).alias("top"))
 
     def step(rows):
         above = rows.select(F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("top").alias("above"))
-        return rows.join(above, "jump", "left").select("node", "leaf", F.col("next").alias("jump"), F.coalesce("above", "top").alias("top"))
+        return _jumped(rows, above).select("node", "leaf", F.col("next").alias("jump"), F.coalesce("above", "top").alias("top"))
 
     found = _doubled(start, step, "topmost").where("leaf AND top IS NOT NULL")
     return tree.leaves.drop("vec").join(found.select("node", "top"), "node").select("id", F.col("top").alias("node"))
@@ -233,7 +239,7 @@ def tree_measures(tree: MergeTree) -> DataFrame:
         handed = rows.where("jump IS NOT NULL").groupBy(F.col("jump").alias("node")).agg(
             F.sum("height").alias("more"), F.max(F.col("depth") + F.col("way")).alias("below"))
         above = rows.select(F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("way").alias("next_way"))
-        return rows.join(above, "jump", "left").join(handed, "node", "left").select(
+        return _jumped(rows, above).join(handed, "node", "left").select(
             "node", F.col("next").alias("jump"), (F.col("way") + F.col("next_way")).alias("way"),
             (F.col("height") + F.coalesce("more", F.lit(0))).alias("height"), F.greatest("depth", "below").alias("depth"))
 
